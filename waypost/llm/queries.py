@@ -7,9 +7,12 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from .html_text import extract_main_text
+from .language import predict_languages
 from .media import media_columns
 from .mixing import mix_sources
 from .near_dup import near_duplicates
+from .quality import predict_quality
 from .token_files import read_token_files, write_token_files
 from .vector_search import top_k
 
@@ -30,11 +33,26 @@ def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return extract_main_text(_table(spark, sf_dir, "pages"))
+
+
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words taken of each document by a 5 : 2 : 1 mix of one and a half times the corpus."""
     return mix_sources(_table(spark, sf_dir, "documents"))
 
 
+def op7_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of all texts, learnt from those that are not held out."""
+    return predict_languages(_table(spark, sf_dir, "documents")).drop("lang_spans")
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of all texts, learnt from the labels that are not held out."""
+    return predict_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op9_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five best integer inner products of every fiftieth vector."""
     return top_k(_table(spark, sf_dir, "embeddings"))
@@ -88,7 +106,10 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 QUERIES: dict[str, Query] = {
     "op1_media_columns": op1_media_columns,
     "op2_near_duplicates": op2_near_duplicates,
+    "op5_main_text": op5_main_text,
     "op6_mix_sources": op6_mix_sources,
+    "op7_languages": op7_languages,
+    "op8_quality": op8_quality,
     "op9_top_k": op9_top_k,
     "op10_token_files": op10_token_files,
 }
