@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .html_text import extract_main_text
 from .language import predict_languages
+from .line_dedup import dedup_lines
 from .media import media_columns
 from .mixing import mix_sources
 from .near_dup import near_duplicates
+from .packing import pack_documents
 from .quality import predict_quality
 from .token_files import read_token_files, write_token_files
 from .vector_search import top_k
@@ -33,6 +35,16 @@ def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op3_dedup_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts without the lines that an earlier line of the corpus matches."""
+    return dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op4_pack_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bins of 2,048 words, with at most two pieces of a source and no exact copies in a bin."""
+    return pack_documents(_table(spark, sf_dir, "documents"))
+
+
 def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The main text of every page."""
     return extract_main_text(_table(spark, sf_dir, "pages"))
@@ -90,6 +102,35 @@ SELECT sets.doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id, sets.doc
 FROM sets JOIN components USING (doc_id)
 """
 
+_OP3_SQL = r"""
+WITH lines AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no
+  FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL),
+sets AS (SELECT doc_id, line_no, line, list_sort(list_distinct(regexp_extract_all(lower(line), '[^\x20\x09-\x0D]+'))) AS s FROM lines),
+kinds AS (SELECT s, len(s) AS n, min((doc_id, line_no)) AS at, row_number() OVER () AS id FROM sets WHERE len(s) > 0 GROUP BY s),
+words AS (SELECT id, n, unnest(s) AS w FROM kinds),
+counts AS (SELECT w, count(*) AS c FROM words GROUP BY w),
+prefixes AS (
+  SELECT id, n, w FROM words JOIN counts USING (w)
+  QUALIFY row_number() OVER (PARTITION BY id ORDER BY c, w) <= n - CAST(ceil(n * 9 / 10.0) AS BIGINT) + 1),
+pairs AS (
+  SELECT DISTINCT a.id AS x, b.id AS y FROM prefixes a JOIN prefixes b
+  ON a.w = b.w AND a.id <> b.id AND least(a.n, b.n) * 10 >= greatest(a.n, b.n) * 9),
+matches AS (
+  SELECT y.id, min(x.at) AS at FROM pairs JOIN kinds x ON x.id = pairs.x JOIN kinds y ON y.id = pairs.y
+  WHERE 10 * len(list_intersect(x.s, y.s)) >= 9 * (x.n + y.n - len(list_intersect(x.s, y.s)))
+  GROUP BY y.id),
+decided AS (
+  SELECT sets.doc_id, sets.line_no, sets.line,
+         len(sets.s) > 0 AND coalesce(least(kinds.at, matches.at), kinds.at) < (sets.doc_id, sets.line_no) AS gone
+  FROM sets LEFT JOIN kinds USING (s) LEFT JOIN matches ON matches.id = kinds.id)
+SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY line_no) FILTER (WHERE NOT gone), '') AS text,
+       CAST(count(*) AS INTEGER) AS n_lines, CAST(count(*) FILTER (WHERE gone) AS INTEGER) AS removed_lines
+FROM decided GROUP BY doc_id
+UNION ALL SELECT doc_id, text, CASE WHEN text IS NULL THEN 0 ELSE len(string_split(text, chr(10))) END, 0
+FROM documents WHERE text IS NULL OR doc_id IS NULL
+"""
+
 _OP9_SQL = """
 WITH parts AS (
   SELECT vec_id, embedding FROM embeddings
@@ -106,6 +147,8 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 QUERIES: dict[str, Query] = {
     "op1_media_columns": op1_media_columns,
     "op2_near_duplicates": op2_near_duplicates,
+    "op3_dedup_lines": op3_dedup_lines,
+    "op4_pack_documents": op4_pack_documents,
     "op5_main_text": op5_main_text,
     "op6_mix_sources": op6_mix_sources,
     "op7_languages": op7_languages,
@@ -116,5 +159,6 @@ QUERIES: dict[str, Query] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op2_near_duplicates": _OP2_SQL,
+    "op3_dedup_lines": _OP3_SQL,
     "op9_top_k": _OP9_SQL,
 }
