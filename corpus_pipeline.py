@@ -1,12 +1,75 @@
-"""A corpus-cleaning pipeline over ``documents``, built from the corpus operators."""
+"""A corpus-cleaning pipeline over ``documents``, built from the corpus operators.
+
+Each stage takes and returns a table with the columns of ``documents``, any
+further columns included; the last one returns the packed pieces.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from waypost.llm.language import fit, identify, is_held_out
+from waypost.llm.line_dedup import dedup_lines
+from waypost.llm.mixing import mix_sources
+from waypost.llm.near_dup import near_duplicates
+from waypost.llm.packing import pack_documents
+from waypost.llm.workspace import written
+
+#: A document of which less than this share of letters is in its main language is rejected.
+LEAST_SHARE = 0.3
+_SEED = 23
+
+
+def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Language ID: documents without a letter or without a main language go."""
+    model = fit(docs.where(F.col("doc_id").isNotNull() & ~is_held_out()).select("doc_id", "lang", "text"))
+    labelled = identify(docs, model)
+    return labelled.where((F.col("lang_pred") != "und") & (F.col("lang_score") >= LEAST_SHARE)).select(*docs.columns)
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Line dedup: later matching lines go; n_chars follows the text."""
+    cleaned = dedup_lines(docs)
+    return cleaned.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """MinHash near-dedup: of each connected group the document with the smallest id stays, once."""
+    decided = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
+    one = docs.withColumn("_digest", F.xxhash64("text")).join(decided, F.col("doc_id") == F.col("_kept"))
+    return one.dropDuplicates(["doc_id", "_digest"]).select(*docs.columns)
+
+
+def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Mixing: a document appears as often as its taken words ask for, the fraction rounded by a seeded draw."""
+    taken = mix_sources(docs).where("size > 0").select(F.col("doc_id").alias("_id"), "size", "taken").dropDuplicates(["_id"])
+    draw = F.pmod(F.xxhash64("doc_id", F.lit(_SEED)), F.lit(1 << 30)) / (1 << 30)
+    copies = F.floor(F.col("taken") / F.col("size") + draw).cast("int")
+    mixed = docs.join(taken, F.col("doc_id") == F.col("_id")).withColumn("_copies", copies).where("_copies > 0")
+    return mixed.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+
+
+def pack_bins(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Best-fit packing: doc_id, source, first_word, words, bin_id, bin_words."""
+    return pack_documents(docs)
+
+
+STAGES = [
+    ("language", keep_identified),
+    ("line_dedup", drop_repeated_lines),
+    ("near_dedup", keep_one_of_each_group),
+    ("mixing", mix_to_weights),
+    ("packing", pack_bins),
+]
 
-STAGES: list = []
+#: Language models are beyond SQL; the tests compare run() with a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for k, (name, stage) in enumerate(STAGES):
+        out = stage(spark, docs, sf_dir)
+        docs = out if k == len(STAGES) - 1 else written(out, name)
+    return docs

@@ -9,8 +9,9 @@ The join: words are ordered by rarity, by counts over the whole corpus in a
 table of fixed size (words share its entries by hash; any order gives the same
 result, a good one makes it fast). If two sets match, the first
 n - ceil(THRESHOLD * n) + 1 words of both share one; sets that share such a
-prefix word are candidates unless their lengths or the word's positions rule a
-match out, and candidates are verified on their whole sets.
+prefix word are candidates unless their lengths, the word's positions or two
+64-bit sketches of the sets rule a match out; candidates are verified on their
+whole sets.
 
 Lines of equal sets are one row throughout. A prefix word that many sets share
 is met in two steps: all its sets are first compared with the earliest of them,
@@ -42,29 +43,38 @@ _SPACE = r"[ \t-\r]+"
 
 
 def _words(text: str) -> Column:
-    return F.split(F.lower(F.col(text)), _SPACE)
+    """The words of a column; one empty word if there is none."""
+    return F.split(F.trim(F.lower(F.col(text)), F.lit(" \t\n\x0b\x0c\r")), _SPACE)
 
 
 def rarity_table(documents: DataFrame) -> DataFrame:
     """One row with ``ranks``: for each hash entry its place when entries are ordered by how many words fall there."""
-    entry = F.explode(F.transform(_words("text"), lambda w: F.xxhash64(w).bitwiseAND((1 << RARITY_BITS) - 1)))
-    counts = documents.select(entry.alias("entry")).groupBy("entry").agg(F.count(F.lit(1)).alias("n"))
+    words = documents.select(F.explode(_words("text")).alias("word"))
+    entry = F.xxhash64("word").bitwiseAND((1 << RARITY_BITS) - 1)
+    counts = words.groupBy(entry.alias("entry")).agg(F.count(F.lit(1)).alias("n"))
     every = documents.sparkSession.range(1 << RARITY_BITS).withColumnRenamed("id", "entry").join(counts, "entry", "left")
     pairs = F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "entry")))
     placed = every.agg(pairs.alias("p")).select(F.array_sort(F.transform("p", lambda x, i: F.struct(x["entry"], i.alias("rank")))).alias("q"))
     return written(placed.select(F.transform("q", lambda x: x["rank"]).alias("ranks")), "rarity")
 
 
-def _tokens(line: str, ranks: Column) -> Column:
-    """The distinct words of a line as numbers, rarest first."""
+def _tokens(line: str) -> Column:
+    """The distinct words of a line as numbers, rarest first; the rows carry ``ranks``."""
     kept = 63 - RARITY_BITS
 
     def number(h: Column) -> Column:
-        rank = F.get(ranks, h.bitwiseAND((1 << RARITY_BITS) - 1).cast("int")).cast("long")
+        rank = F.coalesce(F.get("ranks", h.bitwiseAND((1 << RARITY_BITS) - 1).cast("int")), F.lit(0)).cast("long")
         return F.shiftleft(rank, kept).bitwiseOR(F.shiftrightunsigned(h, 64 - kept))
 
-    words = F.filter(_words(line), lambda w: w != "")
-    return F.sort_array(F.array_distinct(F.transform(F.transform(words, lambda w: F.xxhash64(w)), number)))
+    numbers = F.transform(F.transform(_words(line), lambda w: F.xxhash64(w)), number)
+    return F.when(F.col(line).rlike(r"[^ \t-\r]"), F.sort_array(F.array_distinct(numbers))).otherwise(F.array().cast("array<bigint>"))
+
+
+def _sketch(tokens: str, shift: int) -> Column:
+    """64 bits, of which each word sets the one that six of its bits name."""
+    one = F.lit(1).cast("long")
+    bit = lambda x: F.call_function("shiftleft", one, F.shiftright(x, shift).bitwiseAND(63).cast("int"))
+    return F.aggregate(tokens, F.lit(0).cast("long"), lambda done, x: done.bitwiseOR(bit(x)))
 
 
 def _bit(key: Column, k: int) -> Column:
@@ -95,12 +105,19 @@ def _lines(documents: DataFrame) -> DataFrame:
     return rows.select("doc_id", "text_hash", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
 
 
-def _may_match(n: str, i: str, m: str, j: str) -> Column:
-    """Whether sets of n and m words can match that share the words at places i and j."""
-    a, b, x, y = F.col(n), F.col(m), F.col(i), F.col(j)
+def _may_match(other: str) -> Column:
+    """Whether sets of n words can match that share the words at places i, by lengths, places and sketches.
+
+    The columns are n, i, low and high, and the same with a prefix for the
+    other set. A bit that only one sketch has is a word that only that set has.
+    """
+    a, b, x, y = F.col("n"), F.col(f"{other}n"), F.col("i"), F.col(f"{other}i")
     length = (F.least(a, b) * DENOMINATOR) >= (F.greatest(a, b) * NUMERATOR)
     most = F.least(x, y) + F.least(a - x, b - y)  # the words before, and this one and those after
-    return length & (most * (DENOMINATOR + NUMERATOR) >= (a + b) * NUMERATOR)
+    place = most * (DENOMINATOR + NUMERATOR) >= (a + b) * NUMERATOR
+    apart = F.bit_count(F.col("low").bitwiseXOR(F.col(f"{other}low"))) + F.bit_count(F.col("high").bitwiseXOR(F.col(f"{other}high")))
+    # two independent sketches: each bound holds by itself, so half their sum does
+    return length & place & (apart * (DENOMINATOR + NUMERATOR) <= (a + b) * 2 * (DENOMINATOR - NUMERATOR))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, documents: DataFrame, ranks: Column) -> DataFrame:
@@ -111,7 +128,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, documents: DataFrame, ranks: Co
     bits = _filter_of(wanted.select(F.xxhash64("at.doc_id", "at.text_hash", "at.line_no").alias("key")), "key").scalar()
     lines = _lines(documents).where(_in_filter(key, bits))
     lines = lines.select(F.struct("doc_id", "text_hash", "line_no").alias("at"), "line").dropDuplicates(["at"])
-    tokens = written(wanted.join(lines, "at").select("id", _tokens("line", ranks).alias("tokens")), "tokens")
+    tokens = written(wanted.join(lines, "at").select("id", "line", ranks.alias("ranks")).select("id", _tokens("line").alias("tokens")), "tokens")
     one, two = (tokens.select(F.col("id").alias(c), F.col("tokens").alias(f"{c}_tokens")) for c in ("earlier", "later"))
     both = pairs.join(one, "earlier").join(two, "later")
     shared = F.size(F.array_intersect("earlier_tokens", "later_tokens"))
@@ -122,28 +139,32 @@ def _verified(pairs: DataFrame, sets: DataFrame, documents: DataFrame, ranks: Co
 def later_matches(documents: DataFrame) -> DataFrame:
     """documents (doc_id, text) -> doc_id, text_hash, line_no of the lines to remove."""
     ranks = rarity_table(documents.where("text is not null").select("text")).select("ranks").scalar()
-    tokens = _lines(documents).select("doc_id", "text_hash", "line_no", _tokens("line", ranks).alias("tokens"))
+    tokens = _lines(documents).select("*", ranks.alias("ranks")).select("doc_id", "text_hash", "line_no", _tokens("line").alias("tokens"))
     n = F.size("tokens")
     prefix = F.slice("tokens", F.lit(1), n - F.ceil(n * NUMERATOR / DENOMINATOR).cast("int") + 1)
-    lines = tokens.where(n > 0).select("doc_id", "text_hash", "line_no", n.alias("n"), F.xxhash64("tokens").alias("id"), prefix.alias("prefix"))
+    sketches = _sketch("tokens", 0).alias("low"), _sketch("tokens", 6).alias("high")
+    lines = tokens.where(n > 0).select("doc_id", "text_hash", "line_no", n.alias("n"), F.xxhash64("tokens").alias("id"), prefix.alias("prefix"), *sketches)
     lines = written(lines, "lines")
 
     at = F.struct("doc_id", "text_hash", "line_no")
-    sets = written(lines.groupBy("id").agg(F.min(at).alias("at"), F.first("n").alias("n"), F.first("prefix").alias("prefix")), "sets")
-    entries = sets.select("id", "n", F.posexplode("prefix").alias("i", "token"))
+    of_set = [F.first(c).alias(c) for c in ("n", "prefix", "low", "high")]
+    sets = written(lines.groupBy("id").agg(F.min(at).alias("at"), *of_set), "sets")
+    entries = sets.select("id", "n", "low", "high", F.posexplode("prefix").alias("i", "token"))
     shared = entries.groupBy("token").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("token")
     entries = written(entries.join(shared, "token").join(sets.select("id", "at"), "id"), "entries")
 
-    least = F.min(F.struct("at", "id", "n", "i")).alias("r")
-    first = entries.groupBy("token").agg(least).select("token", F.col("r.id").alias("earlier"), F.col("r.n").alias("m"), F.col("r.i").alias("j"))
-    near = entries.join(first, "token").where((F.col("id") != F.col("earlier")) & _may_match("n", "i", "m", "j"))
-    stars = written(near.select("earlier", F.col("id").alias("later")).distinct(), "stars")
+    own = ("id", "at", "n", "i", "low", "high")
+    least = F.min(F.struct("at", *(c for c in own if c != "at"))).alias("r")
+    first = entries.groupBy("token").agg(least).select("token", *(F.col(f"r.{c}").alias(f"e_{c}") for c in own))
+    near = entries.join(first, "token").where((F.col("id") != F.col("e_id")) & _may_match("e_"))
+    stars = written(near.select(F.col("e_id").alias("earlier"), F.col("id").alias("later")).distinct(), "stars")
     matched = written(_verified(stars, sets, documents, ranks), "matched")
 
-    open_entries = entries.join(matched.withColumnRenamed("later", "id"), "id", "left_anti").select("token", F.col("id").alias("later"), "n", "i", F.col("at").alias("later_at"))
-    others = entries.select("token", F.col("id").alias("earlier"), F.col("n").alias("m"), F.col("i").alias("j"), F.col("at").alias("earlier_at"))
-    rest = open_entries.join(others, "token").where((F.col("earlier_at") < F.col("later_at")) & _may_match("n", "i", "m", "j"))
-    rest = written(rest.select("earlier", "later").distinct().join(stars, ["earlier", "later"], "left_anti"), "rest")
+    open_entries = entries.join(matched.withColumnRenamed("later", "id"), "id", "left_anti")
+    others = entries.select("token", *(F.col(c).alias(f"e_{c}") for c in own))
+    rest = open_entries.join(others, "token").where((F.col("e_at") < F.col("at")) & _may_match("e_"))
+    rest = rest.select(F.col("e_id").alias("earlier"), F.col("id").alias("later")).distinct()
+    rest = written(rest.join(stars, ["earlier", "later"], "left_anti"), "rest")
     matched = matched.union(_verified(rest, sets, documents, ranks)).select(F.col("later").alias("id"), F.lit(True).alias("matched"))
 
     decided = lines.select("doc_id", "text_hash", "line_no", "id").join(sets.select("id", F.col("at").alias("first_at")), "id").join(matched, "id", "left")
