@@ -7,11 +7,19 @@ Documents that agree on all coordinates of a band are candidates; each
 candidate link is confirmed on the full sets.
 
 Work is done on classes (documents of one set), not on documents, so that any
-number of copies costs one row. Within a band's bucket every class is first
-compared with one representative, which a bucket of true near copies needs
-only; then, for buckets whose classes still lie in different components, all
-pairs across components are compared. Pairs inside one component cannot change
-the result. So every candidate link counts, without all pairs of a bucket.
+number of copies costs one row. Candidates are confirmed in two rounds:
+
+1. Within a band's bucket every class is compared with one representative, the
+   class that shares most buckets with others. Large groups of true near copies
+   are one component after that.
+2. In buckets whose classes still lie in different components, all pairs across
+   components are compared. Buckets that share classes form a family (one too
+   large is taken bucket by bucket); families are cut into blocks of bounded
+   size, each pair of blocks is one unit of work that compares its texts in
+   memory and returns, instead of pairs, at most one row per class.
+
+Pairs inside one component cannot change the result, so every candidate link
+counts, without a row for each pair of a bucket.
 
 Defined cases: a null or wordless text has an empty set, is linked with nothing
 and is its own component. A row with a null doc_id is linked with nothing, its
@@ -37,7 +45,10 @@ WIDTH = 5
 NUMERATOR, DENOMINATOR = 75, 100
 #: 32 bands of 4 rows miss a pair of similarity 0.75 with a probability of 5e-6.
 BANDS, ROWS = 32, 4
+#: Classes of a family that is compared as a whole, and of a block.
+FAMILY, BLOCK = 8192, 256
 _BATCH_BYTES = 1 << 20
+_COLUMNS = 4096
 _SCHEMA = "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>"
 
 
@@ -151,6 +162,87 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return written(joined.mapInArrow(_confirm, "a long, b long"), "links")
 
 
+def _linked(sets: list[np.ndarray], component: np.ndarray) -> np.ndarray:
+    """For each set the first one it reaches over links between sets of different components."""
+    n = np.fromiter(map(len, sets), dtype=np.int64, count=len(sets))
+    values, column = np.unique(np.concatenate(sets), return_inverse=True)
+    row = np.repeat(np.arange(len(sets)), n)
+    common = np.bincount(column) > 1
+    row, column = row[common[column]], (np.cumsum(common) - 1)[column[common[column]]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    both = np.zeros((len(sets), len(sets)), dtype=np.float64)
+    for at in range(0, int(common.sum()), _COLUMNS):
+        lo, hi = np.searchsorted(column, [at, at + _COLUMNS])
+        held = np.zeros((len(sets), _COLUMNS), dtype=np.float32)
+        held[row[lo:hi], column[lo:hi] - at] = 1
+        both += held @ held.T
+    link = (DENOMINATOR * both >= NUMERATOR * (n[:, None] + n - both)) & (component[:, None] != component)
+    first = np.arange(len(sets))
+    while True:
+        near = np.where(link, first, len(sets)).min(1)
+        new = np.minimum(first, near)
+        new = new[new]
+        if (new == first).all():
+            return first
+        first = new
+
+
+def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted (group key columns, class_id, component, text) -> links that join what each unit of work joins."""
+    hasher = WordHasher()
+
+    def unit(rows: list[tuple]) -> list[tuple[int, int]]:
+        texts: dict[int, tuple] = {r[0]: r for r in rows}
+        if len(texts) < 2:
+            return []
+        own = list(texts.values())
+        sets: list[np.ndarray] = []
+        for part in _parts([r[2] or b"" for r in own]):
+            words, counts = hasher.words([r[2] or b"" for r in own[part]])
+            values, n = _distinct(*shingle_hashes(words, counts, WIDTH))
+            sets += np.split(values, np.cumsum(n)[:-1])
+        first = _linked(sets, np.array([r[1] for r in own]))
+        return [(own[f][0], own[i][0]) for i, f in enumerate(first.tolist()) if f != i]
+
+    key, rows = None, []
+    for batch in batches:
+        found: list[tuple[int, int]] = []
+        columns = [c.to_pylist() for c in batch.columns]
+        for kind, group, x, y, class_id, component, text in zip(*columns, strict=True):
+            if key != (kind, group, x, y):
+                found += unit(rows)
+                key, rows = (kind, group, x, y), []
+            rows.append((class_id, component, text))
+        yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64())], names=["a", "b"])
+    last = unit(rows)
+    yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in last], pa.int64()), pa.array([f[1] for f in last], pa.int64())], names=["a", "b"])
+
+
+def _across(members: DataFrame, found: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links between components: members (bucket, class_id), found (node, component)."""
+    labelled = members.select("bucket", "class_id").join(found.select(F.col("node").alias("class_id"), "component"), "class_id", "left")
+    labelled = written(labelled.select("bucket", "class_id", F.coalesce("component", "class_id").alias("component")), "labelled")
+    split = labelled.groupBy("bucket").agg(
+        F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("class_id").alias("first"), F.count(F.lit(1)).alias("m")
+    )
+    split = split.where("lo <> hi").select("bucket", "first", "m")
+    rest = written(labelled.join(split, "bucket"), "rest")
+    family = written(connected_components(rest.select(F.col("class_id").alias("a"), F.col("first").alias("b"))), "family")
+    sizes = family.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+    family = family.join(sizes, "component").select(F.col("node").alias("class_id"), F.col("component").alias("family"), "size")
+    rest = rest.join(family, "class_id")
+    small = rest.where(F.col("size") <= FAMILY).groupBy("class_id", "component", "family", "size").agg(F.lit(0).alias("kind"))
+    small = small.select("kind", F.col("family").alias("group"), "size", "class_id", "component")
+    large = rest.where(F.col("size") > FAMILY).select(F.lit(1).alias("kind"), F.col("bucket").alias("group"), F.col("m").alias("size"), "class_id", "component")
+    blocks = F.ceil(F.col("size") / BLOCK)
+    units = small.union(large).withColumn("block", F.pmod(F.xxhash64("class_id"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    keys = ["kind", "group", "x", "y"]
+    units = units.select("kind", "group", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "class_id", "component")
+    dealt = units.join(texts, "class_id").select(*keys, "class_id", "component", "text").repartition(*keys).sortWithinPartitions(*keys)
+    return written(dealt.mapInArrow(_compare, "a long, b long"), "across")
+
+
 def near_duplicates(documents: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """documents (doc_id, text) -> doc_id, n_shingles, component_id, kept."""
     source = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
@@ -163,38 +255,22 @@ def near_duplicates(documents: DataFrame, bands: int = BANDS, rows: int = ROWS)
     classes = written(classes, "classes")
 
     entries = classes.select("class_id", F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket"))
-    pick = F.struct(F.xxhash64("class_id", "bucket").alias("h"), F.col("class_id").alias("c"), F.col("n").alias("n"))
-    shared = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("m"), F.min(pick).alias("pick")).where("m > 1")
-    members = entries.join(shared.select("bucket", "pick"), "bucket")
-    members = written(
-        members.select("bucket", "class_id", "n", F.col("pick.c").alias("rep"), F.col("pick.n").alias("rep_n")), "members"
-    )
-
-    wanted = members.groupBy("class_id").agg(F.count(F.lit(1)).alias("m")).select("class_id")
-    texts = written(source.join(wanted, F.col("doc_id") == F.col("class_id"), "left_semi").withColumnRenamed("doc_id", "class_id"), "texts")
+    shared = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    members = written(entries.join(shared, "bucket").select("bucket", "class_id", "n", "m"), "members")
+    weights = members.groupBy("class_id").agg(F.sum("m").alias("weight"))
+    texts = source.join(weights, F.col("doc_id") == F.col("class_id"), "left_semi").withColumnRenamed("doc_id", "class_id")
+    texts = written(texts, "texts")
 
+    weighed = members.join(weights, "class_id")
+    central = F.max(F.struct("weight", (-F.col("class_id")).alias("c"), "n"))
+    reps = weighed.groupBy("bucket").agg(central.alias("r")).select("bucket", (-F.col("r.c")).alias("rep"), F.col("r.n").alias("rep_n"))
     # DENOMINATOR * intersection >= NUMERATOR * union needs sizes in that ratio
-    fits = lambda x, y: F.least(x, y) * DENOMINATOR >= F.greatest(x, y) * NUMERATOR
-    stars = members.where(F.col("class_id") != F.col("rep")).where(fits(F.col("n"), F.col("rep_n")))
+    fits = F.least("n", "rep_n") * DENOMINATOR >= F.greatest("n", "rep_n") * NUMERATOR
+    stars = members.join(reps, "bucket").where((F.col("class_id") != F.col("rep")) & fits)
     stars = stars.select(F.least("class_id", "rep").alias("a"), F.greatest("class_id", "rep").alias("b")).distinct()
-    stars = written(stars, "stars")
-    links = _verified(stars, texts)
+    links = _verified(written(stars, "stars"), texts)
     found = written(connected_components(links), "found")
-
-    labelled = members.select("bucket", "class_id", "n").join(
-        found.select(F.col("node").alias("class_id"), "component"), "class_id", "left"
-    )
-    labelled = labelled.select("bucket", "class_id", "n", F.coalesce("component", "class_id").alias("component"))
-    labelled = written(labelled, "labelled")
-    split = labelled.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
-    rest = labelled.join(split.select("bucket"), "bucket")
-    x, y = (rest.select("bucket", *(F.col(c).alias(f"{c}_{s}") for c in ("class_id", "n", "component"))) for s in "xy")
-    across = x.join(y, "bucket").where("component_x < component_y").where(fits(F.col("n_x"), F.col("n_y")))
-    across = across.select(
-        F.least("class_id_x", "class_id_y").alias("a"), F.greatest("class_id_x", "class_id_y").alias("b")
-    ).distinct()
-    more = _verified(written(across.join(stars, ["a", "b"], "left_anti"), "across"), texts)
-    joined = connected_components(links.union(more))
+    joined = connected_components(links.union(_across(members, found, texts)))
 
     labels = classes.select("set_a", "set_b", "n_shingles", "class_id").join(
         joined.withColumnRenamed("node", "class_id"), "class_id", "left"
