@@ -42,8 +42,9 @@ from .workspace import new_folder, written
 _PARTS = "part int, path string, width int, docs long, tokens long, first_doc long"
 _READ = "doc_id long, start long, n_tokens long, ids_crc32 long"
 #: Words whose ids one worker remembers; beyond that it forgets them all and starts again.
-_MEMORY = 400_000
-_SLICE_BYTES = 1 << 20
+_MEMORY = 800_000
+_SLICE_BYTES = 1 << 21
+_SEPARATOR = "\x01"
 _TOKENIZERS: dict[str, WordEncoder] = {}
 
 
@@ -51,7 +52,12 @@ class WordEncoder:
     """Encodes texts by encoding each distinct word once.
 
     The tokenizer drops white space before it forms tokens, so the ids of a
-    text are those of its pieces between ASCII white space, in order.
+    text are those of its pieces between ASCII white space, in order. It also
+    lower-cases, so pieces are told apart without the case of A-Z; texts that
+    may hold a special token, which is found before lower-casing, keep theirs.
+
+    New pieces are encoded many at a time, with a separator between them whose
+    ids occur in none of them.
     """
 
     def __init__(self, path: str) -> None:
@@ -61,53 +67,65 @@ class WordEncoder:
         self._tokenizer = Tokenizer.from_file(path)
         self.width = 2 if self._tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
         self._type = np.dtype(f"<u{self.width}")
+        alone = self._tokenizer.encode(_SEPARATOR, add_special_tokens=False).ids
+        self._separator = alone[0] if len(alone) == 1 else None
         self._forget()
 
     def _forget(self) -> None:
-        self._place: dict[bytes, int] = {}
+        self._place: dict[str, int] = {}
         self._bounds = np.zeros(1, dtype=np.int64)
         self._ids = np.empty(0, dtype=self._type)
 
-    def _learn(self, words: list[bytes]) -> None:
-        if len(self._place) + len(words) > _MEMORY:
-            self._forget()
-        new = [w for w in words if w not in self._place]
+    def _encoded(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words, and how many each has."""
+        plain = [i for i, w in enumerate(words) if _SEPARATOR not in w] if self._separator is not None else []
+        sizes = np.zeros(len(words), dtype=np.int64)
+        joined = [" ".join(f"{_SEPARATOR} {words[i]}" for i in plain[at : at + 256]) for at in range(0, len(plain), 256)]
+        parts = [np.array(e.ids, dtype=self._type) for e in self._tokenizer.encode_batch_fast(joined, add_special_tokens=False)]
+        ids = np.concatenate(parts) if parts else np.empty(0, dtype=self._type)
+        cuts = np.flatnonzero(ids == self._separator) if parts else np.empty(0, dtype=np.int64)
+        sizes[plain] = np.diff(np.append(cuts, len(ids))) - 1
+        if len(plain) == len(words):
+            return np.delete(ids, cuts), sizes
+        rest = sorted(set(range(len(words))) - set(plain))
+        own = {i: self._tokenizer.encode(words[i], add_special_tokens=False).ids for i in rest}
+        together = np.split(np.delete(ids, cuts), np.cumsum(sizes[plain])[:-1]) if plain else []
+        own |= dict(zip(plain, together, strict=True))
+        sizes[rest] = [len(own[i]) for i in rest]
+        return np.concatenate([np.asarray(own[i], dtype=self._type) for i in range(len(words))]), sizes
+
+    def _rows(self, words: list[str]) -> np.ndarray:
+        """The places of words among those known; unknown ones are learnt."""
+        known = self._place.get
+        rows = [known(w, -1) for w in words]
+        new = [w for w, r in zip(words, rows, strict=True) if r < 0]
         if not new:
-            return
-        own = [e.ids for e in self._tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)]
-        sizes = np.fromiter(map(len, own), dtype=np.int64, count=len(own))
-        self._place.update(zip(new, range(len(self._place), len(self._place) + len(new)), strict=True))
+            return np.array(rows, dtype=np.int64)
+        if self._place and len(self._place) + len(new) > _MEMORY:
+            self._forget()
+            return self._rows(words)
+        ids, sizes = self._encoded(new)
+        first = len(self._place)
+        self._place.update(zip(new, range(first, first + len(new)), strict=True))
         self._bounds = np.concatenate([self._bounds, self._bounds[-1] + np.cumsum(sizes)])
-        self._ids = np.concatenate([self._ids, np.concatenate([np.asarray(x, dtype=self._type) for x in own])])
-
-    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all texts, and how many each has."""
-        lists = [t.split() for t in texts]
-        counts = np.fromiter(map(len, lists), dtype=np.int64, count=len(lists))
-        flat = [w for x in lists for w in x]
-        if not flat:
-            return np.empty(0, dtype=self._type), counts
-        coded = pc.dictionary_encode(pa.array(flat, pa.binary()))
-        distinct = coded.dictionary.to_pylist()
-        for at in range(0, len(distinct), _MEMORY // 4):
-            self._learn(distinct[at : at + _MEMORY // 4])
-        if any(w not in self._place for w in distinct):  # forgotten meanwhile: too many distinct words at once
-            half = max(1, len(texts) // 2)
-            if len(texts) == 1:
-                return self._plain(texts[0].decode())
-            a, b = self.encode(texts[:half]), self.encode(texts[half:])
-            return np.concatenate([a[0], b[0]]), np.concatenate([a[1], b[1]])
-        rows = np.fromiter((self._place[w] for w in distinct), dtype=np.int64, count=len(distinct))[coded.indices.to_numpy()]
+        self._ids = np.concatenate([self._ids, ids])
+        out = np.array(rows, dtype=np.int64)
+        out[out < 0] = np.arange(first, first + len(new))
+        return out
+
+    def encode(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, and how many each has; null counts as empty."""
+        texts = pc.fill_null(texts, "")
+        special = pc.match_substring(texts, "<|")
+        texts = pc.if_else(special, texts, pc.ascii_lower(texts))
+        lists = pc.ascii_split_whitespace(texts)
+        upto = lists.offsets.to_numpy()[1:] - lists.offsets.to_numpy()[0]
+        coded = pc.dictionary_encode(lists.flatten())
+        rows = self._rows(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
         starts, sizes = self._bounds[rows], self._bounds[rows + 1] - self._bounds[rows]
-        ends = np.cumsum(sizes)
-        ids = self._ids[np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1])]
-        total = np.concatenate([[0], ends])
-        upto = np.cumsum(counts)
-        return ids, total[upto] - total[upto - counts]
-
-    def _plain(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        ids = self._tokenizer.encode(text, add_special_tokens=False).ids
-        return np.asarray(ids, dtype=self._type), np.array([len(ids)])
+        total = np.concatenate([[0], np.cumsum(sizes)])
+        ids = self._ids[np.repeat(starts - total[:-1], sizes) + np.arange(total[-1])]
+        return ids, np.diff(total[np.concatenate([[0], upto])])
 
 
 def _encoder(path: str) -> WordEncoder:
@@ -116,17 +134,13 @@ def _encoder(path: str) -> WordEncoder:
     return _TOKENIZERS[path]
 
 
-def _slices(texts: list[bytes]) -> Iterator[list[bytes]]:
-    own: list[bytes] = []
-    size = 0
-    for t in texts:
-        own.append(t)
-        size += len(t)
-        if size >= _SLICE_BYTES:
-            yield own
-            own, size = [], 0
-    if own:
-        yield own
+def _slices(texts: pa.StringArray) -> Iterator[pa.StringArray]:
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy())
+    at = 0
+    while at < len(texts):
+        to = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + _SLICE_BYTES, side="right")))
+        yield texts.slice(at, to - at)
+        at = to
 
 
 def _open(path: str, mode: str):
@@ -160,7 +174,7 @@ def _writer(tokenizer: str, end_id: int, folder: str):
                 outs = [_open(f"{path}/{x}", "w") for x in ("ids", "offsets", "doc_ids")]
             docs += batch.num_rows
             outs[2].write(batch.column(0).to_numpy().astype("<i8").tobytes())
-            for texts in _slices([t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]):
+            for texts in _slices(batch.column(1).cast(pa.string())):
                 ids, counts = encoder.encode(texts)
                 ids = np.insert(ids, np.cumsum(counts), kind.type(end_id))
                 outs[0].write(ids.astype(kind, copy=False).tobytes())
