@@ -1,6 +1,6 @@
 """Near-duplicate lines by an exact set-similarity join, in DataFrame operations only.
 
-A line's set holds its distinct lower-cased words. Two lines match if the
+A line's set holds its distinct words, as they are written. Two lines match if the
 Jaccard similarity of their sets is at least ``THRESHOLD``; a line is removed
 if an earlier line, by (doc_id, line number), matches it, whether or not that
 line is removed too.
@@ -9,13 +9,14 @@ The join: words are ordered by rarity, by counts over the whole corpus in a
 table of fixed size (words share its entries by hash; any order gives the same
 result, a good one makes it fast). If two sets match, the first
 n - ceil(THRESHOLD * n) + 1 words of both share one; sets that share such a
-prefix word are candidates unless their lengths, the word's positions or two
-64-bit sketches of the sets rule a match out; candidates are verified on their
-whole sets.
+prefix word are candidates unless their lengths, the word's positions or 64-bit
+sketches of the sets rule a match out; candidates are verified on their whole
+sets.
 
-Lines of equal sets are one row throughout. A prefix word that many sets share
-is met in two steps: all its sets are first compared with the earliest of them,
-and only those that did not match are compared with the others.
+Lines of equal sets are one row throughout. Sets that share a prefix word are
+compared pair by pair where they are few. Where they are many, all are first
+compared with one of the earliest, and only those that did not match are
+compared with the others.
 
 To verify, the words of candidate lines are read from the texts again; a Bloom
 filter of fixed size, a constant of the query, keeps other lines out of the
@@ -36,7 +37,9 @@ from .workspace import written
 
 #: As a fraction of integers, so that comparisons are exact.
 NUMERATOR, DENOMINATOR = 9, 10
-RARITY_BITS = 17
+RARITY_BITS = 16
+#: Sets with one prefix word that are compared pair by pair.
+FEW = 128
 #: Words of 64 bits in the filter of candidate lines.
 FILTER_WORDS = 1 << 17
 _SPACE = r"[ \t-\r]+"
@@ -44,7 +47,7 @@ _SPACE = r"[ \t-\r]+"
 
 def _words(text: str) -> Column:
     """The words of a column; one empty word if there is none."""
-    return F.split(F.trim(F.lower(F.col(text)), F.lit(" \t\n\x0b\x0c\r")), _SPACE)
+    return F.split(F.trim(F.col(text), F.lit(" \t\n\x0b\x0c\r")), _SPACE)
 
 
 def rarity_table(documents: DataFrame) -> DataFrame:
@@ -59,21 +62,20 @@ def rarity_table(documents: DataFrame) -> DataFrame:
 
 
 def _tokens(line: str) -> Column:
-    """The distinct words of a line as numbers, rarest first; the rows carry ``ranks``."""
+    """The distinct words of a line that has some as numbers, rarest first; the rows carry ``ranks``."""
     kept = 63 - RARITY_BITS
 
     def number(h: Column) -> Column:
         rank = F.coalesce(F.get("ranks", h.bitwiseAND((1 << RARITY_BITS) - 1).cast("int")), F.lit(0)).cast("long")
         return F.shiftleft(rank, kept).bitwiseOR(F.shiftrightunsigned(h, 64 - kept))
 
-    numbers = F.transform(F.transform(_words(line), lambda w: F.xxhash64(w)), number)
-    return F.when(F.col(line).rlike(r"[^ \t-\r]"), F.sort_array(F.array_distinct(numbers))).otherwise(F.array().cast("array<bigint>"))
+    return F.sort_array(F.array_distinct(F.transform(F.transform(_words(line), lambda w: F.xxhash64(w)), number)))
 
 
-def _sketch(tokens: str, shift: int) -> Column:
+def _sketch(tokens: str) -> Column:
     """64 bits, of which each word sets the one that six of its bits name."""
     one = F.lit(1).cast("long")
-    bit = lambda x: F.call_function("shiftleft", one, F.shiftright(x, shift).bitwiseAND(63).cast("int"))
+    bit = lambda x: F.call_function("shiftleft", one, x.bitwiseAND(63).cast("int"))
     return F.aggregate(tokens, F.lit(0).cast("long"), lambda done, x: done.bitwiseOR(bit(x)))
 
 
@@ -108,66 +110,72 @@ def _lines(documents: DataFrame) -> DataFrame:
 def _may_match(other: str) -> Column:
     """Whether sets of n words can match that share the words at places i, by lengths, places and sketches.
 
-    The columns are n, i, low and high, and the same with a prefix for the
-    other set. A bit that only one sketch has is a word that only that set has.
+    The columns are n, i and sketch, and the same with a prefix for the other
+    set. A bit that only one sketch has is a word that only that set has.
     """
     a, b, x, y = F.col("n"), F.col(f"{other}n"), F.col("i"), F.col(f"{other}i")
     length = (F.least(a, b) * DENOMINATOR) >= (F.greatest(a, b) * NUMERATOR)
     most = F.least(x, y) + F.least(a - x, b - y)  # the words before, and this one and those after
     place = most * (DENOMINATOR + NUMERATOR) >= (a + b) * NUMERATOR
-    apart = F.bit_count(F.col("low").bitwiseXOR(F.col(f"{other}low"))) + F.bit_count(F.col("high").bitwiseXOR(F.col(f"{other}high")))
-    # two independent sketches: each bound holds by itself, so half their sum does
-    return length & place & (apart * (DENOMINATOR + NUMERATOR) <= (a + b) * 2 * (DENOMINATOR - NUMERATOR))
+    apart = F.bit_count(F.col("sketch").bitwiseXOR(F.col(f"{other}sketch")))
+    return length & place & (apart * (DENOMINATOR + NUMERATOR) <= (a + b) * (DENOMINATOR - NUMERATOR))
+
+
+def _pairs(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Distinct pairs x < y of set ids that share a prefix word and may match."""
+    other = right.select("token", *(F.col(c).alias(f"e_{c}") for c in ("id", "n", "i", "sketch")))
+    met = left.join(other, "token").where((F.col("id") != F.col("e_id")) & _may_match("e_"))
+    return met.select(F.least("id", "e_id").alias("x"), F.greatest("id", "e_id").alias("y")).distinct()
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, documents: DataFrame, ranks: Column) -> DataFrame:
-    """Of pairs (earlier, later) of set ids those that match."""
-    wanted = pairs.select(F.explode(F.array("earlier", "later")).alias("id")).distinct()
+    """Of pairs (x, y) of set ids the later one of those that match: id."""
+    wanted = pairs.select(F.explode(F.array("x", "y")).alias("id")).distinct()
     wanted = written(wanted.join(sets, "id").select("id", "at"), "wanted")
     key = F.xxhash64("doc_id", "text_hash", "line_no")
     bits = _filter_of(wanted.select(F.xxhash64("at.doc_id", "at.text_hash", "at.line_no").alias("key")), "key").scalar()
     lines = _lines(documents).where(_in_filter(key, bits))
     lines = lines.select(F.struct("doc_id", "text_hash", "line_no").alias("at"), "line").dropDuplicates(["at"])
-    tokens = written(wanted.join(lines, "at").select("id", "line", ranks.alias("ranks")).select("id", _tokens("line").alias("tokens")), "tokens")
-    one, two = (tokens.select(F.col("id").alias(c), F.col("tokens").alias(f"{c}_tokens")) for c in ("earlier", "later"))
-    both = pairs.join(one, "earlier").join(two, "later")
-    shared = F.size(F.array_intersect("earlier_tokens", "later_tokens"))
-    union = F.size("earlier_tokens") + F.size("later_tokens") - shared
-    return both.where(shared * DENOMINATOR >= union * NUMERATOR).select("later").distinct()
+    tokens = wanted.join(lines, "at").select("id", "at", "line", ranks.alias("ranks"))
+    tokens = written(tokens.select("id", "at", _tokens("line").alias("tokens")), "tokens")
+    one, two = (tokens.select(F.col("id").alias(c), F.col("at").alias(f"{c}_at"), F.col("tokens").alias(f"{c}_tokens")) for c in "xy")
+    both = pairs.join(one, "x").join(two, "y")
+    shared = F.size(F.array_intersect("x_tokens", "y_tokens"))
+    union = F.size("x_tokens") + F.size("y_tokens") - shared
+    later = F.when(F.col("x_at") > F.col("y_at"), F.col("x")).otherwise(F.col("y"))
+    return both.where(shared * DENOMINATOR >= union * NUMERATOR).select(later.alias("id")).distinct()
 
 
 def later_matches(documents: DataFrame) -> DataFrame:
     """documents (doc_id, text) -> doc_id, text_hash, line_no of the lines to remove."""
     ranks = rarity_table(documents.where("text is not null").select("text")).select("ranks").scalar()
-    tokens = _lines(documents).select("*", ranks.alias("ranks")).select("doc_id", "text_hash", "line_no", _tokens("line").alias("tokens"))
+    filled = _lines(documents).where(F.col("line").rlike(r"[^ \t-\r]"))
+    tokens = filled.select("*", ranks.alias("ranks")).select("doc_id", "text_hash", "line_no", _tokens("line").alias("tokens"))
     n = F.size("tokens")
     prefix = F.slice("tokens", F.lit(1), n - F.ceil(n * NUMERATOR / DENOMINATOR).cast("int") + 1)
-    sketches = _sketch("tokens", 0).alias("low"), _sketch("tokens", 6).alias("high")
-    lines = tokens.where(n > 0).select("doc_id", "text_hash", "line_no", n.alias("n"), F.xxhash64("tokens").alias("id"), prefix.alias("prefix"), *sketches)
+    lines = tokens.select(
+        "doc_id", "text_hash", "line_no", n.alias("n"), F.xxhash64("tokens").alias("id"), prefix.alias("prefix"), _sketch("tokens").alias("sketch")
+    )
     lines = written(lines, "lines")
 
     at = F.struct("doc_id", "text_hash", "line_no")
-    of_set = [F.first(c).alias(c) for c in ("n", "prefix", "low", "high")]
-    sets = written(lines.groupBy("id").agg(F.min(at).alias("at"), *of_set), "sets")
-    entries = sets.select("id", "n", "low", "high", F.posexplode("prefix").alias("i", "token"))
-    shared = entries.groupBy("token").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("token")
-    entries = written(entries.join(shared, "token").join(sets.select("id", "at"), "id"), "entries")
-
-    own = ("id", "at", "n", "i", "low", "high")
-    least = F.min(F.struct("at", *(c for c in own if c != "at"))).alias("r")
-    first = entries.groupBy("token").agg(least).select("token", *(F.col(f"r.{c}").alias(f"e_{c}") for c in own))
-    near = entries.join(first, "token").where((F.col("id") != F.col("e_id")) & _may_match("e_"))
-    stars = written(near.select(F.col("e_id").alias("earlier"), F.col("id").alias("later")).distinct(), "stars")
+    of_set = [F.first(c).alias(c) for c in ("n", "prefix", "sketch")]
+    sets = written(lines.groupBy("id").agg(F.min(at).alias("at"), F.count(F.lit(1)).alias("lines"), *of_set), "sets")
+    entries = sets.select("id", "n", "sketch", F.col("at.doc_id").alias("doc"), F.posexplode("prefix").alias("i", "token"))
+    shared = entries.groupBy("token").agg(F.count(F.lit(1)).alias("m"), F.min("doc").alias("first_doc")).where("m > 1")
+    entries = written(entries.join(shared, "token"), "entries")
+    few, many = entries.where(F.col("m") <= FEW), entries.where(F.col("m") > FEW)
+
+    stars = written(_pairs(few, few).union(_pairs(many, many.where("doc = first_doc"))).distinct(), "stars")
     matched = written(_verified(stars, sets, documents, ranks), "matched")
-
-    open_entries = entries.join(matched.withColumnRenamed("later", "id"), "id", "left_anti")
-    others = entries.select("token", *(F.col(c).alias(f"e_{c}") for c in own))
-    rest = open_entries.join(others, "token").where((F.col("e_at") < F.col("at")) & _may_match("e_"))
-    rest = rest.select(F.col("e_id").alias("earlier"), F.col("id").alias("later")).distinct()
-    rest = written(rest.join(stars, ["earlier", "later"], "left_anti"), "rest")
-    matched = matched.union(_verified(rest, sets, documents, ranks)).select(F.col("later").alias("id"), F.lit(True).alias("matched"))
-
-    decided = lines.select("doc_id", "text_hash", "line_no", "id").join(sets.select("id", F.col("at").alias("first_at")), "id").join(matched, "id", "left")
+    rest = _pairs(many.join(matched, "id", "left_anti"), many)
+    rest = written(rest.join(stars, ["x", "y"], "left_anti"), "rest")
+    if not rest.isEmpty():
+        matched = matched.union(_verified(rest, sets, documents, ranks)).distinct()
+
+    gone = sets.join(matched.withColumn("matched", F.lit(True)), "id", "left").where((F.col("lines") > 1) | F.col("matched"))
+    gone = gone.select("id", F.col("at").alias("first_at"), F.coalesce("matched", F.lit(False)).alias("matched"))
+    decided = lines.select("doc_id", "text_hash", "line_no", "id").join(gone, "id")
     return decided.where((at > F.col("first_at")) | F.col("matched")).select("doc_id", "text_hash", "line_no").distinct()
 
 

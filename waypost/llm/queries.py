@@ -106,7 +106,7 @@ _OP3_SQL = r"""
 WITH lines AS (
   SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no
   FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL),
-sets AS (SELECT doc_id, line_no, line, list_sort(list_distinct(regexp_extract_all(lower(line), '[^\x20\x09-\x0D]+'))) AS s FROM lines),
+sets AS (SELECT doc_id, line_no, line, list_sort(list_distinct(regexp_extract_all(line, '[^\x20\x09-\x0D]+'))) AS s FROM lines),
 kinds AS (SELECT s, len(s) AS n, min((doc_id, line_no)) AS at, row_number() OVER () AS id FROM sets WHERE len(s) > 0 GROUP BY s),
 words AS (SELECT id, n, unnest(s) AS w FROM kinds),
 counts AS (SELECT w, count(*) AS c FROM words GROUP BY w),
