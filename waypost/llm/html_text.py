@@ -8,7 +8,7 @@ length; lines that are nothing but links count 0, and where the page marks an
 ``article`` or ``main`` element, so do the lines outside it. The lengths are
 summed over sliding windows of lines. A surge point is where the sum rises over
 the limit, the next dive point where it falls back; the text between them is
-kept. In a marked article the limit is 0 and every stretch is kept, else it is
+kept. In marked text the limit is 0 and every stretch is kept, else it is
 a share of the page's largest sum and the stretch with most text is kept.
 
 Defined cases: a null or empty page has empty text. A container that is opened
@@ -45,6 +45,8 @@ _NAMES = frozenset(
     "subscription signup login share sharing social comment comments commentlist disqus respond reply replies search related recommended "
     "widget toolbar pagination pager contentinfo complementary".split()
 )
+#: Words in a class or id that name the container of the article text.
+_TEXTS = frozenset("article articlebody story post entry content maincontent main body-text posttext".split())
 _HEADERS = frozenset("header site-header page-header masthead topbar top-bar banner".split())
 
 
@@ -52,7 +54,7 @@ _HEADERS = frozenset("header site-header page-header masthead topbar top-bar ban
 class Line:
     text: str
     length: int  # 0 for a line of links only
-    marked: str  # "article", "main" or ""
+    marked: str  # what marks it as article text: "article", "main", "container" or ""
 
 
 def _is_skipped(tag: str, attributes: str) -> bool:
@@ -67,6 +69,13 @@ def _is_skipped(tag: str, attributes: str) -> bool:
     return False
 
 
+def _names_text(tag: str, attributes: str) -> bool:
+    if tag not in ("div", "section", "td") or not attributes:
+        return False
+    found = (n for _, a, b, c in _ATTRIBUTE.findall(attributes) for n in re.split(r"[^a-z0-9]+", (a or b or c).lower()))
+    return not _TEXTS.isdisjoint(found)
+
+
 def _end_of(page: str, tag: str, at: int) -> int:
     """Where the element ``tag`` opened before ``at`` ends, or -1."""
     if tag in _RAW:
@@ -87,20 +96,20 @@ def lines_of(page: str) -> list[Line]:
     parts: list[str] = []
     linked = 0  # characters inside links
     depth = {"article": 0, "main": 0, "a": 0}
-    at = 0
+    at, container = 0, 0  # container: where the last container of article text ends
 
     def add(piece: str) -> int:
         if piece:
             parts.append(piece)
         return len(piece.strip()) if depth["a"] else 0
 
-    def flush() -> int:
+    def flush(here: int) -> int:
         if parts:
             raw = "".join(parts)
             parts.clear()
             text = " ".join(html.unescape(raw).split())
             if text:
-                marked = "article" if depth["article"] else "main" if depth["main"] else ""
+                marked = "article" if depth["article"] else "main" if depth["main"] else "container" if here < container else ""
                 lines.append(Line(text, 0 if linked >= len(raw.strip()) else len(text), marked))
         return 0
 
@@ -114,15 +123,17 @@ def lines_of(page: str) -> list[Line]:
             end = _end_of(page, tag, at)
             if end >= 0 or tag in _RAW:
                 if tag in _BLOCKS:
-                    linked = flush()
+                    linked = flush(m.start())
                 at = end if end >= 0 else len(page)
                 continue
         if tag in _BLOCKS:
-            linked = flush()
+            linked = flush(m.start())
+        if not closing and _names_text(tag, m[3]):
+            container = max(container, _end_of(page, tag, at))
         if tag in depth and not m[3].endswith("/"):
             depth[tag] = max(0, depth[tag] + (-1 if closing else 1))
     linked += add(page[at:])
-    flush()
+    flush(len(page))
     return lines
 
 
@@ -153,9 +164,9 @@ def stretches(lengths: list[int], limit: float, window: int = WINDOW) -> list[tu
 def main_text(page: str | None) -> str:
     lines = lines_of(page or "")
     marks = {x.marked for x in lines if x.marked}
-    mark = "article" if "article" in marks else "main" if marks else ""
+    mark = next((x for x in ("article", "main", "container") if x in marks), "")
     if mark:
-        # links inside a marked article are part of its sentences
+        # links inside marked text are part of its sentences
         lengths = [len(x.text) if x.marked == mark else 0 for x in lines]
         kept = stretches(lengths, 0)
     else:

@@ -116,7 +116,8 @@ def mix_sources(
     # rounding never asks for more than two passes over a shard
     quotas = written(quotas.withColumn("quota", F.least("quota", 2 * F.col("shard_blocks"))), "quotas")
 
-    q = quotas.select(F.col("name").alias("q_name"), F.col("shard").alias("q_shard"), "shard_blocks", "quota")
+    # a shard without words has a block that nothing is in
+    q = quotas.select(F.col("name").alias("q_name"), F.col("shard").alias("q_shard"), F.greatest("shard_blocks", F.lit(1)).alias("shard_blocks"), "quota")
     by_shard = placed.join(q, F.col("name").eqNullSafe(F.col("q_name")) & (F.col("shard") == F.col("q_shard")))
     seeded = F.xxhash64("doc_id", F.lit(seed + 1))
     stream = Window.partitionBy("name", "shard").orderBy(seeded, "doc_id", "chars", "size").rowsBetween(Window.unboundedPreceding, 0)
@@ -135,7 +136,7 @@ def mix_sources(
         ).otherwise(F.lit(0).cast("long")),
     )
     passes = F.floor(F.col("quota") / F.col("shard_blocks"))
-    taken = F.when((F.col("size") == 0) | (F.col("shard_blocks") == 0), F.lit(0)).otherwise(passes * F.col("size") + taken_once)
+    taken = F.when(F.col("size") == 0, F.lit(0)).otherwise(passes * F.col("size") + taken_once)
     return laid.withColumn("shift", shift).select("doc_id", "size", "source_size", F.col("target").cast("double").alias("target"), taken.cast("long").alias("taken"))
 
 

@@ -10,7 +10,8 @@ Format of a part, three files in a folder of the shared workspace:
 Documents are range-partitioned and sorted by doc_id, so parts in order hold
 all documents in order. Part sizes are known after writing; their prefix sums
 give each part's base, and base + offset is a document's place in the corpus.
-Reading memory-maps the three files.
+Reading memory-maps the three files where the shared folder is a mounted file
+system, and fetches a part's files into memory where it is not.
 
 A task writes under a name of its own attempt and the table of parts lists the
 files of the attempts that succeeded, so a retried or lost task leaves no
@@ -24,7 +25,6 @@ kept, ordered by text.
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -149,11 +149,9 @@ def _open(path: str, mode: str):
     if mode == "w":
         files.create_dir(os.path.dirname(name))
         return files.open_output_stream(name)
-    if not isinstance(files, pafs.LocalFileSystem):  # bring the file here, then map it
-        with files.open_input_stream(name) as remote, tempfile.NamedTemporaryFile(delete=False) as here:
-            while block := remote.read(1 << 22):
-                here.write(block)
-        name = here.name
+    if not isinstance(files, pafs.LocalFileSystem):  # nothing to map: a store that is not mounted
+        with files.open_input_stream(name) as remote:
+            return pa.BufferReader(remote.read())
     return pa.memory_map(name, "r")
 
 
