@@ -5,7 +5,8 @@ import os
 import duckdb
 import pytest
 
-from conftest import rows_of
+from compare import rows_of
+
 from waypost.plans.queries import ORACLE_SQL, QUERIES
 
 
