@@ -123,8 +123,9 @@ def _may_match(other: str) -> Column:
 
 def _pairs(left: DataFrame, right: DataFrame) -> DataFrame:
     """Distinct pairs x < y of set ids that share a prefix word and may match."""
-    other = right.select("token", *(F.col(c).alias(f"e_{c}") for c in ("id", "n", "i", "sketch")))
-    met = left.join(other, "token").where((F.col("id") != F.col("e_id")) & _may_match("e_"))
+    own = ("id", "n", "i", "sketch")
+    other = right.select("token", *(F.col(c).alias(f"e_{c}") for c in own))
+    met = left.select("token", *own).join(other, "token").where((F.col("id") != F.col("e_id")) & _may_match("e_"))
     return met.select(F.least("id", "e_id").alias("x"), F.greatest("id", "e_id").alias("y")).distinct()
 
 
@@ -137,9 +138,19 @@ def _verified(pairs: DataFrame, sets: DataFrame, documents: DataFrame, ranks: Co
     lines = _lines(documents).where(_in_filter(key, bits))
     lines = lines.select(F.struct("doc_id", "text_hash", "line_no").alias("at"), "line").dropDuplicates(["at"])
     tokens = wanted.join(lines, "at").select("id", "at", "line", ranks.alias("ranks"))
-    tokens = written(tokens.select("id", "at", _tokens("line").alias("tokens")), "tokens")
-    one, two = (tokens.select(F.col("id").alias(c), F.col("at").alias(f"{c}_at"), F.col("tokens").alias(f"{c}_tokens")) for c in "xy")
-    both = pairs.join(one, "x").join(two, "y")
+    tokens = tokens.select("id", "at", _tokens("line").alias("tokens"))
+    # Sixteen bits a word keep most pairs from being joined with whole sets. Their common values bound
+    # the intersection from above when words of x that have one value are all counted.
+    short = F.array_distinct(F.transform("tokens", lambda x: (x.bitwiseAND(0xFFFF) - 0x8000).cast("smallint")))
+    tokens = written(tokens.select("id", "at", "tokens", F.size("tokens").alias("n"), short.alias("short")), "tokens")
+
+    def side(s: str, *names: str) -> DataFrame:
+        return tokens.select(F.col("id").alias(s), *(F.col(c).alias(f"{s}_{c}") for c in names))
+
+    near = pairs.join(side("x", "short", "n"), "x").join(side("y", "short", "n"), "y")
+    most = F.size(F.array_intersect("x_short", "y_short")) + F.col("x_n") - F.size("x_short")
+    near = near.where(most * (NUMERATOR + DENOMINATOR) >= (F.col("x_n") + F.col("y_n")) * NUMERATOR).select("x", "y")
+    both = near.join(side("x", "at", "tokens"), "x").join(side("y", "at", "tokens"), "y")
     shared = F.size(F.array_intersect("x_tokens", "y_tokens"))
     union = F.size("x_tokens") + F.size("y_tokens") - shared
     later = F.when(F.col("x_at") > F.col("y_at"), F.col("x")).otherwise(F.col("y"))
@@ -152,7 +163,8 @@ def later_matches(documents: DataFrame) -> DataFrame:
     filled = _lines(documents).where(F.col("line").rlike(r"[^ \t-\r]"))
     tokens = filled.select("*", ranks.alias("ranks")).select("doc_id", "text_hash", "line_no", _tokens("line").alias("tokens"))
     n = F.size("tokens")
-    prefix = F.slice("tokens", F.lit(1), n - F.ceil(n * NUMERATOR / DENOMINATOR).cast("int") + 1)
+    rarest = F.slice("tokens", F.lit(1), n - F.ceil(n * NUMERATOR / DENOMINATOR).cast("int") + 1)
+    prefix = F.transform(rarest, lambda x: F.hash(x))  # 32 bits do to find candidates
     lines = tokens.select(
         "doc_id", "text_hash", "line_no", n.alias("n"), F.xxhash64("tokens").alias("id"), prefix.alias("prefix"), _sketch("tokens").alias("sketch")
     )
@@ -187,7 +199,12 @@ def dedup_lines(documents: DataFrame) -> DataFrame:
     removed = written(later_matches(documents.select("doc_id", "text")), "removed")
     lists = removed.groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(F.collect_set("line_no").alias("_gone"))
     rows = documents.drop("n_lines", "removed_lines").withColumn("_key", F.xxhash64("text"))
-    joined = rows.join(lists, (F.col("doc_id") == F.col("_id")) & (F.col("_key") == F.col("_hash")), "left")
+    key = F.xxhash64("doc_id", "_key")
+    bits = _filter_of(lists.select(F.xxhash64("_id", "_hash").alias("key")), "key").scalar()
+    hit = F.coalesce(_in_filter(key, bits), F.lit(False))
+    joined = rows.where(hit).join(lists, (F.col("doc_id") == F.col("_id")) & (F.col("_key") == F.col("_hash")), "left").select(*rows.columns, "_gone")
+    # documents that surely lose no line need not be shuffled
+    joined = joined.unionAll(rows.where(~hit).select("*", F.lit(None).cast("array<int>").alias("_gone")))
     split = F.split("text", "\n", -1)
     kept = F.filter(split, lambda _, i: ~F.array_contains("_gone", i))
     text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
