@@ -43,9 +43,10 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Mixing: a document appears as often as its taken words ask for, the fraction rounded by a seeded draw."""
-    taken = mix_sources(docs).where("size > 0").select(F.col("doc_id").alias("_id"), "size", "taken").dropDuplicates(["_id"])
+    taken = mix_sources(docs).where("size > 0").select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), F.col("taken").alias("_taken"))
+    taken = taken.dropDuplicates(["_id"])
     draw = F.pmod(F.xxhash64("doc_id", F.lit(_SEED)), F.lit(1 << 30)) / (1 << 30)
-    copies = F.floor(F.col("taken") / F.col("size") + draw).cast("int")
+    copies = F.floor(F.col("_taken") / F.col("_size") + draw).cast("int")
     mixed = docs.join(taken, F.col("doc_id") == F.col("_id")).withColumn("_copies", copies).where("_copies > 0")
     return mixed.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
 

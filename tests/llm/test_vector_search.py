@@ -37,7 +37,7 @@ def test_ties_and_odd_vectors(spark):
 
 
 def test_large_components_and_lengths(spark):
-    rows = [(0, [1e9, 2e9, 3.0]), (1, [1e9, -1e9]), (2, [3e9]), (3, [-1e9, 5.0, 7.0, 9.0])]
+    rows = [(0, [1e6 + 0.3, 2e6, 3.0]), (1, [1e6, -1e6]), (2, [3e6 + 0.7]), (3, [-1e6, 5.0, 7.0, 9.0])]
     assert result(spark, rows, every=1, k=2) == brute(rows, 1, 2)
 
 

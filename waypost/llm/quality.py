@@ -35,6 +35,7 @@ WIDTH, STRIDE, FILTERS, HALF = 8, 2, 24, 128
 SAMPLE_BYTES = SAMPLE_CHUNKS * HALF + WIDTH
 SYMBOLS = 512
 LAGS = range(2, 33)
+_PADDING = 48
 STEPS, BATCH, RATE = 500, 32, 0.01
 _SLICE_BYTES = 1 << 19
 
@@ -60,29 +61,41 @@ class Network:
 
 
 def _halves(n: int) -> int:
-    return max(2, -(-n // HALF))
+    return max(2, -(-(n + _PADDING) // HALF))
 
 
 def padded(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Symbols of all texts, each filled up to whole half chunks, and their numbers of half chunks."""
+    """Symbols of all texts, each filled up to whole half chunks, and their numbers of half chunks.
+
+    Every text has padding before and behind it that is longer than what a
+    symbol looks back and a filter looks ahead, so texts do not see each other.
+    """
     halves = np.fromiter((_halves(len(t)) for t in texts), dtype=np.int64, count=len(texts))
-    joined = b"".join(t.ljust(int(h) * HALF, b"\0") for t, h in zip(texts, halves, strict=True)) + bytes(WIDTH)
-    return symbols_of(np.frombuffer(joined, dtype=np.uint8)), halves
+    joined = b"".join(t.ljust(int(h) * HALF, b"\0") for t, h in zip(texts, halves, strict=True))
+    return symbols_of(np.frombuffer(bytes(HALF) + joined + bytes(WIDTH), dtype=np.uint8))[HALF:], halves
 
 
-def _responses(net: Network, symbols: np.ndarray, count: int) -> np.ndarray:
-    """count x FILTERS responses at every STRIDE-th place."""
+def _responses(net: Network, symbols: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Half chunks x places x FILTERS responses at every STRIDE-th place; ``last`` marks the last halves of texts."""
+    per = HALF // STRIDE
+    count = len(last) * per
     out = np.zeros((count, net.filters.shape[2]), dtype=np.float32)
     for j in range(WIDTH):
         out += net.filters[j].take(symbols[j : j + count * STRIDE : STRIDE], axis=0)
+    out = out.reshape(len(last), per, -1)
+    out[last, -(WIDTH // STRIDE) :] = -np.inf  # there the filter would reach the next text
+    return out
+
+
+def _last(halves: np.ndarray) -> np.ndarray:
+    out = np.zeros(int(halves.sum()), dtype=bool)
+    out[np.cumsum(halves) - 1] = True
     return out
 
 
 def _pooled(net: Network, symbols: np.ndarray, halves: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Per half chunk the largest response and its place, and the halves' first indices."""
-    total = int(halves.sum())
-    per = HALF // STRIDE
-    r = _responses(net, symbols, total * per).reshape(total, per, -1)
+    r = _responses(net, symbols, _last(halves))
     place = r.argmax(1)
     return np.take_along_axis(r, place[:, None, :], 1)[:, 0], place, np.cumsum(halves) - halves
 
@@ -96,13 +109,13 @@ def _chunks(best: np.ndarray, starts: np.ndarray, halves: np.ndarray) -> tuple[n
 
 def score_bytes(net: Network, texts: list[bytes]) -> np.ndarray:
     symbols, halves = padded(texts)
-    total, per = int(halves.sum()), HALF // STRIDE
+    total, last = int(halves.sum()), _last(halves)
     best = np.empty((total, net.filters.shape[2]), dtype=np.float32)
     step = 1 << 9  # half chunks at a time, to stay in the processor's cache
     for at in range(0, total, step):
         n = min(step, total - at)
         own = symbols[at * HALF : (at + n) * HALF + WIDTH]
-        best[at : at + n] = _responses(net, own, n * per).reshape(n, per, -1).max(1)
+        best[at : at + n] = _responses(net, own, last[at : at + n]).max(1)
     first, n = _chunks(best, np.cumsum(halves) - halves, halves)
     active = np.maximum(np.maximum(best[first], best[first + 1]) + net.bias, 0)
     begin = np.cumsum(n) - n
