@@ -29,8 +29,8 @@ def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Line dedup: later matching lines go; n_chars follows the text."""
-    cleaned = dedup_lines(docs)
+    """Line dedup: later lines whose words match as they are written go; n_chars follows the text."""
+    cleaned = dedup_lines(docs, ignore_case=False)  # as op3 does
     return cleaned.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 

@@ -58,6 +58,13 @@ def test_prefix_is_long_enough():
                 assert shared >= math.ceil(0.9 * m) and n - (n - math.ceil(0.9 * n) + 1) < shared
 
 
+def test_case_is_ignored(spark):
+    rows = [(1, "ALL RIGHTS RESERVED"), (2, "All rights reserved\nThe end of it"), (3, "the end OF it\nÉté"), (4, "été")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {i: t for i, (t, _, _) in result(df).items()} == {1: "ALL RIGHTS RESERVED", 2: "The end of it", 3: "Été", 4: "été"}
+    assert {r.removed_lines for r in line_dedup.dedup_lines(df, ignore_case=False).collect()} == {0}
+
+
 def test_odd_rows(odd):
     rows = line_dedup.dedup_lines(odd).collect()
     assert len(rows) == odd.count()

@@ -1,6 +1,7 @@
 """Near-duplicate lines by an exact set-similarity join, in DataFrame operations only.
 
-A line's set holds its distinct words, as they are written. Two lines match if the
+A line's set holds its distinct words, A to Z as a to z; with ``ignore_case``
+off, which is narrower, as they are written. Two lines match if the
 Jaccard similarity of their sets is at least ``THRESHOLD``; a line is removed
 if an earlier line, by (doc_id, line number), matches it, whether or not that
 line is removed too.
@@ -43,16 +44,18 @@ FEW = 128
 #: Words of 64 bits in the filter of candidate lines.
 FILTER_WORDS = 1 << 17
 _SPACE = r"[ \t-\r]+"
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
-def _words(text: str) -> Column:
+def _words(text: str, ignore_case: bool) -> Column:
     """The words of a column; one empty word if there is none."""
-    return F.split(F.trim(F.col(text), F.lit(" \t\n\x0b\x0c\r")), _SPACE)
+    whole = F.translate(F.col(text), _UPPER, _UPPER.lower()) if ignore_case else F.col(text)
+    return F.split(F.trim(whole, F.lit(" \t\n\x0b\x0c\r")), _SPACE)
 
 
-def rarity_table(documents: DataFrame) -> DataFrame:
+def rarity_table(documents: DataFrame, ignore_case: bool = True) -> DataFrame:
     """One row with ``ranks``: for each hash entry its place when entries are ordered by how many words fall there."""
-    words = documents.select(F.explode(_words("text")).alias("word"))
+    words = documents.select(F.explode(_words("text", ignore_case)).alias("word"))
     entry = F.xxhash64("word").bitwiseAND((1 << RARITY_BITS) - 1)
     counts = words.groupBy(entry.alias("entry")).agg(F.count(F.lit(1)).alias("n"))
     every = documents.sparkSession.range(1 << RARITY_BITS).withColumnRenamed("id", "entry").join(counts, "entry", "left")
@@ -61,7 +64,7 @@ def rarity_table(documents: DataFrame) -> DataFrame:
     return written(placed.select(F.transform("q", lambda x: x["rank"]).alias("ranks")), "rarity")
 
 
-def _tokens(line: str) -> Column:
+def _tokens(line: str, ignore_case: bool) -> Column:
     """The distinct words of a line that has some as numbers, rarest first; the rows carry ``ranks``."""
     kept = 63 - RARITY_BITS
 
@@ -69,7 +72,7 @@ def _tokens(line: str) -> Column:
         rank = F.coalesce(F.get("ranks", h.bitwiseAND((1 << RARITY_BITS) - 1).cast("int")), F.lit(0)).cast("long")
         return F.shiftleft(rank, kept).bitwiseOR(F.shiftrightunsigned(h, 64 - kept))
 
-    return F.sort_array(F.array_distinct(F.transform(F.transform(_words(line), lambda w: F.xxhash64(w)), number)))
+    return F.sort_array(F.array_distinct(F.transform(F.transform(_words(line, ignore_case), lambda w: F.xxhash64(w)), number)))
 
 
 def _sketch(tokens: str) -> Column:
@@ -129,7 +132,7 @@ def _pairs(left: DataFrame, right: DataFrame) -> DataFrame:
     return met.select(F.least("id", "e_id").alias("x"), F.greatest("id", "e_id").alias("y")).distinct()
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, documents: DataFrame, ranks: Column) -> DataFrame:
+def _verified(pairs: DataFrame, sets: DataFrame, documents: DataFrame, ranks: Column, ignore_case: bool) -> DataFrame:
     """Of pairs (x, y) of set ids the later one of those that match: id."""
     wanted = pairs.select(F.explode(F.array("x", "y")).alias("id")).distinct()
     wanted = written(wanted.join(sets, "id").select("id", "at"), "wanted")
@@ -138,7 +141,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, documents: DataFrame, ranks: Co
     lines = _lines(documents).where(_in_filter(key, bits))
     lines = lines.select(F.struct("doc_id", "text_hash", "line_no").alias("at"), "line").dropDuplicates(["at"])
     tokens = wanted.join(lines, "at").select("id", "at", "line", ranks.alias("ranks"))
-    tokens = tokens.select("id", "at", _tokens("line").alias("tokens"))
+    tokens = tokens.select("id", "at", _tokens("line", ignore_case).alias("tokens"))
     # Sixteen bits a word keep most pairs from being joined with whole sets. Their common values bound
     # the intersection from above when words of x that have one value are all counted.
     short = F.array_distinct(F.transform("tokens", lambda x: (x.bitwiseAND(0xFFFF) - 0x8000).cast("smallint")))
@@ -157,11 +160,11 @@ def _verified(pairs: DataFrame, sets: DataFrame, documents: DataFrame, ranks: Co
     return both.where(shared * DENOMINATOR >= union * NUMERATOR).select(later.alias("id")).distinct()
 
 
-def later_matches(documents: DataFrame) -> DataFrame:
+def later_matches(documents: DataFrame, ignore_case: bool = True) -> DataFrame:
     """documents (doc_id, text) -> doc_id, text_hash, line_no of the lines to remove."""
-    ranks = rarity_table(documents.where("text is not null").select("text")).select("ranks").scalar()
+    ranks = rarity_table(documents.where("text is not null").select("text"), ignore_case).select("ranks").scalar()
     filled = _lines(documents).where(F.col("line").rlike(r"[^ \t-\r]"))
-    tokens = filled.select("*", ranks.alias("ranks")).select("doc_id", "text_hash", "line_no", _tokens("line").alias("tokens"))
+    tokens = filled.select("*", ranks.alias("ranks")).select("doc_id", "text_hash", "line_no", _tokens("line", ignore_case).alias("tokens"))
     n = F.size("tokens")
     rarest = F.slice("tokens", F.lit(1), n - F.ceil(n * NUMERATOR / DENOMINATOR).cast("int") + 1)
     prefix = F.transform(rarest, lambda x: F.hash(x))  # 32 bits do to find candidates
@@ -179,11 +182,11 @@ def later_matches(documents: DataFrame) -> DataFrame:
     few, many = entries.where(F.col("m") <= FEW), entries.where(F.col("m") > FEW)
 
     stars = written(_pairs(few, few).union(_pairs(many, many.where("doc = first_doc"))).distinct(), "stars")
-    matched = written(_verified(stars, sets, documents, ranks), "matched")
+    matched = written(_verified(stars, sets, documents, ranks, ignore_case), "matched")
     rest = _pairs(many.join(matched, "id", "left_anti"), many)
     rest = written(rest.join(stars, ["x", "y"], "left_anti"), "rest")
     if not rest.isEmpty():
-        matched = matched.union(_verified(rest, sets, documents, ranks)).distinct()
+        matched = matched.union(_verified(rest, sets, documents, ranks, ignore_case)).distinct()
 
     gone = sets.join(matched.withColumn("matched", F.lit(True)), "id", "left").where((F.col("lines") > 1) | F.col("matched"))
     gone = gone.select("id", F.col("at").alias("first_at"), F.coalesce("matched", F.lit(False)).alias("matched"))
@@ -191,12 +194,12 @@ def later_matches(documents: DataFrame) -> DataFrame:
     return decided.where((at > F.col("first_at")) | F.col("matched")).select("doc_id", "text_hash", "line_no").distinct()
 
 
-def dedup_lines(documents: DataFrame) -> DataFrame:
+def dedup_lines(documents: DataFrame, ignore_case: bool = True) -> DataFrame:
     """``documents`` with an id and text, later matching lines removed; adds n_lines and removed_lines.
 
     Columns of these two names in the input are replaced, all others stay.
     """
-    removed = written(later_matches(documents.select("doc_id", "text")), "removed")
+    removed = written(later_matches(documents.select("doc_id", "text"), ignore_case), "removed")
     lists = removed.groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(F.collect_set("line_no").alias("_gone"))
     rows = documents.drop("n_lines", "removed_lines").withColumn("_key", F.xxhash64("text"))
     key = F.xxhash64("doc_id", "_key")

@@ -37,7 +37,8 @@ def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_dedup_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts without the lines that an earlier line of the corpus matches."""
-    return dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    # _OP3_SQL compares words as they are written
+    return dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"), ignore_case=False)
 
 
 def op4_pack_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
