@@ -33,6 +33,15 @@ def test_unmarked_page():
     assert main_text(page) == "\n".join(["A long paragraph with quite a few words in it, as articles have."] * 3)
 
 
+def test_unmarked_page_with_one_huge_paragraph():
+    short = [f"Short paragraph number {i} of the text." for i in range(20)]
+    links = "".join(f"<ul><li><a href=y>link {i}</a></li></ul>" for i in range(5))
+    lines = [*short[:10], "word " * 800 + "end", *short[10:], "The end."]
+    paragraphs = [f"<p>{x}</p>" for x in lines]
+    page = f"<p>hi</p>{links}{''.join(paragraphs[:5])}{links}{''.join(paragraphs[5:])}{links}<p>c</p>"
+    assert main_text(page) == "\n".join(lines)
+
+
 def test_stretches():
     assert stretches([0, 0, 0, 0, 9, 9, 0, 9, 0, 0, 0, 0, 1], 0) == [(4, 8), (12, 13)]
     assert stretches([], 0) == [] and stretches([0, 0], 0) == []

@@ -8,8 +8,10 @@ length; lines that are nothing but links count 0, and where the page marks an
 ``article`` or ``main`` element, so do the lines outside it. The lengths are
 summed over sliding windows of lines. A surge point is where the sum rises over
 the limit, the next dive point where it falls back; the text between them is
-kept. In marked text the limit is 0 and every stretch is kept, else it is
-a share of the page's largest sum and the stretch with most text is kept.
+kept. In marked text the limit is 0 and every stretch is kept. Else it is
+``LIMIT_CHARS``, or a share of the page's largest sum where that is less, and
+all text from the first stretch to the last one is kept, with the lines that
+the last window reaches; only lines of links are left out of it.
 
 Defined cases: a null or empty page has empty text. A container that is opened
 and never closed is not skipped. Very long pages are read whole. Repeated pages
@@ -29,6 +31,8 @@ from pyspark.sql import functions as F
 
 WINDOW = 3
 LIMIT_SHARE = 0.2
+#: Characters in a window that are article text on any page without marks.
+LIMIT_CHARS = 40
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^'">]|"[^"]*"|'[^']*')*)>|<[!?][^>]*>""", re.S)
 _ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _RAW = frozenset("script style noscript template textarea iframe svg math canvas title".split())
@@ -94,23 +98,29 @@ def lines_of(page: str) -> list[Line]:
     """The blocks of text of a page, in order."""
     lines: list[Line] = []
     parts: list[str] = []
-    linked = 0  # characters inside links
+    linked, outside = 0, False  # characters inside links, whether others stand between them than space and signs
     depth = {"article": 0, "main": 0, "a": 0}
     at, container = 0, 0  # container: where the last container of article text ends
 
     def add(piece: str) -> int:
+        nonlocal outside
         if piece:
             parts.append(piece)
-        return len(piece.strip()) if depth["a"] else 0
+        if depth["a"]:
+            return len(piece.strip())
+        outside = outside or any(map(str.isalnum, html.unescape(piece)))
+        return 0
 
     def flush(here: int) -> int:
+        nonlocal outside
         if parts:
             raw = "".join(parts)
             parts.clear()
             text = " ".join(html.unescape(raw).split())
             if text:
                 marked = "article" if depth["article"] else "main" if depth["main"] else "container" if here < container else ""
-                lines.append(Line(text, 0 if linked >= len(raw.strip()) else len(text), marked))
+                lines.append(Line(text, 0 if linked and not outside else len(text), marked))
+        outside = False
         return 0
 
     while m := _TAG.search(page, at):
@@ -172,7 +182,9 @@ def main_text(page: str | None) -> str:
     else:
         lengths = [x.length for x in lines]
         top = max((sum(lengths[i : i + WINDOW]) for i in range(len(lengths))), default=0)
-        kept = sorted(stretches(lengths, LIMIT_SHARE * top), key=lambda ab: -sum(lengths[ab[0] : ab[1]]))[:1]
+        found = stretches(lengths, min(LIMIT_CHARS, LIMIT_SHARE * top))
+        # the last window that passes may begin WINDOW - 1 lines before the text ends
+        kept = [(found[0][0], found[-1][1] + WINDOW - 1)] if found else []
     return "\n".join(x.text for a, b in kept for x, n in zip(lines[a:b], lengths[a:b], strict=True) if n)
 
 
