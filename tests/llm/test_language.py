@@ -53,6 +53,17 @@ def test_scripts_narrow(spark):
     assert language.label_texts(["日本"], model)[1].tolist() == [0.0]
 
 
+def test_rare_languages_are_learnt(spark, monkeypatch):
+    monkeypatch.setattr(language, "LEAST_ROWS", 5)
+    rows = [(i, "hello world how are you", "en") for i in range(3000)] + [(i + 3000, "привет мир как дела", "ru") for i in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.fit(df, sample_rows=20)
+    assert model.languages == ["en", "ru"]
+    assert language.label_texts(["незнакомое"], model)[1].tolist() == [1.0]
+    assert language.rows_per_language([3, 3000], 20) == 17
+    assert language.rows_per_language([6, 7, 8], 21) >= 8 and language.rows_per_language([1000] * 10, 20) == 5 and language.rows_per_language([], 20) == 5
+
+
 def test_words_of_many_lines():
     w = language.words_of(["a b\nc", "", "\n", "dé, x2y", "ß"])
     assert w.counts.tolist() == [3, 0, 0, 3, 1]

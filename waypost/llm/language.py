@@ -10,8 +10,11 @@ the spans. The text's language has most letters in its spans, and its score is
 their share of all letters, counting only words whose script some language uses.
 
 Counts for the model come from a Spark aggregation over the labelled rows whose
-hash falls into a fraction that bounds them at about ``SAMPLE_ROWS``. The model
-has a fixed number of hashed features and is what is sent to the tasks.
+hash falls into a fraction that bounds them at about ``SAMPLE_ROWS``. Each
+language has a fraction of its own: one with few rows is learnt from all of
+them, and no bound is below ``LEAST_ROWS``, so that every language is learnt
+whatever the size of the corpus. The model has a fixed number of hashed features
+and is what is sent to the tasks.
 
 Defined cases: a null text or one without letters is ``und`` with score 0 and
 no spans. Letters of scripts that no language uses score 0; a text with nothing
@@ -35,6 +38,9 @@ from .words import mix64
 
 #: Labelled rows that the model is fitted on, about.
 SAMPLE_ROWS = 20_000
+#: Rows of a language that are used in any case, about, if it has as many.
+LEAST_ROWS = 200
+_HASHES = 1 << 48
 FEATURES = 1 << 17
 GRAMS = (1, 2, 3, 4)
 SWITCH = 12.0
@@ -171,12 +177,29 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+def rows_per_language(counts: list[int], sample_rows: int) -> int:
+    """The bound of every language's rows under which they make ``sample_rows`` in all; at least LEAST_ROWS."""
+    left, most = sample_rows, max(counts, default=0)
+    for k, n in enumerate(sorted(counts)):
+        fair = left // (len(counts) - k)
+        if n > fair:
+            most = fair
+            break
+        left -= n
+    return max(LEAST_ROWS, most)
+
+
 def fit(documents: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
     """Fit on ``documents`` (lang, text and doc_id, to sample by): only rows with a language count."""
-    labelled = documents.where("lang is not null and text is not null")
-    share = min(1.0, sample_rows / max(1, labelled.count()))
-    sample = labelled.where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 20)) < F.lit(round(share * (1 << 20))))
-    counted = sample.select(F.col("lang").cast("string"), "text").mapInArrow(_count, "lang string, feature long, n long")
+    labelled = documents.where("lang is not null and text is not null").select("doc_id", F.col("lang").cast("string").alias("lang"), "text")
+    sizes = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row per language
+    most = rows_per_language(list(sizes.values()), sample_rows)
+    sample = labelled
+    bounds = [F.lit(x) for lang, n in sorted(sizes.items()) if n > most for x in (lang, most * _HASHES // n)]
+    if bounds:
+        bound = F.coalesce(F.element_at(F.create_map(*bounds), F.col("lang")), F.lit(_HASHES))
+        sample = labelled.where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(_HASHES)) < bound)
+    counted = sample.select("lang", "text").mapInArrow(_count, "lang string, feature long, n long")
     table = counted.groupBy("lang", "feature").agg(F.sum("n").alias("n")).toArrow()
     languages = sorted(set(table.column("lang").to_pylist()))
     seen, scripts = np.zeros((FEATURES, len(languages))), np.zeros((len(SCRIPTS), len(languages)))
