@@ -16,16 +16,17 @@ from waypost.llm.near_dup import near_duplicates
 from waypost.llm.packing import pack_documents
 from waypost.llm.workspace import written
 
-#: A document of which less than this share of letters is in its main language is rejected.
+#: A document of which less than this share of letters is in scripts of the languages learnt, all together, is rejected.
 LEAST_SHARE = 0.3
 _SEED = 23
 
 
 def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Language ID: documents without a letter or without a main language go."""
+    """Language ID: documents without a letter or with hardly any in a script of the languages learnt go."""
     model = fit(docs.where(F.col("doc_id").isNotNull() & ~is_held_out()).select("doc_id", "lang", "text"))
     labelled = identify(docs, model)
-    return labelled.where((F.col("lang_pred") != "und") & (F.col("lang_score") >= LEAST_SHARE)).select(*docs.columns)
+    letters, known = (F.aggregate(f"lang_spans.{c}", F.lit(0).cast("long"), lambda done, n: done + n) for c in ("letters", "known_letters"))
+    return labelled.where((letters > 0) & (known >= LEAST_SHARE * letters)).select(*docs.columns)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 from collections import Counter
 
 import corpus_pipeline as pipeline
+from pyspark.sql import functions as F
 from test_line_dedup import brute as lines_brute
 from test_near_dup import brute as groups_brute
 
@@ -35,6 +36,17 @@ def test_stages_on_documents(spark, documents, small):
     assert again.sort_values(order).reset_index(drop=True).equals(bins.sort_values(order).reset_index(drop=True))
 
 
+def test_even_mixtures_are_kept(spark, monkeypatch):
+    """Four languages with a script each and a quarter of the letters each; a text in no script of theirs goes."""
+    own = {"en": "hello world how are you", "ru": "привет мир как твои дела", "el": "γεια σου κοσμε τι κανεις", "he": "שלום עולם מה שלומך היום"}
+    rows = [(4 * i + k, text, lang, "a", 1) for i in range(8) for k, (lang, text) in enumerate(own.items())]
+    rows += [(1000, " ".join(w for t in own.values() for w in [t] * 3), "en", "a", 1), (1001, "日本語の文章" * 9 + " hello", "en", "a", 1)]
+    monkeypatch.setattr(pipeline, "is_held_out", lambda: F.col("doc_id") >= 1000)
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    ids = {r.doc_id for r in pipeline.keep_identified(spark, df, "").collect()}
+    assert ids == {r[0] for r in rows} - {1001}
+
+
 def test_odd_rows(spark, odd, none, small):
     for start in (odd, none):
         docs = start

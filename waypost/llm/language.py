@@ -297,19 +297,22 @@ def label_texts(texts: list[str], model: Model) -> tuple[list[str], np.ndarray,
     change = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (path[1:] != path[:-1])]))
     lengths = np.diff(np.concatenate([change, [len(path)]]))
     base = np.cumsum(w.counts) - w.counts
+    every, some = (np.concatenate([[0], np.cumsum(x)]) for x in (w.sizes, w.sizes * known))
     spans: list[list[dict]] = [[] for _ in texts]
     for at, n in zip(change.tolist(), lengths.tolist(), strict=True):
         d = int(doc[at])
-        spans[d].append({"lang": model.languages[path[at]], "first_word": at - int(base[d]), "words": n})
+        first = at - int(base[d])
+        spans[d].append({"lang": model.languages[path[at]], "first_word": first, "words": n, "letters": int(every[at + n] - every[at]), "known_letters": int(some[at + n] - some[at])})
     return names, score, spans
 
 
-_SPANS = pa.list_(pa.struct([("lang", pa.string()), ("first_word", pa.int64()), ("words", pa.int64())]))
+_SPANS = pa.list_(pa.struct([("lang", pa.string()), ("first_word", pa.int64()), ("words", pa.int64()), ("letters", pa.int64()), ("known_letters", pa.int64())]))
 
 
 def identify(documents: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """Adds lang_pred, lang_score and lang_spans (lang, first_word, words) to ``documents``.
+    """Adds lang_pred, lang_score and lang_spans (lang, first_word, words, letters, known_letters) to ``documents``.
 
+    A span's known letters are those of words whose script some language uses.
     Columns of these names in the input are replaced.
     """
     shared = documents.sparkSession.sparkContext.broadcast(model)
@@ -328,7 +331,7 @@ def identify(documents: DataFrame, model: Model, text: str = "text") -> DataFram
                 )
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
-    return rows.mapInArrow(label, f"{kinds}, lang_pred string, lang_score double, lang_spans array<struct<lang:string,first_word:bigint,words:bigint>>")
+    return rows.mapInArrow(label, f"{kinds}, lang_pred string, lang_score double, lang_spans array<struct<lang:string,first_word:bigint,words:bigint,letters:bigint,known_letters:bigint>>")
 
 
 def predict_languages(documents: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
