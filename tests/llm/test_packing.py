@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from waypost.llm import packing
+from waypost.llm import packing, queries
 
 
 def check(sizes, sources, clusters, capacity, per_source, bins):
@@ -50,6 +50,16 @@ def test_documents(documents):
         assert own.first_word.tolist() == [0, *own.words.cumsum().tolist()[:-1]]
 
 
+def test_near_copies_share_no_bin(spark, tmp_path):
+    words = [f"w{i}" for i in range(100)]
+    texts = [words, [*words[:-1], "x"], [w.upper() for w in words], [f"other{i}" for i in range(100)], words]
+    rows = [(i if i < 4 else None, " ".join(t), f"s{i}") for i, t in enumerate(texts)] + [(9, None, "s9")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.bin_id for r in queries.op4_pack_documents(spark, str(tmp_path)).collect()}
+    assert len({got[i] for i in (0, 1, 2)}) == 3 and got[3] in {got[i] for i in (0, 1, 2, None)} and got[9] is None
+    assert got[None] not in {got[i] for i in (0, 1, 2)}
+
+
 def test_odd_rows(odd):
     rows = packing.pack_documents(odd, capacity=1000).collect()
     by = {}

@@ -22,10 +22,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .mixing import WORD
+from .near_dup import near_duplicates
 from .workspace import written
 
 CAPACITY = 2048
@@ -113,11 +114,26 @@ def pack(items: DataFrame, capacity: int = CAPACITY, per_source: int = PER_SOURC
     return packed.unionByName(empty)
 
 
+def items_key() -> Column:
+    """The same for equal texts."""
+    text = F.coalesce("text", F.lit(""))
+    return F.xxhash64(text, F.length(text))
+
+
 def items_of(documents: DataFrame) -> DataFrame:
     """documents (doc_id, source, text) as items: sizes in words, exact copies as clusters."""
     text = F.coalesce("text", F.lit(""))
     size = F.regexp_count(text, F.lit(WORD)).cast("long")
-    return documents.select("doc_id", "source", F.xxhash64(text, F.length(text)).alias("cluster"), size.alias("size"))
+    return documents.select("doc_id", "source", items_key().alias("cluster"), size.alias("size"))
+
+
+def near_items_of(documents: DataFrame) -> DataFrame:
+    """Items whose clusters are the components of near duplicates (``near_dup``), by text: also of rows without an id."""
+    items = items_of(documents)
+    texts = documents.select(items_key().alias("doc_id"), "text").where("text is not null").dropDuplicates(["doc_id"])
+    groups = near_duplicates(written(texts, "texts")).select(F.col("doc_id").alias("cluster"), "component_id")
+    joined = items.join(groups, "cluster", "left")
+    return joined.select("doc_id", "source", F.coalesce("component_id", "cluster").alias("cluster"), "size")
 
 
 def pack_documents(documents: DataFrame, capacity: int = CAPACITY, per_source: int = PER_SOURCE) -> DataFrame:

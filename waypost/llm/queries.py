@@ -13,7 +13,7 @@ from .line_dedup import dedup_lines
 from .media import media_columns
 from .mixing import mix_sources
 from .near_dup import near_duplicates
-from .packing import pack_documents
+from .packing import near_items_of, pack
 from .quality import predict_quality
 from .token_files import read_token_files, write_token_files
 from .vector_search import top_k
@@ -42,8 +42,8 @@ def op3_dedup_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_pack_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bins of 2,048 words, with at most two pieces of a source and no exact copies in a bin."""
-    return pack_documents(_table(spark, sf_dir, "documents"))
+    """Bins of 2,048 words, with at most two pieces of a source and no near copies in a bin."""
+    return pack(near_items_of(_table(spark, sf_dir, "documents")))
 
 
 def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
