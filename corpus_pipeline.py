@@ -36,19 +36,24 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """MinHash near-dedup: of each connected group the document with the smallest id stays, once."""
+    """MinHash near-dedup: of each connected group the document with the smallest id stays, once; rows without an id all stay."""
     decided = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
     one = docs.withColumn("_digest", F.xxhash64("text")).join(decided, F.col("doc_id") == F.col("_kept"))
-    return one.dropDuplicates(["doc_id", "_digest"]).select(*docs.columns)
+    one = one.dropDuplicates(["doc_id", "_digest"]).select(*docs.columns)
+    return one.unionByName(docs.where("doc_id is null"))
 
 
 def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Mixing: a document appears as often as its taken words ask for, the fraction rounded by a seeded draw."""
-    taken = mix_sources(docs).where("size > 0").select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), F.col("taken").alias("_taken"))
+    """Mixing: a document appears as often as its taken words ask for, the fraction rounded by a seeded draw.
+
+    A row without an id is told apart by its text and source.
+    """
+    row = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text", "source", F.lit(_SEED)))
+    taken = mix_sources(docs.withColumn("doc_id", row)).where("size > 0").select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), F.col("taken").alias("_taken"))
     taken = taken.dropDuplicates(["_id"])
-    draw = F.pmod(F.xxhash64("doc_id", F.lit(_SEED)), F.lit(1 << 30)) / (1 << 30)
+    draw = F.pmod(F.xxhash64(row, F.lit(_SEED)), F.lit(1 << 30)) / (1 << 30)
     copies = F.floor(F.col("_taken") / F.col("_size") + draw).cast("int")
-    mixed = docs.join(taken, F.col("doc_id") == F.col("_id")).withColumn("_copies", copies).where("_copies > 0")
+    mixed = docs.join(taken, row == F.col("_id")).withColumn("_copies", copies).where("_copies > 0")
     return mixed.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
 
 

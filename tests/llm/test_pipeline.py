@@ -47,6 +47,17 @@ def test_even_mixtures_are_kept(spark, monkeypatch):
     assert ids == {r[0] for r in rows} - {1001}
 
 
+def test_rows_without_an_id_stay(spark, odd, small):
+    docs = odd.unionByName(odd.where("doc_id is null").withColumn("text", F.lit("another row without an id and more words"))).cache()
+    texts = lambda df: {r.text for r in df.where("doc_id is null").collect()}
+    own = texts(docs) - {None}
+    third = pipeline.keep_one_of_each_group(spark, docs, small).cache()
+    assert texts(third) == own | {None} and third.where("doc_id is null").count() == docs.where("doc_id is null").count()
+    fourth = pipeline.mix_to_weights(spark, third.where("doc_id is null"), small).cache()
+    assert texts(fourth) == own and fourth.columns == docs.columns
+    assert pipeline.pack_bins(spark, fourth, small).count() == fourth.count()
+
+
 def test_odd_rows(spark, odd, none, small):
     for start in (odd, none):
         docs = start
