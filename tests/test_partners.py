@@ -104,6 +104,21 @@ def test_comparison(spark):
     }
 
 
+def test_comparison_of_partners_alone(spark):
+    rows = [("S", (5.0,), [(1, "a", 6.0)]), ("T", (1.0,), []), ("U", (2.0,), None)]
+    df = spark.createDataFrame(rows, "store_id string, main_store_data struct<radius:double>, overlap_data array<struct<overlap_id:bigint,store_id:string,radius:double>>")
+    got = {(r.store_id, r.main_value, r.slot, r.value, r["class"]) for r in ops.comparison_matrix(df, {"radius": True}, alone=True).collect()}
+    assert got == {("S", 5.0, 1, 6.0, "better-value"), ("T", 1.0, None, None, ""), ("U", 2.0, None, None, "")}
+
+
+def test_route_totals_by_station(spark):
+    cost = reference_tables(spark)["station_cost"]
+    p = frame(spark, partner(0, packages=1000.0), partner(1, station="X", run=None), partner(2, station=None, run="SR9"))
+    got = {(r.delivery_station, r.metric): r.value for r in ops.routes_totals(ops.routes_by_run(p, cost), p, by=["delivery_station"]).collect()}
+    assert len(got) == 18 and [got[s, "runs"] for s in ("DSP2", "X", None)] == [1.0, 0.0, 1.0]
+    assert got["DSP2", "cpp_mean"] == 0.59 and got["X", "cpp_mean"] == 0.0
+
+
 def test_flatten_prefers_the_nested_value(spark):
     row = ops.flatten_main_store(frame(spark, partner(0))).collect()[0]
     assert (row.radius, row.ADV) == (1.0, 10.0)  # nested radius given, nested ADV missing

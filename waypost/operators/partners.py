@@ -216,14 +216,14 @@ def routes_by_run(visible: DataFrame, station_cost: DataFrame) -> DataFrame:
     )
 
 
-def routes_totals(runs: DataFrame, visible: DataFrame, goals: dict[str, float] | None = None) -> DataFrame:
+def routes_totals(runs: DataFrame, visible: DataFrame, goals: dict[str, float] | None = None, by: Iterable[str] = ()) -> DataFrame:
     """Run count, mean of the runs' rounded figures, and hosts and pick-ups on the first rate card."""
-    goals = goals or K.ROUTE_GOALS
-    own = runs.agg(
+    goals, by = goals or K.ROUTE_GOALS, list(by)
+    own = runs.groupBy(*by).agg(
         F.count(F.lit(1)).alias("runs"), F.coalesce(F.avg("spr"), F.lit(0.0)).alias("spr_mean"), F.coalesce(F.avg("cpp"), F.lit(0.0)).alias("cpp_mean")
     )
     tier = _active() & _has("HCP_rate_card", K.RATE_TIER)
-    people = visible.agg(
+    people = visible.groupBy(*by).agg(
         F.count_if(_active()).alias("active"),
         F.count_if(tier & _has("hub_delivey_initiatives", K.HOST)).alias("hosts"),
         F.count_if(tier & _has("hub_delivey_initiatives", K.PICKUP)).alias("pickups"),
@@ -238,8 +238,13 @@ def routes_totals(runs: DataFrame, visible: DataFrame, goals: dict[str, float] |
         ("pickups", F.col("pickups"), F.col("pickups"), ratio(hundredth * K.PICKUPS_PER_HOST, F.lit(100)), "at_least"),
         ("pickups_per_host", per_host, per_host, F.lit(goals["pickups_per_host"]), "at_least"),
     ]
-    both = own.crossJoin(people)  # one row each
-    return _cards(both, [], cards).select("metric", "value", "goal", "direction", "status")
+    if by:
+        people = people.withColumnsRenamed({c: f"_{c}" for c in by})
+        both = own.join(people, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by], "full")
+        both = both.withColumns({c: F.coalesce(c, f"_{c}") for c in by}).fillna(0, ["runs", "spr_mean", "cpp_mean", "active", "hosts", "pickups"])
+    else:
+        both = own.crossJoin(people)  # one row each
+    return _cards(both, by, cards).select(*by, "metric", "value", "goal", "direction", "status")
 
 
 def flatten_main_store(partners: DataFrame) -> DataFrame:
@@ -258,10 +263,14 @@ def performance_table(visible: DataFrame) -> DataFrame:
     )
 
 
-def comparison_matrix(partners: DataFrame, metrics: dict[str, bool] | None = None, slots: int = 4) -> DataFrame:
-    """Every partner's metrics beside those of its first overlapping partners, one row per cell."""
+def comparison_matrix(partners: DataFrame, metrics: dict[str, bool] | None = None, slots: int = 4, alone: bool = False) -> DataFrame:
+    """Every partner's metrics beside those of its first overlapping partners, one row per cell.
+
+    With ``alone``, partners without any have a row per metric with no slot; else they have none.
+    """
     metrics = metrics or K.METRICS
-    near = partners.select("store_id", "main_store_data", F.posexplode(F.slice("overlap_data", 1, slots)).alias("_at", "o"))
+    exploded = F.posexplode_outer if alone else F.posexplode
+    near = partners.select("store_id", "main_store_data", exploded(F.slice("overlap_data", 1, slots)).alias("_at", "o"))
     cells = [
         F.struct(
             F.lit(m).alias("metric"), F.lit(up).alias("up"), F.col(f"main_store_data.{m}").alias("main_value"), F.col(f"o.{m}").alias("value")
