@@ -1,6 +1,7 @@
 import math
 import random
 import re
+import string
 
 import pytest
 
@@ -9,7 +10,8 @@ from waypost.llm import line_dedup
 
 def brute(rows):
     """(id, text) -> {id: (text, lines, removed)}."""
-    lines = [(i, k, line, frozenset(re.findall(r"[^\x20\x09-\x0D]+", line))) for i, t in sorted(rows) for k, line in enumerate(t.split("\n"))]
+    lower = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
+    lines = [(i, k, line, frozenset(re.findall(r"[^\x20\x09-\x0D]+", line.translate(lower)))) for i, t in sorted(rows) for k, line in enumerate(t.split("\n"))]
     gone = set()
     for at, (i, k, _, s) in enumerate(lines):
         for _, _, _, other in lines[:at]:
@@ -42,10 +44,34 @@ def edited(rng, n_docs):
     return rows
 
 
-@pytest.mark.parametrize("few", [2, 128])
-def test_against_brute_force(spark, monkeypatch, few):
-    monkeypatch.setattr(line_dedup, "FEW", few)
-    rows = edited(random.Random(few), 120)
+@pytest.mark.parametrize("hot", [2, 1024])
+def test_against_brute_force(spark, monkeypatch, hot):
+    monkeypatch.setattr(line_dedup, "HOT", hot)
+    rows = edited(random.Random(hot), 120)
+    assert result(spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows)
+
+
+@pytest.mark.parametrize("hot", [2, 1024])
+def test_family_of_near_misses(spark, monkeypatch, hot):
+    """Variants of one long line, a few words apart: some match an earlier one, many just do not."""
+    monkeypatch.setattr(line_dedup, "HOT", hot)
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(60)]
+    rows = []
+    for i in range(250):
+        words = list(base)
+        for k in rng.sample(range(60), rng.choice([0, 1, 2, 3, 3, 4, 5])):
+            words[k] = f"x{rng.randrange(10_000)}"
+        rows.append((i, " ".join(rng.sample(words, 60)).title()))
+    expected = brute(rows)
+    assert 50 < sum(gone for _, _, gone in expected.values()) < 240
+    assert result(spark.createDataFrame(rows, "doc_id long, text string")) == expected
+
+
+def test_very_long_lines(spark):
+    words = [f"w{i}" for i in range(30_000)]
+    texts = [words, words[:27_000], words[:26_999], words[1_500:] + ["x"] * 9, ["y"] * 30_000, ["y"]]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
     assert result(spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows)
 
 

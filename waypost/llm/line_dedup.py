@@ -2,31 +2,40 @@
 
 A line's set holds its distinct words, A to Z as a to z; with ``ignore_case``
 off, which is narrower, as they are written. Two lines match if the
-Jaccard similarity of their sets is at least ``THRESHOLD``; a line is removed
-if an earlier line, by (doc_id, line number), matches it, whether or not that
-line is removed too.
+Jaccard similarity of their sets is at least ``NUMERATOR / DENOMINATOR``; a
+line is removed if an earlier line, by (doc_id, line number), matches it,
+whether or not that line is removed too.
 
 The join: words are ordered by rarity, by counts over the whole corpus in a
 table of fixed size (words share its entries by hash; any order gives the same
-result, a good one makes it fast). If two sets match, the first
-n - ceil(THRESHOLD * n) + 1 words of both share one; sets that share such a
-prefix word are candidates unless their lengths, the word's positions or 64-bit
-sketches of the sets rule a match out; candidates are verified on their whole
-sets.
-
-Lines of equal sets are one row throughout. Sets that share a prefix word are
-compared pair by pair where they are few. Where they are many, all are first
-compared with one of the earliest, and only those that did not match are
-compared with the others.
-
-To verify, the words of candidate lines are read from the texts again; a Bloom
-filter of fixed size, a constant of the query, keeps other lines out of the
-shuffle. Words are compared by 63 bits of hash and rank.
+result, a good one makes it fast). Lines of equal sets are one row throughout.
+If two sets match, the first n - ceil(0.9 n) + 1 words of both share one, so a
+set has an entry for each word of its prefix. Entries of a word with more than
+``HOT`` of them are dealt further: matching sets of a and b words differ in
+d = floor((a + b) / 19) words at most, so if the words are cut into d + 1 parts
+by hash, one part is the same in both. Such an entry is repeated for every part
+and meets only those whose 128-bit parity sketch is the same in that part.
+
+Entries that meet are compared by semi joins, so that a set costs a few rows
+however many others it resembles; no table holds pairs:
+
+1. Sets stay that have a partner by lengths, by the word's positions and by the
+   sketches: a bit that differs is a word that only one of them has.
+2. Of the entries of those sets, the ones stay whose word is the first that a
+   pair of partners shares.
+3. The whole word sets of these lines are read from the texts again (a Bloom
+   filter of fixed size keeps other lines out of the shuffle), and a set is
+   matched if that of an earlier line is similar enough.
+
+Words are compared by 63 bits of hash and rank, sets by 128 bits.
 
 Defined cases: lines without words stay. Documents with a null doc_id take no
 part and stay as they are, a null text stays null. Equal rows are one document
 and are treated alike; rows that share a doc_id only are ordered by a hash of
-their text. A document that loses all lines stays with an empty text.
+their text. A document that loses all lines stays with an empty text. An empty
+table gives an empty result. A very long line is one array of numbers in one
+row, so it must fit in a task's memory; from 64 differing words on (576 words in
+a line) entries of a frequent word are not dealt by parts.
 """
 
 from __future__ import annotations
@@ -34,52 +43,67 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .workspace import written
+from .workspace import drop, fresh, written
 
 #: As a fraction of integers, so that comparisons are exact.
 NUMERATOR, DENOMINATOR = 9, 10
 RARITY_BITS = 16
-#: Sets with one prefix word that are compared pair by pair.
-FEW = 128
+#: Entries of one prefix word that meet as they are: comparing one with so many costs about as much as its parts do.
+HOT = 1024
 #: Words of 64 bits in the filter of candidate lines.
 FILTER_WORDS = 1 << 17
 _SPACE = r"[ \t-\r]+"
+_BLANKS = " \t\n\x0b\x0c\r"
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
-def _words(text: str, ignore_case: bool) -> Column:
-    """The words of a column; one empty word if there is none."""
-    whole = F.translate(F.col(text), _UPPER, _UPPER.lower()) if ignore_case else F.col(text)
-    return F.split(F.trim(whole, F.lit(" \t\n\x0b\x0c\r")), _SPACE)
+def _lowered(text: str) -> Column:
+    """A to Z as a to z; the plain function does the same where all characters are ASCII, and is faster."""
+    ascii_only = F.octet_length(text) == F.length(text)
+    return F.when(ascii_only, F.lower(text)).otherwise(F.translate(F.col(text), _UPPER, _UPPER.lower()))
+
+
+def _words(line: str, ignore_case: bool) -> Column:
+    """The words of a line; one empty word if there is none."""
+    c = F.col(line)
+    plain = ~c.contains("  ") & ~c.startswith(" ") & ~c.endswith(" ")
+    for blank in _BLANKS[1:]:
+        plain &= ~c.contains(blank)
+    whole = _lowered(line) if ignore_case else c
+    # a single space needs no regular expression
+    return F.when(plain, F.split(whole, " ")).otherwise(F.split(F.trim(whole, F.lit(_BLANKS)), _SPACE))
 
 
-def rarity_table(documents: DataFrame, ignore_case: bool = True) -> DataFrame:
-    """One row with ``ranks``: for each hash entry its place when entries are ordered by how many words fall there."""
-    words = documents.select(F.explode(_words("text", ignore_case)).alias("word"))
+def rarity_table(documents: DataFrame) -> DataFrame:
+    """One row with ``ranks``: for each hash entry its place, in the high bits, when entries are ordered by how many words fall there."""
+    lines = documents.select(F.explode(F.split(F.lower("text"), "\n")).alias("line"))
+    words = lines.select(F.explode(F.split("line", " ")).alias("word"))
     entry = F.xxhash64("word").bitwiseAND((1 << RARITY_BITS) - 1)
     counts = words.groupBy(entry.alias("entry")).agg(F.count(F.lit(1)).alias("n"))
     every = documents.sparkSession.range(1 << RARITY_BITS).withColumnRenamed("id", "entry").join(counts, "entry", "left")
     pairs = F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "entry")))
     placed = every.agg(pairs.alias("p")).select(F.array_sort(F.transform("p", lambda x, i: F.struct(x["entry"], i.alias("rank")))).alias("q"))
-    return written(placed.select(F.transform("q", lambda x: x["rank"]).alias("ranks")), "rarity")
+    return written(placed.select(F.transform("q", lambda x: F.shiftleft(x["rank"].cast("long"), 63 - RARITY_BITS)).alias("ranks")), "rarity")
 
 
 def _tokens(line: str, ignore_case: bool) -> Column:
     """The distinct words of a line that has some as numbers, rarest first; the rows carry ``ranks``."""
-    kept = 63 - RARITY_BITS
 
     def number(h: Column) -> Column:
-        rank = F.coalesce(F.get("ranks", h.bitwiseAND((1 << RARITY_BITS) - 1).cast("int")), F.lit(0)).cast("long")
-        return F.shiftleft(rank, kept).bitwiseOR(F.shiftrightunsigned(h, 64 - kept))
+        rank = F.coalesce(F.get("ranks", h.bitwiseAND((1 << RARITY_BITS) - 1).cast("int")), F.lit(0))
+        return rank.bitwiseOR(F.shiftrightunsigned(h, RARITY_BITS + 1))
 
     return F.sort_array(F.array_distinct(F.transform(F.transform(_words(line, ignore_case), lambda w: F.xxhash64(w)), number)))
 
 
-def _sketch(tokens: str) -> Column:
-    """64 bits, of which each word sets the one that six of its bits name."""
-    one = F.lit(1).cast("long")
-    bit = lambda x: F.call_function("shiftleft", one, x.bitwiseAND(63).cast("int"))
-    return F.aggregate(tokens, F.lit(0).cast("long"), lambda done, x: done.bitwiseOR(bit(x)))
+def _parity(tokens: str, high: bool) -> Column:
+    """64 bits, of which each word flips the one that six of its bits name: all words, or those with one more bit set."""
+
+    def flip(x: Column) -> Column:
+        one = F.shiftrightunsigned(x, 6).bitwiseAND(1) if high else F.lit(1).cast("long")
+        return F.call_function("shiftleft", one, x.bitwiseAND(63).cast("int"))
+
+    return F.aggregate(tokens, F.lit(0).cast("long"), lambda done, x: done.bitwiseXOR(flip(x)))
 
 
 def _bit(key: Column, k: int) -> Column:
@@ -110,107 +134,141 @@ def _lines(documents: DataFrame) -> DataFrame:
     return rows.select("doc_id", "text_hash", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
 
 
-def _may_match(other: str) -> Column:
-    """Whether sets of n words can match that share the words at places i, by lengths, places and sketches.
-
-    The columns are n, i and sketch, and the same with a prefix for the other
-    set. A bit that only one sketch has is a word that only that set has.
-    """
-    a, b, x, y = F.col("n"), F.col(f"{other}n"), F.col("i"), F.col(f"{other}i")
-    length = (F.least(a, b) * DENOMINATOR) >= (F.greatest(a, b) * NUMERATOR)
-    most = F.least(x, y) + F.least(a - x, b - y)  # the words before, and this one and those after
-    place = most * (DENOMINATOR + NUMERATOR) >= (a + b) * NUMERATOR
-    apart = F.bit_count(F.col("sketch").bitwiseXOR(F.col(f"{other}sketch")))
-    return length & place & (apart * (DENOMINATOR + NUMERATOR) <= (a + b) * (DENOMINATOR - NUMERATOR))
-
-
-def _pairs(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Distinct pairs x < y of set ids that share a prefix word and may match."""
-    own = ("id", "n", "i", "sketch")
-    other = right.select("token", *(F.col(c).alias(f"e_{c}") for c in own))
-    met = left.select("token", *own).join(other, "token").where((F.col("id") != F.col("e_id")) & _may_match("e_"))
-    return met.select(F.least("id", "e_id").alias("x"), F.greatest("id", "e_id").alias("y")).distinct()
+def _at() -> Column:
+    return F.struct("doc_id", "text_hash", "line_no")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, documents: DataFrame, ranks: Column, ignore_case: bool) -> DataFrame:
-    """Of pairs (x, y) of set ids the later one of those that match: id."""
-    wanted = pairs.select(F.explode(F.array("x", "y")).alias("id")).distinct()
-    wanted = written(wanted.join(sets, "id").select("id", "at"), "wanted")
-    key = F.xxhash64("doc_id", "text_hash", "line_no")
-    bits = _filter_of(wanted.select(F.xxhash64("at.doc_id", "at.text_hash", "at.line_no").alias("key")), "key").scalar()
-    lines = _lines(documents).where(_in_filter(key, bits))
-    lines = lines.select(F.struct("doc_id", "text_hash", "line_no").alias("at"), "line").dropDuplicates(["at"])
-    tokens = wanted.join(lines, "at").select("id", "at", "line", ranks.alias("ranks"))
-    tokens = tokens.select("id", "at", _tokens("line", ignore_case).alias("tokens"))
-    # Sixteen bits a word keep most pairs from being joined with whole sets. Their common values bound
-    # the intersection from above when words of x that have one value are all counted.
-    short = F.array_distinct(F.transform("tokens", lambda x: (x.bitwiseAND(0xFFFF) - 0x8000).cast("smallint")))
-    tokens = written(tokens.select("id", "at", "tokens", F.size("tokens").alias("n"), short.alias("short")), "tokens")
-
-    def side(s: str, *names: str) -> DataFrame:
-        return tokens.select(F.col("id").alias(s), *(F.col(c).alias(f"{s}_{c}") for c in names))
-
-    near = pairs.join(side("x", "short", "n"), "x").join(side("y", "short", "n"), "y")
-    most = F.size(F.array_intersect("x_short", "y_short")) + F.col("x_n") - F.size("x_short")
-    near = near.where(most * (NUMERATOR + DENOMINATOR) >= (F.col("x_n") + F.col("y_n")) * NUMERATOR).select("x", "y")
-    both = near.join(side("x", "at", "tokens"), "x").join(side("y", "at", "tokens"), "y")
-    shared = F.size(F.array_intersect("x_tokens", "y_tokens"))
-    union = F.size("x_tokens") + F.size("y_tokens") - shared
-    later = F.when(F.col("x_at") > F.col("y_at"), F.col("x")).otherwise(F.col("y"))
-    return both.where(shared * DENOMINATOR >= union * NUMERATOR).select(later.alias("id")).distinct()
-
-
-def later_matches(documents: DataFrame, ignore_case: bool = True) -> DataFrame:
-    """documents (doc_id, text) -> doc_id, text_hash, line_no of the lines to remove."""
-    ranks = rarity_table(documents.where("text is not null").select("text"), ignore_case).select("ranks").scalar()
-    filled = _lines(documents).where(F.col("line").rlike(r"[^ \t-\r]"))
-    tokens = filled.select("*", ranks.alias("ranks")).select("doc_id", "text_hash", "line_no", _tokens("line", ignore_case).alias("tokens"))
+def _sets(documents: DataFrame, ranks: Column, ignore_case: bool) -> tuple[DataFrame, DataFrame]:
+    """Every line with words by the id of its set; and the sets with their first line, prefix and sketches."""
+    filled = _lines(documents).where(F.trim(F.col("line"), F.lit(_BLANKS)) != "")
+    tokens = filled.select(_at().alias("at"), ranks.alias("ranks"), "line").select("at", _tokens("line", ignore_case).alias("tokens"))
     n = F.size("tokens")
     rarest = F.slice("tokens", F.lit(1), n - F.ceil(n * NUMERATOR / DENOMINATOR).cast("int") + 1)
-    prefix = F.transform(rarest, lambda x: F.hash(x))  # 32 bits do to find candidates
+    # a smaller set matches equal ones only
+    joins = n * (DENOMINATOR - NUMERATOR) >= NUMERATOR
     lines = tokens.select(
-        "doc_id", "text_hash", "line_no", n.alias("n"), F.xxhash64("tokens").alias("id"), prefix.alias("prefix"), _sketch("tokens").alias("sketch")
+        "at",
+        F.xxhash64("tokens").alias("id"),
+        F.xxhash64(F.lit(1), "tokens").alias("id_b"),
+        n.alias("n"),
+        F.when(joins, F.transform(rarest, lambda x: F.hash(x))).alias("prefix"),  # 32 bits do to find candidates
+        F.when(joins, _parity("tokens", False)).alias("all_bits"),
+        F.when(joins, _parity("tokens", True)).alias("high_bits"),
     )
-    lines = written(lines, "lines")
-
-    at = F.struct("doc_id", "text_hash", "line_no")
-    of_set = [F.first(c).alias(c) for c in ("n", "prefix", "sketch")]
-    sets = written(lines.groupBy("id").agg(F.min(at).alias("at"), F.count(F.lit(1)).alias("lines"), *of_set), "sets")
-    entries = sets.select("id", "n", "sketch", F.col("at.doc_id").alias("doc"), F.posexplode("prefix").alias("i", "token"))
-    shared = entries.groupBy("token").agg(F.count(F.lit(1)).alias("m"), F.min("doc").alias("first_doc")).where("m > 1")
-    entries = written(entries.join(shared, "token"), "entries")
-    few, many = entries.where(F.col("m") <= FEW), entries.where(F.col("m") > FEW)
-
-    stars = written(_pairs(few, few).union(_pairs(many, many.where("doc = first_doc"))).distinct(), "stars")
-    matched = written(_verified(stars, sets, documents, ranks, ignore_case), "matched")
-    rest = _pairs(many.join(matched, "id", "left_anti"), many)
-    rest = written(rest.join(stars, ["x", "y"], "left_anti"), "rest")
-    if not rest.isEmpty():
-        matched = matched.union(_verified(rest, sets, documents, ranks, ignore_case)).distinct()
-
-    gone = sets.join(matched.withColumn("matched", F.lit(True)), "id", "left").where((F.col("lines") > 1) | F.col("matched"))
-    gone = gone.select("id", F.col("at").alias("first_at"), F.coalesce("matched", F.lit(False)).alias("matched"))
-    decided = lines.select("doc_id", "text_hash", "line_no", "id").join(gone, "id")
-    return decided.where((at > F.col("first_at")) | F.col("matched")).select("doc_id", "text_hash", "line_no").distinct()
+    lines = written(lines, "lines", "lz4")
+    first = [F.first(c).alias(c) for c in ("n", "prefix", "all_bits", "high_bits")]
+    sets = lines.groupBy("id", "id_b").agg(F.min("at").alias("at"), F.count(F.lit(1)).alias("lines"), *first)
+    return lines, written(sets, "sets", "lz4")
+
+
+def _dealt(entries: DataFrame, hot: DataFrame) -> DataFrame:
+    """Entries with the ``key`` on which they meet: the word, or for those of a hot word one for every part of the sketch."""
+    total = NUMERATOR + DENOMINATOR
+    n = F.col("n")
+    least = F.floor((n + F.ceil(n * NUMERATOR / DENOMINATOR)) * (DENOMINATOR - NUMERATOR) / total)
+    most = F.floor((n + F.floor(n * DENOMINATOR / NUMERATOR)) * (DENOMINATOR - NUMERATOR) / total)
+    joined = entries.join(hot.select(F.col("token").alias("hot")), F.col("token") == F.col("hot"), "left")
+    cold = joined.where("hot is null").select(F.col("token").cast("long").alias("key"), *entries.columns)
+    # beyond 63 a sketch has no bits for so many parts
+    whole = F.lit(64).cast("long")
+    parts = joined.where("hot is not null").select(*entries.columns, F.explode(F.sequence(F.least(least, whole), F.least(most, whole))).alias("d"))
+    parts = parts.select("*", F.explode(F.when(F.col("d") < whole, F.sequence(F.lit(0).cast("long"), F.col("d"))).otherwise(F.array(F.lit(-1).cast("long")))).alias("part"))
+    low, high = (F.floor((F.col("part") + k) * 64 / (F.col("d") + 1)).cast("int") for k in (0, 1))
+    mask = F.call_function("shiftleft", F.call_function("shiftrightunsigned", F.lit(-1).cast("long"), 64 - (high - low)), low)
+    own = lambda c: F.when(F.col("part") < 0, 0).otherwise(F.col(c).bitwiseAND(mask))
+    parts = parts.select(F.xxhash64("token", "d", "part", own("all_bits"), own("high_bits")).alias("key"), *entries.columns)
+    return cold.unionAll(parts)
+
+
+def _partnered(left: DataFrame, right: DataFrame, *also: Column) -> DataFrame:
+    """Rows of ``left`` for which ``right`` has a row of another set that may match; ``also`` has them as w and o."""
+    a, b, x, y = F.col("w.n"), F.col("o.n"), F.col("w.i"), F.col("o.i")
+    length = (F.least(a, b) * DENOMINATOR) >= (F.greatest(a, b) * NUMERATOR)
+    most = F.least(x, y) + F.least(a - x, b - y)  # the words before, and this one and those after
+    place = most * (DENOMINATOR + NUMERATOR) >= (a + b) * NUMERATOR
+    high = F.col("w.high_bits").bitwiseXOR(F.col("o.high_bits"))
+    low = F.col("w.all_bits").bitwiseXOR(F.col("o.all_bits")).bitwiseXOR(high)
+    apart = (F.bit_count(high) + F.bit_count(low)) * (DENOMINATOR + NUMERATOR) <= (a + b) * (DENOMINATOR - NUMERATOR)
+    test = (F.col("w.key") == F.col("o.key")) & (F.col("w.id") != F.col("o.id")) & length & place & apart
+    for more in also:
+        test &= more
+    # by aliases and not by new names, so that a table that meets itself is shuffled once
+    return left.alias("w").join(right.alias("o"), test, "left_semi")
+
+
+def _first_shared() -> Column:
+    """Whether the word of two entries is the first of both prefixes; most others are ruled out by a few comparisons."""
+    p, q, token = F.col("w.prefix"), F.col("o.prefix"), F.col("w.token")
+    earlier = F.lit(False)
+    for i in range(3):
+        for j in range(3):
+            earlier |= (F.col("w.i") > i) & (F.col("o.i") > j) & (F.get(p, F.lit(i)) == F.get(q, F.lit(j)))
+    ordered = F.when(F.col("w.id") < F.col("o.id"), F.array_intersect(p, q)).otherwise(F.array_intersect(q, p))
+    return ~earlier & (F.get(ordered, F.lit(0)) == token)
+
+
+def _matched(sets: DataFrame, documents: DataFrame, ranks: Column, ignore_case: bool) -> DataFrame:
+    """``at`` of the sets that an earlier one matches."""
+    own = ["id", "n", "all_bits", "high_bits"]
+    entries = sets.where("prefix is not null").select(*own, F.posexplode("prefix").alias("i", "token"))
+    hot = written(entries.groupBy("token").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > HOT), "hot", "lz4")
+    dealt = written(_dealt(entries, hot), "dealt", "lz4")
+    near = written(_partnered(dealt, dealt), "near", "lz4")
+    drop(hot, dealt)
+
+    known = near.join(sets.select("id", "at", "prefix"), "id")
+    firsts = written(_partnered(known, known, _first_shared()).drop("prefix"), "firsts", "lz4")
+    drop(near)
+
+    wanted = firsts.select("at").distinct()
+    key = F.xxhash64("doc_id", "text_hash", "line_no")
+    found = _filter_of(wanted.select(F.xxhash64("at.doc_id", "at.text_hash", "at.line_no").alias("key")), "key")
+    lines = _lines(documents).where(_in_filter(key, found.select("bits").scalar()))
+    lines = lines.select(_at().alias("at"), "line").join(wanted, "at", "left_semi").dropDuplicates(["at"])
+    tokens = lines.select("at", "line", ranks.alias("ranks")).select("at", _tokens("line", ignore_case).alias("tokens"))
+    whole = written(firsts.join(tokens, "at"), "whole", "lz4")
+    drop(firsts, found)
+    both = F.size(F.array_intersect("w.tokens", "o.tokens")) * (DENOMINATOR + NUMERATOR) >= (F.col("w.n") + F.col("o.n")) * NUMERATOR
+    out = written(_partnered(whole, whole, F.col("o.at") < F.col("w.at"), both).select("at").distinct(), "matched")
+    drop(whole)
+    return out
 
 
-def dedup_lines(documents: DataFrame, ignore_case: bool = True) -> DataFrame:
-    """``documents`` with an id and text, later matching lines removed; adds n_lines and removed_lines.
+def later_matches(documents: DataFrame, ignore_case: bool = True) -> DataFrame:
+    """documents (doc_id, text) -> doc_id, text_hash, line_no of the lines to remove, once for each equal row."""
+    rarity = rarity_table(documents.where("text is not null").select("text"))
+    ranks = rarity.select("ranks").scalar()
+    lines, sets = _sets(documents, ranks, ignore_case)
+    matched = _matched(sets, documents, ranks, ignore_case)
+    gone = sets.select("id", "id_b", "at", "lines").join(matched.withColumn("matched", F.lit(True)), "at", "left").where("lines > 1 or matched")
+    gone = gone.select("id", "id_b", F.col("at").alias("first_at"), F.coalesce("matched", F.lit(False)).alias("matched"))
+    decided = lines.select("at", "id", "id_b").join(gone, ["id", "id_b"])
+    out = written(decided.where((F.col("at") > F.col("first_at")) | F.col("matched")).select("at.*"), "removed")
+    drop(rarity, lines, sets, matched)
+    return out
+
+
+def dedup_lines(documents: DataFrame, ignore_case: bool = True, added: tuple[str, str] = ("n_lines", "removed_lines")) -> DataFrame:
+    """``documents`` with an id and text, later matching lines removed; adds n_lines and removed_lines, or two other names.
 
     Columns of these two names in the input are replaced, all others stay.
     """
-    removed = written(later_matches(documents.select("doc_id", "text"), ignore_case), "removed")
-    lists = removed.groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(F.collect_set("line_no").alias("_gone"))
-    rows = documents.drop("n_lines", "removed_lines").withColumn("_key", F.xxhash64("text"))
-    key = F.xxhash64("doc_id", "_key")
-    bits = _filter_of(lists.select(F.xxhash64("_id", "_hash").alias("key")), "key").scalar()
-    hit = F.coalesce(_in_filter(key, bits), F.lit(False))
-    joined = rows.where(hit).join(lists, (F.col("doc_id") == F.col("_id")) & (F.col("_key") == F.col("_hash")), "left").select(*rows.columns, "_gone")
+    removed = later_matches(documents.select("doc_id", "text"), ignore_case)
+    rows = documents.drop(*added)
+    own_hash, of, of_hash, lost = fresh([*rows.columns, *added], "_text_hash", "_of", "_of_hash", "_lost")
+    lists = removed.groupBy(F.col("doc_id").alias(of), F.col("text_hash").alias(of_hash)).agg(F.collect_set("line_no").alias(lost))
+    lists = written(lists, "lists")
+    drop(removed)
+    bits = _filter_of(lists.select(F.xxhash64(of, of_hash).alias("key")), "key").select("bits").scalar()
+    hit = F.coalesce(_in_filter(F.xxhash64("doc_id", F.xxhash64("text")), bits), F.lit(False))
+    same = (F.col("doc_id") == F.col(of)) & (F.col(own_hash) == F.col(of_hash))
+    joined = rows.where(hit).withColumn(own_hash, F.xxhash64("text")).join(lists, same, "left").select(*(f"`{c}`" for c in rows.columns), lost)
     # documents that surely lose no line need not be shuffled
-    joined = joined.unionAll(rows.where(~hit).select("*", F.lit(None).cast("array<int>").alias("_gone")))
+    joined = joined.unionAll(rows.where(~hit).select("*", F.lit(None).cast("array<int>").alias(lost)))
     split = F.split("text", "\n", -1)
-    kept = F.filter(split, lambda _, i: ~F.array_contains("_gone", i))
-    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    n_lines, gone = F.coalesce(F.size(split), F.lit(0)), F.coalesce(F.size("_gone"), F.lit(0))
-    out = [text.alias(c) if c == "text" else F.col(c) for c in rows.columns if c != "_key"]
-    return joined.select(*out, F.when(F.col("text").isNull(), 0).otherwise(n_lines).alias("n_lines"), F.when(F.col("_gone").isNull(), 0).otherwise(gone).alias("removed_lines"))
+    kept = F.filter(split, lambda _, i: ~F.array_contains(lost, i))
+    text = F.when(F.col(lost).isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+    n_lines, gone = F.coalesce(F.size(split), F.lit(0)), F.coalesce(F.size(lost), F.lit(0))
+    out = [text.alias(c) if c == "text" else F.col(f"`{c}`") for c in rows.columns]
+    counts = F.when(F.col("text").isNull(), 0).otherwise(n_lines), F.when(F.col(lost).isNull(), 0).otherwise(gone)
+    return joined.select(*out, *(c.alias(name) for c, name in zip(counts, added, strict=True)))

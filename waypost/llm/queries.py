@@ -32,13 +32,12 @@ def op1_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Connected near-duplicate documents at a shingle similarity of 0.75."""
-    return near_duplicates(_table(spark, sf_dir, "documents"))
+    return near_duplicates(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def op3_dedup_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts without the lines that an earlier line of the corpus matches."""
-    # _OP3_SQL compares words as they are written
-    return dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"), ignore_case=False)
+    return dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def op4_pack_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,7 +57,7 @@ def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Languages of all texts, learnt from those that are not held out."""
-    return predict_languages(_table(spark, sf_dir, "documents")).drop("lang_spans")
+    return predict_languages(_table(spark, sf_dir, "documents"))
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,7 +106,10 @@ _OP3_SQL = r"""
 WITH lines AS (
   SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no
   FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL),
-sets AS (SELECT doc_id, line_no, line, list_sort(list_distinct(regexp_extract_all(line, '[^\x20\x09-\x0D]+'))) AS s FROM lines),
+sets AS (
+  SELECT doc_id, line_no, line,
+         list_sort(list_distinct(regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'))) AS s
+  FROM lines),
 kinds AS (SELECT s, len(s) AS n, min((doc_id, line_no)) AS at, row_number() OVER () AS id FROM sets WHERE len(s) > 0 GROUP BY s),
 words AS (SELECT id, n, unnest(s) AS w FROM kinds),
 counts AS (SELECT w, count(*) AS c FROM words GROUP BY w),
