@@ -43,11 +43,10 @@ def test_documents(documents):
     assert result(documents) == brute([(r.doc_id, r.text) for r in documents.collect()])
 
 
-@pytest.mark.parametrize("family", [8192, 10])
-def test_family_of_edits(spark, monkeypatch, family):
-    """Many copies at similarities around the limit, also when the family is taken bucket by bucket in small blocks."""
-    monkeypatch.setattr(near_dup, "FAMILY", family)
-    monkeypatch.setattr(near_dup, "BLOCK", 16)
+@pytest.mark.parametrize("block", [256, 16])
+def test_family_of_edits(spark, monkeypatch, block):
+    """Many copies at similarities around the limit, also in small blocks."""
+    monkeypatch.setattr(near_dup, "BLOCK", block)
     rng = random.Random(5)
     base = [f"w{i}" for i in range(60)]
     rows = [(1000, " ".join(base))]
@@ -59,6 +58,35 @@ def test_family_of_edits(spark, monkeypatch, family):
     assert result(spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows)
 
 
+def test_pairs_that_sketches_leave():
+    """No pair that is similar enough is ruled out, in one block or two, and of two components one stays."""
+    rng = np.random.default_rng(9)
+    base = rng.integers(0, 2**63, 400, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([base[: rng.integers(250, 401)], rng.integers(0, 2**63, rng.integers(0, 80), dtype=np.uint64)])) for _ in range(60)]
+    n = np.array([len(x) for x in sets])
+    bits = np.frombuffer(near_dup.sketches(np.concatenate(sets), n).tobytes(), dtype=np.uint64).reshape(60, -1)
+    ids, own = np.arange(60), np.ones(60, dtype=bool)
+    true = set()
+    for i in range(60):
+        for j in range(i + 1, 60):
+            both = len(np.intersect1d(sets[i], sets[j]))
+            if 100 * both >= 75 * (n[i] + n[j] - both):
+                true.add((i, j))
+    for block in (np.zeros(60, dtype=int), ids % 2):
+        got = set(near_dup.possible_pairs(ids, ids, n, own, block, bits, False))
+        meant = {(i, j) for i, j in true if len(set(block.tolist())) == 1 or block[i] != block[j]}
+        assert meant <= got and len(got) < len(meant) + 200
+        assert len(near_dup.possible_pairs(ids, ids % 3, n, own, np.zeros(60, dtype=int), bits, True)) <= 3
+
+
+def test_one_id_with_two_texts(spark):
+    texts = {"a": " ".join(f"a{i}" for i in range(40)), "b": " ".join(f"b{i}" for i in range(40)), "c": " ".join([f"b{i}" for i in range(39)] + ["c"])}
+    df = spark.createDataFrame([(5, texts["a"]), (5, texts["b"]), (7, texts["c"]), (9, texts["a"])], "doc_id long, text string")
+    rows = near_dup.near_duplicates(df).collect()
+    assert sorted((r.doc_id, r.component_id) for r in rows) == [(5, 5), (5, 5), (7, 5), (9, 5)]
+    assert len({r.first_hash for r in rows}) == 2
+
+
 def test_odd_rows(odd):
     rows = near_dup.near_duplicates(odd).collect()
     assert len(rows) == odd.count()

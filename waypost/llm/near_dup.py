@@ -7,29 +7,35 @@ Documents that agree on all coordinates of a band are candidates; each
 candidate link is confirmed on the full sets.
 
 Work is done on classes (documents of one set), not on documents, so that any
-number of copies costs one row. Candidates are confirmed in two rounds:
+number of copies costs one row. Candidates are confirmed in steps:
 
 1. Within a band's bucket every class is compared with one representative, the
    class that shares most buckets with others. Large groups of true near copies
    are one component after that.
-2. In buckets whose classes still lie in different components, all pairs across
-   components are compared. Buckets that share classes form a family (one too
-   large is taken bucket by bucket); families are cut into blocks of bounded
-   size, each pair of blocks is one unit of work that compares its texts in
-   memory and returns, instead of pairs, at most one row per class.
+2. In buckets whose classes still lie in different components, classes of sizes
+   in proportion meet in blocks of bounded size. What meets is a parity sketch of
+   ``SKETCH_BITS``: a bit that differs is a shingle that only one set has, so the
+   sketch rules pairs out and never loses one. For two components the pair with
+   the nearest sketches is confirmed first; then, where components are still
+   apart, all pairs that the sketches leave.
 
 Pairs inside one component cannot change the result, so every candidate link
-counts, without a row for each pair of a bucket.
+counts, without a row for each pair of a bucket. Texts are fetched for the pairs
+to confirm only.
 
 Defined cases: a null or wordless text has an empty set, is linked with nothing
 and is its own component. A row with a null doc_id is linked with nothing, its
 component is null and it is not kept. Repeated rows are one class and get equal
-results. Shingle hashes have 64 bits: two of a pair's shingles collide with a
-probability below 1e-10 even for texts of 20,000 words.
+results. Rows of one doc_id with different texts are told apart and need not be
+in one component. A very long text is hashed in windows; its set has to fit in
+a task. An empty table gives an empty result; only doc_id and text are read, so
+further columns may bear any name. Shingle hashes have 64 bits: two of a pair's
+shingles collide with a probability below 1e-10 even for texts of 20,000 words.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,19 +43,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .batches import pieces
 from .components import connected_components
 from .words import WordHasher, mix64, shingle_hashes
-from .workspace import written
+from .workspace import drop, written
 
 WIDTH = 5
 NUMERATOR, DENOMINATOR = 75, 100
 #: 32 bands of 4 rows miss a pair of similarity 0.75 with a probability of 5e-6.
 BANDS, ROWS = 32, 4
-#: Classes of a family that is compared as a whole, and of a block.
-FAMILY, BLOCK = 8192, 256
+SKETCH_BITS = 2048
+#: Classes of a block.
+BLOCK = 256
+#: Classes are dealt by the logarithm of their size to this base, a little more than the ratio of sizes that can match.
+_SIZE_BASE = 1.34
 _BATCH_BYTES = 1 << 20
-_COLUMNS = 4096
-_SCHEMA = "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>"
+_SCHEMA = "doc_id long, text_hash long, n_shingles long, set_a long, set_b long, bands array<long>, sketch binary"
 
 
 def _second_permutation(x: np.ndarray, spare: np.ndarray) -> np.ndarray:
@@ -80,18 +89,6 @@ def signatures(shingles: np.ndarray, sizes: np.ndarray, coordinates: int) -> np.
     return out
 
 
-def _parts(texts: list[bytes]) -> Iterator[slice]:
-    """Slices of about a megabyte of text."""
-    at, size = 0, 0
-    for i, t in enumerate(texts):
-        size += len(t) + 1
-        if size >= _BATCH_BYTES:
-            yield slice(at, i + 1)
-            at, size = i + 1, 0
-    if at < len(texts):
-        yield slice(at, len(texts))
-
-
 def _distinct(shingles: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The sorted distinct shingles of each set, and their numbers."""
     out, n, at = [], np.zeros(len(sizes), dtype=np.int64), 0
@@ -111,13 +108,20 @@ def _sums(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return total[ends] - total[ends - sizes]
 
 
+def sketches(shingles: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """A row of SKETCH_BITS bits for every set, each flipped by the shingles that fall on it."""
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    place = (mix64(shingles ^ np.uint64(0x2545F4914F6CDD1D)) % np.uint64(SKETCH_BITS)).astype(np.int64)
+    odd = np.bincount(owner * SKETCH_BITS + place, minlength=len(sizes) * SKETCH_BITS) & 1
+    return np.packbits(odd.astype(bool).reshape(len(sizes), SKETCH_BITS), axis=1)
+
+
 def sign(batches: Iterator[pa.RecordBatch], bands: int = BANDS, rows: int = ROWS) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text as binary) -> set size, 128-bit set digest, band digests."""
+    """(doc_id, text_hash, text as binary) -> set size, 128-bit set digest, band digests, sketch."""
     hasher = WordHasher()
     for batch in batches:
-        all_texts = [t or b"" for t in batch.column(1).to_pylist()]
-        for part in _parts(all_texts):
-            texts = all_texts[part]
+        for part in pieces(batch, 2, _BATCH_BYTES):
+            texts = [t or b"" for t in part.column(2).to_pylist()]
             words, counts = hasher.words(texts)
             shingles, n = _distinct(*shingle_hashes(words, counts, WIDTH))
             a, b = _sums(mix64(shingles), n), _sums(mix64(shingles ^ np.uint64(0xD6E8FEB86659FD93)), n)
@@ -131,13 +135,15 @@ def sign(batches: Iterator[pa.RecordBatch], bands: int = BANDS, rows: int = ROWS
             offsets = pa.array(np.arange(len(texts) + 1, dtype=np.int32) * bands)
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(0).slice(part.start, len(texts)).cast(pa.int64()),
+                    part.column(0),
+                    part.column(1),
                     pa.array(n),
                     pa.array(a.view(np.int64)),
                     pa.array(b.view(np.int64)),
                     pa.ListArray.from_arrays(offsets, pa.array(digest.ravel().view(np.int64))),
+                    pa.array([x.tobytes() for x in sketches(shingles, n)], pa.binary()),
                 ],
-                names=["doc_id", "n_shingles", "set_a", "set_b", "bands"],
+                names=["doc_id", "text_hash", "n_shingles", "set_a", "set_b", "bands", "sketch"],
             )
 
 
@@ -145,14 +151,16 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(a, b, text_a, text_b) -> the pairs (a, b) whose sets are similar enough."""
     hasher = WordHasher()
     for batch in batches:
-        keep = np.zeros(batch.num_rows, dtype=bool)
-        left, right = batch.column(2), batch.column(3)
-        for i in range(batch.num_rows):
-            words, counts = hasher.words([left[i].as_py() or b"", right[i].as_py() or b""])
-            sets, n = _distinct(*shingle_hashes(words, counts, WIDTH))
-            both = len(np.intersect1d(sets[: n[0]], sets[n[0] :], assume_unique=True))
-            keep[i] = DENOMINATOR * both >= NUMERATOR * (len(sets) - both) and both > 0
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep))
+        for part in pieces(batch, 2, _BATCH_BYTES):
+            a, b = part.column(0).to_pylist(), part.column(1).to_pylist()
+            texts = dict(zip([*a, *b], [*part.column(2).to_pylist(), *part.column(3).to_pylist()], strict=True))  # each class once
+            words, counts = hasher.words([t or b"" for t in texts.values()])
+            values, n = _distinct(*shingle_hashes(words, counts, WIDTH))
+            sets = dict(zip(texts, np.split(values, np.cumsum(n)[:-1]), strict=True))
+            both = np.array([len(np.intersect1d(sets[x], sets[y], assume_unique=True)) for x, y in zip(a, b, strict=True)])
+            total = np.array([len(sets[x]) + len(sets[y]) for x, y in zip(a, b, strict=True)])
+            keep = (DENOMINATOR * both >= NUMERATOR * (total - both)) & (both > 0)
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], names=["a", "b"]).filter(pa.array(keep))
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -162,104 +170,95 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return written(joined.mapInArrow(_confirm, "a long, b long"), "links")
 
 
-def _linked(sets: list[np.ndarray], component: np.ndarray) -> np.ndarray:
-    """For each set the first one it reaches over links between sets of different components."""
-    n = np.fromiter(map(len, sets), dtype=np.int64, count=len(sets))
-    values, column = np.unique(np.concatenate(sets), return_inverse=True)
-    row = np.repeat(np.arange(len(sets)), n)
-    common = np.bincount(column) > 1
-    row, column = row[common[column]], (np.cumsum(common) - 1)[column[common[column]]]
-    order = np.argsort(column, kind="stable")
-    row, column = row[order], column[order]
-    both = np.zeros((len(sets), len(sets)), dtype=np.float64)
-    for at in range(0, int(common.sum()), _COLUMNS):
-        lo, hi = np.searchsorted(column, [at, at + _COLUMNS])
-        held = np.zeros((len(sets), _COLUMNS), dtype=np.float32)
-        held[row[lo:hi], column[lo:hi] - at] = 1
-        both += held @ held.T
-    link = (DENOMINATOR * both >= NUMERATOR * (n[:, None] + n - both)) & (component[:, None] != component)
-    first = np.arange(len(sets))
-    while True:
-        near = np.where(link, first, len(sets)).min(1)
-        new = np.minimum(first, near)
-        new = new[new]
-        if (new == first).all():
-            return first
-        first = new
-
-
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted (group key columns, class_id, component, text) -> links that join what each unit of work joins."""
-    hasher = WordHasher()
+def possible_pairs(ids: np.ndarray, component: np.ndarray, n: np.ndarray, own: np.ndarray, block: np.ndarray, bits: np.ndarray, nearest: bool) -> list[tuple[int, int]]:
+    """The pairs of a unit of work that sizes and sketches leave; with ``nearest`` one for every two components."""
+    found: dict[tuple[int, int], tuple[int, int, int]] = {}
+    every = []
+    one_block = (block == block[0]).all()
+    for i in range(len(ids) - 1):
+        rest = slice(i + 1, None)
+        fits = (component[rest] != component[i]) & (own[rest] | own[i])
+        fits &= np.minimum(n[rest], n[i]) * DENOMINATOR >= np.maximum(n[rest], n[i]) * NUMERATOR
+        if not one_block:
+            fits &= block[rest] != block[i]
+        near = np.flatnonzero(fits) + i + 1
+        if not len(near):
+            continue
+        apart = np.bitwise_count(bits[near] ^ bits[i]).sum(1, dtype=np.int64)
+        passed = apart * (DENOMINATOR + NUMERATOR) <= (n[near] + n[i]) * (DENOMINATOR - NUMERATOR)
+        for j, d in zip(near[passed].tolist(), apart[passed].tolist(), strict=True):
+            a, b = sorted((int(ids[i]), int(ids[j])))
+            if nearest:
+                key = tuple(sorted((int(component[i]), int(component[j]))))
+                found[key] = min(found.get(key, (d, a, b)), (d, a, b))
+            else:
+                every.append((a, b))
+    return [(a, b) for _, a, b in found.values()] if nearest else every
+
+
+def _compare(nearest: bool):
+    """Sorted (group key, x, y, class_id, component, n, own, block, sketch) -> pairs that may be similar."""
 
     def unit(rows: list[tuple]) -> list[tuple[int, int]]:
-        texts: dict[int, tuple] = {r[0]: r for r in rows}
-        if len(texts) < 2:
+        rows = list({r[0]: r for r in sorted(rows, key=lambda r: r[3])}.values())  # a class once, as its own where it is both
+        if len(rows) < 2:
             return []
-        own = list(texts.values())
-        sets: list[np.ndarray] = []
-        for part in _parts([r[2] or b"" for r in own]):
-            words, counts = hasher.words([r[2] or b"" for r in own[part]])
-            values, n = _distinct(*shingle_hashes(words, counts, WIDTH))
-            sets += np.split(values, np.cumsum(n)[:-1])
-        first = _linked(sets, np.array([r[1] for r in own]))
-        return [(own[f][0], own[i][0]) for i, f in enumerate(first.tolist()) if f != i]
-
-    key, rows = None, []
-    for batch in batches:
-        found: list[tuple[int, int]] = []
-        columns = [c.to_pylist() for c in batch.columns]
-        for kind, group, x, y, class_id, component, text in zip(*columns, strict=True):
-            if key != (kind, group, x, y):
-                found += unit(rows)
-                key, rows = (kind, group, x, y), []
-            rows.append((class_id, component, text))
-        yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64())], names=["a", "b"])
-    last = unit(rows)
-    yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in last], pa.int64()), pa.array([f[1] for f in last], pa.int64())], names=["a", "b"])
-
-
-def _across(members: DataFrame, found: DataFrame, texts: DataFrame) -> DataFrame:
-    """Links between components: members (bucket, class_id), found (node, component)."""
-    labelled = members.select("bucket", "class_id").join(found.select(F.col("node").alias("class_id"), "component"), "class_id", "left")
-    labelled = written(labelled.select("bucket", "class_id", F.coalesce("component", "class_id").alias("component")), "labelled")
-    split = labelled.groupBy("bucket").agg(
-        F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("class_id").alias("first"), F.count(F.lit(1)).alias("m")
-    )
-    split = split.where("lo <> hi").select("bucket", "first", "m")
-    rest = written(labelled.join(split, "bucket"), "rest")
-    family = written(connected_components(rest.select(F.col("class_id").alias("a"), F.col("first").alias("b"))), "family")
-    sizes = family.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
-    family = family.join(sizes, "component").select(F.col("node").alias("class_id"), F.col("component").alias("family"), "size")
-    rest = rest.join(family, "class_id")
-    small = rest.where(F.col("size") <= FAMILY).groupBy("class_id", "component", "family", "size").agg(F.lit(0).alias("kind"))
-    small = small.select("kind", F.col("family").alias("group"), "size", "class_id", "component")
-    large = rest.where(F.col("size") > FAMILY).select(F.lit(1).alias("kind"), F.col("bucket").alias("group"), F.col("m").alias("size"), "class_id", "component")
-    blocks = F.ceil(F.col("size") / BLOCK)
-    units = small.union(large).withColumn("block", F.pmod(F.xxhash64("class_id"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-    keys = ["kind", "group", "x", "y"]
-    units = units.select("kind", "group", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "class_id", "component")
-    dealt = units.join(texts, "class_id").select(*keys, "class_id", "component", "text").repartition(*keys).sortWithinPartitions(*keys)
-    return written(dealt.mapInArrow(_compare, "a long, b long"), "across")
+        ids, component, n, own, block = (np.array(c) for c in list(zip(*rows, strict=True))[:5])
+        bits = np.frombuffer(b"".join(r[5] for r in rows), dtype=np.uint64).reshape(len(rows), -1)
+        return possible_pairs(ids, component, n, own, block, bits, nearest)
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, rows = None, []
+        pairs = lambda found: pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+        for batch in batches:
+            found: list[tuple[int, int]] = []
+            for *own_key, class_id, component, n, own, block, sketch in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if key != own_key:
+                    found += unit(rows)
+                    key, rows = own_key, []
+                rows.append((class_id, component, n, own, block, sketch))
+            yield pairs(found)
+        yield pairs(unit(rows))
+
+    return compare
+
+
+def _across(members: DataFrame, found: DataFrame, classes: DataFrame, nearest: bool) -> DataFrame:
+    """Pairs of different components that may be similar: members (bucket, class_id, n), found (node, component)."""
+    labelled = members.join(found.select(F.col("node").alias("class_id"), "component"), "class_id", "left")
+    size = F.floor(F.log(F.col("n")) / math.log(_SIZE_BASE))
+    meets = F.explode(F.array(F.struct(size.alias("size"), F.lit(True).alias("own")), F.struct((size + 1).alias("size"), F.lit(False).alias("own"))))
+    labelled = labelled.select("bucket", "class_id", "n", F.coalesce("component", "class_id").alias("component"), meets.alias("m"))
+    labelled = labelled.select("bucket", F.col("m.size").alias("size"), "class_id", "n", "component", F.col("m.own").alias("own"))
+    labelled = written(labelled, "labelled")
+    groups = labelled.groupBy("bucket", "size").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count_if("own").alias("owns"), F.count(F.lit(1)).alias("m"))
+    groups = groups.where("lo <> hi and owns > 0").select("bucket", "size", F.ceil(F.col("m") / BLOCK).alias("blocks"))
+    units = labelled.join(groups, ["bucket", "size"]).withColumn("block", F.pmod(F.xxhash64("class_id"), F.col("blocks")))
+    units = units.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    keys = ["bucket", "size", "x", "y"]
+    units = units.select("bucket", "size", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "class_id", "component", "n", "own", "block")
+    dealt = units.join(classes.select("class_id", "sketch"), "class_id").select(*keys, "class_id", "component", "n", "own", "block", "sketch")
+    dealt = dealt.repartition(*keys).sortWithinPartitions(*keys)
+    out = written(dealt.mapInArrow(_compare(nearest), "a long, b long").distinct(), "across")
+    drop(labelled)
+    return out
 
 
 def near_duplicates(documents: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """documents (doc_id, text) -> doc_id, n_shingles, component_id, kept."""
-    source = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    """documents (doc_id, text) -> doc_id, n_shingles, component_id, kept; and text_hash, first_hash: of the row, and of the first row of its component."""
+    source = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary").alias("text"))
     signed = written(source.mapInArrow(lambda it: sign(it, bands, rows), _SCHEMA), "signed")
-    classes = (
-        signed.where("n_shingles > 0 and doc_id is not null")
-        .groupBy("set_a", "set_b", "n_shingles")
-        .agg(F.min("doc_id").alias("class_id"), F.first("bands").alias("bands"))
-    )
-    classes = written(classes, "classes")
-
-    entries = classes.select("class_id", F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket"))
+    first = F.min(F.struct("doc_id", "text_hash")).alias("first")
+    classes = signed.where("n_shingles > 0 and doc_id is not null").groupBy("set_a", "set_b", "n_shingles").agg(first, F.first(F.struct("bands", "sketch")).alias("s"))
+    classes = classes.select(F.monotonically_increasing_id().alias("class_id"), "set_a", "set_b", F.col("n_shingles").alias("n"), "first", "s.bands", "s.sketch")
+    classes = written(classes, "classes")  # the ids hold for this table
+
+    entries = classes.select("class_id", "n", F.explode("bands").alias("bucket"))
     shared = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
     members = written(entries.join(shared, "bucket").select("bucket", "class_id", "n", "m"), "members")
     weights = members.groupBy("class_id").agg(F.sum("m").alias("weight"))
-    texts = source.join(weights, F.col("doc_id") == F.col("class_id"), "left_semi").withColumnRenamed("doc_id", "class_id")
-    texts = written(texts, "texts")
+    named = classes.join(weights, "class_id", "left_semi").select("class_id", F.col("first.doc_id").alias("doc_id"), F.col("first.text_hash").alias("text_hash"))
+    texts = written(source.join(named, ["doc_id", "text_hash"]).select("class_id", "text"), "texts")
 
     weighed = members.join(weights, "class_id")
     central = F.max(F.struct("weight", (-F.col("class_id")).alias("c"), "n"))
@@ -267,17 +266,28 @@ def near_duplicates(documents: DataFrame, bands: int = BANDS, rows: int = ROWS)
     # DENOMINATOR * intersection >= NUMERATOR * union needs sizes in that ratio
     fits = F.least("n", "rep_n") * DENOMINATOR >= F.greatest("n", "rep_n") * NUMERATOR
     stars = members.join(reps, "bucket").where((F.col("class_id") != F.col("rep")) & fits)
-    stars = stars.select(F.least("class_id", "rep").alias("a"), F.greatest("class_id", "rep").alias("b")).distinct()
-    links = _verified(written(stars, "stars"), texts)
+    stars = written(stars.select(F.least("class_id", "rep").alias("a"), F.greatest("class_id", "rep").alias("b")).distinct(), "stars")
+    links = _verified(stars, texts)
     found = written(connected_components(links), "found")
-    joined = connected_components(links.union(_across(members, found, texts)))
-
-    labels = classes.select("set_a", "set_b", "n_shingles", "class_id").join(
-        joined.withColumnRenamed("node", "class_id"), "class_id", "left"
-    )
-    labels = labels.select("set_a", "set_b", F.col("n_shingles").alias("n"), F.coalesce("component", "class_id").alias("component"))
-    out = signed.select("doc_id", "n_shingles", "set_a", "set_b").join(
-        labels, (F.col("n_shingles") == F.col("n")) & signed.set_a.eqNullSafe(labels.set_a) & signed.set_b.eqNullSafe(labels.set_b) & F.col("doc_id").isNotNull(), "left"
-    )
-    component = F.coalesce("component", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(False)).alias("kept"))
+    for nearest in (True, False):
+        more = _across(members, found, classes, nearest)
+        if more.isEmpty():
+            break
+        linked = _verified(more, texts)
+        if not linked.isEmpty():
+            links = links.union(linked)
+            found = written(connected_components(links), "found")
+
+    grouped = found.join(classes.select(F.col("class_id").alias("node"), "first"), "node")
+    firsts = grouped.groupBy("component").agg(F.min("first").alias("of_all"))
+    grouped = grouped.join(firsts, "component").select(F.col("node").alias("class_id"), "of_all")
+    labels = classes.select("class_id", "set_a", "set_b", F.col("n").alias("n_shingles"), "first").join(grouped, "class_id", "left")
+    labels = labels.select("set_a", "set_b", "n_shingles", F.coalesce("of_all", "first").alias("head"))
+    rows_of = ["doc_id", "text_hash", "n_shingles"]
+    linked = signed.where("n_shingles > 0 and doc_id is not null").select(*rows_of, "set_a", "set_b").join(labels, ["set_a", "set_b", "n_shingles"])
+    linked = linked.select(*rows_of, F.col("head.doc_id").alias("component_id"), F.col("head.text_hash").alias("first_hash"))
+    alone = signed.where("n_shingles = 0 or doc_id is null").select(*rows_of, F.col("doc_id").alias("component_id"), F.col("text_hash").alias("first_hash"))
+    out = linked.unionAll(alone).withColumn("kept", F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(False)))
+    out = written(out.select("doc_id", "n_shingles", "component_id", "kept", "text_hash", "first_hash"), "components")
+    drop(signed, classes, members, texts, stars, found)
+    return out
