@@ -1,4 +1,7 @@
+import time
+
 import pytest
+from pyspark.sql import functions as F
 
 from waypost.llm.html_text import extract_main_text, main_text, stretches
 
@@ -47,6 +50,44 @@ def test_stretches():
     assert stretches([], 0) == [] and stretches([0, 0], 0) == []
 
 
+PARAGRAPHS = [f"Paragraph {i} of the article holds a sentence of ordinary length." for i in range(7)]
+
+
+@pytest.mark.parametrize("mark", ["article", "section", 'div class="post"'])
+def test_links_in_the_middle(mark):
+    links = f"<ul>{'<li><a href=y>link</a></li>' * 9}</ul>"
+    inner = "".join(f"<p>{x}</p>" for x in PARAGRAPHS[:3]) + links + "".join(f"<p>{x}</p>" for x in PARAGRAPHS[3:])
+    page = f"{MENU}<{mark}>{inner}</{mark.split()[0]}><footer>foot</footer>"
+    assert [x for x in main_text(page).split("\n") if x != "link"] == PARAGRAPHS
+
+
+def test_names_of_containers():
+    text = "".join(f"<p>{x}</p>" for x in PARAGRAPHS)
+    whole = "\n".join(PARAGRAPHS)
+    for kept in ('<p class="market-share">', '<p class="comment">', '<div class="market-share">'):
+        tag = kept[1:].split()[0]
+        assert main_text(f"<article>{text}{kept}It rose.</{tag}></article>") == f"{whole}\nIt rose."
+    for dropped in ("ad", "share-buttons", "left-sidebar", "box advert", "comment-list"):
+        assert main_text(f'<article>{text}<div class="{dropped}"><p>Buy this.</p></div></article>') == whole
+    # names that would leave nothing are ignored
+    assert main_text(f'<div class="comment-page">{text}</div>') == whole
+    # a few cards that are marked do not outweigh the text
+    assert main_text(f"{text}<div><a href=x>1</a></div>" + "<article>See too</article>" * 2).startswith(whole)
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        '<div class="ad">x ' * 50_000, '<div class="post">x ' * 50_000, "<b " * 300_000, '<b "' * 250_000, "<!x" * 300_000, "<script>" * 100_000, "</div>" * 150_000,
+        "<nav>x</div>" * 80_000, "<a href='" * 100_000, "</script " * 100_000, "<!--" * 200_000, "&#" * 400_000, "<div " + "class= " * 150_000 + ">", "<ul><li>" * 120_000 + "</ul>" * 120_000,
+    ],
+)
+def test_hostile_pages(page):
+    began = time.process_time()
+    main_text(page)
+    assert time.process_time() - began < 10
+
+
 def test_table(spark):
     rows = [(1, "u", "<article>x</article>"), (2, None, None), (None, "u", ""), (3, "u", "<p>" + "word " * 200_000), (1, "u", "<article>x</article>")]
     df = spark.createDataFrame([(*r, "text") for r in rows], "page_id long, url string, html string, text string")
@@ -55,13 +96,15 @@ def test_table(spark):
     assert extract_main_text(df.where("page_id = 9")).count() == 0
 
 
-def test_given_pages(spark, small):
-    """The article's text, got the plain way from these pages' single template."""
+@pytest.mark.parametrize("marked", [True, False])
+def test_given_pages(spark, small, marked):
+    """The article's text, got the plain way from these pages' single template; also where the page does not mark it."""
     import html
     import re
 
     pages = spark.read.parquet(f"{small}/pages.parquet")
-    texts = {r.page_id: r.text for r in extract_main_text(pages).collect()}
+    shown = pages if marked else pages.withColumn("html", F.regexp_replace("html", "</?article>", ""))
+    texts = {r.page_id: r.text for r in extract_main_text(shown).collect()}
     for r in pages.collect():
         inner = r.html[r.html.index("<article>") + 9 : r.html.index("</article>")]
         inner = re.sub("</?b>", "", re.sub("</?(p|br|h1)>", "\n", inner))

@@ -1,21 +1,28 @@
 """Main text of raw web pages by line-block distribution.
 
-Markup is stripped to lines, one for each block of text. Elements that are
-never article text (scripts, styles, forms, navigation, headers, footers,
-asides, and containers that their class or id names as an advert, menu,
-sidebar, notice or reader comment) leave no lines. Every line has a text
-length; lines that are nothing but links count 0, and where the page marks an
-``article`` or ``main`` element, so do the lines outside it. The lengths are
-summed over sliding windows of lines. A surge point is where the sum rises over
-the limit, the next dive point where it falls back; the text between them is
-kept. In marked text the limit is 0 and every stretch is kept. Else it is
-``LIMIT_CHARS``, or a share of the page's largest sum where that is less, and
-all text from the first stretch to the last one is kept, with the lines that
-the last window reaches; only lines of links are left out of it.
-
-Defined cases: a null or empty page has empty text. A container that is opened
-and never closed is not skipped. Very long pages are read whole. Repeated pages
-are kept, row by row.
+Markup is stripped to lines, one for each block of text, in one pass over the
+page. Elements that are never article text (scripts, styles, forms, navigation,
+headers, footers, asides, and containers that their class or id names as an
+advert, menu, sidebar, notice or reader comment) leave no lines. Every line has
+a text length; a line of nothing but links counts 0. The lengths are summed over
+sliding windows of lines. A stretch begins where the sum rises from 0 (surge)
+and ends where it falls back to 0 (dive); it is text if its largest sum is over
+a limit: ``LIMIT_CHARS``, or a share of the page's largest sum where that is
+less. All text from the first such stretch to the last one is kept; lines of
+links between them are left out.
+
+What a page says of itself moves the lengths, not the decision. Where it marks
+an ``article`` or ``main`` element or names a container of its text, lines
+outside count 0, links inside are part of sentences, and the limit is 0 - unless
+the lines outside surge over the limit and hold more than twice as much text,
+as around cards of other articles. Where names of containers would leave a page
+without text, they are ignored.
+
+Defined cases: a null or empty page has empty text, as has a page of links only.
+A container that is opened and never closed is not skipped. Very long pages are
+read whole, in time that grows with their length however broken they are.
+Repeated pages are kept, row by row; an empty table gives an empty result. Only
+page_id, url and html are read, so further columns may bear any name.
 """
 
 from __future__ import annotations
@@ -29,29 +36,39 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .batches import pieces
+
 WINDOW = 3
 LIMIT_SHARE = 0.2
-#: Characters in a window that are article text on any page without marks.
+#: Characters in a window that are article text on any page.
 LIMIT_CHARS = 40
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^'">]|"[^"]*"|'[^']*')*)>|<[!?][^>]*>""", re.S)
-_ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+# No part can read on beyond the next "<", so that a page is scanned once.
+_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^'"<>]++|"[^"]*+"|'[^']*+')*+)>|<[!?][^<>]*+>""", re.S)
+_ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]++))""", re.I)
 _RAW = frozenset("script style noscript template textarea iframe svg math canvas title".split())
-_SKIPPED = _RAW | frozenset("head nav header footer aside form button select option menu dialog audio video object".split())
+_RAW_END = {tag: re.compile(rf"</{tag}\b[^<>]*+>", re.I) for tag in _RAW}
+_SKIPPED = frozenset("head nav header footer aside form button select option menu dialog audio video object".split())
 _BLOCKS = frozenset(
     "address article aside blockquote body br caption center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "header hr html legend li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
-_CONTAINERS = frozenset("div section ul ol dl p span table td figure article li ins center details".split())
-#: Words in a class, id or role that name what is no article text.
+_CONTAINERS = frozenset("div section ul ol dl table figure article center details".split())
+_STACKED = _SKIPPED | _CONTAINERS
+#: Words that, as any part of a class, id or role, name what is no article text.
 _NAMES = frozenset(
-    "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner nav navbar navigation menu menubar "
-    "breadcrumb breadcrumbs sidebar aside footer cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe "
-    "subscription signup login share sharing social comment comments commentlist disqus respond reply replies search related recommended "
-    "widget toolbar pagination pager contentinfo complementary".split()
+    "advert adverts advertisement advertising adsense sponsor sponsored nav navbar navigation menu menubar breadcrumb breadcrumbs sidebar "
+    "footer cookie cookies consent gdpr popup modal overlay newsletter subscribe subscription signup commentlist disqus toolbar pagination "
+    "pager contentinfo complementary masthead".split()
+)
+#: Words that do so only as the first part, as in "share-buttons" but not in "market-share".
+_FIRST_NAMES = frozenset(
+    "ad ads aside promo promotion banner notice notices alert login share sharing social comment comments respond reply replies search "
+    "related recommended widget header topbar".split()
 )
+#: Whole names of the same kind.
+_WHOLE_NAMES = frozenset("site-header page-header top-bar main-header".split())
 #: Words in a class or id that name the container of the article text.
 _TEXTS = frozenset("article articlebody story post entry content maincontent main body-text posttext".split())
-_HEADERS = frozenset("header site-header page-header masthead topbar top-bar banner".split())
 
 
 @dataclass
@@ -61,131 +78,157 @@ class Line:
     marked: str  # what marks it as article text: "article", "main", "container" or ""
 
 
-def _is_skipped(tag: str, attributes: str) -> bool:
-    if tag in _SKIPPED:
-        return True
-    if tag not in _CONTAINERS or not attributes:
-        return False
+@dataclass
+class _Element:
+    """An open element that matters: one to skip or one that names the container of the text."""
+
+    tag: str
+    above: int  # the element to skip that holds it
+    skips: bool
+    texts: bool
+    closed: bool = False
+
+
+def _named(attributes: str) -> tuple[bool, bool]:
+    """Whether a class, id or role names what is no article text, and whether one names its container."""
+    other = texts = False
     for _, a, b, c in _ATTRIBUTE.findall(attributes):
-        value = (a or b or c).lower()
-        if value in _HEADERS or not _NAMES.isdisjoint(re.split(r"[^a-z0-9]+", value)):
-            return True
-    return False
-
-
-def _names_text(tag: str, attributes: str) -> bool:
-    if tag not in ("div", "section", "td") or not attributes:
-        return False
-    found = (n for _, a, b, c in _ATTRIBUTE.findall(attributes) for n in re.split(r"[^a-z0-9]+", (a or b or c).lower()))
-    return not _TEXTS.isdisjoint(found)
-
-
-def _end_of(page: str, tag: str, at: int) -> int:
-    """Where the element ``tag`` opened before ``at`` ends, or -1."""
-    if tag in _RAW:
-        m = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
-        return m.end() if m else -1
-    depth = 1
-    for m in re.compile(rf"<!--.*?-->|<(script|style)\b.*?</\1\s*>|<(/?){tag}\b(?:[^'\">]|\"[^\"]*\"|'[^']*')*>", re.I | re.S).finditer(page, at):
-        if m[2] is not None:
-            depth += -1 if m[2] else 1
-            if not depth:
-                return m.end()
-    return -1
-
-
-def lines_of(page: str) -> list[Line]:
-    """The blocks of text of a page, in order."""
-    lines: list[Line] = []
-    parts: list[str] = []
-    linked, outside = 0, False  # characters inside links, whether others stand between them than space and signs
+        for name in (a or b or c).lower().split():
+            parts = re.split(r"[^a-z0-9]+", name)
+            other = other or name in _WHOLE_NAMES or parts[0] in _FIRST_NAMES or not _NAMES.isdisjoint(parts)
+            texts = texts or not _TEXTS.isdisjoint(parts)
+    return other, texts
+
+
+def lines_of(page: str, names: bool = True) -> list[Line]:
+    """The blocks of text of a page, in order; without ``names`` classes and ids are not looked at."""
+    elements: list[_Element] = []
+    stack: list[tuple[str, int]] = []  # open tags, and the element of each or -1
+    opened = dict.fromkeys(_STACKED, 0)
     depth = {"article": 0, "main": 0, "a": 0}
-    at, container = 0, 0  # container: where the last container of article text ends
-
-    def add(piece: str) -> int:
-        nonlocal outside
-        if piece:
-            parts.append(piece)
-        if depth["a"]:
-            return len(piece.strip())
-        outside = outside or any(map(str.isalnum, html.unescape(piece)))
-        return 0
-
-    def flush(here: int) -> int:
-        nonlocal outside
+    skip, held = -1, []  # the innermost open element to skip, the open ones that name a container of text
+    blocks: list[tuple[list[tuple[str, bool, int]], str, int]] = []  # pieces (text, in a link, element to skip), mark, container
+    parts: list[tuple[str, bool, int]] = []
+
+    def flush() -> None:
+        nonlocal parts
         if parts:
-            raw = "".join(parts)
-            parts.clear()
-            text = " ".join(html.unescape(raw).split())
-            if text:
-                marked = "article" if depth["article"] else "main" if depth["main"] else "container" if here < container else ""
-                lines.append(Line(text, 0 if linked and not outside else len(text), marked))
-        outside = False
-        return 0
-
-    while m := _TAG.search(page, at):
-        linked += add(page[at : m.start()])
+            blocks.append((parts, "article" if depth["article"] else "main" if depth["main"] else "", held[-1] if held else -1))
+            parts = []
+
+    def leave(of: int, explicit: bool) -> None:
+        nonlocal skip
+        if of >= 0:
+            elements[of].closed = explicit
+            if elements[of].skips:
+                skip = elements[of].above
+            if held and held[-1] == of:
+                held.pop()
+
+    at = 0
+    for m in _TAG.finditer(page):
+        if m.start() < at:  # inside a raw element
+            continue
+        if m.start() > at:
+            parts.append((page[at : m.start()], depth["a"] > 0, skip))
         at = m.end()
         if not m[2]:
             continue
         tag, closing = m[2].lower(), bool(m[1])
-        if not closing and _is_skipped(tag, m[3]):
-            end = _end_of(page, tag, at)
-            if end >= 0 or tag in _RAW:
-                if tag in _BLOCKS:
-                    linked = flush(m.start())
-                at = end if end >= 0 else len(page)
-                continue
+        if tag in _RAW:
+            if not closing:
+                end = _RAW_END[tag].search(page, at)
+                at = end.end() if end else len(page)
+            continue
         if tag in _BLOCKS:
-            linked = flush(m.start())
-        if not closing and _names_text(tag, m[3]):
-            container = max(container, _end_of(page, tag, at))
+            flush()
+        if tag in _STACKED and not closing and not m[3].endswith("/"):
+            other, texts = _named(m[3]) if names and m[3] and tag in _CONTAINERS else (False, False)
+            skips, texts = tag in _SKIPPED or other, texts and tag in ("div", "section", "td")
+            of = -1
+            if skips or texts:
+                of = len(elements)
+                elements.append(_Element(tag, skip, skips, texts))
+                if skips:
+                    skip = of
+                if texts:
+                    held.append(of)
+            stack.append((tag, of))
+            opened[tag] += 1
+        elif tag in _STACKED and closing and opened[tag]:
+            while True:  # what is open inside ends here too, but was never closed
+                name, of = stack.pop()
+                opened[name] -= 1
+                leave(of, name == tag)
+                if name == tag:
+                    break
         if tag in depth and not m[3].endswith("/"):
             depth[tag] = max(0, depth[tag] + (-1 if closing else 1))
-    linked += add(page[at:])
-    flush(len(page))
-    return lines
+    if at < len(page):
+        parts.append((page[at:], depth["a"] > 0, skip))
+    flush()
+
+    gone: list[bool] = []
+    for e in elements:
+        gone.append((e.skips and e.closed) or (e.above >= 0 and gone[e.above]))
+    out = []
+    for own, mark, container in blocks:
+        kept = [(html.unescape(t), linked) for t, linked, of in own if of < 0 or not gone[of]]
+        text = " ".join("".join(t for t, _ in kept).split())
+        if text:
+            outside = any(any(map(str.isalnum, t)) for t, linked in kept if not linked)
+            links = any(linked and t.strip() for t, linked in kept)
+            out.append(Line(text, 0 if links and not outside else len(text), mark or ("container" if container >= 0 else "")))
+    return out
 
 
 def stretches(lengths: list[int], limit: float, window: int = WINDOW) -> list[tuple[int, int]]:
-    """(surge, dive) line ranges: where sums over ``window`` lines exceed ``limit``."""
-    found, start = [], -1
+    """(surge, dive) line ranges: where sums over ``window`` lines are above 0 throughout and over ``limit`` somewhere."""
     sums = [sum(lengths[i : i + window]) for i in range(len(lengths))]
-    for i, s in enumerate(sums):
-        if s > limit and start < 0:
+    found, start = [], -1
+    for i, s in enumerate([*sums, 0]):
+        if s > 0 and start < 0:
             start = i
-        elif s <= limit and start >= 0:
-            found.append((start, i))
+        elif s <= 0 and start >= 0:
+            if max(sums[start:i]) > limit:
+                found.append((start, i))
             start = -1
-    if start >= 0:
-        found.append((start, len(lengths)))
-    # a window reaches ahead: the stretch begins at its first line with text, and lines after its last have none
+    # a window reaches ahead: a stretch begins and ends at lines with text
     out = []
     for a, b in found:
-        while a < b and not lengths[a]:
+        while not lengths[a]:
             a += 1
-        while b > a and not lengths[b - 1]:
+        while not lengths[b - 1]:
             b -= 1
-        if a < b:
-            out.append((a, b))
+        out.append((a, b))
     return out
 
 
+def _largest(lengths: list[int]) -> int:
+    return max((sum(lengths[i : i + WINDOW]) for i in range(len(lengths))), default=0)
+
+
+def _lengths(lines: list[Line]) -> tuple[list[int], float]:
+    """The lengths that count, and the limit for their sums."""
+    for mark in ("article", "main", "container"):
+        inside = [len(x.text) if x.marked == mark else 0 for x in lines]
+        if any(inside):
+            outside = [0 if x.marked == mark else x.length for x in lines]
+            if _largest(outside) <= LIMIT_CHARS or sum(outside) <= 2 * sum(inside):
+                return inside, 0
+    lengths = [x.length for x in lines]
+    return lengths, min(LIMIT_CHARS, LIMIT_SHARE * _largest(lengths))
+
+
 def main_text(page: str | None) -> str:
-    lines = lines_of(page or "")
-    marks = {x.marked for x in lines if x.marked}
-    mark = next((x for x in ("article", "main", "container") if x in marks), "")
-    if mark:
-        # links inside marked text are part of its sentences
-        lengths = [len(x.text) if x.marked == mark else 0 for x in lines]
-        kept = stretches(lengths, 0)
-    else:
-        lengths = [x.length for x in lines]
-        top = max((sum(lengths[i : i + WINDOW]) for i in range(len(lengths))), default=0)
-        found = stretches(lengths, min(LIMIT_CHARS, LIMIT_SHARE * top))
-        # the last window that passes may begin WINDOW - 1 lines before the text ends
-        kept = [(found[0][0], found[-1][1] + WINDOW - 1)] if found else []
-    return "\n".join(x.text for a, b in kept for x, n in zip(lines[a:b], lengths[a:b], strict=True) if n)
+    for names in (True, False):
+        lines = lines_of(page or "", names)
+        lengths, limit = _lengths(lines)
+        if found := stretches(lengths, limit):
+            at = found[0][0]
+            kept = zip(lines[at : found[-1][1]], lengths[at : found[-1][1]], strict=True)
+            return "\n".join(x.text for x, n in kept if n)
+    return ""
 
 
 def extract_main_text(pages: DataFrame) -> DataFrame:
@@ -193,11 +236,12 @@ def extract_main_text(pages: DataFrame) -> DataFrame:
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [main_text(p) for p in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
-                names=["page_id", "url", "text", "n_chars"],
-            )
+            for part in pieces(batch, 2):
+                texts = [main_text(p) for p in part.column(2).to_pylist()]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
+                    names=["page_id", "url", "text", "n_chars"],
+                )
 
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
     return rows.mapInArrow(extract, "page_id long, url string, text string, n_chars long")
