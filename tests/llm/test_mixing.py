@@ -19,6 +19,20 @@ def test_sainte_lague(spark, seats):
         assert {k: got[g, k] for k in won} == won
 
 
+@pytest.mark.parametrize("seats", [0, 5, 60, 200, 10_000])
+def test_sainte_lague_with_bounds(spark, seats):
+    rng = random.Random(seats)
+    rows = [(f"k{i:02}", float(rng.choice([1, 5, 5, 100, 333])), rng.choice([0, 1, 3, 20, 50])) for i in range(25)]
+    df = spark.createDataFrame(rows, "k string, w double, m int")
+    got = {r.k: r.q for r in sainte_lague(df, [], "w", F.lit(seats), ["k"], "q", F.col("m")).collect()}
+    won = dict.fromkeys((k for k, _, _ in rows), 0)
+    for _ in range(seats):
+        open_ = [(-w / (2 * won[k] + 1), k) for k, w, m in rows if won[k] < m]
+        if open_:
+            won[min(open_)[1]] += 1
+    assert got == won
+
+
 def reshared(sizes, weights=(5, 2, 1)):
     """Targets by resharing the excess again and again."""
     names = sorted((n for n in sizes if n is not None)) + ([None] if None in sizes else [])
@@ -60,6 +74,51 @@ def test_shards_share_exactly(documents):
     assert ((sums.taken - sums.target).abs() <= 0.03 * sums.target).all() and (rows.taken <= 2 * rows["size"]).all()
 
 
+def brute(rows, block_words, shard_words, seed=17):
+    """The documented steps one by one: rows (doc_id, source, size, hashes) of one shard a source -> taken."""
+    sizes = {}
+    for _, source, size, *_ in rows:
+        sizes[source] = sizes.get(source, 0) + size
+    targets = reshared(sizes)
+    names = sorted(n for n in sizes if n is not None) + ([None] if None in sizes else [])
+    blocks = dict.fromkeys(names, 0)
+    for _ in range(round(sum(targets.values()) / block_words)):
+        blocks[max(names, key=lambda n: (targets[n] / (2 * blocks[n] + 1), -names.index(n)))] += 1
+    taken = {}
+    for name in names:
+        own = sorted((h, i, t, size) for i, source, size, t, h, _ in rows if source == name and size)
+        stream = [i for _, i, _, size in own for _ in range(size)]
+        count = -(-len(stream) // block_words)
+        if not count:
+            continue
+        shift = next(s for _, source, size, _, _, s in rows if source == name and size) % count
+        quota = min(blocks[name], 2 * count)
+        extra = quota % count
+        for b in range(count):
+            times = quota // count + ((b + shift + 1) * extra // count > (b + shift) * extra // count)
+            for i in stream[b * block_words : (b + 1) * block_words]:
+                taken[i] = taken.get(i, 0) + times
+    return {i: taken.get(i, 0) for i, *_ in rows}
+
+
+@pytest.mark.parametrize("block_words", [1, 4, 16])
+def test_against_brute_force(spark, block_words):
+    rng = random.Random(block_words)
+    texts = [(i, f"s{rng.choice([0, 0, 0, 1, 2, 3])}" if i % 9 else None, " ".join("w" * rng.randint(0, 60))) for i in range(150)]
+    df = spark.createDataFrame(texts, "doc_id long, source string, text string")
+    rows = df.select(
+        "doc_id", "source", F.size(F.filter(F.split("text", " "), lambda w: w != "")).alias("size"), F.xxhash64("text").alias("h")
+    ).select("*", F.xxhash64("doc_id", "h", F.lit(18)).alias("seeded"), F.xxhash64("source", F.lit(0).cast("long"), F.lit(19)).alias("start"))
+    got = {r.doc_id: r.taken for r in mix_sources(df, block_words=block_words).collect()}
+    assert got == brute([tuple(r) for r in rows.collect()], block_words, 1 << 17)
+
+
+def test_small_sources_come_near_their_targets(spark):
+    rows = [(i, "big", "word " * 50) for i in range(100)] + [(1000, "small", "ten words " * 5), (1001, "tiny", "one")]
+    got = {r.doc_id: r for r in mix_sources(spark.createDataFrame(rows, "doc_id long, source string, text string")).collect()}
+    assert got[1000].target == 20 and got[1000].taken >= 16 and got[1001].target == 2 and 1 <= got[1001].taken <= 2
+
+
 def test_odd_rows(odd, none):
     rows = mix_sources(odd).collect()
     assert len(rows) == odd.count()
