@@ -8,14 +8,17 @@ stride of two. Their responses are max-pooled over chunks of 256 bytes that
 overlap by half and together cover the whole text; the mean and the maximum
 over all chunks enter a logistic unit.
 
-The network is fitted on the driver on at most ``SAMPLE_ROWS`` labelled texts,
-of which at most ``SAMPLE_BYTES`` bytes in ``SAMPLE_CHUNKS`` chunks spread
-evenly over the text are used. Scoring always reads whole texts.
+The network is fitted on the driver on whole texts of at most ``SAMPLE_ROWS``
+labelled rows, those whose id has the smallest hash. Scoring reads whole texts,
+some half chunks at a time, so memory does not grow with a text beyond itself.
 
 Defined cases: a null or empty text is one chunk of padding. Labels other than
-0 and 1 are not used. Repeated labels count each. Without labels of both kinds
-every score is the share of label 1, or 0.5 without any label. Rows with a null
-doc_id are scored, never used for fitting and count as not held out.
+0 and 1 are not used. Repeated labels and repeated rows count each, in an order
+that does not depend on their partitions. Without labels of both kinds every
+score is the share of label 1, or 0.5 without any label. Rows with a null
+doc_id are scored, never used for fitting and count as not held out. An empty
+table gives an empty result. Only doc_id and text are read, so further columns
+may bear any name.
 """
 
 from __future__ import annotations
@@ -28,16 +31,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .batches import pieces
+
+#: Labelled rows that the network is fitted on at most.
 SAMPLE_ROWS = 3000
-#: Half chunks of a text that fitting uses.
-SAMPLE_CHUNKS = 24
 WIDTH, STRIDE, FILTERS, HALF = 8, 2, 24, 128
-SAMPLE_BYTES = SAMPLE_CHUNKS * HALF + WIDTH
 SYMBOLS = 512
 LAGS = range(2, 33)
 _PADDING = 48
 STEPS, BATCH, RATE = 500, 32, 0.01
-_SLICE_BYTES = 1 << 19
+_SLICE_BYTES, _SLICE_ROWS = 1 << 19, 1024
+#: Half chunks whose responses are held at a time, to stay in the processor's cache.
+_HALVES = 1 << 9
 
 
 def symbols_of(data: np.ndarray) -> np.ndarray:
@@ -93,16 +98,22 @@ def _last(halves: np.ndarray) -> np.ndarray:
     return out
 
 
-def _pooled(net: Network, symbols: np.ndarray, halves: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Per half chunk the largest response and its place, and the halves' first indices."""
-    r = _responses(net, symbols, _last(halves))
-    place = r.argmax(1)
-    return np.take_along_axis(r, place[:, None, :], 1)[:, 0], place, np.cumsum(halves) - halves
+def _pooled(net: Network, symbols: np.ndarray, halves: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Per half chunk the largest response of each filter, and its place."""
+    total, last = int(halves.sum()), _last(halves)
+    best = np.empty((total, net.filters.shape[2]), dtype=np.float32)
+    place = np.empty(best.shape, dtype=np.int64)
+    for at in range(0, total, _HALVES):
+        to = min(total, at + _HALVES)
+        r = _responses(net, symbols[at * HALF : to * HALF + WIDTH], last[at:to])
+        place[at:to] = r.argmax(1)
+        best[at:to] = np.take_along_axis(r, place[at:to, None, :], 1)[:, 0]
+    return best, place
 
 
-def _chunks(best: np.ndarray, starts: np.ndarray, halves: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _chunks(halves: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Indices of the first half of every chunk, and the chunks of each text."""
-    n = halves - 1
+    n, starts = halves - 1, np.cumsum(halves) - halves
     first = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(starts, n)
     return first, n
 
@@ -111,27 +122,16 @@ def score_bytes(net: Network, texts: list[bytes]) -> np.ndarray:
     symbols, halves = padded(texts)
     total, last = int(halves.sum()), _last(halves)
     best = np.empty((total, net.filters.shape[2]), dtype=np.float32)
-    step = 1 << 9  # half chunks at a time, to stay in the processor's cache
-    for at in range(0, total, step):
-        n = min(step, total - at)
-        own = symbols[at * HALF : (at + n) * HALF + WIDTH]
-        best[at : at + n] = _responses(net, own, last[at : at + n]).max(1)
-    first, n = _chunks(best, np.cumsum(halves) - halves, halves)
+    for at in range(0, total, _HALVES):
+        to = min(total, at + _HALVES)
+        best[at:to] = _responses(net, symbols[at * HALF : to * HALF + WIDTH], last[at:to]).max(1)
+    first, n = _chunks(halves)
     active = np.maximum(np.maximum(best[first], best[first + 1]) + net.bias, 0)
     begin = np.cumsum(n) - n
     inputs = np.concatenate([np.add.reduceat(active, begin) / n[:, None], np.maximum.reduceat(active, begin)], 1)
     return 1 / (1 + np.exp(-np.clip(inputs.astype(np.float64) @ net.weights + net.offset, -30, 30)))
 
 
-def spread_sample(text: bytes) -> bytes:
-    """At most SAMPLE_CHUNKS half chunks of a text, in runs of four spread evenly over it."""
-    halves = _halves(len(text))
-    if halves <= SAMPLE_CHUNKS:
-        return text
-    runs = np.linspace(0, halves - 4, SAMPLE_CHUNKS // 4).astype(int)
-    return b"".join(text[r * HALF : (r + 4) * HALF] for r in runs)
-
-
 def fit_network(texts: list[bytes], labels: np.ndarray, seed: int = 8, steps: int = STEPS) -> Network:
     """Adam on the logistic loss over batches of as many texts of label 0 as of label 1."""
     rng = np.random.default_rng(seed)
@@ -152,8 +152,8 @@ def fit_network(texts: list[bytes], labels: np.ndarray, seed: int = 8, steps: in
         rows = np.concatenate([rng.choice(zero, BATCH // 2), rng.choice(one, BATCH // 2)])
         own = [texts[i] for i in rows]
         symbols, halves = padded(own)
-        best, place, starts = _pooled(net, symbols, halves)
-        first, n = _chunks(best, starts, halves)
+        best, place = _pooled(net, symbols, halves)
+        first, n = _chunks(halves)
         second = best[first + 1] > best[first]
         raw = np.where(second, best[first + 1], best[first]) + net.bias
         active = np.maximum(raw, 0)
@@ -193,19 +193,13 @@ def is_held_out() -> Column:
 def fit(documents: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Network:
     """Fit on rows of ``documents`` (doc_id, text) with a quality in ``labels`` (doc_id, quality)."""
     known = labels.where("doc_id is not null and quality in (0, 1)").select(F.col("doc_id").alias("label_id"), "quality")
-    share = min(1.0, sample_rows / max(1, known.count()))
-    known = known.where(F.pmod(F.xxhash64("label_id", F.lit(8)), F.lit(1 << 20)) < F.lit(round(share * (1 << 20))))
+    share = min(1.0, 2 * sample_rows / max(1, known.count()))  # about twice as many, of which the first are taken
+    hashed = F.pmod(F.xxhash64("label_id", F.lit(8)), F.lit(1 << 40))
+    known = known.select("*", hashed.alias("place")).where(F.col("place") < F.lit(round(share * (1 << 40))))
     rows = documents.select("doc_id", F.col("text").cast("binary").alias("text")).join(known, F.col("doc_id") == F.col("label_id"))
-
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [spread_sample(t or b"") for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.binary()), batch.column(2)], names=["doc_id", "text", "quality"])
-
-    picked = rows.select("doc_id", "text", F.col("quality").cast("int").alias("quality"))
-    table = picked.mapInArrow(spread, "doc_id long, text binary, quality int").limit(2 * sample_rows).toArrow().sort_by("doc_id")
-    texts = [t for t in table.column("text").to_pylist()]
-    return fit_network(texts, table.column("quality").to_numpy())
+    picked = rows.select("place", "doc_id", F.xxhash64("text").alias("text_hash"), F.col("quality").cast("int").alias("quality"), "text")
+    table = picked.orderBy("place", "doc_id", "text_hash", "quality").limit(sample_rows).toArrow()
+    return fit_network([t or b"" for t in table.column("text").to_pylist()], table.column("quality").to_numpy())
 
 
 def score_texts(documents: DataFrame, net: Network) -> DataFrame:
@@ -214,16 +208,9 @@ def score_texts(documents: DataFrame, net: Network) -> DataFrame:
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t or b"" for t in batch.column(2).to_pylist()]
-            scores, at = [np.empty(0)], 0
-            while at < len(texts):
-                to, size = at, 0
-                while to < len(texts) and (to == at or size < _SLICE_BYTES):
-                    size += max(len(texts[to]), 2 * HALF)
-                    to += 1
-                scores.append(score_bytes(shared.value, texts[at:to]))
-                at = to
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.concatenate(scores))], names=["doc_id", "held_out", "score"])
+            for part in pieces(batch, 2, _SLICE_BYTES, _SLICE_ROWS):
+                scores = score_bytes(shared.value, [t or b"" for t in part.column(2).to_pylist()])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(scores)], names=["doc_id", "held_out", "score"])
 
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), is_held_out().alias("held_out"), F.col("text").cast("binary").alias("text"))
     return rows.mapInArrow(score, "doc_id long, held_out boolean, score double")
