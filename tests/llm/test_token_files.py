@@ -4,6 +4,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from waypost.llm import token_files
@@ -16,27 +17,54 @@ def plain():
     return Tokenizer.from_file(PATH)
 
 
-def expected(plain, rows):
+def expected(plain, df):
+    """The rows in order: without an id first, then by id, hash of the text and text."""
     start, out = 0, []
-    for i, text in sorted(((i, t or "") for i, t in rows if i is not None)):
-        ids = [*plain.encode(text, add_special_tokens=False).ids, 1]
-        out.append((i, start, len(ids), zlib.crc32(np.array(ids, dtype="<u4").tobytes())))
+    for r in df.select("doc_id", "text").orderBy("doc_id", F.xxhash64("text"), "text").collect():
+        ids = [*plain.encode(r.text or "", add_special_tokens=False).ids, 1]
+        out.append((r.doc_id, start, len(ids), zlib.crc32(np.array(ids, dtype="<u4").tobytes())))
         start += len(ids)
     return out
 
 
 def result(df, **more):
     rows = token_files.read_token_files(token_files.write_token_files(df, PATH, **more)).collect()
-    return sorted((r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in rows)
+    return sorted(((r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in rows), key=lambda r: r[1])
 
 
 def test_documents(documents, plain):
-    assert result(documents) == expected(plain, [(r.doc_id, r.text) for r in documents.collect()])
+    assert result(documents) == expected(plain, documents)
 
 
 @pytest.mark.parametrize("partitions", [1, 7])
 def test_odd_rows(odd, plain, partitions):
-    assert result(odd, partitions=partitions) == expected(plain, [(r.doc_id, r.text) for r in odd.collect()])
+    rows = result(odd, partitions=partitions)
+    assert rows == expected(plain, odd) and [r[0] for r in rows[:3]] == [None, None, 1]
+
+
+def test_many_rows_without_an_id(spark, plain):
+    rows = [(None if i % 3 else i, f"text {i} of some") for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    parts = token_files.write_token_files(df, PATH, partitions=6)
+    assert parts.where("nulls > 0").count() >= 4 and token_files.read_token_files(parts).rdd.getNumPartitions() == parts.count() == 6
+    assert result(df, partitions=6) == expected(plain, df)
+
+
+def test_checksum_in_pieces(monkeypatch):
+    monkeypatch.setattr(token_files, "_PIECE_IDS", 7)
+    ids = np.arange(100, dtype="<u2")
+
+    class Whole:
+        def read(self, a, b):
+            return ids[a:b]
+
+    assert token_files._checksum(Whole(), 3, 90) == zlib.crc32(ids[3:90].astype("<u4").tobytes())
+
+
+def test_unknown_stores_are_named(tmp_path):
+    with pytest.raises(ValueError, match="can't be kept at viewfs"):
+        token_files._file_system("viewfs://store/tokens")
+    assert token_files._file_system(f"file://{tmp_path}/x")[1] == f"{tmp_path}/x"
 
 
 def test_empty_table(none):

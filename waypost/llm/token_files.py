@@ -5,21 +5,25 @@ Format of a part, three files in a folder of the shared workspace:
 * ``ids``      unsigned little-endian integers, 2 bytes wide where every id
                fits, else 4, all documents one after another;
 * ``offsets``  64-bit unsigned: the first id of each document, and the end;
-* ``doc_ids``  64-bit signed: the document of each offset.
+* ``doc_ids``  64-bit signed: the document of each offset; the first ``nulls``
+               of a part, a column of the table of parts, have none.
 
-Documents are range-partitioned and sorted by doc_id, so parts in order hold
-all documents in order. Part sizes are known after writing; their prefix sums
+Documents are range-partitioned and sorted by doc_id and a hash of the text, so
+parts in order hold all documents in order and rows of one id, or of none, may
+fill any number of parts. Part sizes are known after writing; their prefix sums
 give each part's base, and base + offset is a document's place in the corpus.
 Reading memory-maps the three files where the shared folder is a mounted file
-system, and fetches a part's files into memory where it is not.
+system, and fetches ranges of bounded size where it is not.
 
 A task writes under a name of its own attempt and the table of parts lists the
 files of the attempts that succeeded, so a retried or lost task leaves no
 half-written part behind in the result.
 
-Defined cases: a null text is empty and yields only the end id. Rows with a
-null doc_id have no place in the order and are left out. Repeated doc_ids are
-kept, ordered by text.
+Defined cases: a null or empty text yields only the end id. Rows with a null
+doc_id come first. Rows of one doc_id are all kept, ordered by a hash of the
+text, then by the text; equal rows are equal documents. An empty table gives no
+parts and no rows. A very long text is encoded by the task that writes it, a
+slice of texts at a time, and its ids are summed piece by piece when read.
 """
 
 from __future__ import annotations
@@ -37,13 +41,16 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .batches import pieces
 from .workspace import new_folder, written
 
-_PARTS = "part int, path string, width int, docs long, tokens long, first_doc long"
+_PARTS = "part int, path string, width int, docs long, nulls long, tokens long, first_doc long"
 _READ = "doc_id long, start long, n_tokens long, ids_crc32 long"
 #: Words whose ids one worker remembers; beyond that it forgets them all and starts again.
 _MEMORY = 800_000
 _SLICE_BYTES = 1 << 21
+#: Documents read back at a time, and ids of one.
+_READ_DOCS, _PIECE_IDS = 4096, 1 << 20
 _SEPARATOR = "\x01"
 _TOKENIZERS: dict[str, WordEncoder] = {}
 
@@ -134,46 +141,57 @@ def _encoder(path: str) -> WordEncoder:
     return _TOKENIZERS[path]
 
 
-def _slices(texts: pa.StringArray) -> Iterator[pa.StringArray]:
-    sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy())
-    at = 0
-    while at < len(texts):
-        to = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + _SLICE_BYTES, side="right")))
-        yield texts.slice(at, to - at)
-        at = to
+class Blob:
+    """Numbers of one file of the workspace, read by ranges: mapped where it is mounted, else fetched range by range."""
 
+    def __init__(self, path: str, kind: str) -> None:
+        files, name = _file_system(path)
+        self._kind = np.dtype(kind)
+        if isinstance(files, pafs.LocalFileSystem):
+            size = os.path.getsize(name)
+            self._mapped = np.memmap(name, dtype=kind, mode="r") if size else np.empty(0, dtype=kind)
+        else:
+            self._mapped, self._remote = None, files.open_input_file(name)
 
-def _open(path: str, mode: str):
-    """A file of the workspace for writing, or its bytes mapped for reading."""
-    files, name = pafs.FileSystem.from_uri(path)
-    if mode == "w":
-        files.create_dir(os.path.dirname(name))
-        return files.open_output_stream(name)
-    if not isinstance(files, pafs.LocalFileSystem):  # nothing to map: a store that is not mounted
-        with files.open_input_stream(name) as remote:
-            return pa.BufferReader(remote.read())
-    return pa.memory_map(name, "r")
+    def read(self, start: int, stop: int) -> np.ndarray:
+        if self._mapped is not None:
+            return self._mapped[start:stop]
+        wide = self._kind.itemsize
+        return np.frombuffer(self._remote.read_at((stop - start) * wide, start * wide), dtype=self._kind)
+
+
+def _file_system(path: str) -> tuple[pafs.FileSystem, str]:
+    uri = "s3://" + path.removeprefix("s3a://") if path.startswith("s3a://") else path
+    try:
+        return pafs.FileSystem.from_uri(uri)
+    except (pa.ArrowInvalid, OSError) as e:
+        raise ValueError(f"token files can't be kept at {path}: Python tasks open local, hdfs, s3 and gs folders only") from e
+
+
+def _created(path: str):
+    files, name = _file_system(path)
+    files.create_dir(os.path.dirname(name))
+    return files.open_output_stream(name)
 
 
 def _writer(tokenizer: str, end_id: int, folder: str):
-    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         encoder = _encoder(tokenizer)
         part = TaskContext.get().partitionId()
         path = f"{folder}/part-{part:06d}-{uuid.uuid4().hex[:8]}"
         kind = np.dtype(f"<u{encoder.width}")
-        at, docs, first, outs = 0, 0, None, None
+        at, docs, nulls, first, outs = 0, 0, 0, None, None
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            if outs is None:
-                first = batch.column(0)[0].as_py()
-                outs = [_open(f"{path}/{x}", "w") for x in ("ids", "offsets", "doc_ids")]
-            docs += batch.num_rows
-            outs[2].write(batch.column(0).to_numpy().astype("<i8").tobytes())
-            for texts in _slices(batch.column(1).cast(pa.string())):
-                ids, counts = encoder.encode(texts)
+            for piece in pieces(batch, 1, _SLICE_BYTES, batch.num_rows):
+                if outs is None:
+                    first = piece.column(0)[0].as_py()
+                    outs = [_created(f"{path}/{x}") for x in ("ids", "offsets", "doc_ids")]
+                docs += piece.num_rows
+                nulls += piece.column(0).null_count
+                outs[2].write(pc.fill_null(piece.column(0), 0).to_numpy().astype("<i8").tobytes())
+                ids, counts = encoder.encode(piece.column(1).cast(pa.string()))
                 ids = np.insert(ids, np.cumsum(counts), kind.type(end_id))
                 outs[0].write(ids.astype(kind, copy=False).tobytes())
                 ends = at + np.cumsum(counts + 1)
@@ -183,45 +201,56 @@ def _writer(tokenizer: str, end_id: int, folder: str):
             outs[1].write(np.array([at], dtype="<u8").tobytes())
             for x in outs:
                 x.close()
-            yield pa.RecordBatch.from_pandas(
-                pd.DataFrame({"part": [part], "path": [path], "width": [encoder.width], "docs": [docs], "tokens": [at], "first_doc": [first]}),
-                schema=_PARTS_ARROW,
-                preserve_index=False,
-            )
+            row = {"part": part, "path": path, "width": encoder.width, "docs": docs, "nulls": nulls, "tokens": at, "first_doc": first}
+            yield pa.RecordBatch.from_pylist([row], schema=_PARTS_ARROW)
 
     return write
 
 
 _PARTS_ARROW = pa.schema(
-    [("part", pa.int32()), ("path", pa.string()), ("width", pa.int32()), ("docs", pa.int64()), ("tokens", pa.int64()), ("first_doc", pa.int64())]
+    [("part", pa.int32()), ("path", pa.string()), ("width", pa.int32()), *((c, pa.int64()) for c in ("docs", "nulls", "tokens", "first_doc"))]
 )
 
 
 def write_token_files(documents: DataFrame, tokenizer: str, end_id: int = 1, partitions: int | None = None) -> DataFrame:
     """Encode and write ``documents`` (doc_id, text); return the table of parts with their bases."""
     spark = documents.sparkSession
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
-    ordered = (rows.repartitionByRange(partitions, "doc_id") if partitions else rows.repartitionByRange("doc_id"))
-    ordered = ordered.sortWithinPartitions("doc_id", "text")
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    order = [F.col("doc_id"), F.xxhash64("text")]
+    ordered = rows.repartitionByRange(partitions, *order) if partitions else rows.repartitionByRange(*order)
+    ordered = ordered.sortWithinPartitions(*order, "text")
     parts = written(ordered.mapInArrow(_writer(tokenizer, end_id, new_folder(spark, "tokens")), _PARTS), "parts")
-    before = Window.orderBy("first_doc", "part").rowsBetween(Window.unboundedPreceding, -1)  # a row per part
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row per part
     return parts.withColumn("base", F.coalesce(F.sum("tokens").over(before), F.lit(0)))
 
 
+def _checksum(ids: Blob, start: int, stop: int) -> int:
+    crc = 0
+    for at in range(start, stop, _PIECE_IDS):
+        crc = zlib.crc32(ids.read(at, min(stop, at + _PIECE_IDS)).astype("<u4").tobytes(), crc)
+    return crc
+
+
 def _read(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for table in parts:
         for row in table.itertuples():
-            offsets = np.frombuffer(_open(f"{row.path}/offsets", "r").read_buffer(), dtype="<u8").astype(np.int64)
-            doc_ids = np.frombuffer(_open(f"{row.path}/doc_ids", "r").read_buffer(), dtype="<i8")
-            ids = np.frombuffer(_open(f"{row.path}/ids", "r").read_buffer(), dtype=f"<u{row.width}")
-            for at in range(0, len(doc_ids), 4096):
-                own = offsets[at : at + 4097]
-                crc = [zlib.crc32(ids[a:b].astype("<u4").tobytes()) for a, b in zip(own[:-1].tolist(), own[1:].tolist(), strict=True)]
+            offsets, doc_ids = Blob(f"{row.path}/offsets", "<u8"), Blob(f"{row.path}/doc_ids", "<i8")
+            ids = Blob(f"{row.path}/ids", f"<u{row.width}")
+            for at in range(0, row.docs, _READ_DOCS):
+                to = min(row.docs, at + _READ_DOCS)
+                own = offsets.read(at, to + 1).astype(np.int64)
+                known = np.arange(at, to) >= row.nulls
                 yield pd.DataFrame(
-                    {"doc_id": doc_ids[at : at + 4096], "start": row.base + own[:-1], "n_tokens": np.diff(own), "ids_crc32": crc}
+                    {
+                        "doc_id": pd.Series(doc_ids.read(at, to).astype(np.int64), dtype="Int64").where(known),
+                        "start": row.base + own[:-1],
+                        "n_tokens": np.diff(own),
+                        "ids_crc32": [_checksum(ids, a, b) for a, b in zip(own[:-1].tolist(), own[1:].tolist(), strict=True)],
+                    }
                 )
 
 
 def read_token_files(parts: DataFrame) -> DataFrame:
-    """Per document, from the mapped files: its place, length and checksum of ids as 32-bit integers."""
-    return parts.repartition("part").mapInPandas(_read, _READ)
+    """Per document, from the mapped files: its place, length and checksum of ids as 32-bit integers. A task reads a part."""
+    count = parts.count()  # a row per part
+    return parts.repartitionByRange(max(1, count), "part").mapInPandas(_read, _READ)
