@@ -1,8 +1,11 @@
 import math
 import random
 
+import numpy as np
+import pandas as pd
 import pytest
 
+from waypost.llm import vector_search
 from waypost.llm.vector_search import top_k
 
 SCHEMA = "vec_id long, embedding array<double>, score long, rank string"
@@ -30,6 +33,20 @@ def test_exact(spark, clustered):
     assert result(spark, rows, candidate_block=100, query_block=4) == brute(rows, 50, 5)
 
 
+def test_share_that_is_evaluated():
+    """Clustered vectors are hardly evaluated, evenly spread ones almost all; the floor of a sample helps in every block."""
+    rng = np.random.default_rng(6)
+    shares = {}
+    for kind in ("clustered", "even"):
+        x = np.floor(256 * (rng.normal(0, 3, (20, 32))[rng.integers(0, 20, 3000)] + rng.normal(0, 0.05, (3000, 32)) if kind == "clustered" else rng.normal(0, 1, (3000, 32))))
+        pivots = vector_search.pick_pivots(x[:1024], 32)
+        table = pd.DataFrame({"vec_id": np.arange(3000), "v": [r.astype(int).tolist() for r in x]})
+        table = next(vector_search._distances(pivots, np.arange(1024), x[:1024], 50, 5)([table])).assign(query_key=0)
+        asked = table[table.vec_id % 50 == 0]
+        shares[kind] = sum(vector_search.best_of_block(asked, table[at : at + 500], 5).attrs["evaluated"] for at in range(0, 3000, 500)) / (len(asked) * 3000)
+    assert shares["clustered"] < 0.25 and shares["even"] <= 1, shares
+
+
 def test_ties_and_odd_vectors(spark):
     rows = [(i, [1.0, 0.5]) for i in range(60)]
     rows += [(100, None), (150, [1.0, None]), (200, [float("nan"), 1.0]), (250, [float("inf"), 1.0]), (None, [1.0, 1.0]), (300, []), (350, [0.5, 1.0]), (350, [0.5, 1.0])]
