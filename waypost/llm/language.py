@@ -34,6 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .batches import pieces
 from .words import mix64
 
 #: Labelled rows that the model is fitted on, about.
@@ -49,7 +50,7 @@ FLOOR = -6.0
 SCRIPT_SHARE = 0.001
 #: Words that one Viterbi window holds.
 WINDOW = 256
-_SLICE_CHARS, _SLICE_TEXTS = 4 << 20, 1000
+_SLICE_BYTES, _SLICE_TEXTS = 4 << 20, 1000
 
 # First code points of script ranges, in order, with their script.
 SCRIPT_RANGES = (
@@ -139,32 +140,17 @@ def is_held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
 
 
-def _texts(batch: pa.RecordBatch, column: int) -> list[str]:
-    return [t or "" for t in batch.column(column).to_pylist()]
-
-
-def _slices(texts: list[str]) -> Iterator[slice]:
-    at, size = 0, 0
-    for i, t in enumerate(texts):
-        size += len(t) + 1
-        if size >= _SLICE_CHARS or i + 1 - at >= _SLICE_TEXTS:
-            yield slice(at, i + 1)
-            at, size = i + 1, 0
-    if at < len(texts):
-        yield slice(at, len(texts))
-
-
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(lang, text) -> per language the counts of features, and of scripts as features -1, -2, .."""
     found: dict[str, tuple[np.ndarray, np.ndarray]] = {}
     for batch in batches:
-        by: dict[str, list[str]] = {}
-        for lang, text in zip(batch.column(0).to_pylist(), _texts(batch, 1), strict=True):
-            by.setdefault(lang, []).append(text)
-        for lang, texts in by.items():
-            seen, scripts = found.setdefault(lang, (np.zeros(FEATURES), np.zeros(len(SCRIPTS))))
-            for part in _slices(texts):
-                w = words_of(texts[part])
+        for own in pieces(batch, 1, _SLICE_BYTES, _SLICE_TEXTS):
+            by: dict[str, list[str]] = {}
+            for lang, text in zip(own.column(0).to_pylist(), own.column(1).to_pylist(), strict=True):
+                by.setdefault(lang, []).append(text or "")
+            for lang, texts in by.items():
+                seen, scripts = found.setdefault(lang, (np.zeros(FEATURES), np.zeros(len(SCRIPTS))))
+                w = words_of(texts)
                 times = np.bincount(w.distinct, minlength=len(w.widths)).astype(float)
                 seen += np.bincount(w.features, weights=np.repeat(times, w.widths), minlength=FEATURES)
                 letters = np.bincount(w.distinct, weights=w.sizes, minlength=len(w.widths))
@@ -309,29 +295,30 @@ def label_texts(texts: list[str], model: Model) -> tuple[list[str], np.ndarray,
 _SPANS = pa.list_(pa.struct([("lang", pa.string()), ("first_word", pa.int64()), ("words", pa.int64()), ("letters", pa.int64()), ("known_letters", pa.int64())]))
 
 
-def identify(documents: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """Adds lang_pred, lang_score and lang_spans (lang, first_word, words, letters, known_letters) to ``documents``.
+ADDED = ("lang_pred", "lang_score", "lang_spans")
+
+
+def identify(documents: DataFrame, model: Model, text: str = "text", added: tuple[str, str, str] = ADDED) -> DataFrame:
+    """Adds lang_pred, lang_score and lang_spans (lang, first_word, words, letters, known_letters) to ``documents``, or three other names.
 
     A span's known letters are those of words whose script some language uses.
-    Columns of these names in the input are replaced.
+    Columns of the added names in the input are replaced.
     """
     shared = documents.sparkSession.sparkContext.broadcast(model)
-    added = ("lang_pred", "lang_score", "lang_spans")
     rows = documents.drop(*added)
     at = rows.columns.index(text)
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = _texts(batch, at)
-            for part in _slices(texts):
-                names, score, spans = label_texts(texts[part], shared.value)
-                own = batch.slice(part.start, part.stop - part.start)
+            for own in pieces(batch, at, _SLICE_BYTES, _SLICE_TEXTS):
+                names, score, spans = label_texts([t or "" for t in own.column(at).to_pylist()], shared.value)
                 yield pa.RecordBatch.from_arrays(
                     [*own.columns, pa.array(names, pa.string()), pa.array(score), pa.array(spans, _SPANS)], names=[*own.schema.names, *added]
                 )
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
-    return rows.mapInArrow(label, f"{kinds}, lang_pred string, lang_score double, lang_spans array<struct<lang:string,first_word:bigint,words:bigint,letters:bigint,known_letters:bigint>>")
+    spans = "array<struct<lang:string,first_word:bigint,words:bigint,letters:bigint,known_letters:bigint>>"
+    kinds = [*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields), *(f"`{c}` {k}" for c, k in zip(added, ("string", "double", spans), strict=True))]
+    return rows.mapInArrow(label, ", ".join(kinds))
 
 
 def predict_languages(documents: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:

@@ -9,13 +9,16 @@ its clusters and, per permitted repetition, of its sources. The search starts
 at the smallest sufficient room and goes on to the next larger until a
 compatible bin is found; only then a new one is opened.
 
-Documents are dealt by a hash of their id into shards of a bounded number of
-documents, each packed in one task, so the hottest source or cluster is spread
+Documents are dealt by a hash of their id, cluster and size into shards of a bounded
+number of documents, each packed in one task, so the hottest source or cluster is spread
 evenly. Conflicts concern one bin, so shards do not weaken them.
 
 Defined cases: a document without words has one row with no bin. Null sources
 are one source; a null cluster conflicts with nothing. Ties in size go by
-doc_id, null first. Repeated rows are packed each. An empty table gives no rows.
+doc_id, null first, then by cluster. Repeated rows are packed each, in one shard.
+A very long text fills bins by its number of words alone. An empty table gives
+no rows. Only doc_id, source and text (or cluster and size) are read, so further
+columns may bear any name.
 """
 
 from __future__ import annotations
@@ -74,7 +77,7 @@ def best_fit(sizes: list[int], sources: list[int], clusters: list[int], capacity
 
 def pack_shard(rows: pd.DataFrame, capacity: int, per_source: int) -> pd.DataFrame:
     """All pieces of one shard's documents: doc_id, first_word, words and number of the bin in the shard."""
-    rows = rows.sort_values(["doc_id", "size"], na_position="first", kind="stable").reset_index(drop=True)
+    rows = rows.sort_values(["doc_id", "size", "cluster"], na_position="first", kind="stable").reset_index(drop=True)
     size = rows["size"].to_numpy(dtype=np.int64)
     whole, rest = size // capacity, size % capacity
     owner = np.repeat(np.arange(len(rows)), whole)
@@ -99,7 +102,7 @@ def pack(items: DataFrame, capacity: int = CAPACITY, per_source: int = PER_SOURC
     rows = written(rows, "items")
     filled = rows.where("size > 0")
     shards = max(1, -(-filled.count() // shard_documents))
-    sharded = filled.withColumn("shard", F.pmod(F.xxhash64("doc_id", F.lit(4)), F.lit(shards)))
+    sharded = filled.withColumn("shard", F.pmod(F.xxhash64("doc_id", "cluster", "size", F.lit(4)), F.lit(shards)))
 
     def run(key: tuple, own: pd.DataFrame) -> pd.DataFrame:
         out = pack_shard(own, capacity, per_source)
