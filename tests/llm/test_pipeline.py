@@ -58,6 +58,29 @@ def test_rows_without_an_id_stay(spark, odd, small):
     assert pipeline.pack_bins(spark, fourth, small).count() == fourth.count()
 
 
+def test_own_columns_keep_their_values(spark, documents, small):
+    """Columns with the names of the operators' own pass through all stages, with the rows that keep their text."""
+    own = {"lang_pred": "mine", "lang_score": "7", "lang_spans": "s", "n_lines": "77", "removed_lines": "78", "size": "5", "taken": "6", "kept": "k", "_of": "o", "_text_hash": "h", "_copies": "c", "with space": "w"}
+    given = documents.limit(60).withColumns({c: F.concat(F.lit(v), F.col("doc_id").cast("string")) for c, v in own.items()}).cache()
+    docs = given
+    for _, stage in pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, small)
+        assert docs.columns == given.columns
+    rows = docs.collect()
+    assert rows and all(r[c] == f"{v}{r.doc_id}" for r in rows for c, v in own.items())
+
+
+def test_one_id_with_two_texts_and_repeated_rows(spark, small):
+    """Different texts under one id are different documents; of equal rows near-dedup keeps one."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(5, a, "en", "s"), (5, b, "en", "s"), (5, b, "en", "s"), (6, b, "en", "t"), (7, c, "en", None), (None, c, "en", None), (None, c, "en", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").cache()
+    third = pipeline.keep_one_of_each_group(spark, docs, small).cache()
+    assert sorted((str(r.doc_id), r.text) for r in third.collect()) == [("5", a), ("5", b), ("7", c), ("None", c), ("None", c)]
+    fourth = Counter((r.doc_id, r.text) for r in pipeline.mix_to_weights(spark, third, small).collect())
+    assert set(fourth) <= {(5, a), (5, b), (7, c), (None, c)} and fourth[None, c] <= 4 and 5 <= sum(fourth.values()) <= 10
+
+
 def test_odd_rows(spark, odd, none, small):
     for start in (odd, none):
         docs = start
