@@ -46,6 +46,22 @@ def test_scorecard(spark, tmp_path):
     assert got["period"].collect()[0].label == "unspecified"
 
 
+def test_odd_values(spark, tmp_path):
+    """Dates and numbers that are none become null; the rest of the document is read."""
+    leads = [{"responsavel": "p", "data_cadastro": "", "data_contato": "2024-01-05T10:00:00"}, {"responsavel": 7, "data_cadastro": "x"}, {"data_conversao": None, "data_cadastro": "2024-02-30"}]
+    scores = [{"responsavel": "p", "score_final": "0.5", "contatos": "12"}, {"score_final": "n/a", "contatos": "many"}]
+    path = save(tmp_path, "s.json", {"summary": leads, "per_responsavel": scores, "daily_data": [{"data_contato": "?", "contatos": 3}]})
+    got = documents.load_scorecard(spark, path)
+    rows = got["leads"].orderBy("lead_ordinal").collect()
+    assert [r.data_cadastro for r in rows] == [None, None, None] and rows[0].data_contato == date(2024, 1, 5) and rows[1].responsavel == "7"
+    assert [(r.score_final, r.contatos) for r in got["owner_scores"].orderBy("owner_ordinal").collect()] == [(0.5, 12), (None, None)]
+    assert [(r.data_contato, r.contatos) for r in got["daily"].collect()] == [(None, 3)]
+    partners = [{"store_id": "A", "lat": "1.5", "ADV": "x", "main_store_data": {"ead": "0.5", "dea": ""}, "overlap_data": [{"overlap_id": "1", "radius": "far"}]}]
+    row = documents.load_partners(spark, save(tmp_path, "p.json", {"allMarkerData": partners})).collect()[0]
+    assert (row.lat, row.ADV, row.main_store_data.ead, row.main_store_data.dea) == (1.5, None, 0.5, None)
+    assert (row.overlap_data[0].overlap_id, row.overlap_data[0].radius) == (1, None)
+
+
 def test_period(spark, tmp_path):
     path = save(tmp_path, "p.json", {"period": {"start": "2024-01-01", "end": "2024-01-30"}})
     row = documents.load_period(spark, path).collect()[0]

@@ -20,9 +20,6 @@ PARTNER = (
     "eligible_packages DOUBLE, overlapping_count DOUBLE, popup STRING, regiao STRING, "
     f"main_store_data {MAIN_STORE}, overlap_data {OVERLAPS}"
 )
-#: As read: the two counts may arrive as text.
-PARTNER_RAW = PARTNER.replace("eligible_packages DOUBLE, overlapping_count DOUBLE, popup", "eligible_packages STRING, overlapping_count STRING, popup")
-
 GEOMETRY = "ARRAY<ARRAY<ARRAY<ARRAY<DOUBLE>>>>"
 LEAD = "responsavel STRING, origem STRING, data_contato DATE, data_cadastro DATE, data_conversao DATE"
 OWNER_SCORE = "responsavel STRING, score_final DOUBLE, contatos BIGINT, cadastros BIGINT, conversoes BIGINT"

@@ -19,6 +19,10 @@ ROUTE_GOALS = {"spr_mean": 480.0, "cpp_mean": 2.5, "pickups_per_host": 4.0}
 HOST_SHARE, PICKUPS_PER_HOST = 0.12, 4
 DAILY_TARGETS = (580, 11)
 
+#: Bands of a scale, from the highest on; the last one holds all that is below.
+PROGRESS_BANDS = ((100.0, "success"), (70.0, "warning"), (0.0, "danger"))
+SCORE_BANDS = ((80.0, "green"), (60.0, "gold"), (0.0, "red"))
+
 #: Compared metrics in display order; True if more is better.
 METRICS = {
     "radius": True,
@@ -42,7 +46,7 @@ def reference_tables(spark: SparkSession) -> dict[str, DataFrame]:
     """The constant tables as DataFrames: station_cost, goals, bands, metrics, palette."""
     goals = [*(("performance", k, v, "at_least") for k, v in PERFORMANCE_GOALS.items()), *(("expansion", k, v, "at_least") for k, v in EXPANSION_GOALS.items())]
     goals += [("routes", k, v, "at_most" if k == "cpp_mean" else "at_least") for k, v in ROUTE_GOALS.items()]
-    bands = [("progress", 100.0, "success"), ("progress", 70.0, "warning"), ("progress", 0.0, "danger"), ("score", 80.0, "green"), ("score", 60.0, "gold"), ("score", 0.0, "red")]
+    bands = [(scale, start, name) for scale, own in (("progress", PROGRESS_BANDS), ("score", SCORE_BANDS)) for start, name in own]
     return {
         "station_cost": spark.createDataFrame([(k, float(v)) for k, v in STATION_COST.items()], "delivery_station STRING, cost DOUBLE"),
         "goals": spark.createDataFrame(goals, "board STRING, metric STRING, goal DOUBLE, direction STRING"),

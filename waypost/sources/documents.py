@@ -1,20 +1,41 @@
 """Readers of the published JSON and GeoJSON documents.
 
 Such a document is one JSON value, so one task reads it; write the result as
-Parquet once and work on that. Array order becomes an ordinal column.
+Parquet once and work on that. A path may be a folder of documents, which are
+read side by side. Array order becomes an ordinal column within its document.
+Plain values are read as text and turned into dates and numbers where they are.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import schemas
-from ..functions.columns import as_number
+
+
+def _texts(kind: T.DataType) -> T.DataType:
+    """The same shape with text in place of all plain values."""
+    if isinstance(kind, T.StructType):
+        return T.StructType([T.StructField(f.name, _texts(f.dataType)) for f in kind])
+    return T.ArrayType(_texts(kind.elementType)) if isinstance(kind, T.ArrayType) else T.StringType()
+
+
+def _typed(column: Column, kind: T.DataType) -> Column:
+    """Texts as what they should be; a value that is none of its kind is null."""
+    if isinstance(kind, T.StructType):
+        return F.when(column.isNotNull(), F.struct(*(_typed(column[f.name], f.dataType).alias(f.name) for f in kind)))
+    if isinstance(kind, T.ArrayType):
+        return F.transform(column, lambda x: _typed(x, kind.elementType))
+    return column if isinstance(kind, T.StringType) else column.try_cast(kind)
 
 
 def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    return spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
+    """A document, or every file of a folder as one: odd dates and numbers become null, only broken JSON is an error."""
+    kinds = T.StructType.fromDDL(schema)
+    raw = spark.read.schema(_texts(kinds)).option("multiLine", True).option("mode", "FAILFAST").json(path)
+    return raw.select(*(_typed(F.col(f.name), f.dataType).alias(f.name) for f in kinds))
 
 
 def _struct(fields: str) -> str:
@@ -31,15 +52,9 @@ def _elements(document: DataFrame, key: str, ordinal: str) -> DataFrame:
 
 
 def load_partners(spark: SparkSession, path: str) -> DataFrame:
-    """Partners in file order; counts that arrive as text become numbers, a missing overlap list is empty."""
-    rows = _elements(_read(spark, path, f"allMarkerData ARRAY<STRUCT<{_struct(schemas.PARTNER_RAW)}>>"), "allMarkerData", "partner_ordinal")
-    return rows.withColumns(
-        {
-            "eligible_packages": as_number("eligible_packages"),
-            "overlapping_count": as_number("overlapping_count"),
-            "overlap_data": F.coalesce("overlap_data", F.array().cast(schemas.OVERLAPS)),
-        }
-    )
+    """Partners in file order; numbers that arrive as text become numbers, a missing overlap list is empty."""
+    rows = _elements(_read(spark, path, f"allMarkerData ARRAY<STRUCT<{_struct(schemas.PARTNER)}>>"), "allMarkerData", "partner_ordinal")
+    return rows.withColumn("overlap_data", F.coalesce("overlap_data", F.array().cast(schemas.OVERLAPS)))
 
 
 def _geometry() -> Column:
