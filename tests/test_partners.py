@@ -97,7 +97,10 @@ def test_comparison(spark):
     one = "struct<overlap_id:bigint,store_id:string,radius:double,capped_days:double>"
     rows = [("S", (5.0, 2.0), [(1, "a", 6.0, 1.0), (2, "b", 5.0, None), (3, "c", 4.0, 3.0), (4, "d", 1.0, 2.0), (5, "e", 1.0, 1.0)]), ("T", (1.0, 1.0), [])]
     df = spark.createDataFrame(rows, f"store_id string, main_store_data struct<radius:double,capped_days:double>, overlap_data array<{one}>")
-    got = {(r.metric, r.slot): r["class"] for r in ops.comparison_matrix(df, {"radius": True, "capped_days": False}).collect()}
+    rows = ops.comparison_matrix(df, {"radius": True, "capped_days": False}).collect()
+    assert sorted((r.store_id, r.metric, r.value, r.overlap_id) for r in rows if r.slot is None) == [("T", "capped_days", None, None), ("T", "radius", None, None)]
+    assert {(r.slot, r.overlap_id, r.overlap_store_id) for r in rows if r.slot} == {(1, 1, "a"), (2, 2, "b"), (3, 3, "c"), (4, 4, "d")}
+    got = {(r.metric, r.slot): r["class"] for r in rows if r.slot}
     assert got == {
         ("radius", 1): "better-value", ("radius", 2): "", ("radius", 3): "worse-value", ("radius", 4): "worse-value",
         ("capped_days", 1): "better-value", ("capped_days", 2): "", ("capped_days", 3): "worse-value", ("capped_days", 4): "",

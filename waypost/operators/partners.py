@@ -63,17 +63,17 @@ def region_priority(regions: DataFrame, partners: DataFrame) -> DataFrame:
 
 
 def region_summary(shown: DataFrame, regions: DataFrame, partners: DataFrame) -> DataFrame:
-    """Figures of the shown regions over all partners, with their place among all regions."""
-    rated = region_partners(shown, partners)
-    place = region_priority(regions, partners).select(F.col("delivery_station").alias("_s"), F.col("cluster").alias("_c"), "priority")
-    same = F.col("delivery_station").eqNullSafe(F.col("_s")) & F.col("cluster").eqNullSafe(F.col("_c"))
-    return rated.join(place, same, "left").select(
+    """Figures of the shown ones among ``regions`` over all partners, with their place among all regions."""
+    rated = region_partners(regions, partners).withColumn("attainment_pct", _attainment()).withColumn("place", _ranked("attainment_pct"))
+    # regions of one name share the best place of theirs
+    rated = rated.withColumn("priority", F.min("place").over(Window.partitionBy("delivery_station", "cluster")))
+    return rated.join(shown.select("polygon_ordinal"), "polygon_ordinal", "left_semi").select(
         "polygon_ordinal",
         "cluster",
         zero("num_points").alias("expected"),
         "active",
         "onboarding",
-        _attainment().alias("attainment_pct"),
+        "attainment_pct",
         "priority",
         ratio(F.col("adv_sum"), F.col("partners"), 1).alias("avg_adv"),
     )
@@ -263,10 +263,10 @@ def performance_table(visible: DataFrame) -> DataFrame:
     )
 
 
-def comparison_matrix(partners: DataFrame, metrics: dict[str, bool] | None = None, slots: int = 4, alone: bool = False) -> DataFrame:
+def comparison_matrix(partners: DataFrame, metrics: dict[str, bool] | None = None, slots: int = 4, alone: bool = True) -> DataFrame:
     """Every partner's metrics beside those of its first overlapping partners, one row per cell.
 
-    With ``alone``, partners without any have a row per metric with no slot; else they have none.
+    A partner without any has a row per metric with no slot; without ``alone`` it has none.
     """
     metrics = metrics or K.METRICS
     exploded = F.posexplode_outer if alone else F.posexplode
@@ -277,12 +277,13 @@ def comparison_matrix(partners: DataFrame, metrics: dict[str, bool] | None = Non
         )
         for m, up in metrics.items()
     ]
-    rows = near.select("store_id", (F.col("_at") + 1).alias("slot"), F.col("o.store_id").alias("overlap_store_id"), F.explode(F.array(*cells)).alias("c"))
-    rows = rows.select("store_id", "slot", "overlap_store_id", "c.*")
+    other = ("overlap_id", F.col("o.overlap_id")), ("overlap_store_id", F.col("o.store_id"))
+    rows = near.select("store_id", (F.col("_at") + 1).alias("slot"), *(c.alias(n) for n, c in other), F.explode(F.array(*cells)).alias("c"))
+    rows = rows.select("store_id", "slot", "overlap_id", "overlap_store_id", "c.*")
     more, less = F.col("value") > F.col("main_value"), F.col("value") < F.col("main_value")
     better, worse = F.when(F.col("up"), more).otherwise(less), F.when(F.col("up"), less).otherwise(more)
     kind = F.when(better, "better-value").when(worse, "worse-value").otherwise("")
-    return rows.select("store_id", "metric", "main_value", "slot", "overlap_store_id", "value", kind.alias("class"))
+    return rows.select("store_id", "metric", "main_value", "slot", "overlap_id", "overlap_store_id", "value", kind.alias("class"))
 
 
 def resolve_route_endpoints(requests: DataFrame, partners: DataFrame) -> DataFrame:
