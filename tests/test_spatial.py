@@ -1,3 +1,4 @@
+import math
 import random
 
 import pytest
@@ -64,3 +65,27 @@ def test_extent(spark):
 
 def test_no_regions(spark):
     assert located(spark, [], [(0, 1.0, 1.0, None)]) == {0: ("Fora das Regiões", False)}
+
+
+def test_odd_shapes_equal_ray_counting(spark):
+    """Stars and combs over many cells: a cell's own edges decide as all edges do."""
+    rng = random.Random(8)
+    rings = []
+    for i in range(12):
+        cx, cy = rng.uniform(-5, 25), rng.uniform(-5, 25)
+        ring = [[cx + r * math.cos(a * math.pi / 15), cy + r * math.sin(a * math.pi / 15)] for a in range(30) for r in [rng.uniform(1, 9)]]
+        rings.append((i, f"R{i}", [*ring, ring[0]]))
+    points = [(i, rng.uniform(-15, 35), rng.uniform(-15, 35), None) for i in range(400)]
+
+    def inside(ring, x, y):
+        odd = False
+        for (ax, ay), (bx, by) in zip(ring[:-1], ring[1:], strict=True):
+            if (ay > y) != (by > y) and x < (bx - ax) * (y - ay) / (by - ay) + ax:
+                odd = not odd
+        return odd
+
+    expected = {i: next((n for _, n, ring in rings if inside(ring, x, y)), "Fora das Regiões") for i, x, y, _ in points}
+    assert len(set(expected.values())) > 5
+    for size in (0.7, 3.0):
+        got = located(spark, [(i, n, [[ring]]) for i, n, ring in rings], points, cell_size=size)
+        assert {k: v[0] for k, v in got.items()} == expected

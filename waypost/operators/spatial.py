@@ -16,15 +16,25 @@ def _cell(value: str | Column, size: float) -> Column:
 
 
 def cell_index(regions: DataFrame, cell_size: float) -> DataFrame:
-    """Per grid cell the regions whose bounding box meets it, in file order, with their edges.
+    """Per grid cell the regions whose bounding box meets it, in file order, with the edges that matter there.
 
     A row per cell keeps the join with points one to one: no point is
-    duplicated, and none has to be gathered again afterwards.
+    duplicated, and none has to be gathered again afterwards. A test counts the
+    edges to the right of a point, so a cell has those at its height that reach
+    its left side or lie beyond, not all of a region's.
     """
     shapes = regions.select("polygon_ordinal", "cluster", geometry.edges("geom").alias("edges")).where(F.size("edges") > 0)
     shapes = shapes.withColumn("box", geometry.bounds(F.col("edges")))
     cells = shapes.withColumn("cell_x", F.explode(F.sequence(_cell("box.x0", cell_size), _cell("box.x1", cell_size))))
     cells = cells.withColumn("cell_y", F.explode(F.sequence(_cell("box.y0", cell_size), _cell("box.y1", cell_size))))
+    left, low = F.col("cell_x") * cell_size, F.col("cell_y") * cell_size
+    slack = cell_size * 1e-6  # of rounding to cells
+
+    def matters(e: Column) -> Column:
+        at_height = (F.least(e["ay"], e["by"]) <= low + cell_size + slack) & (F.greatest(e["ay"], e["by"]) >= low - slack)
+        return at_height & (F.greatest(e["ax"], e["bx"]) >= left - slack)
+
+    cells = cells.withColumn("edges", F.filter("edges", matters)).where(F.size("edges") > 0)
     shape = F.struct("polygon_ordinal", "cluster", "box", "edges")
     return cells.groupBy("cell_x", "cell_y").agg(F.array_sort(F.collect_list(shape)).alias("shapes"))
 
