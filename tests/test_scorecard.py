@@ -75,3 +75,11 @@ def test_chart(spark):
 def test_lead_detail(spark):
     row = ops.lead_detail(leads(spark, ("p", None, False))).collect()[0]
     assert row["LEAD ORDINAL"] == "0" and row["ORIGEM"] == "N/A"
+
+
+def test_bands_can_be_replaced(spark):
+    goal = "struct<atingido:double,meta:double,percentual:double>"
+    df = spark.createDataFrame([((50.0, 100.0, 50.0), (99.0, 100.0, 99.0))], f"contatos {goal}, cadastros {goal}")
+    bands = lambda **more: {r.metric: r.band for r in ops.goal_progress(df, **more).collect()}
+    assert bands() == {"contacts": "danger", "registrations": "warning"}
+    assert bands(bands=[(99.0, "high"), (50.0, "middle"), (0.0, "low")]) == {"contacts": "middle", "registrations": "high"}

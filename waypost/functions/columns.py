@@ -52,3 +52,12 @@ def ratio(part: Column, whole: Column, places: int = 0, scale: int = 1) -> Colum
 def share(part: Column, whole: Column, scale: float = 1.0) -> Column:
     """scale * part / whole, 0 where whole is not positive."""
     return F.when(whole > 0, F.try_divide(part.cast("double"), whole.cast("double")) * scale).otherwise(F.lit(0.0))
+
+
+def banded(value: Column, bands: Iterable[tuple[float, str]]) -> Column:
+    """The first band whose start a value reaches; the last one otherwise."""
+    *upper, (_, last) = bands
+    out = F.lit(last)
+    for start, name in reversed(upper):
+        out = F.when(value >= start, name).otherwise(out)
+    return out

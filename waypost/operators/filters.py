@@ -85,10 +85,11 @@ def search_rows(df: DataFrame, text: str, columns: Iterable[str] | None = None)
 def autocomplete_partners(partners: DataFrame, terms: DataFrame, most: int = 5) -> DataFrame:
     """The first partners in file order whose name or id contains a term of two characters or more.
 
-    ``terms`` (term_id, term) is a stated, small set of typed texts. The rank
-    limit is taken before the shuffle, so a frequent term moves few rows.
+    ``terms`` (term_id, term) is a stated set of typed texts; Spark chooses which
+    side it sends to the other. The rank limit is taken before the shuffle, so a
+    frequent term moves few rows.
     """
-    typed = F.broadcast(terms.where(F.length("term") >= 2).select("term_id", F.lower("term").alias("_term")))
+    typed = terms.where(F.length("term") >= 2).select("term_id", F.lower("term").alias("_term"))
     hit = F.contains(F.lower("name"), F.col("_term")) | F.contains(F.lower("store_id"), F.col("_term"))
     found = partners.select("partner_ordinal", "store_id", "name").join(typed, hit)
     by_term = Window.partitionBy("term_id").orderBy("partner_ordinal")
@@ -99,7 +100,7 @@ def autocomplete_partners(partners: DataFrame, terms: DataFrame, most: int = 5)
 
 def lookup_partner(partners: DataFrame, visible: DataFrame, terms: DataFrame) -> DataFrame:
     """For each term the first partner whose id it is or whose name contains it, and whether it is visible."""
-    typed = F.broadcast(terms.where(truthy("term")).select("term_id", F.lower("term").alias("_term")))
+    typed = terms.where(truthy("term")).select("term_id", F.lower("term").alias("_term"))
     hit = (F.lower("store_id") == F.col("_term")) | F.contains(F.lower("name"), F.col("_term"))
     first = F.min(F.struct("partner_ordinal", "store_id", "name", "lat", "lon")).alias("p")
     found = partners.join(typed, hit).groupBy("term_id").agg(first).select(F.col("term_id").alias("_id"), "p.*")

@@ -8,8 +8,8 @@ from datetime import date
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import ratio, share, truthy, zero
-from ..sources.constants import DAILY_TARGETS
+from ..functions.columns import banded, ratio, share, truthy, zero
+from ..sources.constants import DAILY_TARGETS, PROGRESS_BANDS, SCORE_BANDS
 
 WINDOW_ROWS = 20
 
@@ -25,13 +25,12 @@ def scorecard_kpis(goals_attained: DataFrame, owner_scores: DataFrame) -> DataFr
     return row.join(owner_scores.select(F.lit(1).alias("_any")).limit(1), F.lit(True), "left_semi")
 
 
-def goal_progress(goals_attained: DataFrame) -> DataFrame:
+def goal_progress(goals_attained: DataFrame, bands: Iterable[tuple[float, str]] = PROGRESS_BANDS) -> DataFrame:
     cells = F.array(*(F.struct(F.lit(n).alias("metric"), F.col(c).alias("g")) for n, c in (("contacts", "contatos"), ("registrations", "cadastros"))))
     rows = goals_attained.select(F.explode(cells).alias("c")).select(
         "c.metric", zero("c.g.atingido").alias("attained"), zero("c.g.meta").alias("goal"), zero("c.g.percentual").alias("percent")
     )
-    band = F.when(F.col("percent") >= 100, "success").when(F.col("percent") >= 70, "warning").otherwise("danger")
-    return rows.withColumns({"band": band, "bar": F.least("percent", F.lit(100.0))})
+    return rows.withColumns({"band": banded(F.col("percent"), bands), "bar": F.least("percent", F.lit(100.0))})
 
 
 def _by_group(leads: DataFrame, *keys: str) -> DataFrame:
@@ -69,14 +68,13 @@ def owner_best_origin(owner_scores: DataFrame, best: DataFrame) -> DataFrame:
     return joined.withColumn("best_origin", F.coalesce("_best", F.lit("N/A"))).drop("_owner", "_best")
 
 
-def owner_cards(owner_scores: DataFrame, leads: DataFrame) -> DataFrame:
+def owner_cards(owner_scores: DataFrame, leads: DataFrame, bands: Iterable[tuple[float, str]] = SCORE_BANDS) -> DataFrame:
     score = zero("score_final") * 100
-    band = F.when(score >= 80, "green").when(score >= 60, "gold").otherwise("red")
     rows = owner_best_origin(owner_scores, best_origin_per_owner(leads))
     return rows.select(
         "responsavel",
         score.alias("score"),
-        band.alias("band"),
+        banded(score, bands).alias("band"),
         F.coalesce("contatos", F.lit(0)).cast("long").alias("contacts"),
         F.coalesce("cadastros", F.lit(0)).cast("long").alias("registrations"),
         F.coalesce("conversoes", F.lit(0)).cast("long").alias("conversions"),
