@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from ..operators import filters, partners, scorecard, spatial
 from ..sources import constants as K
-from ..sources.documents import period_label
-from .tables import AS_OF, Tables, duckdb_sql
+from ..sources import documents
+from .tables import AS_OF, Tables, as_documents, duckdb_sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -229,42 +229,59 @@ def _w2(t: Tables) -> DataFrame:
     return partners.expansion_priority(rated).select("polygon_ordinal", "delivery_station", "attainment_pct", "priority")
 
 
-def _cards_sql(cards: list[tuple[str, str, str, str, str]], source: str, columns: str) -> str:
-    """Cards as rows: (metric, value, shown, goal, direction) over a one-row source."""
+def _cards_sql(cards: list[tuple[str, str, str, str, str]], source: str, columns: str, by: str = "") -> str:
+    """Cards as rows: (metric, value, shown, goal, direction) over a source of one row, or one for each ``by``."""
     rows = "\nUNION ALL ".join(
-        f"SELECT '{m}' AS metric, CAST({v} AS DOUBLE) AS value, CAST({s} AS DOUBLE) AS card_value, CAST({g} AS DOUBLE) AS goal, '{d}' AS direction FROM one"
+        f"SELECT {by and by + ', '}'{m}' AS metric, CAST({v} AS DOUBLE) AS value, CAST({s} AS DOUBLE) AS card_value, CAST({g} AS DOUBLE) AS goal, '{d}' AS direction FROM one"
         for m, v, s, g, d in cards
     )
     met = "CASE WHEN direction = 'at_most' THEN card_value <= goal ELSE card_value >= goal END"
     return f"SELECT {columns}, CASE WHEN goal > 0 THEN CASE WHEN {met} THEN 'positive' ELSE 'negative' END END AS status FROM (WITH one AS ({source}) {rows})"
 
 
+_EXPANSION_CARDS = [
+    ("expected", "expected", "expected", "0", "at_least"),
+    ("active", "active", "active", "85", "at_least"),
+    ("onboarding", "onboarding", "onboarding", "25", "at_least"),
+    (
+        "attainment_pct",
+        "CASE WHEN expected > 0 THEN (active + onboarding) / expected * 100 ELSE 0 END",
+        "CASE WHEN expected > 0 THEN floor(((active + onboarding) * 2000 + expected) / (expected * 2)) / 10 ELSE 0 END",
+        "80",
+        "at_least",
+    ),
+]
+_PEOPLE = "count(*) FILTER (status = 'Active') AS active, count(*) FILTER (status IN ('Onboarding', 'BG Checks')) AS onboarding"
+
+
 @_query(
     "a5_expansion_totals",
     _GEO,
-    _cards_sql(
-        [
-            ("expected", "expected", "expected", "0", "at_least"),
-            ("active", "active", "active", "85", "at_least"),
-            ("onboarding", "onboarding", "onboarding", "25", "at_least"),
-            (
-                "attainment_pct",
-                "CASE WHEN expected > 0 THEN (active + onboarding) / expected * 100 ELSE 0 END",
-                "CASE WHEN expected > 0 THEN floor(((active + onboarding) * 2000 + expected) / (expected * 2)) / 10 ELSE 0 END",
-                "80",
-                "at_least",
-            ),
-        ],
-        """SELECT count(*) FILTER (status = 'Active') AS active, count(*) FILTER (status IN ('Onboarding', 'BG Checks')) AS onboarding,
-             (SELECT coalesce(sum(num_points), 0) FROM shown) AS expected FROM visible""",
-        "metric, value, goal",
-    ),
+    _cards_sql(_EXPANSION_CARDS, f"SELECT {_PEOPLE}, (SELECT coalesce(sum(num_points), 0) FROM shown) AS expected FROM visible", "metric, value, goal"),
     _ALL,
 )
 def _a5(t: Tables) -> DataFrame:
     return partners.expansion_totals(_shown(t), _visible(t))
 
 
+@_query(
+    "a5_expansion_totals_by_station",
+    _GEO,
+    _cards_sql(
+        _EXPANSION_CARDS,
+        f"""SELECT coalesce(v.delivery_station, s.delivery_station) AS delivery_station, coalesce(active, 0) AS active, coalesce(onboarding, 0) AS onboarding,
+              coalesce(expected, 0) AS expected
+            FROM (SELECT delivery_station, {_PEOPLE} FROM visible GROUP BY delivery_station) v
+            FULL JOIN (SELECT delivery_station, coalesce(sum(num_points), 0) AS expected FROM shown GROUP BY delivery_station) s ON v.delivery_station = s.delivery_station""",
+        "delivery_station, metric, value, goal",
+        "delivery_station",
+    ),
+    _ALL,
+)
+def _a5_by(t: Tables) -> DataFrame:
+    return partners.expansion_totals(_shown(t), _visible(t), by=["delivery_station"])
+
+
 @_query(
     "a16_extent",
     ("partner_flat",),
@@ -276,6 +293,17 @@ def _a16(t: Tables) -> DataFrame:
     return spatial.extent(_at_stations(t))
 
 
+@_query(
+    "a16_extent_of_highlighted",
+    ("partner_flat",),
+    """SELECT min(lat) - (max(lat) - min(lat)) * 0.1e0 AS min_lat, max(lat) + (max(lat) - min(lat)) * 0.1e0 AS max_lat,
+         min(lon) - (max(lon) - min(lon)) * 0.1e0 AS min_lon, max(lon) + (max(lon) - min(lon)) * 0.1e0 AS max_lon
+       FROM partner_flat WHERE coalesce(eligible_packages, 0) > 100 AND coalesce(ADV, 0) < 60 AND status = 'Active' HAVING count(lat) > 0""",
+)
+def _a16_highlighted(t: Tables) -> DataFrame:
+    return spatial.extent(filters.highlight_partners(t.plain_partners, ("gt", 100), ("lt", 60), status="Active"))
+
+
 # --- performance -----------------------------------------------------------
 
 _KPIS = f"""SELECT (SELECT date_diff('day', min(data_contato), max(data_contato)) + 1 FROM leads) AS period_days,
@@ -290,6 +318,11 @@ def _a2(t: Tables) -> DataFrame:
     return partners.performance_kpis(_at_stations(t), t.period)
 
 
+@_query("a2_performance_kpis_by_station", ("partner_flat", "leads"), f"{_KPIS.replace('SELECT (SELECT', 'SELECT delivery_station, (SELECT', 1)} GROUP BY delivery_station")
+def _a2_by(t: Tables) -> DataFrame:
+    return partners.performance_kpis(_at_stations(t), t.period, by=["delivery_station"])
+
+
 @_query(
     "a3_performance_goals",
     ("partner_flat", "leads"),
@@ -344,8 +377,9 @@ def _r2(t: Tables) -> DataFrame:
 
 
 _R1 = "\nUNION ALL ".join(
-    f"SELECT store_id, '{m}' AS metric, p.{m} AS main_value, CAST(k AS INTEGER) AS slot, concat('ST', CAST(other AS VARCHAR)) AS overlap_store_id, o.{m} AS value, {up} AS up "
-    "FROM overlap_flat o JOIN partner_flat p ON p.fk = main WHERE k <= 4"
+    f"SELECT store_id, '{m}' AS metric, p.{m} AS main_value, CAST(coalesce(k, 0) AS INTEGER) AS slot, coalesce(k, 0) AS overlap_id, "
+    f"CASE WHEN k > 0 THEN concat('ST', CAST(other AS VARCHAR)) END AS overlap_store_id, o.{m} AS value, {up} AS up "
+    "FROM partner_flat p LEFT JOIN (SELECT * FROM overlap_flat WHERE k <= 4) o ON p.fk = main"
     for m, up in K.METRICS.items()
 )
 
@@ -353,13 +387,13 @@ _R1 = "\nUNION ALL ".join(
 @_query(
     "r1_comparison_matrix",
     ("partner_flat", "overlap_flat"),
-    f"""SELECT store_id, metric, main_value, slot, overlap_store_id, value,
+    f"""SELECT store_id, metric, main_value, slot, overlap_id, overlap_store_id, value,
           CASE WHEN (up AND value > main_value) OR (NOT up AND value < main_value) THEN 'better-value'
                WHEN (up AND value < main_value) OR (NOT up AND value > main_value) THEN 'worse-value' ELSE '' END AS class
         FROM ({_R1})""",
 )
 def _r1(t: Tables) -> DataFrame:
-    return partners.comparison_matrix(t.partners)
+    return partners.comparison_matrix(t.partners).fillna({"slot": 0, "overlap_id": 0})  # of partners alone
 
 
 # --- supply runs -----------------------------------------------------------
@@ -380,23 +414,27 @@ def _a6(t: Tables) -> DataFrame:
     return partners.routes_by_run(_at_stations(t), t.station_cost)
 
 
+_PER_HOST = "CASE WHEN hosts > 0 THEN floor((pickups * 2 + hosts) / (hosts * 2e0)) ELSE 0 END"
+_ROUTE_CARDS = [
+    ("runs", "runs", "runs", "0", "at_least"),
+    ("spr_mean", "spr_mean", "round(spr_mean)", "480", "at_least"),
+    ("cpp_mean", "cpp_mean", "round(cpp_mean, 2)", "2.5", "at_most"),
+    ("hosts", "hosts", "hosts", "floor((active * 24 + 100) / 200e0)", "at_least"),
+    ("pickups", "pickups", "pickups", "floor((active * 96 + 100) / 200e0)", "at_least"),
+    ("pickups_per_host", _PER_HOST, _PER_HOST, "4", "at_least"),
+]
+_TIER = """count(*) FILTER (status = 'Active') AS active,
+  count(*) FILTER (status = 'Active' AND HCP_rate_card = 'Tier 1' AND hub_delivey_initiatives = 'HCP Host Partner') AS hosts,
+  count(*) FILTER (status = 'Active' AND HCP_rate_card = 'Tier 1' AND hub_delivey_initiatives = 'HCP Pick Up Partner') AS pickups"""
+_RUN_SUMS = "count(*) AS runs, coalesce(avg(spr), 0) AS spr_mean, coalesce(avg(cpp), 0) AS cpp_mean"
+
+
 @_query(
     "a7_routes_totals",
     ("partner_flat", "station_cost"),
     _cards_sql(
-        [
-            ("runs", "runs", "runs", "0", "at_least"),
-            ("spr_mean", "spr_mean", "round(spr_mean)", "480", "at_least"),
-            ("cpp_mean", "cpp_mean", "round(cpp_mean, 2)", "2.5", "at_most"),
-            ("hosts", "hosts", "hosts", "floor((active * 24 + 100) / 200e0)", "at_least"),
-            ("pickups", "pickups", "pickups", "floor((active * 96 + 100) / 200e0)", "at_least"),
-            *(("pickups_per_host", h, h, "4", "at_least") for h in ("CASE WHEN hosts > 0 THEN floor((pickups * 2 + hosts) / (hosts * 2e0)) ELSE 0 END",)),
-        ],
-        f"""SELECT (SELECT count(*) FROM ({_RUNS})) AS runs, (SELECT coalesce(avg(spr), 0) FROM ({_RUNS})) AS spr_mean, (SELECT coalesce(avg(cpp), 0) FROM ({_RUNS})) AS cpp_mean,
-              count(*) FILTER (status = 'Active') AS active,
-              count(*) FILTER (status = 'Active' AND HCP_rate_card = 'Tier 1' AND hub_delivey_initiatives = 'HCP Host Partner') AS hosts,
-              count(*) FILTER (status = 'Active' AND HCP_rate_card = 'Tier 1' AND hub_delivey_initiatives = 'HCP Pick Up Partner') AS pickups
-            FROM partner_flat WHERE delivery_station IN ({_IN})""",
+        _ROUTE_CARDS,
+        f"SELECT * FROM (SELECT {_RUN_SUMS} FROM ({_RUNS})), (SELECT {_TIER} FROM partner_flat WHERE delivery_station IN ({_IN}))",
         "metric, value, goal, direction",
     ),
 )
@@ -405,6 +443,25 @@ def _a7(t: Tables) -> DataFrame:
     return partners.routes_totals(partners.routes_by_run(seen, t.station_cost), seen)
 
 
+@_query(
+    "a7_routes_totals_by_station",
+    ("partner_flat", "station_cost"),
+    _cards_sql(
+        _ROUTE_CARDS,
+        f"""SELECT coalesce(r.delivery_station, v.delivery_station) AS delivery_station, coalesce(runs, 0) AS runs, coalesce(spr_mean, 0) AS spr_mean,
+              coalesce(cpp_mean, 0) AS cpp_mean, coalesce(active, 0) AS active, coalesce(hosts, 0) AS hosts, coalesce(pickups, 0) AS pickups
+            FROM (SELECT delivery_station, {_RUN_SUMS} FROM ({_RUNS}) GROUP BY delivery_station) r
+            FULL JOIN (SELECT delivery_station, {_TIER} FROM partner_flat WHERE delivery_station IN ({_IN}) GROUP BY delivery_station) v
+            ON r.delivery_station = v.delivery_station""",
+        "delivery_station, metric, value, goal, direction",
+        "delivery_station",
+    ),
+)
+def _a7_by(t: Tables) -> DataFrame:
+    seen = _at_stations(t)
+    return partners.routes_totals(partners.routes_by_run(seen, t.station_cost), seen, by=["delivery_station"])
+
+
 @_query("j3_run_cost_lookup", ("partner_flat", "station_cost"), f"SELECT store_id, {_COST} AS cost_per_run FROM partner_flat p LEFT JOIN station_cost c ON c.delivery_station = p.delivery_station")
 def _j3(t: Tables) -> DataFrame:
     return partners.run_cost_lookup(t.plain_partners, t.station_cost).select("store_id", "cost_per_run")
@@ -589,6 +646,73 @@ def _r3(t: Tables) -> DataFrame:
 
 
 # --- sources ---------------------------------------------------------------
+# The tables are written as the documents that the readers expect, with some odd values among them.
+
+
+@_query(
+    "s1_load_partners",
+    ("partner_flat", "overlap_flat"),
+    """SELECT row_number() OVER (PARTITION BY floor(fk / 500) ORDER BY fk) - 1 AS partner_ordinal, store_id, status, lat, ADV, ead,
+         CASE WHEN fk % 13 > 0 THEN eligible_packages END AS eligible_packages, overlapping_count, coalesce(n, 0) AS overlaps, first_overlap
+       FROM partner_flat LEFT JOIN (
+         SELECT main, CAST(count(*) AS INTEGER) AS n, concat('ST', CAST(arg_min(other, k) AS VARCHAR)) AS first_overlap FROM overlap_flat GROUP BY main) o ON main = fk""",
+)
+def _s1(t: Tables) -> DataFrame:
+    text = lambda c: F.when(F.col("partner_ordinal") % 13 > 0, F.col(c).cast("string")).otherwise("n/a")
+    rows = t.partners.withColumns({"eligible_packages": text("eligible_packages"), "overlapping_count": F.col("overlapping_count").cast("string")})
+    element = F.struct(*(c for c in rows.columns if c != "partner_ordinal"))
+    read = documents.load_partners(t.spark, as_documents(rows, "allMarkerData", element, "partner_ordinal", 500))
+    return read.select(
+        "partner_ordinal", "store_id", "status", "lat", "ADV", F.col("main_store_data.ead").alias("ead"), "eligible_packages", "overlapping_count",
+        F.size("overlap_data").alias("overlaps"), F.get("overlap_data", F.lit(0))["store_id"].alias("first_overlap"),
+    )
+
+
+_SHAPE = """CAST(len(flatten(geom)) AS INTEGER) AS rings, CAST(list_sum(list_transform(flatten(geom), lambda r: len(r))) AS BIGINT) AS corners"""
+
+
+def _shape(read: DataFrame, *columns: str) -> DataFrame:
+    rings = F.flatten("geom")
+    corners = F.aggregate(rings, F.lit(0).cast("long"), lambda n, r: n + F.size(r))
+    return read.select("polygon_ordinal", *columns, F.size(rings).alias("rings"), corners.alias("corners"))
+
+
+def _features(rows: DataFrame, kind: str, coordinates: str, *properties: str) -> str:
+    geometry = F.struct(F.lit(kind).alias("type"), F.expr(coordinates).alias("coordinates"))
+    return as_documents(rows, "features", F.struct(F.struct(*properties).alias("properties"), geometry.alias("geometry")), "polygon_ordinal", 50)
+
+
+@_query(
+    "s2_load_regions",
+    ("regions",),
+    f"SELECT row_number() OVER (PARTITION BY floor(polygon_ordinal / 50) ORDER BY polygon_ordinal) - 1 AS polygon_ordinal, cluster, delivery_station, num_points, cor, {_SHAPE} FROM regions",
+)
+def _s2(t: Tables) -> DataFrame:
+    columns = ("cluster", "delivery_station", "num_points", "cor")
+    return _shape(documents.load_regions(t.spark, _features(t.regions, "MultiPolygon", "geom", *columns)), *columns)
+
+
+@_query(
+    "s3_load_jurisdictions",
+    ("jurisdictions",),
+    f"SELECT row_number() OVER (PARTITION BY floor(polygon_ordinal / 50) ORDER BY polygon_ordinal) - 1 AS polygon_ordinal, delivery_station, cor, {_SHAPE} FROM jurisdictions",
+)
+def _s3(t: Tables) -> DataFrame:
+    columns = ("delivery_station", "cor")
+    return _shape(documents.load_jurisdictions(t.spark, _features(t.jurisdictions, "Polygon", "geom[0]", *columns)), *columns)
+
+
+@_query(
+    "s4_load_scorecard",
+    ("leads",),
+    """SELECT row_number() OVER (PARTITION BY floor(lead_ordinal / 2000) ORDER BY lead_ordinal) - 1 AS lead_ordinal, responsavel, origem,
+         CAST(data_contato AS VARCHAR) AS data_contato, CAST(data_cadastro AS VARCHAR) AS data_cadastro, CAST(data_conversao AS VARCHAR) AS data_conversao FROM leads""",
+)
+def _s4(t: Tables) -> DataFrame:
+    text = lambda c, other: F.coalesce(F.col(c).cast("string"), F.lit(other)).alias(c)
+    element = F.struct("responsavel", "origem", "data_contato", text("data_cadastro", ""), text("data_conversao", "x"))
+    read = documents.load_scorecard(t.spark, as_documents(t.leads, "summary", element, "lead_ordinal", 2000))["leads"]
+    return read.select("lead_ordinal", "responsavel", "origem", *(F.col(c).cast("string").alias(c) for c in ("data_contato", "data_cadastro", "data_conversao")))
 
 
 @_query(
@@ -598,5 +722,20 @@ def _r3(t: Tables) -> DataFrame:
          concat(CAST(min(data_contato) AS VARCHAR), ' - ', CAST(max(data_contato) AS VARCHAR)) AS label FROM leads""",
 )
 def _s5(t: Tables) -> DataFrame:
-    row = period_label(t.period)
+    row = documents.load_period(t.spark, t.period_document())
     return row.select(F.col("start_date").cast("string"), F.col("end_date").cast("string"), "label")
+
+
+@_query(
+    "s6_reference_tables",
+    ("partner_flat", "station_cost"),
+    """SELECT p.delivery_station, count(*) AS partners, coalesce(max(cost), 0) AS cost, (SELECT count(*) FROM (VALUES ('active'), ('adv_mean'), ('ead'), ('dea'), ('dcr'), ('fdds'), ('ftds'))) AS goals
+       FROM partner_flat p LEFT JOIN station_cost c ON c.delivery_station = p.delivery_station WHERE p.delivery_station IS NOT NULL GROUP BY p.delivery_station""",
+)
+def _s6(t: Tables) -> DataFrame:
+    tables = K.reference_tables(t.spark)
+    goals = tables["goals"].where("board = 'performance'").agg(F.count(F.lit(1)).alias("goals"))  # one row
+    costs = tables["station_cost"].select(F.col("delivery_station").alias("_s"), "cost")
+    known = t.plain_partners.where("delivery_station is not null").groupBy("delivery_station").agg(F.count(F.lit(1)).alias("partners"))
+    joined = known.join(costs, F.col("delivery_station") == F.col("_s"), "left")
+    return joined.select("delivery_station", "partners", F.coalesce("cost", F.lit(0.0)).alias("cost")).crossJoin(goals)
