@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .html_text import extract_main_text
 from .language import predict_languages
@@ -13,7 +14,7 @@ from .line_dedup import dedup_lines
 from .media import media_columns
 from .mixing import mix_sources
 from .near_dup import near_duplicates
-from .packing import near_items_of, pack
+from .packing import CAPACITY, near_items_of, pack
 from .quality import predict_quality
 from .token_files import read_token_files, write_token_files
 from .vector_search import top_k
@@ -76,6 +77,22 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(parts)
 
 
+def media_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can check of op1: sizes and digests of the payloads read back."""
+    return op1_media_columns(spark, sf_dir).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "media_bytes")
+
+
+def packed_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can check of op4: the words of every document's pieces, and the largest bin they lie in."""
+    packed = op4_pack_documents(spark, sf_dir)
+    return packed.groupBy("doc_id").agg(F.sum("words").alias("words"), F.coalesce(F.max("bin_words") <= CAPACITY, F.lit(True)).alias("fits"))
+
+
+def mix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can check of op6: sizes and targets."""
+    return op6_mix_sources(spark, sf_dir).select("doc_id", "size", "source_size", F.round("target", 6).alias("target"))
+
+
 _OP2_SQL = r"""
 WITH RECURSIVE words AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
@@ -147,6 +164,30 @@ ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY scor
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 """
 
+_PAYLOADS_SQL = """
+WITH texts AS (SELECT doc_id, coalesce(text, '') AS t, strlen(coalesce(text, '')) AS n FROM documents),
+padded AS (SELECT doc_id, n, t || repeat(' ', CASE WHEN n = 0 THEN 192 ELSE (192 - n % 192) % 192 END) AS p FROM texts)
+SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(strlen(p) AS BIGINT) AS payload_bytes, sha256(p) AS payload_sha256, CAST(strlen(p) + 44 AS BIGINT) AS media_bytes
+FROM padded
+"""
+
+_PACKED_SQL = r"""
+SELECT doc_id, CAST(sum(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))) AS BIGINT) AS words, TRUE AS fits FROM documents GROUP BY doc_id
+"""
+
+_TARGETS_SQL = r"""
+WITH sized AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
+sources AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS place FROM sized GROUP BY source),
+weighed AS (SELECT *, [5e0, 2e0, 1e0][(place - 1) % 3 + 1] AS w, source_size * 2e0 AS cap FROM sources),
+-- a source is full if all with a smaller share of cap to weight are, and what is left would take it over its cap
+ranked AS (
+  SELECT *, sum(source_size) OVER () * 1.5e0 AS total, coalesce(sum(cap) OVER (ORDER BY cap / w, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS filled,
+         sum(w) OVER (ORDER BY cap / w, place ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS weights FROM weighed),
+rates AS (SELECT max((total - filled) / weights) AS rate FROM ranked)
+SELECT sized.doc_id, sized.size, source_size, round(least(w * rate, cap), 6) AS target
+FROM sized JOIN ranked ON ranked.source IS NOT DISTINCT FROM sized.source, rates
+"""
+
 QUERIES: dict[str, Query] = {
     "op1_media_columns": op1_media_columns,
     "op2_near_duplicates": op2_near_duplicates,
@@ -158,10 +199,16 @@ QUERIES: dict[str, Query] = {
     "op8_quality": op8_quality,
     "op9_top_k": op9_top_k,
     "op10_token_files": op10_token_files,
+    "media_payloads": media_payloads,
+    "mix_targets": mix_targets,
+    "packed_words": packed_words,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_near_duplicates": _OP2_SQL,
     "op3_dedup_lines": _OP3_SQL,
     "op9_top_k": _OP9_SQL,
+    "media_payloads": _PAYLOADS_SQL,
+    "mix_targets": _TARGETS_SQL,
+    "packed_words": _PACKED_SQL,
 }
