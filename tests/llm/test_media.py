@@ -12,12 +12,15 @@ def expected(text):
     data = (text or "").encode()
     payload = data + b" " * (-len(data) % 192 if data else 192)
     stored = media.wav_header(len(payload)) + payload
-    return len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(stored), hashlib.sha256(stored).hexdigest()
+    level = [b - 128 for b in payload]
+    crossings = sum((a >= 0) != (b >= 0) for a, b in zip(level[:-1], level[1:], strict=True))
+    feature = f"n={len(level)};sum={sum(level)};energy={sum(x * x for x in level)};crossings={crossings};min={min(level)};max={max(level)}"
+    return len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(stored), hashlib.sha256(stored).hexdigest(), feature
 
 
 def described(df, **more):
     rows = media.media_columns(df, **more).collect()
-    return sorted((str(r.doc_id), r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32, r.media_bytes, r.media_sha256) for r in rows)
+    return sorted((str(r.doc_id), r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32, r.media_bytes, r.media_sha256, r.feature) for r in rows)
 
 
 def test_round_trip(documents):

@@ -20,7 +20,10 @@ the digest of the whole payload and computes features, once for each distinct
 payload; documents then look up their payload's row.
 
 Defined cases: null and empty texts are one block of spaces. Repeated rows and
-null doc_ids are kept, row by row. An empty table gives an empty result.
+null doc_ids are kept, row by row; equal texts are one payload. A very long text
+is cut like any other, in windows, and restored whole in one task. An empty
+table gives an empty result. Only doc_id and text are read, so further columns
+may bear any name.
 """
 
 from __future__ import annotations
@@ -35,6 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .batches import pieces
 from .workspace import written
 
 BLOCK = 192
@@ -112,11 +116,11 @@ def _payloads(batch: pa.RecordBatch, column: int) -> tuple[list[int], list[bytes
 
 
 def _manifests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        sizes, payloads = _payloads(batch, 1)
+    for part in (p for batch in batches for p in pieces(batch, 1, _BATCH_BYTES)):
+        sizes, payloads = _payloads(part, 1)
         yield pa.RecordBatch.from_arrays(
             [
-                batch.column(0),
+                part.column(0),
                 pa.array(sizes, pa.int64()),
                 pa.array([len(p) for p in payloads], pa.int64()),
                 pa.array([hashlib.sha256(p).digest() for p in payloads], pa.binary()),
@@ -151,8 +155,8 @@ def _split(shared, pooled: bool):
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filled = np.frombuffer(shared.value, dtype="<u4")
-        for batch in batches:
-            _, payloads = _payloads(batch, 0)
+        for part in (p for batch in batches for p in pieces(batch, 0, _BATCH_BYTES)):
+            _, payloads = _payloads(part, 0)
             digests, bodies, rows = [], [], []
             for p, chunks in zip(payloads, chunked(payloads), strict=True):
                 own = [chunk_digest(c) for c in chunks]
@@ -189,7 +193,8 @@ def _restore(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Chunks with their places -> the media value, checked, and what is computed from it."""
     for batch in batches:
         out = []
-        for row in batch.to_pylist():
+        for i in range(batch.num_rows):  # one payload at a time
+            row = batch.slice(i, 1).to_pylist()[0]
             places = [*(row["places"] or []), *(x["place"] for x in row["refs"] or [])]
             bodies = [*(row["bodies"] or []), *(x["body"] for x in row["refs"] or [])]
             payload = b"".join(b for _, b in sorted(zip(places, bodies, strict=True)))
