@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .workspace import written
+from .workspace import drop, written
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -33,15 +33,15 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             point = point.select("node", F.least(key("node"), F.col("to"))["v"].alias("to"))
         point = written(point, "point")
         onward = point.select(F.col("node").alias("to"), F.col("to").alias("further"))
-        point = written(point.join(onward, "to").select("node", F.col("further").alias("to")), "jump")
-        labels = labels.join(point.withColumnRenamed("node", "label"), "label", "left")
-        labels = written(labels.select("node", F.coalesce("to", "label").alias("label")), "labels")
-        ends = edges.join(point.select(F.col("node").alias("a"), F.col("to").alias("x")), "a")
-        ends = ends.join(point.select(F.col("node").alias("b"), F.col("to").alias("y")), "b")
-        edges = written(
-            ends.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(),
-            "edges",
-        )
+        jump = written(point.join(onward, "to").select("node", F.col("further").alias("to")), "jump")
+        moved = labels.join(jump.withColumnRenamed("node", "label"), "label", "left")
+        moved = written(moved.select("node", F.coalesce("to", "label").alias("label")), "labels")
+        ends = edges.join(jump.select(F.col("node").alias("a"), F.col("to").alias("x")), "a")
+        ends = ends.join(jump.select(F.col("node").alias("b"), F.col("to").alias("y")), "b")
+        left = ends.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+        left = written(left, "edges")
+        drop(edges, point, jump, labels)
+        edges, labels = left, moved
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     smallest = labels.groupBy("label").agg(F.min("node").alias("component"))
