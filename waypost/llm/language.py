@@ -50,7 +50,7 @@ FLOOR = -6.0
 SCRIPT_SHARE = 0.001
 #: Words that one Viterbi window holds.
 WINDOW = 256
-_SLICE_BYTES, _SLICE_TEXTS = 4 << 20, 1000
+_SLICE_BYTES, _SLICE_TEXTS = 2 << 20, 1000
 
 # First code points of script ranges, in order, with their script.
 SCRIPT_RANGES = (
