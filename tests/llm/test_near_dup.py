@@ -43,7 +43,7 @@ def test_documents(documents):
     assert result(documents) == brute([(r.doc_id, r.text) for r in documents.collect()])
 
 
-@pytest.mark.parametrize("block", [256, 16])
+@pytest.mark.parametrize("block", [1024, 16])
 def test_family_of_edits(spark, monkeypatch, block):
     """Many copies at similarities around the limit, also in small blocks."""
     monkeypatch.setattr(near_dup, "BLOCK", block)

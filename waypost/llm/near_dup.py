@@ -53,8 +53,10 @@ NUMERATOR, DENOMINATOR = 75, 100
 #: 32 bands of 4 rows miss a pair of similarity 0.75 with a probability of 5e-6.
 BANDS, ROWS = 32, 4
 SKETCH_BITS = 2048
+#: Sets whose sketches are made together.
+_SKETCH_ROWS = 128
 #: Classes of a block.
-BLOCK = 256
+BLOCK = 1024
 #: Classes are dealt by the logarithm of their size to this base, a little more than the ratio of sizes that can match.
 _SIZE_BASE = 1.34
 _BATCH_BYTES = 1 << 20
@@ -110,10 +112,15 @@ def _sums(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 def sketches(shingles: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """A row of SKETCH_BITS bits for every set, each flipped by the shingles that fall on it."""
-    owner = np.repeat(np.arange(len(sizes)), sizes)
+    out = np.zeros((len(sizes), SKETCH_BITS // 8), dtype=np.uint8)
     place = (mix64(shingles ^ np.uint64(0x2545F4914F6CDD1D)) % np.uint64(SKETCH_BITS)).astype(np.int64)
-    odd = np.bincount(owner * SKETCH_BITS + place, minlength=len(sizes) * SKETCH_BITS) & 1
-    return np.packbits(odd.astype(bool).reshape(len(sizes), SKETCH_BITS), axis=1)
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    for at in range(0, len(sizes), _SKETCH_ROWS):
+        to = min(len(sizes), at + _SKETCH_ROWS)
+        owner = np.repeat(np.arange(to - at), sizes[at:to])
+        odd = np.bincount(owner * SKETCH_BITS + place[ends[at] : ends[to]], minlength=(to - at) * SKETCH_BITS) & 1
+        out[at:to] = np.packbits(odd.astype(bool).reshape(to - at, SKETCH_BITS), axis=1)
+    return out
 
 
 def sign(batches: Iterator[pa.RecordBatch], bands: int = BANDS, rows: int = ROWS) -> Iterator[pa.RecordBatch]:
