@@ -8,14 +8,13 @@ that makes an array, which the two spell differently.
 from __future__ import annotations
 
 import re
-import tempfile
-import uuid
 from datetime import date
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.constants import STATION_COST
+from ..storage import new_folder
 
 AS_OF = date(2024, 1, 20)
 
@@ -144,21 +143,11 @@ def duckdb_sql(names: tuple[str, ...], body: str, extra: dict[str, str] | None =
     return "WITH " + ",\n".join(f"{k} AS ({v})" for k, v in parts.items()) + body
 
 
-def _shared_folder(spark: SparkSession) -> str:
-    """A new folder that all executors reach: below the checkpoint folder, or on this machine where the master is local."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.conf.get("spark.master", "").startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="waypost-")
-    return f"{root.rstrip('/')}/documents-{uuid.uuid4().hex[:12]}"
-
-
 def as_documents(rows: DataFrame, key: str, element: Column, order: str, size: int) -> str:
     """Write elements as JSON documents of at most ``size`` of them in ``order``, a file each; return their folder."""
     own = F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("at"), element.alias("e")))), lambda x: x["e"])
     documents = rows.groupBy(F.floor(F.col(order) / size).alias("_document")).agg(own.alias(key))
-    folder = _shared_folder(rows.sparkSession)
+    folder = new_folder(rows.sparkSession, "documents")
     documents.select(F.to_json(F.struct(key))).write.option("maxRecordsPerFile", 1).text(folder)
     return folder
 
@@ -213,7 +202,7 @@ class Tables:
 
     def period_document(self) -> str:
         """The folder of a document with that period."""
-        folder = _shared_folder(self.spark)
+        folder = new_folder(self.spark, "documents")
         period = F.struct(F.col("start_date").alias("start"), F.col("end_date").alias("end"))
         self.period.select(F.to_json(F.struct(period.alias("period")))).write.text(folder)
         return folder
