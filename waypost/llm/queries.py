@@ -15,6 +15,7 @@ from .media import media_columns
 from .mixing import mix_sources
 from .near_dup import near_duplicates
 from .packing import CAPACITY, near_items_of, pack
+from .prefix_trie import prefix_trie
 from .quality import predict_quality
 from .token_files import read_token_files, write_token_files
 from .vector_search import top_k
@@ -77,6 +78,11 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(parts)
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trie of turns that conversations begin with."""
+    return prefix_trie(_table(spark, sf_dir, "conversations"))
+
+
 def media_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What SQL can check of op1: sizes and digests of the payloads read back."""
     return op1_media_columns(spark, sf_dir).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "media_bytes")
@@ -164,6 +170,37 @@ ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY scor
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 """
 
+_OP11_SQL = """
+WITH crc AS (
+  SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda x, _: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)) AS t),
+own AS (
+  SELECT conv_id AS c, struct_pack(role := coalesce(role, ''), text := coalesce(text, '')) AS s,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos
+  FROM conversations WHERE conv_id IS NOT NULL),
+convs AS (
+  SELECT c, list(s ORDER BY pos) AS turns,
+         xor(list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(c AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+             lambda x, b: xor(x >> 8, t[CAST(xor(x, b) & 255 AS INTEGER) + 1])), 4294967295) % 6 AS h
+  FROM own, crc GROUP BY c, t),
+rebuilt AS (
+  SELECT x.c, list_concat(coalesce(b.turns[1:x.h], []), x.turns[x.h + 1:]) AS turns FROM convs x LEFT JOIN convs b ON b.c = x.c - x.c % 100),
+steps AS (SELECT c, turns, unnest(range(0, len(turns) + 1)) AS d FROM rebuilt),
+paths AS (SELECT c, d, turns[1:d] AS path, d = len(turns) AS ends FROM steps),
+nodes AS (
+  SELECT d, path, min(c) AS conv_id, count(*) AS n_convs, sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (WHERE ends), '')) AS ends_sha256
+  FROM paths GROUP BY d, path),
+family AS (
+  SELECT n.*, u.conv_id AS parent_conv_id FROM nodes n LEFT JOIN nodes u ON u.d = n.d - 1 AND u.path = n.path[1:n.d - 1]),
+kids AS (SELECT conv_id, d, (SELECT count(*) FROM family k WHERE k.d = f.d + 1 AND k.parent_conv_id = f.conv_id) AS n_children, n_convs,
+           CASE WHEN d > 0 THEN (n_convs - 1) * length(path[d].text) ELSE 0 END AS own_saved FROM family f),
+-- every node counts for all nodes on the path of its smallest member
+above AS (
+  SELECT n.conv_id, n.d, k.n_children, k.own_saved FROM kids k JOIN paths p ON p.c = k.conv_id AND p.d <= k.d JOIN nodes n ON n.d = p.d AND n.path = p.path),
+sums AS (SELECT conv_id, d, count(*) FILTER (WHERE n_children = 0) AS n_leaves, CAST(sum(own_saved) AS BIGINT) AS saved_tokens FROM above GROUP BY conv_id, d)
+SELECT conv_id, d AS depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256
+FROM family JOIN kids USING (conv_id, d, n_convs) JOIN sums USING (conv_id, d)
+"""
+
 _PAYLOADS_SQL = """
 WITH texts AS (SELECT doc_id, coalesce(text, '') AS t, strlen(coalesce(text, '')) AS n FROM documents),
 padded AS (SELECT doc_id, n, t || repeat(' ', CASE WHEN n = 0 THEN 192 ELSE (192 - n % 192) % 192 END) AS p FROM texts)
@@ -199,6 +236,7 @@ QUERIES: dict[str, Query] = {
     "op8_quality": op8_quality,
     "op9_top_k": op9_top_k,
     "op10_token_files": op10_token_files,
+    "op11_prefix_trie": op11_prefix_trie,
     "media_payloads": media_payloads,
     "mix_targets": mix_targets,
     "packed_words": packed_words,
@@ -208,6 +246,7 @@ ORACLE_SQL: dict[str, str] = {
     "op2_near_duplicates": _OP2_SQL,
     "op3_dedup_lines": _OP3_SQL,
     "op9_top_k": _OP9_SQL,
+    "op11_prefix_trie": _OP11_SQL,
     "media_payloads": _PAYLOADS_SQL,
     "mix_targets": _TARGETS_SQL,
     "packed_words": _PACKED_SQL,
