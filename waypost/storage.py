@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
 from weakref import WeakKeyDictionary
 
@@ -56,12 +56,12 @@ def _set(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
                 spark.conf.set(k, v)
 
 
-def written(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
-    """Write ``df`` to a new shared folder and return it as read from there."""
+def written(df: DataFrame, name: str, compression: str = "zstd", partition_by: Sequence[str] = ()) -> DataFrame:
+    """Write ``df`` to a new shared folder and return it as read from there; ``partition_by`` are its last columns."""
     spark = df.sparkSession
     path = new_folder(spark, name)
     with _set(spark, {_CLEANUP: "true", _HASHED: spark.conf.get(_ADVISED)}):
-        df.write.option("compression", compression).parquet(path)
+        df.write.option("compression", compression).partitionBy(*partition_by).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     _FOLDERS[out] = path
     return out
