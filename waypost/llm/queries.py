@@ -10,11 +10,13 @@ from pyspark.sql import functions as F
 
 from .html_text import extract_main_text
 from .language import predict_languages
+from .licenses import scan_licenses
 from .line_dedup import dedup_lines
 from .media import media_columns
 from .mixing import mix_sources
 from .near_dup import near_duplicates
 from .packing import CAPACITY, near_items_of, pack
+from .phrases import mine_phrases
 from .prefix_trie import prefix_trie
 from .quality import predict_quality
 from .token_files import read_token_files, write_token_files
@@ -83,6 +85,22 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie(_table(spark, sf_dir, "conversations"))
 
 
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each language's 2,000 best phrases of two to five words."""
+    return mine_phrases(_table(spark, sf_dir, "documents"))
+
+
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence phrases and covered licence texts of every document."""
+    found = scan_licenses(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
+def license_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can check of op13: words and the places of the phrases."""
+    return op13_license_scan(spark, sf_dir).drop("labels", "score")
+
+
 def media_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What SQL can check of op1: sizes and digests of the payloads read back."""
     return op1_media_columns(spark, sf_dir).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "media_bytes")
@@ -201,6 +219,48 @@ SELECT conv_id, d AS depth, parent_conv_id, n_convs, n_children, n_leaves, saved
 FROM family JOIN kids USING (conv_id, d, n_convs) JOIN sums USING (conv_id, d)
 """
 
+_OP12_SQL = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS p
+  FROM documents),
+words AS (SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM pieces),
+sizes AS (SELECT lang, CAST(sum(len(w)) AS HUGEINT) AS n FROM words GROUP BY lang),
+grams AS (
+  SELECT lang, m, unnest(list_transform(range(1, len(w) - m + 2), lambda i: array_to_string(w[i:i + m - 1], ' '))) AS phrase
+  FROM words, (SELECT unnest(range(1, 6)) AS m) WHERE len(w) >= m),
+counts AS (SELECT lang, phrase, min(m) AS m, CAST(count(*) AS HUGEINT) AS f FROM grams GROUP BY lang, phrase HAVING count(*) >= 100),
+split AS (SELECT lang, phrase, m, f, string_split(phrase, ' ') AS w FROM counts WHERE m > 1),
+cuts AS (SELECT *, unnest(range(1, m)) AS k FROM split),
+cut AS (
+  SELECT c.lang, c.phrase, c.f AS a, x.f AS l, y.f AS r, n, 1000 * c.f * n // (x.f * y.f) AS score
+  FROM cuts c JOIN counts x ON x.lang = c.lang AND x.phrase = array_to_string(c.w[1:c.k], ' ')
+  JOIN counts y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[c.k + 1:], ' ') JOIN sizes ON sizes.lang = c.lang
+  QUALIFY row_number() OVER (PARTITION BY c.lang, c.phrase ORDER BY score, c.k) = 1),
+inside AS (
+  SELECT lang, array_to_string(w[i:j], ' ') AS phrase, max(f) AS longer
+  FROM split, (SELECT unnest(range(1, 5)) AS i), (SELECT unnest(range(2, 6)) AS j) WHERE i < j AND j <= m AND j - i + 1 < m GROUP BY 1, 2),
+kept AS (SELECT cut.* FROM cut LEFT JOIN inside USING (lang, phrase) WHERE longer IS NULL OR longer < a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase,
+       CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM kept QUALIFY rank <= 2000
+"""
+
+_PLACES_SQL = r"""
+WITH words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w, row_number() OVER () AS k
+  FROM documents),
+spots AS (SELECT k, w, unnest(range(1, len(w) + 1)) AS i FROM words WHERE len(w) > 0),
+places AS (
+  SELECT k, i - 1 AS i, 'cc-by' AS label FROM spots WHERE w[i] = 'cc' AND w[i + 1] = 'by'
+  UNION ALL SELECT k, i - 1, 'gpl' FROM spots WHERE w[i] = 'general' AND w[i + 1] = 'public' AND w[i + 2] = 'license'
+  UNION ALL SELECT k, i - 1, 'reserved' FROM spots WHERE w[i] = 'all' AND w[i + 1] = 'rights' AND w[i + 2] = 'reserved')
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, count(i) AS n_base, min(i) AS first_word, max(i) AS last_word,
+       coalesce(string_agg(DISTINCT label, ',' ORDER BY label), '') AS base_labels
+FROM words LEFT JOIN places USING (k) GROUP BY k, doc_id, w
+"""
+
 _PAYLOADS_SQL = """
 WITH texts AS (SELECT doc_id, coalesce(text, '') AS t, strlen(coalesce(text, '')) AS n FROM documents),
 padded AS (SELECT doc_id, n, t || repeat(' ', CASE WHEN n = 0 THEN 192 ELSE (192 - n % 192) % 192 END) AS p FROM texts)
@@ -237,6 +297,9 @@ QUERIES: dict[str, Query] = {
     "op9_top_k": op9_top_k,
     "op10_token_files": op10_token_files,
     "op11_prefix_trie": op11_prefix_trie,
+    "op12_phrases": op12_phrases,
+    "op13_license_scan": op13_license_scan,
+    "license_places": license_places,
     "media_payloads": media_payloads,
     "mix_targets": mix_targets,
     "packed_words": packed_words,
@@ -247,6 +310,8 @@ ORACLE_SQL: dict[str, str] = {
     "op3_dedup_lines": _OP3_SQL,
     "op9_top_k": _OP9_SQL,
     "op11_prefix_trie": _OP11_SQL,
+    "op12_phrases": _OP12_SQL,
+    "license_places": _PLACES_SQL,
     "media_payloads": _PAYLOADS_SQL,
     "mix_targets": _TARGETS_SQL,
     "packed_words": _PACKED_SQL,
