@@ -104,10 +104,8 @@ def lookup_partner(partners: DataFrame, visible: DataFrame, terms: DataFrame) ->
     hit = (F.lower("store_id") == F.col("_term")) | F.contains(F.lower("name"), F.col("_term"))
     first = F.min(F.struct("partner_ordinal", "store_id", "name", "lat", "lon")).alias("p")
     found = partners.join(typed, hit).groupBy("term_id").agg(first).select(F.col("term_id").alias("_id"), "p.*")
-    seen = visible.select(F.col("partner_ordinal").alias("_seen")).distinct()
-    found = found.join(seen, F.col("partner_ordinal") == F.col("_seen"), "left")
-    outcome = (
-        F.when(F.col("partner_ordinal").isNull(), "not_found").when(F.col("_seen").isNull(), "filtered_out").otherwise("found")
-    )
+    seen = visible.select(F.col("store_id").alias("_seen")).distinct().withColumn("_shown", F.lit(True))
+    found = found.join(seen, F.col("store_id").eqNullSafe(F.col("_seen")), "left")  # by id: what is shown need not come from the same reading
+    outcome = F.when(F.col("partner_ordinal").isNull(), "not_found").when(F.col("_shown").isNull(), "filtered_out").otherwise("found")
     asked = terms.where(truthy("term")).select("term_id")
     return asked.join(found, F.col("term_id") == F.col("_id"), "left").select("term_id", "store_id", "name", "lat", "lon", outcome.alias("outcome"))

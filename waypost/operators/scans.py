@@ -24,6 +24,7 @@ PART = "_part"
 _KINDS = {
     "sum": (F.sum, operator.add, operator.add),
     "xor": (F.bit_xor, lambda a, b: a.bitwiseXOR(b), operator.xor),
+    "max": (F.max, F.greatest, max),
 }
 Aggregates = dict[str, tuple[str, Column]]
 
@@ -42,7 +43,7 @@ def ranged(df: DataFrame, by: Iterable[str], order: Iterable[Column | str]) -> D
 def accumulate(rows: DataFrame, by: Iterable[str], order: Iterable[Column | str], aggregates: Aggregates) -> DataFrame:
     """``rows``, which have ``_part``, with running aggregates in order, a row's own value included.
 
-    ``aggregates`` maps a new column to ``sum`` or ``xor`` and what it runs over,
+    ``aggregates`` maps a new column to ``sum``, ``xor`` or ``max`` and what it runs over,
     which must not be null. Without ``by`` a figure for each partition passes
     through the driver; these are as many as there are tasks, whatever the rows.
     """

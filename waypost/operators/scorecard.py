@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterable
 from datetime import date
 
@@ -33,12 +34,17 @@ def goal_progress(goals_attained: DataFrame, bands: Iterable[tuple[float, str]]
     return rows.withColumns({"band": banded(F.col("percent"), bands), "bar": F.least("percent", F.lit(100.0))})
 
 
+def _given(leads: DataFrame, column: str) -> Column:
+    """Whether anything was written in a column, dates or not, where the reader says so."""
+    return F.col(f"{column}_given") if f"{column}_given" in leads.columns else truthy(column)
+
+
 def _by_group(leads: DataFrame, *keys: str) -> DataFrame:
     """Contacts, registrations, conversions and first place of every group of leads."""
     return leads.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("contacts"),
-        F.count_if(truthy("data_cadastro")).alias("registrations"),
-        F.count_if(truthy("data_conversao")).alias("conversions"),
+        F.count_if(_given(leads, "data_cadastro")).alias("registrations"),
+        F.count_if(_given(leads, "data_conversao")).alias("conversions"),
         F.min("lead_ordinal").alias("first"),
     )
 
@@ -162,11 +168,26 @@ def temporal_chart(
     """Actual and projected sums with their targets, in order of position."""
     by = list(by)
     names = ["position", "label", "is_projection", "contacts_cum", "registrations_cum"]
-    actual = cumulative_series(daily, by).withColumns({"label": F.col("data_contato").cast("string"), "is_projection": F.lit(False)})
+    label = "label" if "label" in daily.columns else "data_contato"  # as written, where the reader keeps it
+    actual = cumulative_series(daily, by).withColumns({"label": F.col(label).cast("string"), "is_projection": F.lit(False)})
     projected = projected_series(daily, as_of, window, by).withColumn("is_projection", F.lit(True))
     return cumulative_targets(actual.select(*by, *names).unionByName(projected.select(*by, *names)), targets)
 
 
+def _header(column: str) -> str:
+    return column.replace("_", " ").upper()
+
+
 def lead_detail(leads: DataFrame) -> DataFrame:
-    """All cells as text, missing ones as N/A, under headers in capitals with spaces."""
-    return leads.select(*(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("N/A")).alias(c.replace("_", " ").upper()) for c in leads.columns))
+    """All cells as text, missing ones as N/A, under headers in capitals with spaces.
+
+    Leads from a document have the columns of the first one's keys, in their
+    order, with what was written there; other leads have all of their columns.
+    """
+    if "as_written" not in leads.columns:
+        return leads.select(*(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("N/A")).alias(_header(c)) for c in leads.columns))
+    first = leads.select("lead_ordinal", "as_written").orderBy("lead_ordinal").head(1)
+    keys = list(json.loads(first[0].as_written)) if first else []
+    whole = leads.select(F.try_parse_json("as_written").alias("_lead"))
+    cell = lambda key: F.try_variant_get("_lead", f"$[{json.dumps(key)}]", "string")
+    return whole.select(*(F.coalesce(cell(k), F.lit("N/A")).alias(_header(k)) for k in keys))

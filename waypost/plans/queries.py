@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import filters, partners, scorecard, spatial
@@ -150,15 +150,14 @@ def _f9(t: Tables) -> DataFrame:
     return filters.autocomplete_partners(t.plain_partners, _terms(t))
 
 
-@_query(
-    "f10_lookup_partner",
-    ("partner_flat",),
-    f"""SELECT terms.term_id, store_id, name, lat, lon,
+_LOOKUP = f"""SELECT terms.term_id, store_id, name, lat, lon,
           CASE WHEN store_id IS NULL THEN 'not_found' WHEN delivery_station IN ({_IN}) THEN 'found' ELSE 'filtered_out' END AS outcome
         FROM ({_TERMS}) terms LEFT JOIN (
           SELECT term_id, partner_flat.* FROM partner_flat JOIN ({_TERMS}) ON lower(store_id) = lower(term) OR contains(lower(name), lower(term))
-          QUALIFY row_number() OVER (PARTITION BY term_id ORDER BY partner_ordinal) = 1) USING (term_id)""",
-)
+          QUALIFY row_number() OVER (PARTITION BY term_id ORDER BY partner_ordinal) = 1) USING (term_id)"""
+
+
+@_query("f10_lookup_partner", ("partner_flat",), _LOOKUP)
 def _f10(t: Tables) -> DataFrame:
     return filters.lookup_partner(t.plain_partners, _at_stations(t), _terms(t))
 
@@ -196,15 +195,13 @@ def _j1(t: Tables) -> DataFrame:
     return partners.region_partners(t.regions, _visible(t)).select("polygon_ordinal", "cluster", "active", "onboarding", "partners", "adv_sum")
 
 
-@_query(
-    "a1_region_summary",
-    _GEO,
-    f"""SELECT r.polygon_ordinal, r.cluster, coalesce(num_points, 0) AS expected, active, onboarding, {_ATTAINED} AS attainment_pct, priority,
+_A1 = f"""SELECT r.polygon_ordinal, r.cluster, coalesce(num_points, 0) AS expected, active, onboarding, {_ATTAINED} AS attainment_pct, priority,
           CASE WHEN partners > 0 THEN floor((adv_sum * 20 + partners) / (partners * 2)) / 10 ELSE 0 END AS avg_adv
         FROM ({_BY_REGION.format("shown", "located")}) r LEFT JOIN ({_PRIORITY}) p
-          ON r.delivery_station IS NOT DISTINCT FROM p.delivery_station AND r.cluster IS NOT DISTINCT FROM p.cluster""",
-    _ALL,
-)
+          ON r.delivery_station IS NOT DISTINCT FROM p.delivery_station AND r.cluster IS NOT DISTINCT FROM p.cluster"""
+
+
+@_query("a1_region_summary", _GEO, _A1, _ALL)
 def _a1(t: Tables) -> DataFrame:
     return partners.region_summary(_shown(t), t.regions, _located(t))
 
@@ -652,7 +649,7 @@ def _r3(t: Tables) -> DataFrame:
 @_query(
     "s1_load_partners",
     ("partner_flat", "overlap_flat"),
-    """SELECT row_number() OVER (PARTITION BY floor(fk / 500) ORDER BY fk) - 1 AS partner_ordinal, store_id, status, lat, ADV, ead,
+    """SELECT row_number() OVER (ORDER BY fk) - 1 AS partner_ordinal, store_id, status, lat, ADV, ead,
          CASE WHEN fk % 13 > 0 THEN eligible_packages END AS eligible_packages, overlapping_count, coalesce(n, 0) AS overlaps, first_overlap
        FROM partner_flat LEFT JOIN (
          SELECT main, CAST(count(*) AS INTEGER) AS n, concat('ST', CAST(arg_min(other, k) AS VARCHAR)) AS first_overlap FROM overlap_flat GROUP BY main) o ON main = fk""",
@@ -685,7 +682,7 @@ def _features(rows: DataFrame, kind: str, coordinates: str, *properties: str) ->
 @_query(
     "s2_load_regions",
     ("regions",),
-    f"SELECT row_number() OVER (PARTITION BY floor(polygon_ordinal / 50) ORDER BY polygon_ordinal) - 1 AS polygon_ordinal, cluster, delivery_station, num_points, cor, {_SHAPE} FROM regions",
+    f"SELECT row_number() OVER (ORDER BY polygon_ordinal) - 1 AS polygon_ordinal, cluster, delivery_station, num_points, cor, {_SHAPE} FROM regions",
 )
 def _s2(t: Tables) -> DataFrame:
     columns = ("cluster", "delivery_station", "num_points", "cor")
@@ -695,24 +692,102 @@ def _s2(t: Tables) -> DataFrame:
 @_query(
     "s3_load_jurisdictions",
     ("jurisdictions",),
-    f"SELECT row_number() OVER (PARTITION BY floor(polygon_ordinal / 50) ORDER BY polygon_ordinal) - 1 AS polygon_ordinal, delivery_station, cor, {_SHAPE} FROM jurisdictions",
+    f"SELECT row_number() OVER (ORDER BY polygon_ordinal) - 1 AS polygon_ordinal, delivery_station, cor, {_SHAPE} FROM jurisdictions",
 )
 def _s3(t: Tables) -> DataFrame:
     columns = ("delivery_station", "cor")
     return _shape(documents.load_jurisdictions(t.spark, _features(t.jurisdictions, "Polygon", "geom[0]", *columns)), *columns)
 
 
+_NULLS = "CAST(NULL AS VARCHAR)"
+_WRITTEN_DAY = "CASE WHEN day_ordinal % 2 = 0 THEN strftime(data_contato, '%d/%m') ELSE CAST(data_contato AS VARCHAR) END"
+
+
+def _odd(column: str) -> str:
+    return f"CASE WHEN lead_ordinal % 3 = 0 THEN strftime({column}, '%d/%m/%Y') ELSE CAST({column} AS VARCHAR) END"
+
+
 @_query(
     "s4_load_scorecard",
-    ("leads",),
-    """SELECT row_number() OVER (PARTITION BY floor(lead_ordinal / 2000) ORDER BY lead_ordinal) - 1 AS lead_ordinal, responsavel, origem,
-         CAST(data_contato AS VARCHAR) AS data_contato, CAST(data_cadastro AS VARCHAR) AS data_cadastro, CAST(data_conversao AS VARCHAR) AS data_conversao FROM leads""",
+    ("leads", "daily", "owner_scores", "totals"),
+    f"""SELECT 'lead' AS part, row_number() OVER (ORDER BY lead_ordinal) - 1 AS ordinal, responsavel AS name, origem AS a, CAST(data_contato AS VARCHAR) AS b,
+          CASE WHEN lead_ordinal % 3 > 0 THEN CAST(data_cadastro AS VARCHAR) END AS c, CAST(data_cadastro IS NOT NULL AS DOUBLE) AS x, CAST(data_conversao IS NOT NULL AS DOUBLE) AS y, CAST(NULL AS DOUBLE) AS z FROM leads
+        UNION ALL SELECT 'owner', row_number() OVER (ORDER BY responsavel) - 1, responsavel, {_NULLS}, {_NULLS}, {_NULLS}, contatos, conversoes, score_final FROM owner_scores
+        UNION ALL SELECT 'day', day_ordinal - 1, {_WRITTEN_DAY}, {_NULLS}, CASE WHEN day_ordinal % 2 > 0 THEN CAST(data_contato AS VARCHAR) END, {_NULLS}, contatos, cadastros, NULL FROM daily
+        UNION ALL SELECT 'goal', NULL, 'contatos', {_NULLS}, {_NULLS}, {_NULLS}, contacts, contacts_goal, contacts * 100 / contacts_goal FROM totals
+        UNION ALL SELECT 'goal', NULL, 'cadastros', {_NULLS}, {_NULLS}, {_NULLS}, registrations, registrations_goal, registrations * 100 / registrations_goal FROM totals
+        UNION ALL SELECT 'period', NULL, concat(CAST(min(data_contato) AS VARCHAR), ' - ', CAST(max(data_contato) AS VARCHAR)), CAST(min(data_contato) AS VARCHAR), CAST(max(data_contato) AS VARCHAR), {_NULLS}, NULL, NULL, NULL FROM leads""",
 )
 def _s4(t: Tables) -> DataFrame:
-    text = lambda c, other: F.coalesce(F.col(c).cast("string"), F.lit(other)).alias(c)
-    element = F.struct("responsavel", "origem", "data_contato", text("data_cadastro", ""), text("data_conversao", "x"))
-    read = documents.load_scorecard(t.spark, as_documents(t.leads, "summary", element, "lead_ordinal", 2000))["leads"]
-    return read.select("lead_ordinal", "responsavel", "origem", *(F.col(c).cast("string").alias(c) for c in ("data_contato", "data_cadastro", "data_conversao")))
+    read = documents.load_scorecard(t.spark, t.scorecard_documents())
+    names = {"ordinal": "long", "name": "string", "a": "string", "b": "string", "c": "string", "x": "double", "y": "double", "z": "double"}
+
+    def rows(part: str, table: DataFrame, **columns: Column) -> DataFrame:
+        return table.select(F.lit(part).alias("part"), *(columns.get(n, F.lit(None)).cast(kind).alias(n) for n, kind in names.items()))
+
+    col, goals = F.col, read["goals_attained"]
+    out = rows("lead", read["leads"], ordinal=col("lead_ordinal"), name=col("responsavel"), a=col("origem"), b=col("data_contato"), c=col("data_cadastro"), x=col("data_cadastro_given"), y=col("data_conversao_given"))
+    out = out.unionByName(rows("owner", read["owner_scores"], ordinal=col("owner_ordinal"), name=col("responsavel"), x=col("contatos"), y=col("conversoes"), z=col("score_final")))
+    out = out.unionByName(rows("day", read["daily"], ordinal=col("day_ordinal"), name=col("label"), b=col("data_contato"), x=col("contatos"), y=col("cadastros")))
+    for g in ("contatos", "cadastros"):
+        out = out.unionByName(rows("goal", goals, name=F.lit(g), x=col(f"{g}.atingido"), y=col(f"{g}.meta"), z=col(f"{g}.percentual")))
+    return out.unionByName(rows("period", read["period"], name=col("label"), a=col("start_date"), b=col("end_date")))
+
+
+@_query(
+    "r3_detail_as_written",
+    ("leads",),
+    f"""SELECT responsavel AS "RESPONSAVEL", origem AS "ORIGEM", CAST(data_contato AS VARCHAR) AS "DATA CONTATO", coalesce({_odd("data_cadastro")}, '') AS "DATA CADASTRO",
+          coalesce({_odd("data_conversao")}, ['N/A', '0', 'false', ''][lead_ordinal % 4 + 1]) AS "DATA CONVERSAO", concat('}}{{ "', CAST(lead_ordinal % 10 AS VARCHAR), '"') AS "NOTA"
+        FROM leads WHERE responsavel = 'P3'""",
+)
+def _r3_as_written(t: Tables) -> DataFrame:
+    read = documents.load_scorecard(t.spark, t.scorecard_documents())
+    return scorecard.lead_detail(filters.filter_leads(read["leads"], "P3"))
+
+
+@_query("a11_best_origin_as_written", ("leads",), f"SELECT origem, contacts, registrations, conversions, rate FROM ({_lead_groups('origem')}) WHERE rate > 0 ORDER BY rate DESC, first LIMIT 1")
+def _a11_as_written(t: Tables) -> DataFrame:
+    return scorecard.best_origin(documents.load_scorecard(t.spark, t.scorecard_documents())["leads"])
+
+
+@_query(
+    "w7_chart_as_written",
+    ("leads", "daily"),
+    f"""SELECT *, {_TARGETS} FROM (
+          SELECT position, {_WRITTEN_DAY} AS label, FALSE AS is_projection, contacts_cum, registrations_cum FROM ({_CUMULATIVE})
+          UNION ALL SELECT position, label, TRUE, contacts_cum, registrations_cum FROM ({_PROJECTED}))""",
+)
+def _w7_as_written(t: Tables) -> DataFrame:
+    return scorecard.temporal_chart(documents.load_scorecard(t.spark, t.scorecard_documents())["daily"], AS_OF)
+
+
+def _region_folder(t: Tables) -> DataFrame:
+    """The regions, in file order, out of a folder of documents."""
+    return documents.load_regions(t.spark, _features(t.regions, "MultiPolygon", "geom", "cluster", "delivery_station", "num_points", "cor"))
+
+
+def _partner_folder(t: Tables) -> DataFrame:
+    rows = t.partners
+    return documents.load_partners(t.spark, as_documents(rows, "allMarkerData", F.struct(*(c for c in rows.columns if c != "partner_ordinal")), "partner_ordinal", 500))
+
+
+@_query("a1_summary_of_folder", _GEO, _A1, _ALL)
+def _a1_of_folder(t: Tables) -> DataFrame:
+    regions = _region_folder(t)
+    return partners.region_summary(filters.filter_regions(regions, STATIONS), regions, spatial.associate_regions(t.plain_partners, regions))
+
+
+@_query("w1_priority_of_folder", _GEO, _PRIORITY, _LOCATED)
+def _w1_of_folder(t: Tables) -> DataFrame:
+    regions = _region_folder(t)
+    return partners.region_priority(regions, spatial.associate_regions(t.plain_partners, regions))
+
+
+@_query("f10_lookup_in_folder", ("partner_flat",), _LOOKUP)
+def _f10_in_folder(t: Tables) -> DataFrame:
+    read = _partner_folder(t)
+    return filters.lookup_partner(read, filters.filter_partners(read, stations=STATIONS), _terms(t))
 
 
 @_query(

@@ -143,13 +143,22 @@ def duckdb_sql(names: tuple[str, ...], body: str, extra: dict[str, str] | None =
     return "WITH " + ",\n".join(f"{k} AS ({v})" for k, v in parts.items()) + body
 
 
+def _saved(documents: DataFrame) -> str:
+    """Write (name, text) as a document each, in the order of their names; return the folder."""
+    folder = new_folder(documents.sparkSession, "documents")
+    documents.select(F.col("text"), F.lpad(F.col("name").cast("string"), 12, "0").alias("document")).write.partitionBy("document").text(folder)
+    return folder
+
+
+def _in_documents(rows: DataFrame, key: str, element: Column, order: str, size: int) -> DataFrame:
+    own = F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("at"), element.alias("e")))), lambda x: x["e"])
+    documents = rows.groupBy(F.floor(F.col(order) / size).alias("name")).agg(own.alias(key))
+    return documents.select("name", F.to_json(F.struct(key), {"ignoreNullFields": "false"}).alias("text"))
+
+
 def as_documents(rows: DataFrame, key: str, element: Column, order: str, size: int) -> str:
     """Write elements as JSON documents of at most ``size`` of them in ``order``, a file each; return their folder."""
-    own = F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("at"), element.alias("e")))), lambda x: x["e"])
-    documents = rows.groupBy(F.floor(F.col(order) / size).alias("_document")).agg(own.alias(key))
-    folder = new_folder(rows.sparkSession, "documents")
-    documents.select(F.to_json(F.struct(key))).write.option("maxRecordsPerFile", 1).text(folder)
-    return folder
+    return _saved(_in_documents(rows, key, element, order, size))
 
 
 class Tables:
@@ -202,7 +211,29 @@ class Tables:
 
     def period_document(self) -> str:
         """The folder of a document with that period."""
-        folder = new_folder(self.spark, "documents")
         period = F.struct(F.col("start_date").alias("start"), F.col("end_date").alias("end"))
-        self.period.select(F.to_json(F.struct(period.alias("period")))).write.text(folder)
-        return folder
+        return _saved(self.period.select(F.lit(0).alias("name"), F.to_json(F.struct(period.alias("period"))).alias("text")))
+
+    def scorecard_documents(self) -> str:
+        """The folder of the scorecard's documents: leads by 2,000, and one with all else.
+
+        A third of the dates is written by day, month and year; what is missing
+        is nothing, an empty text, 0 or false; leads have one more key.
+        """
+        at = F.col("lead_ordinal")
+        odd = lambda c: F.when(at % 3 == 0, F.date_format(c, "dd/MM/yyyy")).otherwise(F.col(c).cast("string"))
+        element = F.concat(
+            F.substring_index(F.to_json(F.struct("responsavel", "origem", "data_contato", F.coalesce(odd("data_cadastro"), F.lit("")).alias("data_cadastro"))), "}", 1),
+            F.lit(',"data_conversao":'),
+            F.coalesce(F.concat(F.lit('"'), odd("data_conversao"), F.lit('"')), F.element_at(F.array(F.lit("null"), F.lit("0"), F.lit("false"), F.lit('""')), (at % 4 + 1).cast("int"))),
+            F.concat(F.lit(',"nota":"}{ \\"'), at % 10, F.lit('\\""}')),
+        )
+        texts = F.transform(F.array_sort(F.collect_list(F.struct(at.alias("at"), element.alias("e")))), lambda x: x["e"])
+        leads = self.leads.groupBy(F.floor(at / 2000).alias("name")).agg(F.concat(F.lit('{"summary": [\n'), F.array_join(texts, ",\n"), F.lit("\n]}")).alias("text"))
+        listed = lambda df, key, order: df.agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("_at"), F.struct(*df.columns).alias("e")))).alias(key)).select(F.transform(key, lambda x: x["e"]).alias(key))
+        day = F.when(F.col("day_ordinal") % 2 == 0, F.date_format("data_contato", "dd/MM")).otherwise(F.col("data_contato").cast("string"))
+        days = listed(self.daily.withColumn("data_contato", day), "daily_data", "day_ordinal")
+        period = F.struct("start_date", "end_date").alias("period_info")
+        rest = self.goals_attained.select(F.struct("*").alias("atingimento_metas_gerais")).crossJoin(listed(self.owner_scores, "per_responsavel", "responsavel"))
+        rest = rest.crossJoin(days).crossJoin(self.period.select(period))  # one row each
+        return _saved(leads.unionByName(rest.select(F.lit(10**9).alias("name"), F.to_json(F.struct("*")).alias("text"))))

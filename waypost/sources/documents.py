@@ -1,9 +1,13 @@
 """Readers of the published JSON and GeoJSON documents.
 
-Such a document is one JSON value, so one task reads it; write the result as
-Parquet once and work on that. A path may be a folder of documents, which are
-read side by side. Array order becomes an ordinal column within its document.
+A path may be a document or a folder of them. Documents are read by blocks and
+their elements numbered in file order over all documents (``elements``), so an
+ordinal is unique, and a folder gives what one document with the same elements
+would. The elements are kept as a table below the shared folder.
+
 Plain values are read as text and turned into dates and numbers where they are.
+Leads and daily rows also keep what was written: whether a date was given at all
+does not depend on its form, and a table of leads shows every key that they have.
 """
 
 from __future__ import annotations
@@ -13,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import schemas
+from .elements import read_elements
 
 
 def _texts(kind: T.DataType) -> T.DataType:
@@ -31,13 +36,6 @@ def _typed(column: Column, kind: T.DataType) -> Column:
     return column if isinstance(kind, T.StringType) else column.try_cast(kind)
 
 
-def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A document, or every file of a folder as one: odd dates and numbers become null, only broken JSON is an error."""
-    kinds = T.StructType.fromDDL(schema)
-    raw = spark.read.schema(_texts(kinds)).option("multiLine", True).option("mode", "FAILFAST").json(path)
-    return raw.select(*(_typed(F.col(f.name), f.dataType).alias(f.name) for f in kinds))
-
-
 def _struct(fields: str) -> str:
     """A field list as the inside of a STRUCT type."""
     out, depth = [], 0
@@ -47,13 +45,20 @@ def _struct(fields: str) -> str:
     return ",".join(out)
 
 
-def _elements(document: DataFrame, key: str, ordinal: str) -> DataFrame:
-    return document.select(F.posexplode(key).alias(ordinal, "_e")).select(F.col(ordinal).cast("long").alias(ordinal), "_e.*")
+def _elements(found: DataFrame, key: str, fields: str, ordinal: str) -> DataFrame:
+    """The objects under a key with their fields, ``ordinal``, and their own text ``as_written``.
+
+    Odd dates and numbers become null; only broken JSON is an error.
+    """
+    kind = T.StructType.fromDDL(fields)
+    parsed = F.from_json("text", _texts(kind), {"mode": "FAILFAST"}).alias("_e")
+    rows = found.where(F.col("key") == key).select(F.col("ordinal").alias(ordinal), parsed, F.col("text").alias("as_written"))
+    return rows.select(ordinal, *(_typed(F.col(f"_e.{f.name}"), f.dataType).alias(f.name) for f in kind), "as_written")
 
 
 def load_partners(spark: SparkSession, path: str) -> DataFrame:
     """Partners in file order; numbers that arrive as text become numbers, a missing overlap list is empty."""
-    rows = _elements(_read(spark, path, f"allMarkerData ARRAY<STRUCT<{_struct(schemas.PARTNER)}>>"), "allMarkerData", "partner_ordinal")
+    rows = _elements(read_elements(spark, path), "allMarkerData", schemas.PARTNER, "partner_ordinal").drop("as_written")
     return rows.withColumn("overlap_data", F.coalesce("overlap_data", F.array().cast(schemas.OVERLAPS)))
 
 
@@ -65,8 +70,8 @@ def _geometry() -> Column:
 
 
 def _features(spark: SparkSession, path: str, properties: str) -> DataFrame:
-    feature = f"properties:STRUCT<{properties}>,geometry:STRUCT<type:STRING,coordinates:STRING>"
-    rows = _elements(_read(spark, path, f"features ARRAY<STRUCT<{feature}>>"), "features", "polygon_ordinal")
+    feature = f"properties STRUCT<{properties}>, geometry STRUCT<type:STRING,coordinates:STRING>"
+    rows = _elements(read_elements(spark, path), "features", feature, "polygon_ordinal")
     return rows.select("polygon_ordinal", "properties.*", _geometry().alias("geom"))
 
 
@@ -79,9 +84,13 @@ def load_jurisdictions(spark: SparkSession, path: str) -> DataFrame:
 
 
 def load_period(spark: SparkSession, path: str, key: str = "period") -> DataFrame:
-    """One row: start_date, end_date and a label, ``unspecified`` if either is missing."""
-    row = _read(spark, path, f"{key} STRUCT<start:STRING,end:STRING,start_date:STRING,end_date:STRING>")
-    day = lambda a, b: F.try_to_timestamp(F.coalesce(F.col(f"{key}.{a}"), F.col(f"{key}.{b}"))).cast("date")
+    """A row per document: start_date, end_date and a label, ``unspecified`` if either is missing."""
+    return _period(read_elements(spark, path), key)
+
+
+def _period(found: DataFrame, key: str) -> DataFrame:
+    row = _elements(found, key, "start STRING, end STRING, start_date STRING, end_date STRING", "_document")
+    day = lambda a, b: F.try_to_timestamp(F.coalesce(F.col(a), F.col(b))).cast("date")
     return period_label(row.select(day("start", "start_date").alias("start_date"), day("end", "end_date").alias("end_date")))
 
 
@@ -91,15 +100,30 @@ def period_label(period: DataFrame) -> DataFrame:
     return period.withColumn("label", F.when(missing, "unspecified").otherwise(label))
 
 
+def given(row: Column, key: str) -> Column:
+    """Whether a JSON object holds something under a key: neither nothing, an empty text, 0 nor false."""
+    value = F.try_variant_get(F.try_parse_json(row), f"$.{key}", "variant")
+    kind, text = F.schema_of_variant(value), value.try_cast("string")
+    number = F.coalesce(text.try_cast("double") != 0, F.lit(True))
+    truth = F.when(kind == "STRING", text != "").when(kind == "BOOLEAN", text == "true").when(kind == "VOID", False)
+    return F.coalesce(truth.when(kind.rlike("^(OBJECT|ARRAY)"), True).otherwise(number), F.lit(False))
+
+
 def load_scorecard(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """The document's tables: leads, owner_scores, daily, goals_attained, period; missing ones are empty."""
-    arrays = {"summary": schemas.LEAD, "per_responsavel": schemas.OWNER_SCORE, "daily_data": schemas.DAILY}
-    fields = [f"{k} ARRAY<STRUCT<{_struct(v)}>>" for k, v in arrays.items()]
-    document = _read(spark, path, ", ".join([*fields, f"atingimento_metas_gerais STRUCT<{_struct(schemas.GOALS)}>"]))
+    """The document's tables: leads, owner_scores, daily, goals_attained, period; missing ones are empty.
+
+    Leads have ``data_cadastro_given`` and ``data_conversao_given``, which tell
+    whether anything was written there, whether or not it is a date, and their
+    whole text ``as_written``. Daily rows have their day as written, ``label``.
+    """
+    found = read_elements(spark, path)
+    leads = _elements(found, "summary", schemas.LEAD, "lead_ordinal")
+    daily = _elements(found, "daily_data", schemas.DAILY, "day_ordinal")
+    day = F.try_variant_get(F.try_parse_json("as_written"), "$.data_contato", "string")
     return {
-        "leads": _elements(document, "summary", "lead_ordinal"),
-        "owner_scores": _elements(document, "per_responsavel", "owner_ordinal"),
-        "daily": _elements(document, "daily_data", "day_ordinal"),
-        "goals_attained": document.where("atingimento_metas_gerais is not null").select("atingimento_metas_gerais.*"),
-        "period": load_period(spark, path, "period_info"),
+        "leads": leads.withColumns({f"{c}_given": given(F.col("as_written"), c) for c in ("data_cadastro", "data_conversao")}),
+        "owner_scores": _elements(found, "per_responsavel", schemas.OWNER_SCORE, "owner_ordinal").drop("as_written"),
+        "daily": daily.withColumn("label", day).drop("as_written"),
+        "goals_attained": _elements(found, "atingimento_metas_gerais", schemas.GOALS, "_document").drop("_document", "as_written"),
+        "period": _period(found, "period_info"),
     }
