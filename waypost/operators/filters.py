@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import as_number, chosen, truthy, within
 from ..sources.constants import JURISDICTION_COLOR, REGION_COLOR
+from .search import contain
 
 
 def filter_partners(
@@ -85,13 +86,13 @@ def search_rows(df: DataFrame, text: str, columns: Iterable[str] | None = None)
 def autocomplete_partners(partners: DataFrame, terms: DataFrame, most: int = 5) -> DataFrame:
     """The first partners in file order whose name or id contains a term of two characters or more.
 
-    ``terms`` (term_id, term) is a stated set of typed texts; Spark chooses which
-    side it sends to the other. The rank limit is taken before the shuffle, so a
-    frequent term moves few rows.
+    ``terms`` (term_id, term) are typed texts; they meet partners by character
+    grams (``search``). The rank limit is taken before the shuffle, so a frequent
+    term moves few rows.
     """
     typed = terms.where(F.length("term") >= 2).select("term_id", F.lower("term").alias("_term"))
-    hit = F.contains(F.lower("name"), F.col("_term")) | F.contains(F.lower("store_id"), F.col("_term"))
-    found = partners.select("partner_ordinal", "store_id", "name").join(typed, hit)
+    known = partners.select("partner_ordinal", "store_id", "name")
+    found = contain(known, [F.lower("name"), F.lower("store_id")], typed, 2)
     by_term = Window.partitionBy("term_id").orderBy("partner_ordinal")
     placed = found.withColumn("place", F.row_number().over(by_term)).where(F.col("place") <= most)
     label = F.concat(F.col("name"), F.lit(" ("), F.col("store_id"), F.lit(")"))
@@ -99,11 +100,16 @@ def autocomplete_partners(partners: DataFrame, terms: DataFrame, most: int = 5)
 
 
 def lookup_partner(partners: DataFrame, visible: DataFrame, terms: DataFrame) -> DataFrame:
-    """For each term the first partner whose id it is or whose name contains it, and whether it is visible."""
+    """For each term the first partner whose id it is or whose name contains it, and whether it is visible.
+
+    Ids are met by equality, names by character grams; the first of both is the partner.
+    """
     typed = terms.where(truthy("term")).select("term_id", F.lower("term").alias("_term"))
-    hit = (F.lower("store_id") == F.col("_term")) | F.contains(F.lower("name"), F.col("_term"))
+    known = partners.select("partner_ordinal", "store_id", "name", "lat", "lon")
     first = F.min(F.struct("partner_ordinal", "store_id", "name", "lat", "lon")).alias("p")
-    found = partners.join(typed, hit).groupBy("term_id").agg(first).select(F.col("term_id").alias("_id"), "p.*")
+    by_id = known.withColumn("_term", F.lower("store_id")).join(typed, "_term")
+    by_name = contain(known, [F.lower("name")], typed)
+    found = by_id.unionByName(by_name).groupBy("term_id").agg(first).select(F.col("term_id").alias("_id"), "p.*")
     seen = visible.select(F.col("store_id").alias("_seen")).distinct().withColumn("_shown", F.lit(True))
     found = found.join(seen, F.col("store_id").eqNullSafe(F.col("_seen")), "left")  # by id: what is shown need not come from the same reading
     outcome = F.when(F.col("partner_ordinal").isNull(), "not_found").when(F.col("_shown").isNull(), "filtered_out").otherwise("found")
