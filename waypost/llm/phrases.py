@@ -40,16 +40,18 @@ from .workspace import drop, written
 
 #: Occurrences of a phrase that counts, its most words, phrases returned per language.
 LEAST, LONGEST, TOP = 100, 5, 2000
-SHARDS = 4
+SHARDS = 2
 TABLE_BITS = 24
 #: Bytes of text that are counted together.
-PIECE_BYTES = 1 << 22
+PIECE_BYTES = 1 << 23
 #: A candidate goes if a longer one that holds it has this share of its occurrences, in percent.
 INSIDE_PERCENT = 100
 
 _NEVER = 255
-_END = b"\xff"  # no byte of UTF-8; stands between pieces
-_CUT = bytes.maketrans(b".,;:!?\n\x0b\x0c\r", _END * 10)
+_END = b"\n"  # between the texts of a batch, as between the pieces of one
+#: Kinds of bytes: of a word, between words, between pieces.
+_KIND = bytes(2 if c in b".,;:!?\n\x0b\x0c\r" else c in b" \t" for c in range(256))
+_LINE, _SPACE = (pa.scalar(c, pa.large_binary()) for c in (b"\n", b" "))
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _COUNTS = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("n_words", pa.int32()), ("since", pa.int32()), ("slot", pa.int32()), ("count", pa.int64())])
 _COUNTS_DDL = "lang string, phrase string, n_words int, since int, slot int, count long"
@@ -57,9 +59,23 @@ _COUNTS_DDL = "lang string, phrase string, n_words int, since int, slot int, cou
 _SALTS = 32
 
 
+def _words(texts: list[bytes]) -> tuple[pa.Array, np.ndarray]:
+    """All words of the texts, in order, and the number of the piece that each is in."""
+    whole = _END.join(texts).lower() + _END
+    data, kind = np.frombuffer(whole, dtype=np.uint8), np.frombuffer(whole.translate(_KIND), dtype=np.uint8)
+    word = kind == 0
+    edge = np.diff(word.view(np.int8), prepend=np.int8(0))
+    starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    piece = np.cumsum(kind == 2, dtype=np.int32)[starts]
+    offsets = np.zeros(len(starts) + 1, dtype=np.int64)
+    np.cumsum(ends - starts, out=offsets[1:])
+    buffers = [None, pa.py_buffer(offsets), pa.py_buffer(data[word])]
+    return pa.Array.from_buffers(pa.large_binary(), len(starts), buffers), piece
+
+
 def _groups(ids: np.ndarray, at: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """The first of the places ``at`` of each distinct sequence of ``width`` ids there, and how often it stands."""
-    key = ids[at]
+    key = ids[at].astype(np.int64)
     for k in range(1, width):
         known = np.unique(key, return_inverse=True)[1] if k > 1 else key
         key = (known << 32) | ids[at + k]
@@ -76,36 +92,33 @@ class Counter:
 
     def count(self, lang: str, texts: list[bytes]) -> Iterator[pa.RecordBatch]:
         """(phrase, n_words, since, slot, count) of the phrases that this scan counts."""
-        words = _END.join(texts).lower().translate(_CUT).replace(_END, b" " + _END + b" ").split()
-        coded = pa.array([*words, _END], pa.binary()).dictionary_encode()
-        vocabulary, ids = coded.dictionary, coded.indices.to_numpy().astype(np.int64)
-        end = vocabulary.index(pa.scalar(_END, pa.binary())).as_py()
-        hashes = self.hasher.words([b"\n".join([lang.encode() or b"-", *vocabulary.to_pylist()])])[0]
+        words, piece = _words(texts)
+        coded = words.dictionary_encode()
+        vocabulary, ids = coded.dictionary, coded.indices.to_numpy()
+        del words, coded
+        lines = pc.binary_join_element_wise(vocabulary, pa.scalar(b"", pa.large_binary()), _LINE)
+        hashes = self.hasher.words([(lang.encode() or b"-") + b"\n" + b"".join(lines.buffers()[2:])])[0]
         skip = len(hashes) - len(vocabulary)  # the words of the language's own name
         hashes = mix64(hashes[skip:] + np.sum(hashes[:skip] * _BASE, dtype=np.uint64))
         if self.step < self.shards:
-            yield self._batch(lang, None, 0, [0], [0], [int((ids != end).sum())])
-            times = np.bincount(ids, minlength=len(vocabulary))
-            times[end] = 0
-            some = np.flatnonzero(times)
-            if len(some):
-                yield self._batch(lang, vocabulary.take(pa.array(some)), 1, np.zeros(len(some)), self._slots(hashes[some]), times[some])
-        reached = self.table[self._slots(hashes)]
-        reached[end] = _NEVER
-        reached, code = reached[ids], hashes[ids]
+            yield self._batch(lang, None, 0, [0], [0], [len(ids)])
+            if len(ids):
+                yield self._batch(lang, vocabulary, 1, np.zeros(len(vocabulary)), self._slots(hashes), np.bincount(ids, minlength=len(vocabulary)))
+        reached, code = self.table[self._slots(hashes)][ids], hashes[ids]
         spelled = code
         for width in range(2, self.longest + 1):
             if len(reached) < 2:
                 break
             since = np.maximum(reached[:-1], reached[1:]).astype(np.int32) + 1
-            at = np.flatnonzero(since <= self.step)
+            # longer phrases are made of two that overlap, so only pairs of words need to be told to share a piece
+            at = np.flatnonzero((since <= self.step) & (piece[:-1] == piece[1:]) if width == 2 else since <= self.step)
             if not len(at):
                 break
             joined = mix64(spelled[at] * _BASE + code[at + width - 1])
             open_ = since[at] + self.shards > self.step
             if open_.any():
                 first, times = _groups(ids, at[open_], width)
-                phrase = pc.binary_join_element_wise(*(vocabulary.take(pa.array(ids[first + k])) for k in range(width)), b" ")
+                phrase = pc.binary_join_element_wise(*(vocabulary.take(pa.array(ids[first + k])) for k in range(width)), _SPACE)
                 place = np.searchsorted(at, first)
                 yield self._batch(lang, phrase, width, since[first], self._slots(joined[place]), times)
             reached = np.full(len(since), _NEVER, dtype=np.uint8)
@@ -119,9 +132,9 @@ class Counter:
     @staticmethod
     def _batch(lang: str, phrase: pa.Array | None, width: int, since, slot, count) -> pa.RecordBatch:
         n = len(count)
-        same = lambda v, kind: pa.array(np.full(n, v), kind)
+        same = lambda v, kind: pa.repeat(pa.scalar(v, kind), n)
         text = pa.nulls(n, pa.string()) if phrase is None else phrase.cast(pa.string())
-        columns = [pa.array([lang] * n, pa.string()), text, same(width, pa.int32()), pa.array(np.asarray(since), pa.int32(), safe=False), pa.array(np.asarray(slot), pa.int32(), safe=False), pa.array(np.asarray(count), pa.int64())]
+        columns = [same(lang, pa.string()), text, same(width, pa.int32()), pa.array(np.asarray(since), pa.int32(), safe=False), pa.array(np.asarray(slot), pa.int32(), safe=False), pa.array(np.asarray(count), pa.int64())]
         return pa.RecordBatch.from_arrays(columns, schema=_COUNTS)
 
 
