@@ -9,11 +9,12 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import as_number, ratio, share, truthy, zero
 from ..sources import constants as K
+from . import scans
 
 RATES = ("ead", "dea", "dcr", "fdds", "ftds")
 
@@ -50,24 +51,30 @@ def _rounded_attainment() -> Column:
     return ratio(F.col("active") + F.col("onboarding"), zero("num_points"), 1, 100)
 
 
-def _ranked(attainment: str) -> Column:
-    order = (F.col(attainment), F.desc(zero("num_points")), F.col("polygon_ordinal"))
-    return F.row_number().over(Window.partitionBy("delivery_station").orderBy(*order))
+def _ranked(rated: DataFrame, attainment: str, place: str) -> DataFrame:
+    """``rated`` with its place in its station: least attainment, then most expected, then file order.
+
+    Stations of any size, also what has none, are ranked by many tasks.
+    """
+    order = [F.col(attainment), F.desc(zero("num_points")), F.col("polygon_ordinal")]
+    return scans.placed(rated, ["delivery_station"], order, place).withColumn(place, F.col(place).cast("int"))
 
 
 def region_priority(regions: DataFrame, partners: DataFrame) -> DataFrame:
     """Place of every region name in its station: least attainment, then most expected, then file order."""
-    rated = region_partners(regions, partners).withColumn("attainment", _attainment())
-    placed = rated.withColumn("priority", _ranked("attainment"))
-    return placed.groupBy("delivery_station", "cluster").agg(F.min("priority").alias("priority"))
+    rated = region_partners(regions, partners).select("polygon_ordinal", "delivery_station", "cluster", "num_points", _attainment().alias("attainment"))
+    return _ranked(rated, "attainment", "priority").groupBy("delivery_station", "cluster").agg(F.min("priority").alias("priority"))
 
 
 def region_summary(shown: DataFrame, regions: DataFrame, partners: DataFrame) -> DataFrame:
     """Figures of the shown ones among ``regions`` over all partners, with their place among all regions."""
-    rated = region_partners(regions, partners).withColumn("attainment_pct", _attainment()).withColumn("place", _ranked("attainment_pct"))
+    columns = ("polygon_ordinal", "delivery_station", "cluster", "num_points", "active", "onboarding", "partners", "adv_sum")
+    rated = region_partners(regions, partners).select(*columns, _attainment().alias("attainment_pct"))
+    ranked = _ranked(rated, "attainment_pct", "place")
     # regions of one name share the best place of theirs
-    rated = rated.withColumn("priority", F.min("place").over(Window.partitionBy("delivery_station", "cluster")))
-    return rated.join(shown.select("polygon_ordinal"), "polygon_ordinal", "left_semi").select(
+    best = ranked.groupBy(F.col("delivery_station").alias("_s"), F.col("cluster").alias("_c")).agg(F.min("place").alias("priority"))
+    rows = ranked.join(shown.select("polygon_ordinal"), "polygon_ordinal", "left_semi")
+    return rows.join(best, F.col("delivery_station").eqNullSafe(F.col("_s")) & F.col("cluster").eqNullSafe(F.col("_c"))).select(
         "polygon_ordinal",
         "cluster",
         zero("num_points").alias("expected"),
@@ -81,11 +88,11 @@ def region_summary(shown: DataFrame, regions: DataFrame, partners: DataFrame) ->
 
 def expansion_priority(df: DataFrame) -> DataFrame:
     """``df`` with its place in its station by the rounded attainment."""
-    return df.withColumn("priority", _ranked("attainment_pct"))
+    return _ranked(df, "attainment_pct", "priority")
 
 
 def expansion_by_region(shown: DataFrame, visible: DataFrame) -> DataFrame:
-    rated = region_partners(shown, visible).withColumn("attainment_pct", _rounded_attainment())
+    rated = region_partners(shown, visible).withColumn("attainment_pct", _rounded_attainment()).drop("geom")
     return expansion_priority(rated).select(
         "polygon_ordinal",
         F.col("cluster").alias("polygon"),
@@ -305,9 +312,9 @@ def category_encoding(visible: DataFrame, field: str, palette: tuple[str, ...] =
     """Legend (value, color) of a field's distinct values in order, and store_id, value, color of every row."""
     value = F.when(truthy(field), F.col(field).cast("string")).otherwise(F.lit("N/A"))
     rows = visible.select("store_id", value.alias("value"))
-    place = (F.row_number().over(Window.orderBy("value")) - 1) % len(palette)
+    place = (F.col("place") - 1) % len(palette)
     color = F.element_at(F.array(*(F.lit(c) for c in palette)), (place + 1).cast("int"))
-    legend = rows.select("value").distinct().select("value", color.alias("color"))
+    legend = scans.placed(rows.select("value").distinct(), [], ["value"]).select("value", color.alias("color"))
     # legends have as many rows as a field has values; Spark broadcasts them when they are small
     colored = rows.join(legend, "value", "left").select("store_id", "value", F.coalesce("color", F.lit(K.NO_COLOR)).alias("color"))
     return legend, colored

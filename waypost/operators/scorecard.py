@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import banded, ratio, share, truthy, zero
 from ..sources.constants import DAILY_TARGETS, PROGRESS_BANDS, SCORE_BANDS
+from . import scans
 
 WINDOW_ROWS = 20
 
@@ -107,21 +108,26 @@ def filter_domains(partners: DataFrame, leads: DataFrame) -> DataFrame:
 
 
 def cumulative_series(daily: DataFrame, by: Iterable[str] = ()) -> DataFrame:
-    """``daily`` with its position and running sums in file order; give ``by`` for many series."""
-    upto = Window.partitionBy(*by).orderBy("day_ordinal").rowsBetween(Window.unboundedPreceding, 0)
-    return daily.withColumns(
-        {
-            "position": F.row_number().over(Window.partitionBy(*by).orderBy("day_ordinal")),
-            "contacts_cum": F.sum(zero("contatos")).over(upto),
-            "registrations_cum": F.sum(zero("cadastros")).over(upto),
-        }
-    )
+    """``daily`` with its position and running sums in file order, of each series where ``by`` tells them apart.
+
+    A series of any length is summed by many tasks, with or without ``by``.
+    """
+    sums = {"position": F.lit(1).cast("long"), "contacts_cum": zero("contatos"), "registrations_cum": zero("cadastros")}
+    rows = scans.accumulate(scans.ranged(daily, by, ["day_ordinal"]), by, ["day_ordinal"], {n: ("sum", c) for n, c in sums.items()})
+    return rows.withColumn("position", F.col("position").cast("int")).drop(scans.PART)
 
 
 def trailing_mean(daily: DataFrame, window: int = WINDOW_ROWS, by: Iterable[str] = ()) -> DataFrame:
-    """Means of the last rows of each series, 0 for an empty table without ``by``."""
+    """Means of the last rows of each series, 0 for an empty table without ``by``.
+
+    Every task keeps its last rows of a series, and only these meet.
+    """
     by = list(by)
-    last = daily.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("day_ordinal")))).where(F.col("_r") <= window)
+    if by:  # Spark limits the groups of such a window before it deals them
+        place = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("day_ordinal")))
+        last = daily.withColumn("_r", place).where(F.col("_r") <= window)
+    else:
+        last = daily.orderBy(F.desc("day_ordinal")).limit(window)
     return last.groupBy(*by).agg(
         F.coalesce(F.avg(zero("contatos")), F.lit(0.0)).alias("contacts_mean"),
         F.coalesce(F.avg(zero("cadastros")), F.lit(0.0)).alias("registrations_mean"),

@@ -222,7 +222,7 @@ def _a4(t: Tables) -> DataFrame:
 
 @_query("w2_expansion_priority", _GEO, f"SELECT polygon_ordinal, delivery_station, attainment_pct, priority FROM ({_EXPANSION})", _ALL)
 def _w2(t: Tables) -> DataFrame:
-    rated = partners.region_partners(_shown(t), _visible(t)).withColumn("attainment_pct", partners._rounded_attainment())
+    rated = partners.region_partners(_shown(t), _visible(t)).withColumn("attainment_pct", partners._rounded_attainment()).drop("geom")
     return partners.expansion_priority(rated).select("polygon_ordinal", "delivery_station", "attainment_pct", "priority")
 
 
