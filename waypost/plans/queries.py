@@ -814,3 +814,48 @@ def _s6(t: Tables) -> DataFrame:
     known = t.plain_partners.where("delivery_station is not null").groupBy("delivery_station").agg(F.count(F.lit(1)).alias("partners"))
     joined = known.join(costs, F.col("delivery_station") == F.col("_s"), "left")
     return joined.select("delivery_station", "partners", F.coalesce("cost", F.lit(0.0)).alias("cost")).crossJoin(goals)
+
+
+_PARTNER_METRICS = ("radius", "total_packages_allocated", "ADV", "partner_capacity", "eligible_packages", "working_days", "capped_days", "overlapping_count")
+
+
+@_query(
+    "s6_reference_values",
+    ("partner_flat", "leads", "owner_scores", "totals"),
+    f"""SELECT * FROM (WITH scores AS (SELECT CASE WHEN score_final * 100 >= 80 THEN 'green' WHEN score_final * 100 >= 60 THEN 'gold' ELSE 'red' END AS band, count(*) AS n FROM owner_scores GROUP BY 1),
+        steps AS (SELECT CASE WHEN percent >= 100 THEN 'success' WHEN percent >= 70 THEN 'warning' ELSE 'danger' END AS band, count(*) AS n FROM ({_PROGRESS}) GROUP BY 1),
+        stations AS (SELECT (row_number() OVER (ORDER BY v) - 1) % 9 AS place FROM (SELECT DISTINCT coalesce(nullif(delivery_station, ''), 'N/A') AS v FROM partner_flat)),
+        people AS (SELECT count(*) AS n, {", ".join(f"count({m}) AS {m}" for m in _PARTNER_METRICS)} FROM partner_flat)
+        SELECT 'score' AS kind, v.band AS name, CAST(start AS DOUBLE) AS value, coalesce(n, 0) AS uses FROM (VALUES ('green', 80), ('gold', 60), ('red', 0)) v(band, start) LEFT JOIN scores USING (band)
+        UNION ALL SELECT 'progress', v.band, start, coalesce(n, 0) FROM (VALUES ('success', 100), ('warning', 70), ('danger', 0)) v(band, start) LEFT JOIN steps USING (band)
+        UNION ALL SELECT 'palette', color, v.place, (SELECT count(*) FROM stations WHERE stations.place = v.place)
+          FROM (VALUES (0, '#e41a1c'), (1, '#377eb8'), (2, '#4daf4a'), (3, '#984ea3'), (4, '#ff7f00'), (5, '#ffff33'), (6, '#a65628'), (7, '#f781bf'), (8, '#999999')) v(place, color)
+        {" ".join(f"UNION ALL SELECT 'metric', '{m}', {int(m not in ('capped_days', 'overlapping_count'))}, {m} FROM people" for m in _PARTNER_METRICS)}
+        UNION ALL SELECT 'goal', name, goal, n FROM people, (VALUES
+          ('performance active', 600), ('performance adv_mean', 40), ('performance ead', 98.5), ('performance dea', 98.5), ('performance dcr', 96), ('performance fdds', 97), ('performance ftds', 98.5),
+          ('expansion expected', 0), ('expansion active', 85), ('expansion onboarding', 25), ('expansion attainment_pct', 80),
+          ('routes spr_mean', 480), ('routes cpp_mean', 2.5), ('routes pickups_per_host', 4)) v(name, goal))""",
+)
+def _s6_values(t: Tables) -> DataFrame:
+    """Every constant with how many rows of the tables it is used for."""
+    tables = K.reference_tables(t.spark)
+    row = lambda df, kind, name, value, uses: df.select(F.lit(kind).alias("kind"), name.alias("name"), value.cast("double").alias("value"), F.coalesce(uses, F.lit(0)).cast("long").alias("uses"))
+    col = F.col
+    out = []
+    banded_rows = {
+        "score": scorecard.owner_cards(t.owner_scores, t.leads).select("band"),
+        "progress": scorecard.goal_progress(t.goals_attained).select("band"),
+    }
+    for scale, rows in banded_rows.items():
+        own = tables["bands"].where(col("scale") == scale).join(rows.groupBy("band").agg(F.count(F.lit(1)).alias("n")), "band", "left")
+        out.append(row(own, scale, col("band"), col("from_value"), col("n")))
+    legend, _ = partners.category_encoding(t.plain_partners, "delivery_station")
+    out.append(row(tables["palette"].join(legend.groupBy("color").agg(F.count(F.lit(1)).alias("n")), "color", "left"), "palette", col("color"), col("place"), col("n")))
+    counts = t.plain_partners.agg(F.count(F.lit(1)).alias("n"), *(F.count(f"main_store_data.{m}").alias(m) for m in K.METRICS))  # one row
+    known = counts.select("n", F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), col(m).alias("known")) for m in K.METRICS))).alias("m")).select("n", "m.*")
+    out.append(row(tables["metrics"].join(known, "metric"), "metric", col("metric"), col("higher_is_better").cast("int"), col("known")))
+    out.append(row(tables["goals"].crossJoin(counts.select("n")), "goal", F.concat_ws(" ", "board", "metric"), col("goal"), col("n")))
+    whole = out[0]
+    for more in out[1:]:
+        whole = whole.unionByName(more)
+    return whole
