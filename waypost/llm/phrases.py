@@ -40,10 +40,10 @@ from .workspace import drop, written
 
 #: Occurrences of a phrase that counts, its most words, phrases returned per language.
 LEAST, LONGEST, TOP = 100, 5, 2000
-SHARDS = 2
+SHARDS = 3
 TABLE_BITS = 24
 #: Bytes of text that are counted together.
-PIECE_BYTES = 1 << 23
+PIECE_BYTES = 1 << 22
 #: A candidate goes if a longer one that holds it has this share of its occurrences, in percent.
 INSIDE_PERCENT = 100
 
@@ -53,8 +53,8 @@ _END = b"\n"  # between the texts of a batch, as between the pieces of one
 _KIND = bytes(2 if c in b".,;:!?\n\x0b\x0c\r" else c in b" \t" for c in range(256))
 _LINE, _SPACE = (pa.scalar(c, pa.large_binary()) for c in (b"\n", b" "))
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-_COUNTS = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("n_words", pa.int32()), ("since", pa.int32()), ("slot", pa.int32()), ("count", pa.int64())])
-_COUNTS_DDL = "lang string, phrase string, n_words int, since int, slot int, count long"
+_COUNTS = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("n_words", pa.int32()), ("since", pa.int32()), ("count", pa.int64())])
+_COUNTS_DDL = "lang string, phrase string, n_words int, since int, count long"
 #: Parts of a language that are ranked side by side first.
 _SALTS = 32
 
@@ -83,28 +83,55 @@ def _groups(ids: np.ndarray, at: np.ndarray, width: int) -> tuple[np.ndarray, np
     return at[first], count
 
 
+class Codes:
+    """Hashes of words of a language, and of phrases by those of their words."""
+
+    def __init__(self) -> None:
+        self.hasher = WordHasher()
+
+    def words(self, lang: str, lines: bytes, n: int) -> np.ndarray:
+        """The hashes of ``n`` words, each on a line."""
+        hashes = self.hasher.words([(lang.encode() or b"-") + b"\n" + lines])[0]
+        own = np.sum(hashes[: len(hashes) - n] * _BASE, dtype=np.uint64)  # of the words of the language's own name
+        return mix64(hashes[len(hashes) - n :] + own)
+
+    @staticmethod
+    def longer(phrase: np.ndarray, word: np.ndarray) -> np.ndarray:
+        return mix64(phrase * _BASE + word)
+
+    def phrases(self, lang: str, phrases: list[str], width: int) -> np.ndarray:
+        """The hashes of phrases of ``width`` words."""
+        words = self.words(lang, "\n".join(phrases).replace(" ", "\n").encode(), len(phrases) * width).reshape(-1, width)
+        out = words[:, 0]
+        for k in range(1, width):
+            out = self.longer(out, words[:, k])
+        return out
+
+
+def _slots(hashes: np.ndarray, size: int) -> np.ndarray:
+    return (hashes & np.uint64(size - 1)).astype(np.int64)
+
+
 class Counter:
     """Counts the phrases of one scan in batches of texts."""
 
     def __init__(self, step: int, table: np.ndarray, shards: int, longest: int) -> None:
         self.step, self.table, self.shards, self.longest = step, table, shards, longest
-        self.hasher, self.mask = WordHasher(), np.uint64(len(table) - 1)
+        self.codes = Codes()
 
     def count(self, lang: str, texts: list[bytes]) -> Iterator[pa.RecordBatch]:
-        """(phrase, n_words, since, slot, count) of the phrases that this scan counts."""
+        """(lang, phrase, n_words, since, count) of the phrases that this scan counts."""
         words, piece = _words(texts)
         coded = words.dictionary_encode()
         vocabulary, ids = coded.dictionary, coded.indices.to_numpy()
         del words, coded
         lines = pc.binary_join_element_wise(vocabulary, pa.scalar(b"", pa.large_binary()), _LINE)
-        hashes = self.hasher.words([(lang.encode() or b"-") + b"\n" + b"".join(lines.buffers()[2:])])[0]
-        skip = len(hashes) - len(vocabulary)  # the words of the language's own name
-        hashes = mix64(hashes[skip:] + np.sum(hashes[:skip] * _BASE, dtype=np.uint64))
+        hashes = self.codes.words(lang, b"".join(lines.buffers()[2:]), len(vocabulary))
         if self.step < self.shards:
-            yield self._batch(lang, None, 0, [0], [0], [len(ids)])
+            yield self._batch(lang, None, 0, [0], [len(ids)])
             if len(ids):
-                yield self._batch(lang, vocabulary, 1, np.zeros(len(vocabulary)), self._slots(hashes), np.bincount(ids, minlength=len(vocabulary)))
-        reached, code = self.table[self._slots(hashes)][ids], hashes[ids]
+                yield self._batch(lang, vocabulary, 1, np.zeros(len(vocabulary)), np.bincount(ids, minlength=len(vocabulary)))
+        reached, code = self.table[_slots(hashes, len(self.table))][ids], hashes[ids]
         spelled = code
         for width in range(2, self.longest + 1):
             if len(reached) < 2:
@@ -114,27 +141,23 @@ class Counter:
             at = np.flatnonzero((since <= self.step) & (piece[:-1] == piece[1:]) if width == 2 else since <= self.step)
             if not len(at):
                 break
-            joined = mix64(spelled[at] * _BASE + code[at + width - 1])
+            joined = Codes.longer(spelled[at], code[at + width - 1])
             open_ = since[at] + self.shards > self.step
             if open_.any():
                 first, times = _groups(ids, at[open_], width)
                 phrase = pc.binary_join_element_wise(*(vocabulary.take(pa.array(ids[first + k])) for k in range(width)), _SPACE)
-                place = np.searchsorted(at, first)
-                yield self._batch(lang, phrase, width, since[first], self._slots(joined[place]), times)
+                yield self._batch(lang, phrase, width, since[first], times)
             reached = np.full(len(since), _NEVER, dtype=np.uint8)
-            reached[at] = self.table[self._slots(joined)]
+            reached[at] = self.table[_slots(joined, len(self.table))]
             spelled = np.zeros(len(since), dtype=np.uint64)
             spelled[at] = joined
 
-    def _slots(self, hashes: np.ndarray) -> np.ndarray:
-        return (hashes & self.mask).astype(np.int64)
-
     @staticmethod
-    def _batch(lang: str, phrase: pa.Array | None, width: int, since, slot, count) -> pa.RecordBatch:
+    def _batch(lang: str, phrase: pa.Array | None, width: int, since, count) -> pa.RecordBatch:
         n = len(count)
         same = lambda v, kind: pa.repeat(pa.scalar(v, kind), n)
         text = pa.nulls(n, pa.string()) if phrase is None else phrase.cast(pa.string())
-        columns = [same(lang, pa.string()), text, same(width, pa.int32()), pa.array(np.asarray(since), pa.int32(), safe=False), pa.array(np.asarray(slot), pa.int32(), safe=False), pa.array(np.asarray(count), pa.int64())]
+        columns = [same(lang, pa.string()), text, same(width, pa.int32()), pa.array(np.asarray(since), pa.int32(), safe=False), pa.array(np.asarray(count), pa.int64())]
         return pa.RecordBatch.from_arrays(columns, schema=_COUNTS)
 
 
@@ -154,13 +177,28 @@ def _scan(shard: DataFrame, step: int, table, shards: int, longest: int) -> Data
     return shard.select("lang", "text").mapInArrow(run, _COUNTS_DDL)
 
 
+def _slots_of(phrases: DataFrame, size: int) -> DataFrame:
+    """The places in a table of ``size`` of (lang, phrase, n_words)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes = Codes()
+        for batch in batches:
+            own: dict[tuple[str, int], list[str]] = defaultdict(list)
+            for lang, phrase, width in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                own[lang, width].append(phrase)
+            for (lang, width), some in own.items():
+                yield pa.RecordBatch.from_arrays([pa.array(_slots(codes.phrases(lang, some, width), size))], names=["slot"])
+
+    return phrases.select("lang", "phrase", "n_words").mapInArrow(run, "slot long")
+
+
 def _marked(table: np.ndarray, reached: DataFrame, step: int) -> bool:
     """Write the scan into the table where phrases reached the threshold in it; whether any did.
 
-    Slots arrive as bitmaps, 2 MB in all for the table's 16.
+    Places arrive as bitmaps, 2 MB in all for the table's 16.
     """
-    slot = F.col("slot").cast("long") + 1
-    maps = reached.groupBy(F.bitmap_bucket_number(slot).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits")).toArrow()
+    place = F.col("slot") + 1
+    maps = _slots_of(reached, len(table)).groupBy(F.bitmap_bucket_number(place).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits")).toArrow()
     for bucket, bits in zip(maps.column("bucket").to_pylist(), maps.column("bits").to_pylist(), strict=True):
         places = np.flatnonzero(np.unpackbits(np.frombuffer(bits, dtype=np.uint8), bitorder="little"))
         places += (bucket - 1) * 8 * len(bits)
@@ -185,7 +223,7 @@ def frequent_phrases(documents: DataFrame, least: int = LEAST, longest: int = LO
         counts = _scan(dealt.where(F.col("shard") == step % shards), step, sent, shards, longest).withColumn("reached", F.lit(None).cast("int"))
         if state is not None:
             counts = counts.unionByName(state.where(F.col("since") + shards > step))
-        own = [F.min(c).alias(c) for c in ("n_words", "since", "slot", "reached")]
+        own = [F.min(c).alias(c) for c in ("n_words", "since", "reached")]
         merged = counts.groupBy("lang", "phrase").agg(F.sum("count").alias("count"), *own)
         merged = written(merged.withColumn("reached", F.coalesce("reached", F.when(F.col("count") >= least, step))), "state")
         if state is not None:
