@@ -1,9 +1,10 @@
+import random
 import time
 
 import pytest
 from pyspark.sql import functions as F
 
-from waypost.llm.html_text import extract_main_text, main_text, stretches
+from waypost.llm.html_text import WINDOW, extract_main_text, main_text, stretches
 
 MENU = '<nav><ul><li><a href="/a">Home</a></li></ul></nav>'
 
@@ -48,6 +49,33 @@ def test_unmarked_page_with_one_huge_paragraph():
 def test_stretches():
     assert stretches([0, 0, 0, 0, 9, 9, 0, 9, 0, 0, 0, 0, 1], 0) == [(4, 8), (12, 13)]
     assert stretches([], 0) == [] and stretches([0, 0], 0) == []
+    weights = [0, 0, 0, 0, 9, 9, 0, 9, 0, 0, 0, 0, 1]
+    assert stretches(weights, 5, [False] * 13) == [(4, 8)] and stretches(weights, 5, [False] * 12 + [True]) == [(4, 8), (12, 13)]
+
+
+def line_blocks(weights, limit, sure, window):
+    """The same by definition: maximal runs of windows with a positive sum."""
+    n = len(weights)
+    sums = [sum(weights[i : i + window]) for i in range(n)]
+    out, i = [], 0
+    while i < n:
+        j = i
+        while j < n and sums[j] > 0:
+            j += 1
+        if j > i and (max(sums[i:j]) > limit or any(sure[i:j])):
+            own = [k for k in range(i, j) if weights[k]]
+            out.append((own[0], own[-1] + 1))
+        i = max(j, i + 1)
+    return out
+
+
+def test_stretches_by_definition():
+    rng = random.Random(1)
+    for _ in range(500):
+        weights = [rng.choice([0, 0, 0, 0, 1, 5, 9]) for _ in range(rng.randint(0, 40))]
+        sure = [w > 0 and rng.random() < 0.1 for w in weights]
+        limit = rng.choice([0, 4, 8, 12])
+        assert stretches(weights, limit, sure) == line_blocks(weights, limit, sure, WINDOW)
 
 
 PARAGRAPHS = [f"Paragraph {i} of the article holds a sentence of ordinary length." for i in range(7)]
@@ -59,6 +87,22 @@ def test_links_in_the_middle(mark):
     inner = "".join(f"<p>{x}</p>" for x in PARAGRAPHS[:3]) + links + "".join(f"<p>{x}</p>" for x in PARAGRAPHS[3:])
     page = f"{MENU}<{mark}>{inner}</{mark.split()[0]}><footer>foot</footer>"
     assert [x for x in main_text(page).split("\n") if x != "link"] == PARAGRAPHS
+    assert main_text(page) == "\n".join(PARAGRAPHS)  # a menu is none of the text wherever it stands
+    one = page.replace(links, "<p><a href=y>One link of the text</a></p>")
+    assert main_text(one).split("\n") == [*PARAGRAPHS[:3], "One link of the text", *PARAGRAPHS[3:]]
+
+
+@pytest.mark.parametrize("mark", ["article", "section", 'div class="post"'])
+def test_a_short_last_block_counts(mark):
+    links = f"<ul>{'<li><a href=y>link</a></li>' * 9}</ul>"
+    page = f"{MENU}<{mark}>{''.join(f'<p>{x}</p>' for x in PARAGRAPHS)}{links}<p>The end.</p></{mark.split()[0]}>"
+    assert main_text(page) == "\n".join([*PARAGRAPHS, "The end."])
+
+
+@pytest.mark.parametrize("name", ["related-work", "notice-of-proof", "alert-fatigue", "login-howto", "comments-on-kant", "header-image-caption", "search-results-explained"])
+def test_sections_named_by_what_they_tell(name):
+    text = "".join(f"<p>{x}</p>" for x in PARAGRAPHS)
+    assert main_text(f'<article>{text}<section class="{name}"><p>More of it.</p></section></article>') == "\n".join([*PARAGRAPHS, "More of it."])
 
 
 def test_names_of_containers():

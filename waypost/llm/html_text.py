@@ -2,21 +2,21 @@
 
 Markup is stripped to lines, one for each block of text, in one pass over the
 page. Elements that are never article text (scripts, styles, forms, navigation,
-headers, footers, asides, and containers that their class or id names as an
-advert, menu, sidebar, notice or reader comment) leave no lines. Every line has
-a text length; a line of nothing but links counts 0. The lengths are summed over
-sliding windows of lines. A stretch begins where the sum rises from 0 (surge)
-and ends where it falls back to 0 (dive); it is text if its largest sum is over
-a limit: ``LIMIT_CHARS``, or a share of the page's largest sum where that is
-less. All text from the first such stretch to the last one is kept; lines of
-links between them are left out.
-
-What a page says of itself moves the lengths, not the decision. Where it marks
-an ``article`` or ``main`` element or names a container of its text, lines
-outside count 0, links inside are part of sentences, and the limit is 0 - unless
-the lines outside surge over the limit and hold more than twice as much text,
-as around cards of other articles. Where names of containers would leave a page
-without text, they are ignored.
+headers, footers, asides) leave no lines. Every line has a weight, the length of
+its text; a line of nothing but links weighs 0. What a page says of itself only
+moves weights: lines in containers whose class or id names nothing but page
+furniture (an advert, menu, sidebar, notice, reader comments) weigh 0, and where
+an ``article`` or ``main`` element or a named container of text is marked, so do
+lines outside - unless these hold more than twice as much text, sentences among
+it, as around cards of other articles. Where that would leave a page
+without text, names are ignored.
+
+The weights are summed over sliding windows of lines. A stretch begins where the
+sum rises from 0 (surge) and ends where it falls back to 0 (dive). It is text if
+its largest sum is over ``LIMIT_SHARE`` of the page's largest, or if one of its
+lines is a sentence, so that a short last block counts. What stands from the
+first such stretch to the last one is kept, but for lines that weigh 0 by their
+place or name and for menus, which are two or more lines of links in a row.
 
 Defined cases: a null or empty page has empty text, as has a page of links only.
 A container that is opened and never closed is not skipped. Very long pages are
@@ -29,7 +29,7 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -40,8 +40,6 @@ from .batches import pieces
 
 WINDOW = 3
 LIMIT_SHARE = 0.2
-#: Characters in a window that are article text on any page.
-LIMIT_CHARS = 40
 # No part can read on beyond the next "<", so that a page is scanned once.
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^'"<>]++|"[^"]*+"|'[^']*+')*+)>|<[!?][^<>]*+>""", re.S)
 _ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]++))""", re.I)
@@ -54,19 +52,19 @@ _BLOCKS = frozenset(
 )
 _CONTAINERS = frozenset("div section ul ol dl table figure article center details".split())
 _STACKED = _SKIPPED | _CONTAINERS
-#: Words that, as any part of a class, id or role, name what is no article text.
-_NAMES = frozenset(
-    "advert adverts advertisement advertising adsense sponsor sponsored nav navbar navigation menu menubar breadcrumb breadcrumbs sidebar "
-    "footer cookie cookies consent gdpr popup modal overlay newsletter subscribe subscription signup commentlist disqus toolbar pagination "
-    "pager contentinfo complementary masthead".split()
+#: Words that name what is no article text.
+_FURNITURE = frozenset(
+    "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion nav navbar navigation menu menubar breadcrumb "
+    "breadcrumbs sidebar aside header masthead topbar footer banner notice notices alert cookie cookies consent gdpr popup modal overlay "
+    "login newsletter subscribe subscription signup share sharing social comment comments commentlist respond reply replies disqus search "
+    "related recommended toolbar pagination pager contentinfo complementary".split()
 )
-#: Words that do so only as the first part, as in "share-buttons" but not in "market-share".
-_FIRST_NAMES = frozenset(
-    "ad ads aside promo promotion banner notice notices alert login share sharing social comment comments respond reply replies search "
-    "related recommended widget header topbar".split()
+#: Words that say where or how something stands, and not what it is.
+_LAYOUT = frozenset(
+    "area bar block bottom box btn button buttons card cards col column container content footer form full group holder home icon icons inner "
+    "item items left link links list main mobile outer page panel post posts primary right row secondary section site slot small sticky stories "
+    "thread top unit widget widgets wide wrap wrapper".split()
 )
-#: Whole names of the same kind.
-_WHOLE_NAMES = frozenset("site-header page-header top-bar main-header".split())
 #: Words in a class or id that name the container of the article text.
 _TEXTS = frozenset("article articlebody story post entry content maincontent main body-text posttext".split())
 
@@ -74,7 +72,7 @@ _TEXTS = frozenset("article articlebody story post entry content maincontent mai
 @dataclass
 class Line:
     text: str
-    length: int  # 0 for a line of links only
+    links: bool  # nothing but links
     marked: str  # what marks it as article text: "article", "main", "container" or ""
 
 
@@ -94,8 +92,9 @@ def _named(attributes: str) -> tuple[bool, bool]:
     other = texts = False
     for _, a, b, c in _ATTRIBUTE.findall(attributes):
         for name in (a or b or c).lower().split():
-            parts = re.split(r"[^a-z0-9]+", name)
-            other = other or name in _WHOLE_NAMES or parts[0] in _FIRST_NAMES or not _NAMES.isdisjoint(parts)
+            parts = [p for p in re.split(r"[^a-z]+", name) if p]
+            # "related-posts" is furniture, "related-work" and "market-share" may be anything
+            other = other or (not _FURNITURE.isdisjoint(parts) and all(p in _FURNITURE or p in _LAYOUT for p in parts))
             texts = texts or not _TEXTS.isdisjoint(parts)
     return other, texts
 
@@ -178,56 +177,65 @@ def lines_of(page: str, names: bool = True) -> list[Line]:
         if text:
             outside = any(any(map(str.isalnum, t)) for t, linked in kept if not linked)
             links = any(linked and t.strip() for t, linked in kept)
-            out.append(Line(text, 0 if links and not outside else len(text), mark or ("container" if container >= 0 else "")))
+            out.append(Line(text, links and not outside, mark or ("container" if container >= 0 else "")))
     return out
 
 
-def stretches(lengths: list[int], limit: float, window: int = WINDOW) -> list[tuple[int, int]]:
-    """(surge, dive) line ranges: where sums over ``window`` lines are above 0 throughout and over ``limit`` somewhere."""
-    sums = [sum(lengths[i : i + window]) for i in range(len(lengths))]
+def stretches(weights: list[int], limit: float, sure: Sequence[bool] = (), window: int = WINDOW) -> list[tuple[int, int]]:
+    """(surge, dive) line ranges: where sums over ``window`` lines are above 0 throughout, and over ``limit`` somewhere or with a ``sure`` line."""
+    sums = [sum(weights[i : i + window]) for i in range(len(weights))]
     found, start = [], -1
     for i, s in enumerate([*sums, 0]):
         if s > 0 and start < 0:
             start = i
         elif s <= 0 and start >= 0:
-            if max(sums[start:i]) > limit:
+            if max(sums[start:i]) > limit or any(sure[start:i]):
                 found.append((start, i))
             start = -1
-    # a window reaches ahead: a stretch begins and ends at lines with text
+    # a window reaches ahead: a stretch begins and ends at lines with weight
     out = []
     for a, b in found:
-        while not lengths[a]:
+        while not weights[a]:
             a += 1
-        while not lengths[b - 1]:
+        while not weights[b - 1]:
             b -= 1
         out.append((a, b))
     return out
 
 
-def _largest(lengths: list[int]) -> int:
-    return max((sum(lengths[i : i + WINDOW]) for i in range(len(lengths))), default=0)
+def _largest(weights: list[int]) -> int:
+    return max((sum(weights[i : i + WINDOW]) for i in range(len(weights))), default=0)
 
 
-def _lengths(lines: list[Line]) -> tuple[list[int], float]:
-    """The lengths that count, and the limit for their sums."""
+def _weights(lines: list[Line]) -> tuple[list[int], list[bool]]:
+    """The weight of each line, and whether it stands where the page says its text is, or says nothing."""
+    weights = [0 if x.links else len(x.text) for x in lines]
     for mark in ("article", "main", "container"):
-        inside = [len(x.text) if x.marked == mark else 0 for x in lines]
+        inside = [n if x.marked == mark else 0 for x, n in zip(lines, weights, strict=True)]
         if any(inside):
-            outside = [0 if x.marked == mark else x.length for x in lines]
-            if _largest(outside) <= LIMIT_CHARS or sum(outside) <= 2 * sum(inside):
-                return inside, 0
-    lengths = [x.length for x in lines]
-    return lengths, min(LIMIT_CHARS, LIMIT_SHARE * _largest(lengths))
+            outside = sum(weights) - sum(inside)
+            if outside <= 2 * sum(inside) or not any(n and x.marked != mark and _is_sentence(x.text) for x, n in zip(lines, weights, strict=True)):
+                return inside, [x.marked == mark for x in lines]
+    return weights, [True] * len(lines)
+
+
+def _is_sentence(text: str) -> bool:
+    return " " in text and text.rstrip("\"'\u201d\u2019\u00bb)").endswith((".", "!", "?", "\u2026", "\u3002"))
 
 
 def main_text(page: str | None) -> str:
     for names in (True, False):
         lines = lines_of(page or "", names)
-        lengths, limit = _lengths(lines)
-        if found := stretches(lengths, limit):
-            at = found[0][0]
-            kept = zip(lines[at : found[-1][1]], lengths[at : found[-1][1]], strict=True)
-            return "\n".join(x.text for x, n in kept if n)
+        weights, placed = _weights(lines)
+        sure = [n > 0 and _is_sentence(x.text) for x, n in zip(lines, weights, strict=True)]
+        if found := stretches(weights, LIMIT_SHARE * _largest(weights), sure):
+            linked = [x.links for x in lines]
+            kept = []
+            for i in range(found[0][0], found[-1][1]):
+                menu = linked[i] and (linked[i - 1 : i] == [True] or linked[i + 1 : i + 2] == [True])
+                if placed[i] and not menu:
+                    kept.append(lines[i].text)
+            return "\n".join(kept)
     return ""
 
 
