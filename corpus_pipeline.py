@@ -46,6 +46,13 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     return cleaned.withColumn("n_chars", F.length("text").cast("long")).select(*(f"`{c}`" for c in docs.columns))
 
 
+def _first_of_equal(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """One row for each of ``keys``, the first by a hash of all of its columns: any order of the rows gives the same."""
+    (own,) = fresh(rows.columns, "_own")
+    whole = F.struct(*(f"`{c}`" for c in rows.columns))
+    return rows.groupBy(*keys).agg(F.min_by(whole, F.xxhash64(F.to_json(whole))).alias(own)).select(f"{own}.*")
+
+
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """MinHash near-dedup: of each connected group the document with the smallest id stays, once; rows without an id all stay."""
     of, of_hash, own_hash, rows = fresh(docs.columns, "_of", "_of_hash", "_text_hash", "_rows")
@@ -53,7 +60,7 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     decided = decided.groupBy(F.col("doc_id").alias(of), F.col("text_hash").alias(of_hash)).agg(F.count(F.lit(1)).alias(rows))
     same = (F.col("doc_id") == F.col(of)) & (F.col(own_hash) == F.col(of_hash))
     kept = docs.withColumn(own_hash, F.xxhash64("text")).join(decided, same)
-    one = kept.where(F.col(rows) == 1).unionAll(kept.where(F.col(rows) > 1).dropDuplicates(["doc_id", own_hash]))
+    one = kept.where(F.col(rows) == 1).unionAll(_first_of_equal(kept.where(F.col(rows) > 1), ["doc_id", own_hash]))
     return one.select(*(f"`{c}`" for c in docs.columns)).unionByName(docs.where("doc_id is null"))
 
 
@@ -73,7 +80,7 @@ def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     kind = kind.where(F.col(copies) > 0).select(F.col("doc_id").alias(of), of_source, F.col(own_hash).alias(of_hash), copies, rows)
     same = F.col("doc_id").eqNullSafe(F.col(of)) & F.col("source").eqNullSafe(F.col(of_source)) & (F.col(own_hash) == F.col(of_hash))
     found = docs.withColumn(own_hash, F.xxhash64("text")).join(kind, same)
-    one = found.where(F.col(rows) == 1).unionAll(found.where(F.col(rows) > 1).dropDuplicates(["doc_id", "source", own_hash]))
+    one = found.where(F.col(rows) == 1).unionAll(_first_of_equal(found.where(F.col(rows) > 1), ["doc_id", "source", own_hash]))
     mixed = one.withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies))))
     return mixed.select(*(f"`{c}`" for c in docs.columns))
 

@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from waypost.llm import packing, queries
 
@@ -74,3 +75,17 @@ def test_odd_rows(odd):
 
 def test_empty_table(none):
     assert packing.pack_documents(none).count() == 0
+
+
+def test_many_equal_rows_are_spread(spark):
+    """Equal rows, of one cluster, lie in many shards and each in a bin of its own; a shard stays small."""
+    rows = spark.range(20_000).selectExpr("1L doc_id", "'a' source", "7L cluster", "700L size")
+    others = spark.range(3000).selectExpr("id + 10 doc_id", "'b' source", "cast(null as long) cluster", "300L size")
+    packed = packing.pack(rows.unionAll(others), shard_documents=1000).cache()
+    equal = packed.where("doc_id = 1")
+    assert equal.count() == 20_000 == equal.select("bin_id").distinct().count()
+    assert packed.groupBy("doc_id").agg(F.sum("words").alias("w")).where("doc_id > 1 and w != 300").count() == 0
+    shards = packed.groupBy(F.shiftright("bin_id", 32).alias("shard")).count().collect()
+    assert len(shards) == 23 and max(r["count"] for r in shards) < 5000
+    again = packing.pack(rows.unionAll(others).repartition(5), shard_documents=1000)
+    assert again.exceptAll(packed).count() == 0

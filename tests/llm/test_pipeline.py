@@ -88,3 +88,15 @@ def test_odd_rows(spark, odd, none, small):
             docs = stage(spark, docs, small)
             assert name == "packing" or docs.columns == start.columns
         docs.collect()
+
+
+def test_equal_id_and_text_but_other_columns(spark, small):
+    """Which of such rows stays does not depend on their order."""
+    text = "some words that stand in all of these rows and in no other one"
+    rows = [(1, text, lang, source, n) for lang in ("en", "fr", None) for source in ("a", "b") for n in (1, 2)] + [(2, "quite another text of a few words here", "en", "a", 1)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    one, other = (spark.createDataFrame(r, schema).repartition(k) for r, k in ((rows, 2), (rows[::-1], 3)))
+    for stage in (pipeline.keep_one_of_each_group, pipeline.mix_to_weights):
+        got, again = (sorted(map(str, stage(spark, df, small).collect())) for df in (one, other))
+        assert got == again and got
+    assert pipeline.keep_one_of_each_group(spark, one, small).count() == 2

@@ -11,11 +11,12 @@ compatible bin is found; only then a new one is opened.
 
 Documents are dealt by a hash of their id, cluster and size into shards of a bounded
 number of documents, each packed in one task, so the hottest source or cluster is spread
-evenly. Conflicts concern one bin, so shards do not weaken them.
+evenly. Equal rows are counted, and dealt by ``EQUAL_ROWS`` of them, so that any number
+of them spreads too. Conflicts concern one bin, so shards do not weaken them.
 
 Defined cases: a document without words has one row with no bin. Null sources
 are one source; a null cluster conflicts with nothing. Ties in size go by
-doc_id, null first, then by cluster. Repeated rows are packed each, in one shard.
+doc_id, null first, then by cluster. Repeated rows are packed each, none with another.
 A very long text fills bins by its number of words alone. An empty table gives
 no rows. Only doc_id, source and text (or cluster and size) are read, so further
 columns may bear any name.
@@ -35,6 +36,8 @@ from .workspace import written
 CAPACITY = 2048
 SHARD_DOCUMENTS = 4096
 PER_SOURCE = 2
+#: Equal rows that go into a shard together.
+EQUAL_ROWS = 256
 _PACKED = "doc_id long, source string, first_word long, words long, bin_id long, bin_words long"
 
 
@@ -77,7 +80,7 @@ def best_fit(sizes: list[int], sources: list[int], clusters: list[int], capacity
 
 def pack_shard(rows: pd.DataFrame, capacity: int, per_source: int) -> pd.DataFrame:
     """All pieces of one shard's documents: doc_id, first_word, words and number of the bin in the shard."""
-    rows = rows.sort_values(["doc_id", "size", "cluster"], na_position="first", kind="stable").reset_index(drop=True)
+    rows = rows.sort_values(["doc_id", "size", "cluster", "source"], na_position="first", kind="stable").reset_index(drop=True)
     size = rows["size"].to_numpy(dtype=np.int64)
     whole, rest = size // capacity, size % capacity
     owner = np.repeat(np.arange(len(rows)), whole)
@@ -102,9 +105,18 @@ def pack(items: DataFrame, capacity: int = CAPACITY, per_source: int = PER_SOURC
     rows = written(rows, "items")
     filled = rows.where("size > 0")
     shards = max(1, -(-filled.count() // shard_documents))
-    sharded = filled.withColumn("shard", F.pmod(F.xxhash64("doc_id", "cluster", "size", F.lit(4)), F.lit(shards)))
+    # a row for each kind and each block of its equal rows; most kinds have one row
+    kinds = filled.groupBy("doc_id", "source", "cluster", "size").agg(F.count(F.lit(1)).alias("rows"))
+    blocks = kinds.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("rows") - 1) / EQUAL_ROWS))))
+    of = F.xxhash64("doc_id", "cluster", "size", F.lit(4))
+    sharded = blocks.select(
+        "doc_id", "source", "cluster", "size",
+        F.least(F.col("rows") - F.col("block") * EQUAL_ROWS, F.lit(EQUAL_ROWS)).alias("rows"),
+        F.pmod(F.when(F.col("block") == 0, of).otherwise(F.xxhash64(of, "block")), F.lit(shards)).alias("shard"),
+    )
 
     def run(key: tuple, own: pd.DataFrame) -> pd.DataFrame:
+        own = own.loc[own.index.repeat(own["rows"])].drop(columns="rows")
         out = pack_shard(own, capacity, per_source)
         out["bin_id"] += int(key[0]) << 32
         return out
