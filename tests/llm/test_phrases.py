@@ -63,12 +63,37 @@ def test_counts_whatever_the_table(spark):
     counts, sizes = count(rows, 4)
     want = {(g, " ".join(p), f) for g, own in counts.items() for p, f in own.items() if f >= 5} | {(g, None, n) for g, n in sizes.items()}
     df = spark.createDataFrame(rows, "lang string, text string").repartition(2)
-    for bits in (3, 20):
+    for bits in (3, 5, 7, 20):
         got = frequent_phrases(df, 5, 4, shards=2, table_bits=bits).collect()
         assert {(r.lang, r.phrase, r["count"]) for r in got} == want and len(got) == len(want)
         assert all(r.phrase is None or r.n_words == len(r.phrase.split(" ")) for r in got)
 
 
+def test_a_phrase_is_counted_for_a_whole_circle_whoever_shares_its_place():
+    """Any table, in any order of marks: a phrase that is counted at all is counted in each shard once, from the same scan on."""
+    rng = random.Random(4)
+    text = b"a a a a a a. b a b a b b. a b c a b c a"
+    codes = phrases.Codes()
+    every = {" ".join(w[i : i + m]) for w in pieces_of(text.decode()) for m in range(1, 5) for i in range(len(w) - m + 1)}
+    for _ in range(60):
+        shards, size = rng.choice([1, 2, 3]), 64
+        slots = {p: phrases._slots(codes.phrases("en", [p], len(p.split(" "))), size)[0] for p in sorted(every)}
+        marks = {s: rng.choice([0, 1, 2, 3, 5, 9]) for s in set(slots.values()) if rng.random() < 0.8}
+        seen = defaultdict(list)
+        for step in range(30):
+            table = np.full(size, 255, dtype=np.uint8)
+            for s, at in marks.items():
+                if at < step:
+                    table[s] = at
+            for b in phrases.Counter(step, table, shards, 5).count("en", [text]):
+                for r in b.to_pylist():
+                    if r["n_words"] > 1:
+                        seen[r["phrase"]].append((step, r["since"]))
+        for found in seen.values():
+            start = found[0][1]
+            assert found == [(start + k, start) for k in range(shards)]
+
+
 def test_a_scan_counts_only_what_is_open():
     table = np.full(1 << 20, 255, dtype=np.uint8)
 

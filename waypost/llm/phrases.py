@@ -11,8 +11,8 @@ done: its count is exact and it is kept if it reached the threshold.
 What tells a scan which phrases to count is a table of ``2**TABLE_BITS`` bytes,
 16 MB whatever the corpus: the scan in which a phrase of that hash first reached
 the threshold. Phrases that share a hash can only make others be counted that
-need not be; whether and from when a phrase is counted depends on the phrase
-alone, so it is counted in each shard once all the same. With very many frequent
+need not be; whether and from when a phrase is counted depends on it and its
+parts alone, so it is counted in each shard once all the same. With very many frequent
 phrases the table fills, which costs time and no result; ``table_bits`` sets it.
 A scan counts by exact word numbers in pieces of bounded size, not by hashes.
 
@@ -148,7 +148,8 @@ class Counter:
                 phrase = pc.binary_join_element_wise(*(vocabulary.take(pa.array(ids[first + k])) for k in range(width)), _SPACE)
                 yield self._batch(lang, phrase, width, since[first], times)
             reached = np.full(len(since), _NEVER, dtype=np.uint8)
-            reached[at] = self.table[_slots(joined, len(self.table))]
+            # another phrase may have marked the place, but none reaches the threshold before it is counted
+            reached[at] = np.maximum(self.table[_slots(joined, len(self.table))], np.minimum(since[at], _NEVER))
             spelled = np.zeros(len(since), dtype=np.uint64)
             spelled[at] = joined
 
