@@ -20,7 +20,10 @@ Defined cases: a null text or one without letters is ``und`` with score 0 and
 no spans. Letters of scripts that no language uses score 0; a text with nothing
 else gets the first language in code order with score 0. Ties go to the first
 language. Without labelled rows every text is ``und``. Rows with a null doc_id
-are never used for training and count as not held out.
+are never used for training and count as not held out. Very long texts are
+labelled whole, by windows of words; repeated rows give a row each; an empty
+table gives an empty result; columns of the input are kept, and those that the
+operator adds can be named by the caller.
 """
 
 from __future__ import annotations

@@ -27,7 +27,8 @@ however many others it resembles; no table holds pairs:
    filter of fixed size keeps other lines out of the shuffle), and a set is
    matched if that of an earlier line is similar enough.
 
-Words are compared by 63 bits of hash and rank, sets by 128 bits.
+Words are compared by 63 bits of hash and rank, sets by 128 bits, but by 64 of
+these where entries of prefixes meet.
 
 Defined cases: lines without words stay. Documents with a null doc_id take no
 part and stay as they are, a null text stays null. Equal rows are one document

@@ -22,7 +22,8 @@ half-written part behind in the result.
 Defined cases: a null or empty text yields only the end id. Rows with a null
 doc_id come first. Rows of one doc_id are all kept, ordered by a hash of the
 text, then by the text; equal rows are equal documents. An empty table gives no
-parts and no rows. A very long text is encoded by the task that writes it, a
+parts and no rows. Only doc_id and text are read, so further columns may bear any
+name. A very long text is encoded by the task that writes it, a
 slice of texts at a time, and its ids are summed piece by piece when read.
 """
 
