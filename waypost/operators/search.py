@@ -3,9 +3,11 @@
 A term of three characters or more can only stand in a text that has all of its
 trigrams, shorter terms in one that has them as a gram. Each term is looked up by
 the one of its grams that fewest texts have, so texts meet terms in a join on a
-gram and are compared only then. A gram that very many texts have is dealt to
-``SALTS`` keys; how many such grams there are is bounded by the length of a text,
-not by their number.
+gram and are compared only then. What each term looks up is written first, so
+that Spark knows how little it is: the far more numerous grams of the texts are
+not the side that is sent to all tasks. A gram that very many texts have is dealt
+to ``SALTS`` keys; how many such grams there are is bounded by the length of a
+text, not by their number.
 """
 
 from __future__ import annotations
@@ -13,9 +15,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import written
+
 GRAM = 3
 #: A gram of one text in ``HOT`` or more is dealt to ``SALTS`` keys.
 HOT, SALTS = 64, 64
+#: So many terms are sorted and not sent to all tasks, however small they may look.
+MANY = 50_000
 
 
 def _grams(text: Column, width: int) -> Column:
@@ -43,13 +49,15 @@ def contain(rows: DataFrame, texts: list[Column], terms: DataFrame, shortest: in
     frequent = index.join(parts.select("_gram").distinct(), "_gram", "left_semi").groupBy("_gram").agg(F.count(F.lit(1)).alias("_n"))
     # a term with a gram that no text has finds nothing
     rarest = parts.join(frequent, "_gram", "left").groupBy("term_id", "_term").agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), F.col("_gram").alias("gram"))).alias("r"))
-    found = rarest.where("r.n > 0").select("term_id", "_term", F.col("r.gram").alias("_gram"), F.col("r.n").alias("_n"))
+    found = written(rarest.where("r.n > 0").select("term_id", "_term", F.col("r.gram").alias("_gram"), F.col("r.n").alias("_n")), "terms")
     limit = F.greatest(rows.agg((F.count(F.lit(1)) / HOT).alias("n")).scalar(), F.lit(SALTS))
     every = F.sequence(F.lit(0), F.lit(SALTS - 1))
     keyed = found.select("term_id", "_term", "_gram", F.explode(F.when(F.col("_n") >= limit, every).otherwise(F.array(F.lit(0)))).alias("_salt"))
     hot = found.where(F.col("_n") >= limit).agg(F.collect_set("_gram")).scalar()  # at most HOT times the grams of a text
     own = F.pmod(F.xxhash64(*texts), F.lit(SALTS)).cast("int")
     spread = rows.withColumn("_own", own).withColumn("_gram", F.explode(_grams_of_all(texts, widths)))
+    if found.count() > MANY:
+        spread = spread.hint("merge")
     met = spread.withColumn("_salt", F.when(F.array_contains(hot, F.col("_gram")), F.col("_own")).otherwise(0)).drop("_own").join(keyed, ["_gram", "_salt"])
     hit = F.lit(False)
     for t in texts:

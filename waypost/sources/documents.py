@@ -3,7 +3,9 @@
 A path may be a document or a folder of them. Documents are read by blocks and
 their elements numbered in file order over all documents (``elements``), so an
 ordinal is unique, and a folder gives what one document with the same elements
-would. The elements are kept as a table below the shared folder.
+would. The elements are kept as a table below the shared folder; partners and
+areas, which most queries read several times, as typed rows, so that their JSON is
+parsed once and a query reads the columns that it uses.
 
 Plain values are read as text and turned into dates and numbers where they are.
 Leads and daily rows also keep what was written: whether a date was given at all
@@ -17,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import schemas
+from ..storage import written
 from .elements import read_elements
 
 
@@ -59,7 +62,7 @@ def _elements(found: DataFrame, key: str, fields: str, ordinal: str) -> DataFram
 def load_partners(spark: SparkSession, path: str) -> DataFrame:
     """Partners in file order; numbers that arrive as text become numbers, a missing overlap list is empty."""
     rows = _elements(read_elements(spark, path), "allMarkerData", schemas.PARTNER, "partner_ordinal").drop("as_written")
-    return rows.withColumn("overlap_data", F.coalesce("overlap_data", F.array().cast(schemas.OVERLAPS)))
+    return written(rows.withColumn("overlap_data", F.coalesce("overlap_data", F.array().cast(schemas.OVERLAPS))), "partners")
 
 
 def _geometry() -> Column:
@@ -72,7 +75,7 @@ def _geometry() -> Column:
 def _features(spark: SparkSession, path: str, properties: str) -> DataFrame:
     feature = f"properties STRUCT<{properties}>, geometry STRUCT<type:STRING,coordinates:STRING>"
     rows = _elements(read_elements(spark, path), "features", feature, "polygon_ordinal")
-    return rows.select("polygon_ordinal", "properties.*", _geometry().alias("geom"))
+    return written(rows.select("polygon_ordinal", "properties.*", _geometry().alias("geom")), "features")
 
 
 def load_regions(spark: SparkSession, path: str) -> DataFrame:
