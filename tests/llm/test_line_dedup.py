@@ -106,3 +106,26 @@ def test_odd_rows(odd):
 
 def test_empty_table(none):
     assert line_dedup.dedup_lines(none).count() == 0
+
+
+def test_letters_that_are_not_ascii(spark):
+    """A to Z are folded among any letters, no other letter is, and letters of like bytes stay different."""
+    letters = ["é", "É", "ã", "Ã", "\u00e9\u0081", "あ", "い", "ÿ", "Ÿ", "Þ", "þ", "\u0403", "\u0453", "\U0001f600", "𐐀", "𐐨", "\u1e9e", "ß", "İ", "i", "ı", "\u00a0", "\u0085"]
+    rows = [(i, f"{a}{b} {b}") for i, (a, b) in enumerate((a, b) for a in letters for b in ("x", "X", *letters))]
+    rows += [(len(rows) + i, t) for i, t in enumerate(["ÉTÉ One\r\nTwo\tthree", "one ÉtÉ\nTWO \x0b three\r", "\x0c\n\r\n é"])]
+    assert result(spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows)
+
+
+def test_table_that_meets_itself_is_shuffled_once(spark, tmp_path):
+    spark.range(20).selectExpr("id % 7 as token", "id", "10 as n", "id as rare_bits", "id as frequent_bits", "0 as i").write.parquet(f"{tmp_path}/entries")
+    hot = spark.range(0).selectExpr("cast(id as int) as token")
+    entries = line_dedup._dealt(spark.read.parquet(f"{tmp_path}/entries"), hot)
+    before = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        plan = line_dedup._partnered(entries, entries)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert "ReusedExchange" in plan

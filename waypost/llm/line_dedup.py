@@ -53,56 +53,64 @@ RARITY_BITS = 16
 HOT = 1024
 #: Words of 64 bits in the filter of candidate lines.
 FILTER_WORDS = 1 << 17
-_SPACE = r"[ \t-\r]+"
-_BLANKS = " \t\n\x0b\x0c\r"
-_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+#: Words of the most frequent entries of the rarity table have a sketch of their own.
+FREQUENT = 1 << 10
+#: White space within a line, besides the space itself.
+_BLANKS = "\t\x0b\x0c\r"
 
 
-def _lowered(text: str) -> Column:
-    """A to Z as a to z; the plain function does the same where all characters are ASCII, and is faster."""
-    ascii_only = F.octet_length(text) == F.length(text)
-    return F.when(ascii_only, F.lower(text)).otherwise(F.translate(F.col(text), _UPPER, _UPPER.lower()))
+def _cased(text: str, ignore_case: bool) -> Column:
+    """A text, if case is ignored with A to Z as a to z.
+
+    What is not ASCII is then read byte by byte as Latin-1. Lower case turns a leading byte there into one that no
+    character with as many bytes starts with otherwise, so different characters stay different.
+    """
+    c = F.col(text)
+    if not ignore_case:
+        return c
+    return F.lower(F.when(F.octet_length(c) == F.length(c), c).otherwise(F.decode(c.cast("binary"), "ISO-8859-1")))
 
 
-def _words(line: str, ignore_case: bool) -> Column:
-    """The words of a line; one empty word if there is none."""
-    c = F.col(line)
-    plain = ~c.contains("  ") & ~c.startswith(" ") & ~c.endswith(" ")
-    for blank in _BLANKS[1:]:
-        plain &= ~c.contains(blank)
-    whole = _lowered(line) if ignore_case else c
-    # a single space needs no regular expression
-    return F.when(plain, F.split(whole, " ")).otherwise(F.split(F.trim(whole, F.lit(_BLANKS)), _SPACE))
+def _folded(text: str, ignore_case: bool) -> Column:
+    """The same with all white space but line breaks as spaces."""
+    c = F.col(text)
+    odd = F.lit(False)
+    for blank in _BLANKS:
+        odd |= c.contains(blank)
+    cased = _cased(text, ignore_case)
+    return F.when(odd, F.regexp_replace(cased, f"[{_BLANKS}]", " ")).otherwise(cased)
 
 
-def rarity_table(documents: DataFrame) -> DataFrame:
+def rarity_table(documents: DataFrame, ignore_case: bool) -> DataFrame:
     """One row with ``ranks``: for each hash entry its place, in the high bits, when entries are ordered by how many words fall there."""
-    lines = documents.select(F.explode(F.split(F.lower("text"), "\n")).alias("line"))
-    words = lines.select(F.explode(F.split("line", " ")).alias("word"))
-    entry = F.xxhash64("word").bitwiseAND((1 << RARITY_BITS) - 1)
-    counts = words.groupBy(entry.alias("entry")).agg(F.count(F.lit(1)).alias("n"))
-    every = documents.sparkSession.range(1 << RARITY_BITS).withColumnRenamed("id", "entry").join(counts, "entry", "left")
+    words = documents.select(F.explode(F.split(F.replace(_cased("text", ignore_case), F.lit("\n"), F.lit(" ")), " ")).alias("word"))
+    counts = words.groupBy(_entry(F.col("word")).alias("entry")).agg(F.count(F.lit(1)).alias("n"))
+    every = documents.sparkSession.range(1 << RARITY_BITS).select(F.col("id").cast("int").alias("entry")).join(counts, "entry", "left")
     pairs = F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "entry")))
     placed = every.agg(pairs.alias("p")).select(F.array_sort(F.transform("p", lambda x, i: F.struct(x["entry"], i.alias("rank")))).alias("q"))
     return written(placed.select(F.transform("q", lambda x: F.shiftleft(x["rank"].cast("long"), 63 - RARITY_BITS)).alias("ranks")), "rarity")
 
 
-def _tokens(line: str, ignore_case: bool) -> Column:
-    """The distinct words of a line that has some as numbers, rarest first; the rows carry ``ranks``."""
+def _entry(word: Column) -> Column:
+    return F.hash(word).bitwiseAND((1 << RARITY_BITS) - 1)
+
+
+def _tokens(lines: DataFrame, ranks: Column) -> DataFrame:
+    """at, ``tokens`` of lines that have words: the distinct words as numbers, in no order; sorted they are rarest first."""
+    words = lines.select("at", F.split("line", " ").alias("words"))
+    words = words.select("at", F.when(F.array_contains("words", ""), F.array_remove("words", "")).otherwise(F.col("words")).alias("words"), ranks.alias("ranks"))
 
-    def number(h: Column) -> Column:
-        rank = F.coalesce(F.get("ranks", h.bitwiseAND((1 << RARITY_BITS) - 1).cast("int")), F.lit(0))
-        return rank.bitwiseOR(F.shiftrightunsigned(h, RARITY_BITS + 1))
+    def number(w: Column) -> Column:
+        return F.coalesce(F.get("ranks", _entry(w)), F.lit(0)).bitwiseOR(F.shiftrightunsigned(F.xxhash64(w), RARITY_BITS + 1))
 
-    return F.sort_array(F.array_distinct(F.transform(F.transform(_words(line, ignore_case), lambda w: F.xxhash64(w)), number)))
+    return words.select("at", F.array_distinct(F.transform("words", number)).alias("tokens"))
 
 
-def _parity(tokens: str, high: bool) -> Column:
-    """64 bits, of which each word flips the one that six of its bits name: all words, or those with one more bit set."""
+def _parity(tokens: Column) -> Column:
+    """64 bits, of which each word flips the one that six of its bits name."""
 
     def flip(x: Column) -> Column:
-        one = F.shiftrightunsigned(x, 6).bitwiseAND(1) if high else F.lit(1).cast("long")
-        return F.call_function("shiftleft", one, x.bitwiseAND(63).cast("int"))
+        return F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(63).cast("int"))
 
     return F.aggregate(tokens, F.lit(0).cast("long"), lambda done, x: done.bitwiseXOR(flip(x)))
 
@@ -129,9 +137,9 @@ def _in_filter(key: Column, bits: Column) -> Column:
     return one(1) & one(2)
 
 
-def _lines(documents: DataFrame) -> DataFrame:
-    """doc_id, text_hash, line_no, line of every line of documents with an id and a text."""
-    rows = documents.where("doc_id is not null and text is not null").select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+def _lines(documents: DataFrame, text: Column) -> DataFrame:
+    """doc_id, text_hash, line_no, line of every line of documents with an id and a text; lines are cut from ``text``."""
+    rows = documents.where("doc_id is not null and text is not null").select("doc_id", F.xxhash64("text").alias("text_hash"), text.alias("text"))
     return rows.select("doc_id", "text_hash", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
 
 
@@ -141,24 +149,29 @@ def _at() -> Column:
 
 def _sets(documents: DataFrame, ranks: Column, ignore_case: bool) -> tuple[DataFrame, DataFrame]:
     """Every line with words by the id of its set; and the sets with their first line, prefix and sketches."""
-    filled = _lines(documents).where(F.trim(F.col("line"), F.lit(_BLANKS)) != "")
-    tokens = filled.select(_at().alias("at"), ranks.alias("ranks"), "line").select("at", _tokens("line", ignore_case).alias("tokens"))
-    n = F.size("tokens")
-    rarest = F.slice("tokens", F.lit(1), n - F.ceil(n * NUMERATOR / DENOMINATOR).cast("int") + 1)
+    filled = _lines(documents, _folded("text", ignore_case)).where(F.trim("line") != "").select(_at().alias("at"), "line")
+    # among the words in order stands a mark, from which on they are frequent
+    mark = F.lit(((1 << RARITY_BITS) - FREQUENT) << (63 - RARITY_BITS)).cast("long")
+    marked = _tokens(filled, ranks).select("at", F.sort_array(F.array_append("tokens", mark)).alias("marked"))
+    marked = marked.select("at", "marked", (F.size("marked") - 1).alias("n"), F.array_position("marked", mark).cast("int").alias("place"))
+    n, place = F.col("n"), F.col("place")
+    length = n - F.ceil(n * NUMERATOR / DENOMINATOR).cast("int") + 1
+    rarest = F.slice(F.when(length < place, F.col("marked")).otherwise(F.array_remove("marked", mark)), F.lit(1), length)
     # a smaller set matches equal ones only
     joins = n * (DENOMINATOR - NUMERATOR) >= NUMERATOR
-    lines = tokens.select(
+    lines = marked.select(
         "at",
-        F.xxhash64("tokens").alias("id"),
-        F.xxhash64(F.lit(1), "tokens").alias("id_b"),
-        n.alias("n"),
+        F.xxhash64("marked").alias("id"),
+        F.xxhash64(F.lit(1), "marked").alias("id_b"),
+        "n",
         F.when(joins, F.transform(rarest, lambda x: F.hash(x))).alias("prefix"),  # 32 bits do to find candidates
-        F.when(joins, _parity("tokens", False)).alias("all_bits"),
-        F.when(joins, _parity("tokens", True)).alias("high_bits"),
+        F.when(joins, _parity(F.slice("marked", F.lit(1), place - 1))).alias("rare_bits"),
+        F.when(joins, _parity(F.slice("marked", place + 1, n))).alias("frequent_bits"),
     )
     lines = written(lines, "lines", "lz4")
-    first = [F.first(c).alias(c) for c in ("n", "prefix", "all_bits", "high_bits")]
-    sets = lines.groupBy("id", "id_b").agg(F.min("at").alias("at"), F.count(F.lit(1)).alias("lines"), *first)
+    # of equal sets all but the place is the same
+    head = F.min(F.struct("at", "n", "prefix", "rare_bits", "frequent_bits")).alias("head")
+    sets = lines.groupBy("id", "id_b").agg(head, F.count(F.lit(1)).alias("lines")).select("id", "id_b", "head.*", "lines")
     return lines, written(sets, "sets", "lz4")
 
 
@@ -169,7 +182,8 @@ def _dealt(entries: DataFrame, hot: DataFrame) -> DataFrame:
     least = F.floor((n + F.ceil(n * NUMERATOR / DENOMINATOR)) * (DENOMINATOR - NUMERATOR) / total)
     most = F.floor((n + F.floor(n * DENOMINATOR / NUMERATOR)) * (DENOMINATOR - NUMERATOR) / total)
     joined = entries.join(hot.select(F.col("token").alias("hot")), F.col("token") == F.col("hot"), "left")
-    cold = joined.where("hot is null").select(F.col("token").cast("long").alias("key"), *entries.columns)
+    kept = [c for c in entries.columns if c != "token"]
+    cold = joined.where("hot is null").select(F.col("token").cast("long").alias("key"), *kept)
     # beyond 63 a sketch has no bits for so many parts
     whole = F.lit(64).cast("long")
     parts = joined.where("hot is not null").select(*entries.columns, F.explode(F.sequence(F.least(least, whole), F.least(most, whole))).alias("d"))
@@ -177,7 +191,7 @@ def _dealt(entries: DataFrame, hot: DataFrame) -> DataFrame:
     low, high = (F.floor((F.col("part") + k) * 64 / (F.col("d") + 1)).cast("int") for k in (0, 1))
     mask = F.call_function("shiftleft", F.call_function("shiftrightunsigned", F.lit(-1).cast("long"), 64 - (high - low)), low)
     own = lambda c: F.when(F.col("part") < 0, 0).otherwise(F.col(c).bitwiseAND(mask))
-    parts = parts.select(F.xxhash64("token", "d", "part", own("all_bits"), own("high_bits")).alias("key"), *entries.columns)
+    parts = parts.select(F.xxhash64("token", "d", "part", own("rare_bits"), own("frequent_bits")).alias("key"), *kept)
     return cold.unionAll(parts)
 
 
@@ -185,21 +199,20 @@ def _partnered(left: DataFrame, right: DataFrame, *also: Column) -> DataFrame:
     """Rows of ``left`` for which ``right`` has a row of another set that may match; ``also`` has them as w and o."""
     a, b, x, y = F.col("w.n"), F.col("o.n"), F.col("w.i"), F.col("o.i")
     length = (F.least(a, b) * DENOMINATOR) >= (F.greatest(a, b) * NUMERATOR)
-    most = F.least(x, y) + F.least(a - x, b - y)  # the words before, and this one and those after
+    most = F.least(a - x, b - y)  # if it is the first word they share: this one and those after
     place = most * (DENOMINATOR + NUMERATOR) >= (a + b) * NUMERATOR
-    high = F.col("w.high_bits").bitwiseXOR(F.col("o.high_bits"))
-    low = F.col("w.all_bits").bitwiseXOR(F.col("o.all_bits")).bitwiseXOR(high)
-    apart = (F.bit_count(high) + F.bit_count(low)) * (DENOMINATOR + NUMERATOR) <= (a + b) * (DENOMINATOR - NUMERATOR)
+    differ = [F.bit_count(F.col(f"w.{c}").bitwiseXOR(F.col(f"o.{c}"))) for c in ("rare_bits", "frequent_bits")]
+    apart = (differ[0] + differ[1]) * (DENOMINATOR + NUMERATOR) <= (a + b) * (DENOMINATOR - NUMERATOR)
     test = (F.col("w.key") == F.col("o.key")) & (F.col("w.id") != F.col("o.id")) & length & place & apart
     for more in also:
         test &= more
-    # by aliases and not by new names, so that a table that meets itself is shuffled once
+    # by aliases and not by new names, and with all columns in the test, so that a table that meets itself is shuffled once
     return left.alias("w").join(right.alias("o"), test, "left_semi")
 
 
 def _first_shared() -> Column:
     """Whether the word of two entries is the first of both prefixes; most others are ruled out by a few comparisons."""
-    p, q, token = F.col("w.prefix"), F.col("o.prefix"), F.col("w.token")
+    p, q, token = F.col("w.prefix"), F.col("o.prefix"), F.get("w.prefix", F.col("w.i"))
     earlier = F.lit(False)
     for i in range(3):
         for j in range(3):
@@ -210,23 +223,23 @@ def _first_shared() -> Column:
 
 def _matched(sets: DataFrame, documents: DataFrame, ranks: Column, ignore_case: bool) -> DataFrame:
     """``at`` of the sets that an earlier one matches."""
-    own = ["id", "n", "all_bits", "high_bits"]
+    own = ["id", "n", "rare_bits", "frequent_bits"]
     entries = sets.where("prefix is not null").select(*own, F.posexplode("prefix").alias("i", "token"))
     hot = written(entries.groupBy("token").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > HOT), "hot", "lz4")
-    dealt = written(_dealt(entries, hot), "dealt", "lz4")
+    dealt = _dealt(entries, hot)
     near = written(_partnered(dealt, dealt), "near", "lz4")
-    drop(hot, dealt)
+    drop(hot)
 
-    known = near.join(sets.select("id", "at", "prefix"), "id")
-    firsts = written(_partnered(known, known, _first_shared()).drop("prefix"), "firsts", "lz4")
+    known = near.join(sets.where("prefix is not null").select("id", "at", "prefix"), "id")
+    firsts = written(_partnered(known, known, F.col("w.at") != F.col("o.at"), _first_shared()).drop("prefix"), "firsts", "lz4")
     drop(near)
 
     wanted = firsts.select("at").distinct()
     key = F.xxhash64("doc_id", "text_hash", "line_no")
     found = _filter_of(wanted.select(F.xxhash64("at.doc_id", "at.text_hash", "at.line_no").alias("key")), "key")
-    lines = _lines(documents).where(_in_filter(key, found.select("bits").scalar()))
+    lines = _lines(documents, F.col("text")).where(_in_filter(key, found.select("bits").scalar()))
     lines = lines.select(_at().alias("at"), "line").join(wanted, "at", "left_semi").dropDuplicates(["at"])
-    tokens = lines.select("at", "line", ranks.alias("ranks")).select("at", _tokens("line", ignore_case).alias("tokens"))
+    tokens = _tokens(lines.select("at", _folded("line", ignore_case).alias("line")), ranks)
     whole = written(firsts.join(tokens, "at"), "whole", "lz4")
     drop(firsts, found)
     both = F.size(F.array_intersect("w.tokens", "o.tokens")) * (DENOMINATOR + NUMERATOR) >= (F.col("w.n") + F.col("o.n")) * NUMERATOR
@@ -237,7 +250,7 @@ def _matched(sets: DataFrame, documents: DataFrame, ranks: Column, ignore_case:
 
 def later_matches(documents: DataFrame, ignore_case: bool = True) -> DataFrame:
     """documents (doc_id, text) -> doc_id, text_hash, line_no of the lines to remove, once for each equal row."""
-    rarity = rarity_table(documents.where("text is not null").select("text"))
+    rarity = rarity_table(documents.where("text is not null").select("text"), ignore_case)
     ranks = rarity.select("ranks").scalar()
     lines, sets = _sets(documents, ranks, ignore_case)
     matched = _matched(sets, documents, ranks, ignore_case)
