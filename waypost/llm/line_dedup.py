@@ -19,8 +19,9 @@ and meets only those whose 128-bit parity sketch is the same in that part.
 Entries that meet are compared by semi joins, so that a set costs a few rows
 however many others it resembles; no table holds pairs:
 
-1. Sets stay that have a partner by lengths, by the word's positions and by the
-   sketches: a bit that differs is a word that only one of them has.
+1. Sets stay that have a partner by lengths, by the word's positions (those of a
+   first shared word) and by the sketches of rare and of frequent words: a bit that
+   differs is a word that only one of them has.
 2. Of the entries of those sets, the ones stay whose word is the first that a
    pair of partners shares.
 3. The whole word sets of these lines are read from the texts again (a Bloom
