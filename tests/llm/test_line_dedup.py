@@ -129,3 +129,18 @@ def test_table_that_meets_itself_is_shuffled_once(spark, tmp_path):
         for k, v in before.items():
             spark.conf.set(k, v)
     assert "ReusedExchange" in plan
+
+
+def test_words_are_cut_once(spark, monkeypatch):
+    """Ranks and sets are made from the written hashes of words, and arrays are cut before functions run over them."""
+    plans = {}
+
+    def noted(df, name, *more, f=line_dedup.written):
+        plans[name] = df._jdf.queryExecution().optimizedPlan().toString()
+        return f(df, name, *more)
+
+    monkeypatch.setattr(line_dedup, "written", noted)
+    rows = edited(random.Random(3), 30)
+    assert result(spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows)
+    assert "split(" in plans["words"] and "split(" not in plans["rarity"] + plans["lines"]
+    assert "aggregate(" in plans["lines"] and "aggregate(slice(" not in plans["lines"]

@@ -8,7 +8,8 @@ whether or not that line is removed too.
 
 The join: words are ordered by rarity, by counts over the whole corpus in a
 table of fixed size (words share its entries by hash; any order gives the same
-result, a good one makes it fast). Lines of equal sets are one row throughout.
+result, a good one makes it fast). The words of all lines are written once as
+hashes, from which both these counts and the sets are made, and dropped then. Lines of equal sets are one row throughout.
 If two sets match, the first n - ceil(0.9 n) + 1 words of both share one, so a
 set has an entry for each word of its prefix. Entries of a word with more than
 ``HOT`` of them are dealt further: matching sets of a and b words differ in
@@ -28,7 +29,7 @@ however many others it resembles; no table holds pairs:
    filter of fixed size keeps other lines out of the shuffle), and a set is
    matched if that of an earlier line is similar enough.
 
-Words are compared by 63 bits of hash and rank, sets by 128 bits, but by 64 of
+Words are compared by 63 bits of a hash, of which the rank stands for 18, sets by 128 bits, but by 64 of
 these where entries of prefixes meet.
 
 Defined cases: lines without words stay. Documents with a null doc_id take no
@@ -49,7 +50,7 @@ from .workspace import drop, fresh, written
 
 #: As a fraction of integers, so that comparisons are exact.
 NUMERATOR, DENOMINATOR = 9, 10
-RARITY_BITS = 16
+RARITY_BITS = 18
 #: Entries of one prefix word that meet as they are: comparing one with so many costs about as much as its parts do.
 HOT = 1024
 #: Words of 64 bits in the filter of candidate lines.
@@ -82,29 +83,32 @@ def _folded(text: str, ignore_case: bool) -> Column:
     return F.when(odd, F.regexp_replace(cased, f"[{_BLANKS}]", " ")).otherwise(cased)
 
 
-def rarity_table(documents: DataFrame, ignore_case: bool) -> DataFrame:
-    """One row with ``ranks``: for each hash entry its place, in the high bits, when entries are ordered by how many words fall there."""
-    words = documents.select(F.explode(F.split(F.replace(_cased("text", ignore_case), F.lit("\n"), F.lit(" ")), " ")).alias("word"))
-    counts = words.groupBy(_entry(F.col("word")).alias("entry")).agg(F.count(F.lit(1)).alias("n"))
-    every = documents.sparkSession.range(1 << RARITY_BITS).select(F.col("id").cast("int").alias("entry")).join(counts, "entry", "left")
+def _word_hashes(line: str) -> Column:
+    """The distinct words of a line as hashes; two spaces side by side have an empty word between them, which is none."""
+    hashes = F.transform(F.split(line, " "), lambda w: F.xxhash64(w))
+    return F.array_remove(F.array_distinct(hashes), F.xxhash64(F.lit("")))
+
+
+def rarity_table(words: DataFrame) -> DataFrame:
+    """One row with ``ranks``: for each hash entry its place, in the high bits, when entries are ordered by how many words of lines fall there."""
+    counts = words.select(F.explode("words").alias("word")).groupBy(_entry(F.col("word")).alias("entry")).agg(F.count(F.lit(1)).alias("n"))
+    every = words.sparkSession.range(1 << RARITY_BITS).withColumnRenamed("id", "entry").join(counts, "entry", "left")
     pairs = F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "entry")))
     placed = every.agg(pairs.alias("p")).select(F.array_sort(F.transform("p", lambda x, i: F.struct(x["entry"], i.alias("rank")))).alias("q"))
     return written(placed.select(F.transform("q", lambda x: F.shiftleft(x["rank"].cast("long"), 63 - RARITY_BITS)).alias("ranks")), "rarity")
 
 
 def _entry(word: Column) -> Column:
-    return F.hash(word).bitwiseAND((1 << RARITY_BITS) - 1)
+    return word.bitwiseAND((1 << RARITY_BITS) - 1)
 
 
-def _tokens(lines: DataFrame, ranks: Column) -> DataFrame:
-    """at, ``tokens`` of lines that have words: the distinct words as numbers, in no order; sorted they are rarest first."""
-    words = lines.select("at", F.split("line", " ").alias("words"))
-    words = words.select("at", F.when(F.array_contains("words", ""), F.array_remove("words", "")).otherwise(F.col("words")).alias("words"), ranks.alias("ranks"))
+def _tokens(words: DataFrame, ranks: Column) -> DataFrame:
+    """at, ``tokens`` of lines (at, words): the words as numbers, the rank of the entry before the other bits; sorted they are rarest first."""
 
     def number(w: Column) -> Column:
-        return F.coalesce(F.get("ranks", _entry(w)), F.lit(0)).bitwiseOR(F.shiftrightunsigned(F.xxhash64(w), RARITY_BITS + 1))
+        return F.coalesce(F.get("ranks", _entry(w)).bitwiseOR(F.shiftrightunsigned(w, RARITY_BITS + 1)), F.lit(0))
 
-    return words.select("at", F.array_distinct(F.transform("words", number)).alias("tokens"))
+    return words.select("at", "words", ranks.alias("ranks")).select("at", F.transform("words", number).alias("tokens"))
 
 
 def _parity(tokens: Column) -> Column:
@@ -148,28 +152,44 @@ def _at() -> Column:
     return F.struct("doc_id", "text_hash", "line_no")
 
 
-def _sets(documents: DataFrame, ranks: Column, ignore_case: bool) -> tuple[DataFrame, DataFrame]:
+def _words(documents: DataFrame, ignore_case: bool) -> DataFrame:
+    """at, ``words`` of every line that has words, as hashes; texts are cut into words only here, and again for lines that may match."""
+    filled = _lines(documents, _folded("text", ignore_case)).where(F.trim("line") != "")
+    return written(filled.select(_at().alias("at"), _word_hashes("line").alias("words")), "words", "lz4")
+
+
+def _sets(words: DataFrame, ranks: Column) -> tuple[DataFrame, DataFrame]:
     """Every line with words by the id of its set; and the sets with their first line, prefix and sketches."""
-    filled = _lines(documents, _folded("text", ignore_case)).where(F.trim("line") != "").select(_at().alias("at"), "line")
     # among the words in order stands a mark, from which on they are frequent
     mark = F.lit(((1 << RARITY_BITS) - FREQUENT) << (63 - RARITY_BITS)).cast("long")
-    marked = _tokens(filled, ranks).select("at", F.sort_array(F.array_append("tokens", mark)).alias("marked"))
+    marked = _tokens(words, ranks).select("at", F.sort_array(F.array_append("tokens", mark)).alias("marked"))
     marked = marked.select("at", "marked", (F.size("marked") - 1).alias("n"), F.array_position("marked", mark).cast("int").alias("place"))
     n, place = F.col("n"), F.col("place")
     length = n - F.ceil(n * NUMERATOR / DENOMINATOR).cast("int") + 1
     rarest = F.slice(F.when(length < place, F.col("marked")).otherwise(F.array_remove("marked", mark)), F.lit(1), length)
-    # a smaller set matches equal ones only
-    joins = n * (DENOMINATOR - NUMERATOR) >= NUMERATOR
-    lines = marked.select(
+    cut = marked.select(
         "at",
         F.xxhash64("marked").alias("id"),
         F.xxhash64(F.lit(1), "marked").alias("id_b"),
         "n",
-        F.when(joins, F.transform(rarest, lambda x: F.hash(x))).alias("prefix"),  # 32 bits do to find candidates
-        F.when(joins, _parity(F.slice("marked", F.lit(1), place - 1))).alias("rare_bits"),
-        F.when(joins, _parity(F.slice("marked", place + 1, n))).alias("frequent_bits"),
+        rarest.alias("rarest"),
+        F.slice("marked", F.lit(1), place - 1).alias("rare"),
+        F.slice("marked", place + 1, n).alias("frequent"),
+    )
+    # a smaller set matches equal ones only; asked of the parts, which are then used twice and so cut before
+    # functions run over them: within such a function, cutting turns all numbers of a line into objects
+    joins = (F.size("rare") + F.size("frequent")) * (DENOMINATOR - NUMERATOR) >= NUMERATOR
+    lines = cut.select(
+        "at",
+        "id",
+        "id_b",
+        "n",
+        F.when(joins, F.transform("rarest", lambda x: F.hash(x))).alias("prefix"),  # 32 bits do to find candidates
+        F.when(joins, _parity(F.col("rare"))).alias("rare_bits"),
+        F.when(joins, _parity(F.col("frequent"))).alias("frequent_bits"),
     )
     lines = written(lines, "lines", "lz4")
+    drop(words)
     # of equal sets all but the place is the same
     head = F.min(F.struct("at", "n", "prefix", "rare_bits", "frequent_bits")).alias("head")
     sets = lines.groupBy("id", "id_b").agg(head, F.count(F.lit(1)).alias("lines")).select("id", "id_b", "head.*", "lines")
@@ -240,7 +260,8 @@ def _matched(sets: DataFrame, documents: DataFrame, ranks: Column, ignore_case:
     found = _filter_of(wanted.select(F.xxhash64("at.doc_id", "at.text_hash", "at.line_no").alias("key")), "key")
     lines = _lines(documents, F.col("text")).where(_in_filter(key, found.select("bits").scalar()))
     lines = lines.select(_at().alias("at"), "line").join(wanted, "at", "left_semi").dropDuplicates(["at"])
-    tokens = _tokens(lines.select("at", _folded("line", ignore_case).alias("line")), ranks)
+    lines = lines.select("at", _folded("line", ignore_case).alias("line"))
+    tokens = _tokens(lines.select("at", _word_hashes("line").alias("words")), ranks)
     whole = written(firsts.join(tokens, "at"), "whole", "lz4")
     drop(firsts, found)
     both = F.size(F.array_intersect("w.tokens", "o.tokens")) * (DENOMINATOR + NUMERATOR) >= (F.col("w.n") + F.col("o.n")) * NUMERATOR
@@ -251,9 +272,10 @@ def _matched(sets: DataFrame, documents: DataFrame, ranks: Column, ignore_case:
 
 def later_matches(documents: DataFrame, ignore_case: bool = True) -> DataFrame:
     """documents (doc_id, text) -> doc_id, text_hash, line_no of the lines to remove, once for each equal row."""
-    rarity = rarity_table(documents.where("text is not null").select("text"), ignore_case)
+    words = _words(documents, ignore_case)
+    rarity = rarity_table(words)
     ranks = rarity.select("ranks").scalar()
-    lines, sets = _sets(documents, ranks, ignore_case)
+    lines, sets = _sets(words, ranks)
     matched = _matched(sets, documents, ranks, ignore_case)
     gone = sets.select("id", "id_b", "at", "lines").join(matched.withColumn("matched", F.lit(True)), "at", "left").where("lines > 1 or matched")
     gone = gone.select("id", "id_b", F.col("at").alias("first_at"), F.coalesce("matched", F.lit(False)).alias("matched"))
